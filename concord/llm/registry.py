@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from concord.llm import bpe
+from concord.llm import bpe, minhash, toxicity
 
-MODULES = [bpe]
+MODULES = [minhash, toxicity, bpe]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
