@@ -1,11 +1,14 @@
 """Toxicity (operator 4): maximum-scoring segments of token log-odds.
 
-Learning. Every word's counts in toxic and in clean labelled texts give its log-odds under a Dirichlet prior (half
+Tokens are words (lower-cased runs of letters, digits and underscores) and, since inflected forms share stems, their
+beginnings of STEMS letters; a word scores as its best token.
+
+Learning. Every token's counts in toxic and in clean labelled texts give its log-odds under a Dirichlet prior (half
 a count plus a share of the corpus counts) and that value's standard error; words that stand clear of it form the
 lexicon, the LEXICON strongest at most (a bound on the model, not on the data). Labelled rows with equal texts count
 once. All labelled rows outside the held-out third are used.
 
-Scanning. A lexicon word scores its log-odds, any other word -GAP. One linear scan finds all maximal-scoring
+Scanning. A word of the lexicon scores its log-odds, any other word -GAP. One linear scan finds all maximal-scoring
 segments of the whole text. Segment scores of clean text have an extreme-value law: with n words, E = K n exp(-lambda S)
 segments of score S or more are expected by chance. lambda solves sum p exp(lambda s) = 1 over clean word
 frequencies, K is set by the segments in clean learning texts. A text's evidence is the sum of -ln E over its
@@ -13,13 +16,14 @@ significant segments (E < 1); a logistic curve over all learning rows turns evid
 
 Defined results: null and empty texts have no evidence and get the base score; rows with a null doc_id are scored
 but never learned from, and held_out is false; several labels for a document count as toxic if one is; with no toxic
-or no clean label every score is 0. Labels, lang, source and doc_id are never inputs of a score.
+or no clean label, or no token that stands clear, every score is 0. Labels, lang, source and doc_id are never inputs of a score.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +35,14 @@ from concord.llm.common import salted_rows_bound, table, written
 
 GAP = 0.1
 PRIOR_SHARE, PRIOR_LEAST = 0.01, 0.5
-MIN_Z, MIN_DOCS = 3.5, 3
+MIN_Z, MIN_DELTA, MIN_DOCS = 3.0, 4.0, 3
 LEXICON = 50_000
 BROADCAST_ROWS = 1_000_000
+STEMS = (3, 4, 5, 6)
 THRESHOLD = 0.7
 EVIDENCE_MAX, BIN = 60.0, 0.25
-FLUSH = 150_000  # words a task counts before it hands its partial counts on
+MEMO = 200_000  # words whose score a task remembers
+FLUSH = 200_000  # tokens a task counts before it hands its partial counts on
 
 _find = re.compile(r"\w+").findall
 
@@ -45,6 +51,23 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
+def tokens_of(word: str) -> list[str]:
+    return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
+
+
+class Scores(dict):
+    """word -> its score, 0 for words without one."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str) -> float:
+        got = max(self.lexicon.get(t, 0.0) for t in tokens_of(word))
+        if len(self) < MEMO:
+            self[word] = got
+        return got
+
+
 def maximal_segments(places: list[int], scores: list[float], gap: float = GAP) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first place, last place, score) of a word sequence in which the words at
     ``places`` have positive ``scores`` and every other one has -gap. Linear in the number of places."""
@@ -79,13 +102,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
             words = _find((text.as_py() or "").lower())
-            for w in words:
-                row = counts.get(w)
+            here: dict[str, int] = {}
+            for w, n in Counter(words).items():
+                for token in tokens_of(w):
+                    here[token] = here.get(token, 0) + n
+            for token, n in here.items():
+                row = counts.get(token)
                 if row is None:
-                    row = counts[w] = [0, 0, 0, 0]
-                row[toxic] += 1
-            for w in set(words):
-                counts[w][2 + toxic] += 1
+                    row = counts[token] = [0, 0, 0, 0]
+                row[toxic] += n
+                row[2 + toxic] += 1
             if len(counts) >= FLUSH:
                 yield out()
     if counts:
@@ -116,10 +142,11 @@ def _decay(scores: np.ndarray, freq: np.ndarray) -> float:
     return lo
 
 
-def _scan(text: str | None, lexicon: dict[str, float]) -> tuple[int, list[tuple[int, int, float]]]:
+def _scan(text: str | None, scores: Scores) -> tuple[int, list[tuple[int, int, float]]]:
     words = _find((text or "").lower())
-    hits = [i for i, w in enumerate(words) if w in lexicon]
-    return len(words), maximal_segments(hits, [lexicon[words[i]] for i in hits]) if hits else []
+    each = list(map(scores.__getitem__, words))
+    hits = [i for i, s in enumerate(each) if s]
+    return len(words), maximal_segments(hits, [each[i] for i in hits]) if hits else []
 
 
 def _evidence(n: int, segments, decay: float, log_k: float) -> float:
@@ -158,17 +185,18 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict | None:
     size = counts.agg(F.sum("n0"), F.sum("n1")).first()
     if not size[0] or not size[1]:
         return None
-    best = log_odds(counts).where((F.col("z") >= MIN_Z) & (F.col("d1") >= MIN_DOCS)).orderBy(F.desc("z"), "word").limit(LEXICON).select("word", "delta", ((F.col("n0") + PRIOR_LEAST) / F.col("t0")).alias("p")).collect()
+    best = log_odds(counts).where((F.col("z") >= MIN_Z) & (F.col("delta") >= MIN_DELTA) & (F.col("d1") >= MIN_DOCS)).orderBy(F.desc("z"), "word").limit(LEXICON).select("word", "delta", "n0", "t0").collect()
     if not best:
         return None
     lexicon = {r["word"]: r["delta"] for r in best}
-    scores, freq = np.array([r["delta"] for r in best]), np.array([r["p"] for r in best])
+    scores, freq = np.array([r["delta"] for r in best]), np.array([(r["n0"] + 5 / len(best)) / r["t0"] for r in best])
     decay = _decay(scores, freq * min(1.0, 0.5 * GAP / max(1e-12, float((freq * scores).sum()))))
     low, shared = float(scores.min()), docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = Scores(shared.value)
         for batch in batches:
-            got = [_scan(t.as_py(), shared.value) for t in batch.column("text")]
+            got = [_scan(t.as_py(), scores) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([n for n, _ in got], pa.int64()), pa.array([[s for _, _, s in x] for _, x in got], pa.list_(pa.float64()))], ["toxic", "n", "s"])
 
     seen = written(train.select("text", "toxic").mapInArrow(scanned, "toxic int, n long, s array<double>"), "tox")
@@ -188,6 +216,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        lexicon = Scores(m["lexicon"] if m else {})
         for batch in batches:
             scores, found = [], []
             for text in batch.column("text"):
@@ -195,7 +224,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
                     scores.append(0.0)
                     found.append([])
                     continue
-                n, segments = _scan(text.as_py(), m["lexicon"])
+                n, segments = _scan(text.as_py(), lexicon)
                 z = m["a"] + m["b"] * _evidence(n, segments, m["decay"], m["log_k"])
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
                 log_e = [(a, b, s, m["log_k"] + math.log(max(n, 1)) - m["decay"] * s) for a, b, s in segments]
