@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from concord.llm import bpe, minhash, toxicity
+import corpus_pipeline
+from concord.llm import bpe, decontaminate, minhash, toxicity
 
-MODULES = [minhash, toxicity, bpe]
-QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+MODULES = [minhash, toxicity, decontaminate, bpe]
+QUERIES = {"pipeline": corpus_pipeline.run} | {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
