@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from concord.plans import q_cohort, q_values_identity  # noqa: F401
+from concord.plans.base import ORACLES, QUERIES  # noqa: F401
