@@ -71,7 +71,7 @@ def duplicate_record_id(df: DataFrame, record: str, source: str) -> DataFrame:
 
 def nested_series(df: DataFrame, study: str, relation: str, prefix: str) -> DataFrame:
     """Sources whose relation text names another source: what follows the last colon."""
-    return df.where(F.col(relation).startswith(prefix)).select(study, F.trim(F.element_at(F.split(relation, ":"), -1)).alias("part_of")).distinct()
+    return df.where(F.startswith(F.col(relation), F.lit(prefix))).select(study, F.trim(F.element_at(F.split(F.col(relation), ":"), -1)).alias("part_of")).distinct()
 
 
 def out_of_scope(df: DataFrame, by: str, foreign: Column) -> DataFrame:

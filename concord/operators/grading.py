@@ -74,7 +74,7 @@ def run_summary(records: DataFrame, excluded: list[str], conditions: tuple[str,
 def question_grid(records: DataFrame, columns: list[str]) -> DataFrame:
     """Right answers of each question by condition and model; '-' where there is no record."""
     r = records.withColumn("_c", F.concat_ws("/", "condition", "model"))
-    g = r.groupBy("question").pivot("_c", columns).agg(F.count_if("correct").cast("string"))
+    g = r.groupBy("question").pivot("_c", columns).agg(F.when(F.count(F.lit(1)) > 0, F.count_if("correct").cast("string")))
     return g.select("question", *(F.coalesce(F.col(f"`{c}`"), F.lit("-")).alias(c) for c in columns))
 
 
