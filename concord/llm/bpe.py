@@ -27,7 +27,7 @@ from concord.llm.common import table
 
 #: Fixed value: the byte-level pre-tokenizer's split pattern, with white space as Unicode's White_Space property.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-MEMO_WORDS, MEMO_PIECES = 700_000, 300_000  # what a task remembers; frequent ones come first and stay
+MEMO_WORDS, MEMO_PIECES = 250_000, 120_000  # what a task remembers; frequent ones come first and stay
 
 
 def byte_letters() -> dict[str, int]:
@@ -130,7 +130,7 @@ class Encoder:
         return b"".join(struct.pack("<I", self.special[x]) if k % 2 else self.plain(x) for k, x in enumerate(parts) if x)
 
 
-_held: dict[int, Encoder] = {}  # one encoder for each broadcast model in a worker process
+_held: list = []  # the model last used in this worker process, and its encoder
 
 
 def _appended(schema, name: str, kind: str):
@@ -157,10 +157,9 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
     model = df.sparkSession.sparkContext.broadcast(load_model(vocabulary))
 
     def make():
-        if model.value and id(model.value) not in _held:
-            _held.clear()
-            _held[id(model.value)] = Encoder(model.value)
-        return _held[id(model.value)].encode
+        if not _held or _held[0] is not model.value:
+            _held[:] = [model.value, Encoder(model.value)]
+        return _held[1].encode
 
     return _map_column(df, text, ids, "binary", make)
 
