@@ -9,10 +9,10 @@ documents agree in it with probability equal to their weighted Jaccard similarit
 are made; a document with a component still empty gets a longer one.
 
 Banding finds candidates; the overlap of the shingle multisets decides them. Copies with the same words are one
-document from the first shuffle on. In each band's bucket all members are held against the smallest one (a star);
-then, within buckets that still hold several classes, members of different classes are held against each other
-unless their distances to the bucket's centre differ by more than the threshold allows (the triangle inequality
-of Jaccard distance). So no pair of a bucket is left undecided unless its two documents are already in one class.
+document from the first shuffle on. A bucket's centre is its smallest document. Every document is held against the smallest of its
+buckets' centres, then against the centres whose class still differs from its own; then, in families that
+buckets with several classes even so connect, all documents against each other, block by block. So no pair of a bucket
+is left undecided unless its two documents are already in one class, and rows never grow with the pairs of a group.
 
 Defined results: null texts count as empty; all texts without a word form one class; class_id is the class's
 smallest doc_id; repeated rows give repeated rows; rows whose doc_id is null are classed by their texts too, but
@@ -38,7 +38,7 @@ from concord.llm.components import components
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 7  # a pair of similarity 0.8 shares a band with probability 0.9995
 BLOCK = 150_000  # shingles that a task handles at once; a longer document is a block of its own
-GROUP = 500  # documents held against one copy of a centre's shingles
+GROUP = 200  # documents held against one copy of a centre's shingles
 
 _find = re.compile(r"\w+").findall
 
@@ -201,6 +201,64 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.repartition("center", "salt").sortWithinPartitions("center", "salt", "member").mapInArrow(_compared, "u long, v long, sim double")
 
 
+def _joined(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (center, salt) -> for each such group links of similar documents that join its classes: a
+    spanning forest, so no more links than documents, however many pairs are similar."""
+
+    def links(ids: list[int], grams: list[np.ndarray]) -> list[tuple[int, int]]:
+        sizes = np.array([len(g) for g in grams])
+        code = np.unique(np.concatenate(grams), return_inverse=True)[1]
+        at = np.r_[0, np.cumsum(sizes)[:-1]]
+        mark, parent, out = np.zeros(int(code.max()) + 1), list(range(len(ids))), []
+
+        def top(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
+        for i in range(len(ids) - 1):
+            own = code[at[i] : at[i] + sizes[i]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[code[at[i + 1] :]], at[i + 1 :] - at[i + 1])
+            mark[own] = 0
+            for j in i + 1 + np.flatnonzero(both >= threshold * (sizes[i] + sizes[i + 1 :] - both)):
+                if (a := top(i)) != (b := top(int(j))):
+                    parent[b] = a
+                    out.append((ids[i], ids[j]))
+        return out
+
+    group, ids, grams, out = None, [], [], []
+    for batch in batches:
+        for c, k, doc_id, data in zip(*(batch.column(n).to_pylist() for n in ("center", "salt", "doc_id", "grams")), strict=True):
+            if (c, k) != group:
+                out += links(ids, grams) if len(ids) > 1 else []
+                group, ids, grams = (c, k), [], []
+            if data:
+                ids.append(doc_id)
+                grams.append(np.frombuffer(data, np.uint64))
+    out += links(ids, grams) if len(ids) > 1 else []
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+
+def _among(docs: DataFrame, inside: DataFrame, threshold: float) -> DataFrame:
+    """Links (u, v) among all documents of each family: those that buckets which hold several classes connect.
+
+    A family is dealt into blocks, and every two blocks meet in one task: that is a bounded number of rows a task, and
+    rows in proportion to the family times its blocks, not to its pairs."""
+    root = components(inside.select(F.col("doc_id").alias("u"), F.col("u").alias("v")))
+    homes = root.select(F.col("node").alias("doc_id"), F.col("root").alias("family")).unionByName(root.select(F.col("root").alias("doc_id"), F.col("root").alias("family")).distinct())
+    sizes = homes.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("n"))
+    dealt = homes.join(sizes, "family").withColumn("b", F.pmod(F.hash("doc_id"), "n"))
+    places = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.col("family").alias("center"), (F.least("b", j) * F.col("n") + F.greatest("b", j)).alias("salt")))
+    rows = docs.join(dealt.select("doc_id", places.alias("places")), "doc_id").mapInArrow(_gram_rows, "center long, salt int, member boolean, doc_id long, grams binary")
+    return rows.repartition("center", "salt").sortWithinPartitions("center", "salt").mapInArrow(lambda it: _joined(it, threshold), "u long, v long")
+
+
+def _placed(slots: DataFrame, found: DataFrame) -> DataFrame:
+    """band, u, doc_id, label: the bucket places with each document's class so far."""
+    return slots.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "u", "doc_id", F.coalesce("root", "doc_id").alias("label"))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, rep_id for every row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -215,23 +273,30 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     slots = written(slots.join(mins, "band").distinct(), "bag")  # only buckets with more than one document
     # one text for each id: repeated ids with different texts keep every row's class, and share one text here
     texts = docs.where("doc_id is not null")
-    stars = written(compare(texts, slots.where("doc_id <> u").select("u", F.col("doc_id").alias("v")).distinct()), "bag")
-    links = stars.where(F.col("sim") >= threshold)
+    # first each document against the smallest centre of all its buckets, one pair a document
+    spokes = slots.where("doc_id <> u").groupBy(F.col("doc_id").alias("v")).agg(F.min("u").alias("u"))
+    stars = written(compare(texts, spokes), "bag")
+    links = stars.where(F.col("sim") >= threshold).select("u", "v")
     found = components(links)
 
-    label = F.coalesce("root", "doc_id").alias("label")
-    placed = slots.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "u", "doc_id", label)
+    # then against the other centres, where classes still differ
+    placed = _placed(slots, found)
+    centers = placed.where("doc_id = u").select("band", F.col("label").alias("center_label"))
+    open_ = placed.join(centers, "band").where("doc_id <> u and label <> center_label").select("u", F.col("doc_id").alias("v")).distinct().join(spokes, ["u", "v"], "left_anti")
+    open_ = written(open_, "bag")
+    if not open_.isEmpty():
+        more = written(compare(texts, open_), "bag")
+        links = links.unionByName(more.where(F.col("sim") >= threshold).select("u", "v"))
+        found = components(links)
+
+    # then members against each other, in buckets that still hold several classes
+    placed = _placed(slots, found)
     mixed = placed.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("band")
-    far = stars.select("u", F.col("v").alias("doc_id"), (1 - F.col("sim")).alias("d"))
-    inside = placed.join(mixed, "band", "left_semi").where("doc_id <> u").join(far, ["u", "doc_id"])
-    x, y = inside.alias("x"), inside.alias("y")
-    gap = F.abs(F.col("x.d") - F.col("y.d")) <= 1 - threshold + 1e-9
-    more = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.label") != F.col("y.label")) & gap)
-    more = written(more.select(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v")).distinct(), "bag")
-    if not more.isEmpty():
-        extra = written(compare(texts, more).where(F.col("sim") >= threshold), "bag")
+    inside = written(placed.join(mixed, "band", "left_semi").select("u", "doc_id").distinct(), "bag")
+    if not inside.isEmpty():
+        extra = written(_among(texts, inside, threshold), "bag")
         if not extra.isEmpty():
-            found = components(links.select("u", "v").unionByName(extra.select("u", "v")))
+            found = components(links.unionByName(extra))
     member = marks.select("doc_id", "key").join(reps, "key").select("doc_id", "rep")
     return member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"), F.col("rep").alias("rep_id"))
 
