@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concord.llm import bpe
-from concord.llm.common import table
+from concord.llm.common import table, written
 
 STEP = 4096
 
@@ -55,7 +55,8 @@ def answer(limits: DataFrame, context_limit: int) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_limit(histogram(lengths(table(spark, sf_dir, "documents"), bpe.default_vocabulary())))
+    # the histogram is used twice: written, so that texts are encoded once
+    return by_limit(written(histogram(lengths(table(spark, sf_dir, "documents"), bpe.default_vocabulary())), "lengths"))
 
 
 QUERIES = {"op5_token_counts": query}
