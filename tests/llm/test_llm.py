@@ -60,6 +60,18 @@ def test_components(spark):
     assert {r.node: r.root for r in components.components(e).collect()} == {i: 0 for i in range(1, 31)} | {100: 99}
 
 
+def test_components_of_random_edges_against_union_find(spark):
+    rng = random.Random(5)
+    for nodes, n in ((40, 25), (30, 60)):
+        edges = [(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(n)]
+        root = list(range(nodes))
+        for u, v in edges:
+            a, b = root[u], root[v]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        got = components.components(spark.createDataFrame(edges, "u long, v long")).collect()
+        assert sorted((r.node, r.root) for r in got) == [(i, r) for i, r in enumerate(root) if r != i]
+
+
 def test_maximal_segments_against_brute_force():
     rnd = random.Random(0)
     for _ in range(300):
