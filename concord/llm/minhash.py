@@ -271,8 +271,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     slots = heads.select("doc_id", F.explode("bands").alias("band"))
     mins = slots.groupBy("band").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("z")).where("u < z").select("band", "u")
     slots = written(slots.join(mins, "band").distinct(), "bag")  # only buckets with more than one document
-    # one text for each id: repeated ids with different texts keep every row's class, and share one text here
-    texts = docs.where("doc_id is not null")
+    # only documents of such buckets are ever compared, so the texts are shuffled once, not for every comparison
+    texts = written(docs.join(slots.select("doc_id").distinct(), "doc_id", "left_semi"), "bag")
     # first each document against the smallest centre of all its buckets, one pair a document
     spokes = slots.where("doc_id <> u").groupBy(F.col("doc_id").alias("v")).agg(F.min("u").alias("u"))
     stars = written(compare(texts, spokes), "bag")
