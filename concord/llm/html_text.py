@@ -8,8 +8,10 @@ stand on at least PAGES distinct pages, and a block that such substrings cover t
 the rest is text. Named boilerplate takes part in the arrays too, so that open copies of it are found. Article blocks
 are kept however often they are repeated, since articles are copied as well.
 
-Streams of large hosts are dealt into shards of at most about SHARD tokens by page, each wide enough to see what
-a host's pages have in common, so no task gets an unbounded group.
+Streams of large hosts are dealt into shards of at most about SHARD tokens by page, so no task gets an unbounded group.
+What repeats is still decided over the whole host: each shard gives the hashes of its windows with their pages (PAGES
+of them at most, which settles the test), Spark counts distinct pages of a host and hash, and the hashes on PAGES
+pages or more go back to the shards that hold them. A host's result doesn't depend on how its pages are dealt.
 
 Defined results: null or empty html gives ''; pages with equal streams count as one page in the arrays; repeated
 rows give repeated rows; a page whose page_id is null is treated like any other, but its open blocks are kept.
@@ -17,6 +19,7 @@ rows give repeated rows; a page whose page_id is null is treated like any other,
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import re
 from collections.abc import Iterator
@@ -146,8 +149,18 @@ def parsed(pages: DataFrame) -> DataFrame:
     return rows.mapInArrow(_parsed, "page_id long, url string, host string, blocks array<struct<text:string,role:tinyint>>")
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN, pages: int = PAGES) -> np.ndarray:
-    """For each place of a token stream: does a substring of ``run`` tokens that stands on ``pages`` distinct pages cover it?"""
+def _cover(hit: np.ndarray, n: int, run: int) -> np.ndarray:
+    """The places that substrings of ``run`` tokens from the starts ``hit`` cover."""
+    mark = np.zeros(n + run, np.int64)
+    mark[hit] += 1
+    mark[hit + run] -= 1
+    return np.cumsum(mark)[:n] > 0
+
+
+def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN, pages: int = PAGES, starts: np.ndarray | None = None) -> np.ndarray:
+    """For each place of a token stream: does a substring of ``run`` tokens that stands on ``pages`` distinct pages cover it?
+
+    ``starts``: the only places where substrings begin."""
     n, width = len(tokens), 1
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
     while width < run:
@@ -157,31 +170,68 @@ def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN, pages: int =
         rank = np.unique(rank * (n + 1) + ahead + 1, return_inverse=True)[1]
         width += step
     order = np.lexsort((page, rank))  # the suffixes, sorted by their first ``run`` tokens
+    starts = np.ones(n, bool) if starts is None else starts
+    order = order[starts[order]]
     r, p = rank[order], page[order]
-    new = np.r_[True, (r[1:] != r[:-1]) | (p[1:] != p[:-1])]
+    new = np.r_[np.ones(min(len(r), 1), bool), (r[1:] != r[:-1]) | (p[1:] != p[:-1])]
     often = np.bincount(r, new, minlength=int(rank.max()) + 1 if n else 0) >= pages
-    mark = np.zeros(n + run, np.int64)
-    hit = np.flatnonzero(often[rank])
-    mark[hit] += 1
-    mark[hit + run] -= 1
-    return np.cumsum(mark)[:n] > 0
+    return _cover(np.flatnonzero(often[rank] & starts), n, run)
 
 
-def _shard(df: pd.DataFrame) -> pd.DataFrame:
-    """One host shard's blocks -> its open blocks that are boilerplate."""
+def _stream(df: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks in order, their token stream, their sizes in it, the page key of each block, and where substrings begin:
+    at every RUN tokens within a block, and at a shorter block as a whole."""
     df = df.sort_values(["page_id", "block"], kind="stable")
     ends = np.full(RUN, 1, np.uint64).tobytes()  # the same end for every block, so that short blocks are substrings of RUN tokens
     stream = np.frombuffer(b"".join(t + ends for t in df["tokens"]), np.uint64)
     sizes = df["tokens"].map(len).to_numpy() // 8 + RUN
     alike = df.groupby("page_id")["tokens"].agg(b"".join)  # pages with equal streams count once
-    page = df["page_id"].map(dict(zip(alike.index, pd.factorize(alike)[0], strict=True))).to_numpy()
-    covered = repeated(stream, np.repeat(page, sizes))
+    keys = df["page_id"].map(alike.map(lambda t: int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True))).to_numpy(np.int64)
+    at = np.arange(len(stream)) - np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes)
+    starts = at <= np.repeat(np.maximum(sizes - 2 * RUN, 0), sizes)
+    return df, stream, sizes, keys, starts
+
+
+def _boilerplate(df: pd.DataFrame, sizes: np.ndarray, covered: np.ndarray) -> pd.DataFrame:
     first = np.r_[0, np.cumsum(sizes)[:-1]]
     share = [covered[a : a + k - RUN].mean() if k > RUN else 0.0 for a, k in zip(first, sizes, strict=True)]
     bad = df[(np.array(share) >= COVERED) & (df["role"] == OPEN).to_numpy()]
     return bad[["page_id", "block"]].astype("int64")
 
 
+def _whole(df: pd.DataFrame) -> pd.DataFrame:
+    """The blocks of a host that is one shard -> its open blocks that are boilerplate."""
+    df, stream, sizes, keys, starts = _stream(df)
+    return _boilerplate(df, sizes, repeated(stream, np.repeat(keys, sizes), starts=starts))
+
+
+def _hashes(stream: np.ndarray) -> np.ndarray:
+    """A hash of the RUN tokens from each place on."""
+    n, h = len(stream), np.zeros(len(stream), np.uint64)
+    ahead = np.r_[stream, np.zeros(RUN, np.uint64)]
+    for k in range(RUN):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + ahead[k : k + n]
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def _windows(df: pd.DataFrame) -> pd.DataFrame:
+    """One host shard's blocks -> host, shard, hash of a substring, key of a page that holds it; at most PAGES pages of a hash."""
+    host, shard = df["host"].iloc[0], df["shard"].iloc[0]
+    _, stream, sizes, keys, starts = _stream(df)
+    got = pd.DataFrame({"hash": _hashes(stream)[starts], "key": np.repeat(keys, sizes)[starts]}).drop_duplicates()
+    got = got[got.groupby("hash").cumcount() < PAGES]
+    return got.assign(host=host, shard=shard)[["host", "shard", "hash", "key"]]
+
+
+def _marked(df: pd.DataFrame, often: pd.DataFrame) -> pd.DataFrame:
+    """One host shard's blocks, the hashes that stand on PAGES pages of the host -> its open blocks that are boilerplate."""
+    if df.empty:
+        return pd.DataFrame({"page_id": [], "block": []}, dtype="int64")
+    df, stream, sizes, _, starts = _stream(df)
+    hit = np.flatnonzero(starts & np.isin(_hashes(stream), often["hash"].to_numpy(np.int64)))
+    return _boilerplate(df, sizes, _cover(hit, len(stream), RUN))
+
+
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -194,10 +244,16 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def boilerplate(pages: DataFrame) -> DataFrame:
     """Of parsed pages: page_id and drop (indices of open blocks that repeat across the host's pages)."""
-    rows = pages.where("page_id is not null").select("page_id", "host", "blocks").mapInArrow(_hashed, "page_id long, host string, block long, role tinyint, tokens binary")
-    sizes = rows.groupBy("host").agg(F.ceil(F.sum(F.length("tokens") / 8 + RUN) / SHARD).cast("int").alias("shards"))
-    dealt = rows.join(sizes, "host").withColumn("shard", F.pmod(F.xxhash64("page_id"), "shards"))
-    return dealt.groupBy("host", "shard").applyInPandas(lambda df: _shard(df), "page_id long, block long").groupBy("page_id").agg(F.collect_set("block").alias("drop"))
+    rows = written(pages.where("page_id is not null").select("page_id", "host", "blocks").mapInArrow(_hashed, "page_id long, host string, block long, role tinyint, tokens binary"), "tokens")
+    sizes = rows.groupBy("host").agg(F.ceil(F.sum(F.length("tokens") / 8 + RUN) / SHARD).cast("int").alias("shards"), F.max(F.col("role") == OPEN).alias("open"))
+    dealt = rows.join(sizes.where("open").drop("open"), "host").withColumn("shard", F.pmod(F.xxhash64("page_id"), "shards"))
+    out = "page_id long, block long"
+    one, more = dealt.where("shards = 1"), dealt.where("shards > 1")
+    windows = more.groupBy("host", "shard").applyInPandas(lambda df: _windows(df), "host string, shard long, hash long, key long")
+    often = windows.groupBy("host", "hash").agg(F.collect_set("key").alias("keys"), F.collect_set("shard").alias("shards")).where(F.size("keys") >= PAGES).select("host", F.explode("shards").alias("shard"), "hash")
+    marked = more.groupBy("host", "shard").cogroup(often.groupBy("host", "shard")).applyInPandas(lambda a, b: _marked(a, b), out)
+    whole = one.groupBy("host", "shard").applyInPandas(lambda df: _whole(df), out)
+    return whole.unionByName(marked).groupBy("page_id").agg(F.collect_set("block").alias("drop"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -160,6 +160,17 @@ def test_html_boilerplate_of_a_host(spark):
     assert len(got) == 8 and got[9] == got[10] == "" and got[11] == "kept" and all(got[i].startswith(f"own{i}x0") for i in range(5))
 
 
+def test_html_boilerplate_does_not_depend_on_shards(spark, monkeypatch):
+    bar, short = "Subscribe now to our weekly letter and never miss a story again", "Back to top"
+    own = lambda i: " ".join(f"own{i}x{k}" for k in range(12))
+    rows = [(i, "http://h.example/x", f"<p>{own(i)}</p>" + (f"<p>{bar}</p><p>{short}</p>" if i % 13 == 0 else "") + (f"<p>twice {own('t')}</p>" if i in (1, 20) else "")) for i in range(39)]
+    pages = spark.createDataFrame([*rows, (100, "http://h.example/x", rows[1][2]), (101, "http://g.example/x", f"<p>{bar}</p>")], "page_id long, url string, html string")
+    want = {i: own(i) + (f"\n\ntwice {own('t')}" if i in (1, 20) else "") for i in range(39)} | {100: f"{own(1)}\n\ntwice {own('t')}", 101: bar}
+    for shard in (1_000_000, 100):
+        monkeypatch.setattr(html_text, "SHARD", shard)
+        assert {r.page_id: r.text for r in html_text.main_text(pages).collect()} == want
+
+
 def test_url_filters(spark):
     entries = spark.createDataFrame([("a.example.com", 10, "block"), ("a.example.com", 90000, "pass"), ("example.com", 50000, "block"), (None, 1, "block"), ("a.example.com/x", 95000, "block"), ("a.example.com/x", 95000, "pass")], "pattern string, s long, action string").select("pattern", F.timestamp_seconds("s").alias("since"), "action")
     caps = spark.createDataFrame([(1, "http://a.example.com/y", 5), (2, "http://A.example.com/y", 10), (3, "http://a.example.com/y", 89999), (4, "http://a.example.com/y", 90000), (5, "http://b.example.com", 40000), (6, "http://a.example.com/x/z", 99000), (7, None, 5), (8, "http://a.example.com/", None)], "id long, url string, s long").select("id", "url", F.timestamp_seconds("s").alias("at"))
