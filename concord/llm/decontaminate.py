@@ -3,10 +3,12 @@
 Canonical form: a text's tokens are its runs of letters and its numbers. Numbers become one placeholder, unit words
 after a number another, capitalised words inside a sentence a third; the rest is lower-cased. Windows of WINDOW tokens of every
 document are hash-joined with those of the benchmark items (an item with fewer tokens is one window of that length).
-A window counts only if three of its tokens, or all of a shorter one but one, are no placeholders. For each item and
-alignment in a document, the values behind the placeholders must map one to one (the item's "7" may be "12"
-throughout, but not "12" here and "15" there); inconsistent alignments don't count. A document is contaminated by an
-item when its consistent windows cover at least COVER of the item's windows.
+A window is joined by its placeholders only if most of its tokens are words (at most two placeholders of five tokens,
+one of three or four, none of one or two); every window that holds a placeholder is joined by its literal tokens as well,
+so "12 + 7 * 3" or "7 kg" is found where it stands as it is. For each item and alignment in a document, the values
+behind the placeholders must map one to one (the item's "7" may be "12" throughout, but not "12" here and "15" there);
+inconsistent alignments don't count. Windows that matched ones span together count too. A document is contaminated by
+an item when its consistent windows cover at least COVER of the item's windows, of which none is left out.
 
 Defined results: null or empty texts match nothing; repeated rows of a doc_id count as one document; rows without a
 doc_id are taken together; items without a token are skipped; items with equal ids are one item.
@@ -39,22 +41,30 @@ def _template(text: Column) -> Column:
 
 
 def _windows(text: Column, sizes: list[int], exact: bool) -> Column:
-    """array<struct<h, at, slots>>; ``exact``: only windows of the text's own length where that is below WINDOW."""
+    """array<struct<h, at, slots, literal>>; ``exact``: only windows of the text's own length where that is below WINDOW.
+
+    A window without placeholders comes once, one with few twice (by placeholders and literally), one with many literally."""
+    kind = "array<struct<h:bigint,at:int,slots:array<string>,literal:boolean>>"
 
     def build(tokens: Column, values: Column, any_slot: Column) -> Column:
+        literal = F.zip_with(tokens, values, lambda t, v: F.when(v != "", v).otherwise(t))
 
         def of(size: int) -> Column:
             n = F.size(tokens)
             fits = (n == size) if exact and size < WINDOW else (n >= size)
-            window = F.transform(
-                F.sequence(F.lit(1), n - (size - 1)),
-                lambda i: F.struct(
-                    F.xxhash64(F.lit(size), F.slice(tokens, i, size)).alias("h"),
-                    i.alias("at"),
-                    F.when(any_slot, F.filter(F.slice(values, i, size), lambda v: v != "")).alias("slots"),
-                ),
-            )
-            return F.when(fits, window).otherwise(F.array().cast("array<struct<h:bigint,at:int,slots:array<string>>>"))
+            starts = F.sequence(F.lit(1), n - (size - 1))
+
+            def row(of_tokens: Column, at: Column, slots: Column, is_literal: bool) -> Column:
+                return F.struct(F.xxhash64(F.lit(size), F.slice(of_tokens, at, size)).alias("h"), at.alias("at"), slots.alias("slots"), F.lit(is_literal).alias("literal"))
+
+            def slotted(w: Column) -> Column:
+                few = F.transform(F.filter(w, lambda x: F.size(x["slots"]) <= (size - 1) // 2), lambda x: row(tokens, x["at"], x["slots"], False))
+                some = let(literal, lambda words: F.transform(F.filter(w, lambda x: F.size(x["slots"]) > 0), lambda x: row(words, x["at"], x["slots"], True)))
+                return F.concat(few.cast(kind), some.cast(kind))
+
+            plain = F.transform(starts, lambda i: row(tokens, i, F.lit(None).cast("array<string>"), False)).cast(kind)
+            with_slots = let(F.transform(starts, lambda i: F.struct(i.alias("at"), F.filter(F.slice(values, i, size), lambda v: v != "").alias("slots"))), slotted)
+            return F.when(fits, F.when(any_slot, with_slots).otherwise(plain)).otherwise(F.array().cast(kind))
 
         return F.concat(*(of(s) for s in sizes))
 
@@ -71,11 +81,15 @@ def _windows(text: Column, sizes: list[int], exact: bool) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, n_windows, h, at, slots."""
+    """item_id, n_windows, h, at, slots, literal."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").dropDuplicates(["item_id"])
     rows = items.select("item_id", F.explode(_windows(F.col("text"), list(range(1, WINDOW + 1)), True)).alias("w")).select("item_id", "w.*")
-    rows = rows.where(F.when(F.col("slots").isNull(), 0).otherwise(F.size("slots")) <= 2)
-    return rows.join(rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows")), "item_id")
+    return rows.join(rows.groupBy("item_id").agg(F.count_distinct("at").alias("n_windows")), "item_id")
+
+
+def _spanned(at: Column) -> Column:
+    """Sorted positions of matched windows and of those whose tokens all lie in matched ones."""
+    return let(F.array_sort(at), lambda a: F.flatten(F.transform(a, lambda p, k: let(F.coalesce(F.get(a, k + 1), p), lambda q: F.when((q > p) & (q <= p + WINDOW), F.sequence(p, q - 1)).otherwise(F.array(p))))))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
@@ -87,12 +101,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> Data
     seen = text.select("doc_id", F.explode(_windows(F.col("text"), sizes, False)).alias("w")).select("doc_id", F.col("w.h").alias("h"), F.col("w.at").alias("doc_at"), F.col("w.slots").alias("doc_slots"))
     side = items.withColumnRenamed("slots", "item_slots")
     hits = seen.join(F.broadcast(side) if salted_rows_bound(side, BROADCAST_ROWS) else side, "h")
-    hits = hits.select("doc_id", "item_id", (F.col("doc_at") - F.col("at")).alias("shift"), "at", "n_windows", F.arrays_zip(F.coalesce("item_slots", F.array().cast("array<string>")).alias("i"), F.coalesce("doc_slots", F.array().cast("array<string>")).alias("d")).alias("pairs"))
+    # what matches literally maps each of the item's values to itself, whatever the document's context makes of the word
+    none = F.array().cast("array<string>")
+    at_item = F.coalesce("item_slots", none)
+    at_doc = F.when(F.col("literal"), at_item).when(F.size(at_item) == 0, none).otherwise(F.coalesce("doc_slots", none))
+    hits = hits.select("doc_id", "item_id", (F.col("doc_at") - F.col("at")).alias("shift"), "at", "n_windows", F.arrays_zip(at_item.alias("i"), at_doc.alias("d")).alias("pairs"))
     # at most one row per window of the item and alignment; a set of pairs is bounded by the item's slots
     lines = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("at").alias("at"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     one = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
     two = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"])))
-    good = lines.where(one & two).select("doc_id", "item_id", "n_windows", F.explode("at").alias("at"), F.exists("pairs", lambda p: p["i"] != p["d"]).alias("differs"))
+    good = lines.where(one & two).select("doc_id", "item_id", "n_windows", F.explode(_spanned(F.col("at"))).alias("at"), F.exists("pairs", lambda p: p["i"] != p["d"]).alias("differs"))
     found = good.groupBy("doc_id", "item_id", "at").agg(F.max("n_windows").alias("n_windows"), F.min("differs").alias("differs")).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("matched"), F.max("n_windows").alias("n_windows"), F.max("differs").alias("reparameterised"))
     share = F.col("matched") / F.col("n_windows")
     return found.where(share >= cover).select("doc_id", "item_id", "matched", "n_windows", F.round(share, 6).alias("coverage"), "reparameterised")

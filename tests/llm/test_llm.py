@@ -114,6 +114,22 @@ def test_decontamination(spark):
     assert decontaminate.matches(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_items_full_of_placeholders(spark):
+    items = spark.createDataFrame([(1, "What is 48 + 27 * 6?"), (2, "12 + 7 * 3 - 4 = 29"), (3, "42"), (4, "7 kg"), (5, "Anna, Bob, Carl, Dana, Emil, Fred"), (6, "page 7"), (7, "Anna gives Bob 7 apples")], "item_id long, text string")
+    docs = frame(spark, [
+        "they ask: What is 48 + 27 * 6? and so on", "What is 47 + 26 * 5?", "so 12 + 7 * 3 - 4 = 29 holds", "so 13 + 8 * 2 - 5 = 30 holds", "in 1999 it was 9 kg", "the answer is 42.", "it weighs 7 kg", "with Anna, Bob, Carl, Dana, Emil, Fred", "with Gina, Hugo, Ivan, Jane, Karl, Lena", "see page 12", "then Anna gives Bob 7 apples",
+    ])
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()) == [(0, 1), (2, 2), (5, 3), (6, 4), (7, 5), (10, 7)]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == [1, 3, 4, 8, 9]
+
+
+def test_decontamination_counts_windows_that_matched_ones_span(spark):
+    items = spark.createDataFrame([(1, "we add up 1 2 3 to get all of it")], "item_id long, text string")
+    docs = frame(spark, ["we add up 4 5 6 to get all of it", "they say we add up 4 5 here"])
+    got = [(r.doc_id, r.n_windows, r.coverage, r.reparameterised) for r in decontaminate.matches(docs, items).collect()]
+    assert got == [(0, 7, 1.0, True)]
+
+
 def test_licenses(spark):
     text = "Copyright (c) 2020 Someone\n" + licenses._MIT.upper().replace(",", " ,")
     docs = frame(spark, [text, "x\n  released under the mit licence!\ny", None, "", "Licensed under CC BY-NC 4.0.", "the MIT License is nice"])
