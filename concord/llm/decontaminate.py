@@ -8,7 +8,8 @@ one of three or four, none of one or two); every window that holds a placeholder
 so "12 + 7 * 3" or "7 kg" is found where it stands as it is. For each item and alignment in a document, the values
 behind the placeholders must map one to one (the item's "7" may be "12" throughout, but not "12" here and "15" there);
 inconsistent alignments don't count. Windows that matched ones span together count too. A document is contaminated by
-an item when its consistent windows cover at least COVER of the item's windows, of which none is left out.
+an item when its consistent windows cover at least COVER of the item's windows, of which none is left out, or when an
+alignment has QUOTE tokens of the item in one run, however long the item is.
 
 Defined results: null or empty texts match nothing; repeated rows of a doc_id count as one document; rows without a
 doc_id are taken together; items without a token are skipped; items with equal ids are one item.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from concord.llm.common import let, salted_rows_bound, table, written
 
-WINDOW, COVER = 5, 0.5
+WINDOW, COVER, QUOTE = 5, 0.5, 13
 BROADCAST_ROWS = 500_000  # windows of the benchmark; beyond it the join shuffles both sides
 #: Unit words that count as units after a number.
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|mile|miles|ft|feet|inch|inches|meter|meters|metre|metres|kilometers|kilometres|grams|kilograms|pounds|l|ml|liter|liters|litre|litres|s|sec|seconds|min|minutes|h|hours|hour|days|day|weeks|months|years|year|usd|eur|gbp|dollars|euros|cents|percent|mph|kmh|hz|w|kw|v|a|k"
@@ -92,6 +93,12 @@ def _spanned(at: Column) -> Column:
     return let(F.array_sort(at), lambda a: F.flatten(F.transform(a, lambda p, k: let(F.coalesce(F.get(a, k + 1), p), lambda q: F.when((q > p) & (q <= p + WINDOW), F.sequence(p, q - 1)).otherwise(F.array(p))))))
 
 
+def _quoted(at: Column) -> Column:
+    """Do the sorted positions of matched windows hold a run of QUOTE tokens?"""
+    more = QUOTE - WINDOW
+    return F.exists(F.transform(at, lambda p, k: F.coalesce(F.get(at, k + more) == p + more, F.lit(False))), lambda x: x)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """doc_id, item_id, matched (windows), n_windows, coverage, reparameterised (some slot differs)."""
     items = written(item_windows(benchmark), "items")
@@ -110,10 +117,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> Data
     lines = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("at").alias("at"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     one = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
     two = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"])))
-    good = lines.where(one & two).select("doc_id", "item_id", "n_windows", F.explode(_spanned(F.col("at"))).alias("at"), F.exists("pairs", lambda p: p["i"] != p["d"]).alias("differs"))
-    found = good.groupBy("doc_id", "item_id", "at").agg(F.max("n_windows").alias("n_windows"), F.min("differs").alias("differs")).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("matched"), F.max("n_windows").alias("n_windows"), F.max("differs").alias("reparameterised"))
+    good = lines.where(one & two).select("doc_id", "item_id", "n_windows", _spanned(F.col("at")).alias("ats"), F.exists("pairs", lambda p: p["i"] != p["d"]).alias("differs"))
+    good = good.select("doc_id", "item_id", "n_windows", F.explode("ats").alias("at"), "differs", _quoted(F.col("ats")).alias("quoted"))
+    found = good.groupBy("doc_id", "item_id", "at").agg(F.max("n_windows").alias("n_windows"), F.min("differs").alias("differs"), F.max("quoted").alias("quoted")).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("matched"), F.max("n_windows").alias("n_windows"), F.max("differs").alias("reparameterised"), F.max("quoted").alias("quoted"))
     share = F.col("matched") / F.col("n_windows")
-    return found.where(share >= cover).select("doc_id", "item_id", "matched", "n_windows", F.round(share, 6).alias("coverage"), "reparameterised")
+    return found.where((share >= cover) | F.col("quoted")).select("doc_id", "item_id", "matched", "n_windows", F.round(share, 6).alias("coverage"), "reparameterised")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:

@@ -130,6 +130,14 @@ def test_decontamination_counts_windows_that_matched_ones_span(spark):
     assert got == [(0, 7, 1.0, True)]
 
 
+def test_decontamination_of_partial_quotes(spark):
+    words = [f"{a}{b}" for a in "bcdfghklmn" for b in ("ab", "eb", "ib", "ob", "ub", "ac", "ec", "ic", "oc", "uc")] * 2
+    words = [w + "xyzuvw"[k // 20 % 6] + "s" * (k // 100) for k, w in enumerate(words)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    docs = frame(spark, [" ".join(["so", *words[40:130], "end"]), " ".join(["so", *words[60:73], "end"]), " ".join(["so", *words[60:72], "end", *words[90:102]])])
+    assert [r.doc_id for r in decontaminate.matches(docs, items).orderBy("doc_id").collect()] == [0, 1]
+
+
 def test_licenses(spark):
     text = "Copyright (c) 2020 Someone\n" + licenses._MIT.upper().replace(",", " ,")
     docs = frame(spark, [text, "x\n  released under the mit licence!\ny", None, "", "Licensed under CC BY-NC 4.0.", "the MIT License is nice"])
