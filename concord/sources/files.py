@@ -20,8 +20,10 @@ BEGIN, END = "_table_begin", "_table_end"
 
 
 def contents(spark: SparkSession, glob: str, limit: int = MAX_FILE) -> DataFrame:
-    """path, content of files of at most ``limit`` bytes (a file is one cell)."""
-    return spark.read.format("binaryFile").load(glob).where(F.col("length") <= limit).select("path", "content")
+    """path, content of files (a file is one cell); one of more than ``limit`` bytes is an error, its content isn't read."""
+    files = spark.read.format("binaryFile").load(glob)
+    large = files.where(F.col("length") > limit).select("path", F.raise_error(F.concat(F.lit(f"more than {limit} bytes: "), "path")).cast("binary").alias("content"))
+    return files.where(F.col("length") <= limit).select("path", "content").unionByName(large)
 
 
 def _plain(data: bytes) -> str:
@@ -115,19 +117,31 @@ def unpivot_matrix(df: DataFrame, ids: list[str], values: list[str], keep_nulls:
     return out if keep_nulls else out.where("value is not null")
 
 
+def _streamed_sha256(spark: SparkSession, path: str) -> str:
+    """Digest of a file in any store, streamed by the driver's JVM: SHA-256 goes through a file in order, so it isn't split."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    data = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(data)
+    finally:
+        data.close()
+
+
 def source_manifest(spark: SparkSession, glob: str, limit: int = MAX_FILE) -> DataFrame:
-    """path, kind, sha256, size_bytes of each file; files over ``limit`` bytes have no digest, their content isn't read."""
+    """path, kind, sha256, size_bytes of each file; files over ``limit`` bytes are not read as cells but streamed."""
     files = spark.read.format("binaryFile").load(glob)
     small = files.where(F.col("length") <= limit).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
-    large = files.where(F.col("length") > limit).select("path", F.col("length").alias("size_bytes"), F.lit(None).cast("string").alias("sha256"))
+    found = files.where(F.col("length") > limit).select("path", "length").collect()  # a row for each large file
+    large = spark.createDataFrame([(r["path"], r["length"], _streamed_sha256(spark, r["path"])) for r in found], "path string, size_bytes long, sha256 string")
     return small.unionByName(large).withColumn("kind", F.regexp_extract("path", r"\.([^./]+)$", 1))
 
 
 def manifest_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """path, change ('added', 'removed', 'changed') of files that differ."""
-    j = before.select("path", F.col("sha256").alias("a"), F.lit(1).alias("in_a")).join(after.select("path", F.col("sha256").alias("b"), F.lit(1).alias("in_b")), "path", "full_outer")
-    change = F.when(F.col("in_a").isNull(), "added").when(F.col("in_b").isNull(), "removed").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
-    return j.select("path", change.alias("change")).where("change is not null")
+    """path, change ('added', 'removed', 'changed') of files that differ; 'unknown' where sizes are equal or missing and a digest is missing."""
+    a, b = (m.select("path", F.col("sha256").alias(n), F.col("size_bytes").alias(f"size_{n}"), F.lit(1).alias(f"in_{n}")) for m, n in ((before, "a"), (after, "b")))
+    change = F.when(F.col("in_a").isNull(), "added").when(F.col("in_b").isNull(), "removed").when((F.col("a") != F.col("b")) | (F.col("size_a") != F.col("size_b")), "changed").when(F.col("a").isNull() | F.col("b").isNull(), "unknown")
+    return a.join(b, "path", "full_outer").select("path", change.alias("change")).where("change is not null")
 
 
 def read_reference_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Quirks of the operators on hand-written rows."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from concord.functions.patterns import java_pattern, parse_quantity
 from concord.operators import checks, cohort, constraints, grading, identity, rules, scaling
+from concord.plans.catalog import QUERIES
 from concord.sources import files
 
 
@@ -106,3 +109,26 @@ def test_bundle_skips_foreign_members_and_reports_odd_keys(spark):
     df = spark.createDataFrame([("b.tar", bytearray(data.getvalue()))], "path string, content binary")
     kept, skipped, odd = files.read_bundle(df, spark.createDataFrame([("S1",), ("S2",), ("S3",)], "sample_id string"))
     assert kept.count() == 5 and [r.member for r in skipped.collect()] == ["S4_x.txt"] and [r.member for r in odd.collect()] == ["S3_x.txt"]
+
+
+def test_manifest_of_large_files(spark, tmp_path):
+    for name, data in (("a.bin", b"x" * 50), ("b.bin", b"y" * 50), ("c.bin", b"z")):
+        (tmp_path / name).write_bytes(data)
+    before = files.source_manifest(spark, f"{tmp_path}/*.bin", 10)
+    got = {r.path.rsplit("/", 1)[1]: (r.sha256, r.size_bytes, r.kind) for r in before.collect()}
+    assert got == {n: (hashlib.sha256((tmp_path / n).read_bytes()).hexdigest(), (tmp_path / n).stat().st_size, "bin") for n in ("a.bin", "b.bin", "c.bin")}
+    kept = spark.createDataFrame(before.collect(), before.schema)
+    (tmp_path / "b.bin").write_bytes(b"Y" * 50)
+    after = files.source_manifest(spark, f"{tmp_path}/*.bin", 10)
+    assert [(r.path.rsplit("/", 1)[1], r.change) for r in files.manifest_diff(kept, after).collect()] == [("b.bin", "changed")]
+    blind = kept.withColumn("sha256", F.lit(None).cast("string"))
+    assert {r.change for r in files.manifest_diff(kept, blind).collect()} == {"unknown"}
+    assert {r.change for r in files.manifest_diff(blind, blind.withColumn("size_bytes", F.col("size_bytes") + 1)).collect()} == {"changed"}
+    with pytest.raises(Exception, match="more than 10 bytes"):
+        files.contents(spark, f"{tmp_path}/*.bin", 10).collect()
+    assert files.contents(spark, f"{tmp_path}/*.bin", 50).count() == 3
+
+
+def test_manifest_has_every_table(spark):
+    got = {r.path for r in QUERIES["A06_source_manifest"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {f"{t}.parquet" for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()}
