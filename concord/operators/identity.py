@@ -22,10 +22,42 @@ def resolve_alias(df: DataFrame, col: str, aliases: DataFrame, scope: str | None
     return joined.where("id is not null"), joined.where(F.col("id").isNull() & F.col(col).isNotNull()).select(*([scope] if scope else []), col).distinct()
 
 
-def alias_seen(aliases: DataFrame, texts: DataFrame, text: str = "text") -> DataFrame:
-    """Aliases that occur as a word in none of the texts: texts are cut into words, which meet the aliases by hash."""
-    words = texts.select(F.explode(F.split(F.lower(text), r"[^\p{L}\p{N}]+")).alias("w")).distinct()
-    return aliases.join(words, F.lower(aliases["alias"]) == F.col("w"), "left_anti")
+def alias_seen(aliases: DataFrame, texts: DataFrame, text: str = "text", study: str | None = None) -> DataFrame:
+    """Aliases that occur in none of the texts (of their own ``study``, a column of both sides), regardless of case.
+
+    A text is cut into words and what stands between them. An alias from its first to its last word is a run of such
+    parts and meets the runs of the same length by hash; its ends must agree with what stands around the run. A word is
+    never matched in part; an alias without a word is looked for as it is."""
+    word, gap = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
+    by = [study] if study else []
+
+    def parts(c: Column) -> Column:
+        return F.regexp_extract_all(c, F.lit(f"{word}|{gap}"), F.lit(0))
+
+    a = F.lower("alias")
+    known = aliases.select(*by, "alias", F.regexp_replace(a, rf"\A{gap}|{gap}\z", "").alias("core"), F.regexp_extract(a, rf"\A{gap}", 0).alias("head"), F.regexp_extract(a, rf"{gap}\z", 0).alias("tail")).where("alias is not null").distinct().withColumn("n", F.size(parts(F.col("core"))))
+    sizes = sorted(r["n"] for r in known.select("n").distinct().collect())  # numbers of parts in an alias
+    ends = known.where("core <> '' and (head <> '' or tail <> '')").limit(1).count() > 0
+    low = texts.select(*by, F.lower(text).alias("low"))
+
+    def runs(c: Column) -> Column:
+        def of(n: int) -> Column:
+            at = F.when(F.size(c) >= n, F.filter(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda i: F.get(c, i - 1).rlike(rf"\A{word}")))
+            around = lambda i: (F.get(c, i - 2), F.get(c, i + (n - 1))) if ends else (F.lit(""), F.lit(""))
+            return F.coalesce(F.transform(at, lambda i: F.struct(F.array_join(F.slice(c, i, n), "").alias("run"), F.coalesce(around(i)[0], F.lit("")).alias("before"), F.coalesce(around(i)[1], F.lit("")).alias("after"))), F.array().cast("array<struct<run:string,before:string,after:string>>"))
+
+        return F.concat(*(of(n) for n in sizes if n > 0))
+
+    seen = known.select(*by, "alias").limit(0)
+    if any(n > 0 for n in sizes):
+        cut = low.select(*by, parts(F.col("low")).alias("c")).select(*by, F.explode(runs(F.col("c"))).alias("r")).select(*by, "r.*").distinct()
+        hit = known.where("core <> ''").join(cut.withColumnRenamed("run", "core"), [*by, "core"]).where(F.col("before").endswith(F.col("head")) & F.col("after").startswith(F.col("tail")))
+        seen = seen.unionByName(hit.select(*by, "alias"))
+    if 0 in sizes:
+        k, x = known.where("core = ''").alias("k"), low.alias("x")
+        same = reduce(Column.__and__, [F.col(f"k.{c}") == F.col(f"x.{c}") for c in by], F.contains("x.low", F.lower("k.alias")))
+        seen = seen.unionByName(k.join(x, same, "left_semi").select(*by, "alias"))
+    return aliases.join(seen.distinct(), [*by, "alias"], "left_anti").select(*aliases.columns)
 
 
 def build_lookup(ref: DataFrame, key: str, entity: str, order: str, multi: bool = False, strip_version: bool = False, where: Column | None = None) -> DataFrame:

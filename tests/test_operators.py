@@ -132,3 +132,12 @@ def test_manifest_of_large_files(spark, tmp_path):
 def test_manifest_has_every_table(spark):
     got = {r.path for r in QUERIES["A06_source_manifest"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {f"{t}.parquet" for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()}
+
+
+def test_alias_seen_as_a_whole_and_in_its_study(spark):
+    texts = spark.createDataFrame([("S1", "with 4-OH tamoxifen, MCF7+E2 and OH-Tam."), ("S2", "tamoxifen 4 OH; the E2 dose (ICI 182,780)"), ("S3", None), ("S3", "")], "study string, text string")
+    rows = [("S1", "4-OH tamoxifen"), ("S1", "OH-Tam"), ("S2", "OH-Tam"), ("S1", "+E2"), ("S2", "+E2"), ("S2", "ICI 182,780"), ("S2", "(ICI 182,780)"), ("S2", "4-OH"), ("S2", "ICI 182"), ("S1", "amoxifen"), ("S1", "e2"), ("S3", "e2"), ("S1", "+"), ("S2", "+")]
+    aliases = spark.createDataFrame(rows, "study string, alias string")
+    got = {(r.study, r.alias) for r in identity.alias_seen(aliases, texts, study="study").collect()}
+    assert got == {("S2", "OH-Tam"), ("S2", "+E2"), ("S2", "4-OH"), ("S1", "amoxifen"), ("S3", "e2"), ("S2", "+")}
+    assert {r.alias for r in identity.alias_seen(aliases.select("alias"), texts).collect()} == {"amoxifen"}
