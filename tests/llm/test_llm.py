@@ -184,6 +184,45 @@ def test_html_boilerplate_of_a_host(spark):
     assert len(got) == 8 and got[9] == got[10] == "" and got[11] == "kept" and all(got[i].startswith(f"own{i}x0") for i in range(5))
 
 
+def test_html_maximal_repeats_against_brute_force():
+    """Places in a substring of RUN tokens or more, of any length, that stands on three pages."""
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        tokens, page = rng.integers(0, 2, 80).astype(np.uint64), np.repeat(np.arange(8), 10)
+        ends = np.arange(80) % 10  # substrings stay within a page
+        want = np.zeros(80, bool)
+        for i in range(80):
+            for n in range(4, 11 - ends[i]):
+                if len({page[j] for j in range(80) if ends[j] + n <= 10 and (tokens[j : j + n] == tokens[i : i + n]).all()}) >= 3:
+                    want[i : i + n] = True
+        assert (html_text.repeated(tokens, page, 4, 3, starts=ends <= 6) == want).all()
+
+
+def test_html_arrays_decide_without_telling_markup(spark, monkeypatch):
+    menu, foot = "Home News Sport Weather Travel Culture Contact", "All rights reserved by the owners of this site"
+    own = lambda i, k: " ".join(f"own{i}x{k}y{j}" for j in range(12))
+    rows = [(i, "http://h.example/x", f"<div><p>{menu}</p></div><div><p>{own(i, 0)}</p><p>{own(i, 1)}</p></div><div>{foot}</div>") for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_text.main_text(pages).collect()}
+    assert {i: r.text for i, r in got.items()} == {i: f"{own(i, 0)}\n\n{own(i, 1)}" for i in range(6)}
+    assert all((r.repeated, r.template, r.by_markup) == (2, 0, 0) for r in got.values())
+    monkeypatch.setattr(html_text, "repeated_blocks", lambda tokens: tokens.select("uid", "block").limit(0))
+    assert all(menu in r.text and foot in r.text for r in html_text.main_text(pages).collect())
+
+
+def test_html_inside_articles(spark):
+    bar, passage = "Read our other stories too", "a passage that a few of the articles share with one another"
+    rows = [(i, "http://h.example/x", f"<article><h1>t{i}</h1>{f'<p>{passage}</p>' if i < 4 else ''}<section id='related-work'>w{i}</section><div class='related-posts'>r{i}</div><p>{bar}</p></article>") for i in range(12)]
+    rows += [(50 + i, "http://g.example/x", "<article><p>the same article on all pages</p></article>") for i in range(12)]
+    rows += [(90, "http://h.example/x", rows[0][2]), (90, "http://h.example/y", "<article>another row of that id</article>"), (None, "http://h.example/z", "<article>no id</article>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((-1 if r.page_id is None else r.page_id, r.text) for r in html_text.main_text(pages.unionByName(pages.limit(1))).collect())
+    one = lambda i: f"t{i}\n\n" + (f"{passage}\n\n" if i < 4 else "") + f"w{i}"
+    want = [(i, one(i)) for i in range(12)] + [(0, one(0)), (90, one(0)), (90, "another row of that id"), (-1, "no id")] + [(50 + i, "the same article on all pages") for i in range(12)]
+    assert got == sorted(want)
+    assert html_text.main_text(pages.limit(0)).count() == 0
+
+
 def test_html_boilerplate_does_not_depend_on_shards(spark, monkeypatch):
     bar, short = "Subscribe now to our weekly letter and never miss a story again", "Back to top"
     own = lambda i: " ".join(f"own{i}x{k}" for k in range(12))
