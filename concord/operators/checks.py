@@ -2,44 +2,75 @@
 
 from __future__ import annotations
 
+import calendar
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.functions.patterns import MOLAR, parse_quantity
 from concord.operators.cohort import same
+from concord.operators.identity import bounded
 
 NAMED = r"(?=.{0,40}?\b(?:%s)\b)"
 
 
 def as_issues(df: DataFrame, check: str, study: Column, record: Column, observed: Column, expected: Column, resolution: str = "flagged", inventory: DataFrame | None = None) -> DataFrame:
-    """check, study_id, record_id, observed and expected (500 characters at most), resolution, impact ('minor' unless
-    the inventory of (check, impact) says otherwise)."""
-    out = df.select(F.lit(check).alias("check"), study.cast("string").alias("study_id"), record.cast("string").alias("record_id"), F.substring(observed.cast("string"), 1, 500).alias("observed"), F.substring(expected.cast("string"), 1, 500).alias("expected"), F.lit(resolution).alias("resolution"))
+    """check, study_id, record_id, observed and expected (500 characters at most), resolution, impact and inventory_id
+    ('minor' and null unless the inventory of (check, impact, id) says otherwise)."""
+    text = {"study_id": study, "record_id": record, "observed": F.substring(observed.cast("string"), 1, 500), "expected": F.substring(expected.cast("string"), 1, 500)}
+    out = df.select(F.lit(check).alias("check"), *(c.cast("string").alias(n) for n, c in text.items()), F.lit(resolution).alias("resolution"))
     if inventory is None:
-        return out.withColumn("impact", F.lit("minor"))
-    return out.join(inventory.select("check", F.col("impact").alias("_i")), "check", "left").withColumn("impact", F.coalesce("_i", F.lit("minor"))).drop("_i")
+        return out.withColumn("impact", F.lit("minor")).withColumn("inventory_id", F.lit(None).cast("string"))
+    known = inventory.where(F.col("check") == check).groupBy("check").agg(F.min("impact").alias("_i"), F.min("id").alias("inventory_id"))
+    out = out.join(F.broadcast(known), "check", "left")  # known: one row
+    return out.withColumn("impact", F.coalesce("_i", F.lit("minor"))).select(*(c for c in out.columns if c not in ("_i", "inventory_id")), "impact", "inventory_id")
 
 
 def dose_above_limit(df: DataFrame, by: list[str], text: str, limit: float, names: list[str]) -> DataFrame:
-    """First quantity above the limit (in nM) that one of the names follows within 40 characters, for each text."""
+    """Every quantity above the limit (in nM) that one of the names follows within 40 characters, once for each text field
+    (``by``), number and unit, with what follows it."""
     found = F.filter(parse_quantity(F.col(text), MOLAR, NAMED % "|".join(names)), lambda q: q["value"] > limit)
-    hit = df.select(*by, text, F.try_element_at(found, F.lit(1)).alias("q")).where("q is not null")
-    return hit.select(*by, text, "q.amount", "q.unit", "q.value").dropDuplicates([*by, text])
+    hit = df.select(*by, F.explode(F.array_distinct(found)).alias("q"))
+    return hit.select(*by, "q.amount", "q.unit", "q.value").dropDuplicates([*by, "amount", "unit"])
+
+
+def stored_above_limit(treatments: DataFrame, keys: list[str], dose: str, limit: float) -> DataFrame:
+    """Stored doses above the limit."""
+    return treatments.where(F.col(dose) > limit).select(*keys, dose)
 
 
-def fields_contradict(views: DataFrame, record: str, field: str, value: str) -> DataFrame:
-    """Records whose fields give different values: the views, and the odd one out where more than two views agree but one."""
-    v = views.groupBy(record, field).agg(F.array_sort(F.collect_set(value)).alias("set"))
-    g = v.groupBy(record).agg(F.array_sort(F.collect_list(F.struct("set", field))).alias("views"))
+def fields_contradict(views: DataFrame, study: str, record: str, field: str, value: str, view: str | None = None) -> DataFrame:
+    """Records that their own fields describe differently.
+
+    views: study, record, field, value (a row for each value that a field names; null for none) and optionally the view
+    that a field belongs to (fields of one view are taken together). Only fields that vary between the records of a study
+    are compared, a field that a record lacks names nothing, and a study with fewer than two such fields is left out.
+    Returns n_views, n_sets and odd_ones: where there are more than two views, those whose set no other view has.
+    """
+    sets = views.groupBy(study, record, field).agg(F.array_sort(F.collect_set(value)).alias("set"))
+    size = views.groupBy(study).agg(F.count_distinct(record).alias("_records"))
+    spread = sets.groupBy(study, field).agg(F.count_distinct("set").alias("_sets"), F.count(F.lit(1)).alias("_n"), F.max(F.size("set")).alias("_most"))
+    varies = (F.col("_sets") > 1) | (F.col("_n") < F.col("_records")) & (F.col("_most") > 0)
+    used = spread.join(size, study).where(varies).select(study, field)
+    used = used.withColumn("_used", F.count(F.lit(1)).over(Window.partitionBy(study))).where("_used > 1").drop("_used")
+    view_of = views.select(field, F.col(view).alias("_view")).distinct() if view else used.select(field, F.col(field).alias("_view")).distinct()
+    grid = views.select(study, record).distinct().join(bounded(used.join(view_of, field)), study)
+    none = F.array().cast("array<string>")
+    told = grid.join(sets, [study, record, field], "left").groupBy(study, record, "_view")
+    told = told.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(F.col("set").cast("array<string>"), none))))).alias("set"))
+    g = told.groupBy(study, record).agg(F.array_sort(F.collect_list(F.struct(F.col("_view").alias("view"), "set"))).alias("views"))
     g = g.withColumn("n_views", F.size("views")).withColumn("n_sets", F.size(F.array_distinct(F.transform("views", lambda x: x["set"])))).where("n_sets > 1")
     alone = F.filter("views", lambda x: F.size(F.filter("views", lambda y: y["set"] == x["set"])) == 1)
-    odd = F.when((F.col("n_views") > 2) & (F.col("n_sets") == 2) & (F.size(alone) == 1), alone[0][field])
-    return g.select(record, "n_views", odd.alias("odd_one"))
+    odd = F.when((F.col("n_views") > 2) & (F.size(alone) > 0), F.array_join(F.transform(alone, lambda x: x["view"]), ","))
+    return g.select(study, record, "n_views", "n_sets", odd.alias("odd_ones"))
 
 
-def duplicate_titles(df: DataFrame, record: str, title: Column, batch: str) -> DataFrame:
-    """Titles that several records share: within one batch a repeated label, across batches to be looked at."""
-    g = df.select(F.col(record), title.alias("core"), F.col(batch).alias("b")).groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("b").alias("n_batches"))
+def duplicate_titles(df: DataFrame, study: str, record: str, title: str, batch: str, code: str) -> DataFrame:
+    """Titles that several records of a study share once the lab's own code (a pattern) is cut off: within one batch a
+    repeated label, across batches to be looked at."""
+    core = F.trim(F.regexp_replace(title, code, "")).alias("core")
+    g = df.select(study, core, record, F.struct(batch).alias("_b")).groupBy(study, "core")
+    g = g.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_b").alias("n_batches"), F.min(record).alias("first_record"))
     return g.where("n > 1").withColumn("kind", F.when(F.col("n_batches") > 1, "across batches").otherwise("within batch"))
 
 
@@ -61,7 +92,13 @@ def value_scale_mismatch(values: DataFrame, by: str, value: str, notes: DataFram
 
 def date_like(name: Column) -> Column:
     """Names that a spreadsheet has turned into a day and month."""
-    return name.rlike(r"^\d{1,2}-(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)$")
+    return name.rlike(rf"^\d{{1,2}}-({'|'.join(calendar.month_abbr[1:])})$")
+
+
+def recovered_names(features: DataFrame, keys: list[str], name: str, mapping: DataFrame, symbol: str) -> DataFrame:
+    """Date-like names with the symbol that the mapping (keys, symbol) gives them back; null where it has none."""
+    hit = features.where(date_like(F.col(name))).select(*keys, name)
+    return hit.join(mapping.select(*keys, F.col(symbol).alias("recovered")), keys, "left")
 
 
 def duplicate_record_id(df: DataFrame, record: str, source: str) -> DataFrame:
@@ -90,8 +127,17 @@ def unknown_values(df: DataFrame, record: str, conditions: dict[str, Column]) ->
     return df.select(record, F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("problem"))
 
 
-def entity_rows_by_status(mapped: DataFrame, study: str) -> DataFrame:
-    return mapped.where("status <> 'mapped'").groupBy(study, "status").agg(F.count(F.lit(1)).alias("n"))
+def basis_flags(df: DataFrame, study: str, inferred: Column, assigned: Column, title: str, unexplained: str) -> DataFrame:
+    """study, problem, n: batches that were inferred, replicate numbers that were assigned, titles with a label (a
+    pattern) that nothing explains; in one scan, problems without a row left out."""
+    conditions = {"batch_inferred": inferred, "replicate_assigned": assigned, "unexplained_label": F.col(title).rlike(unexplained)}
+    return unknown_values(df, study, conditions).groupBy(study, "problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+def entity_rows_by_status(mapped: DataFrame, study: str, feature: str) -> DataFrame:
+    """Rows without an entity by study and status; rows whose annotation is corrupt one by one, with their feature."""
+    one = F.when(F.col("status") == "corrupt_annotation", F.col(feature)).alias(feature)
+    return mapped.where("status <> 'mapped'").groupBy(study, "status", one).agg(F.count(F.lit(1)).alias("n"))
 
 
 def compound_spellings(df: DataFrame, study: str, entity: str, alias: str) -> DataFrame:
@@ -126,12 +172,15 @@ def fewer_replicates(samples: DataFrame, study: str, conditions: list[str]) -> D
 def design_gap(df: DataFrame, study: str, a: str, b: str) -> DataFrame:
     """Pairs missing from the study's full grid; the grid is built within each study."""
     used = df.select(study, a, b).distinct()
-    grid = used.select(study, a).distinct().join(used.select(study, b).distinct(), study)
+    grid = used.select(study, a).distinct().join(bounded(used.select(study, b).distinct()), study)
     return grid.join(used, [study, a, b], "left_anti")
 
 
 def issue_summary(issues: DataFrame) -> DataFrame:
-    return issues.groupBy("check", "resolution").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("study_id")), ", ").alias("studies"))
+    def listed(c):
+        return F.array_join(F.array_sort(F.collect_set(c)), ", ")
+
+    return issues.groupBy("check", "resolution").agg(F.count(F.lit(1)).alias("n"), listed("study_id").alias("studies"), listed("inventory_id").alias("inventory"))
 
 
 def coverage(inventory: DataFrame, issues: DataFrame, tags: DataFrame, built_in: DataFrame) -> DataFrame:

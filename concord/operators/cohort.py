@@ -13,27 +13,53 @@ def same(a: str, b: str, keys: list[str]) -> Column:
     return reduce(Column.__and__, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])
 
 
-def matched_effect(meas: DataFrame, keys: list[str], entity: str = "entity", value: str = "value", treated: Column | None = None, control: Column | None = None) -> DataFrame:
-    """For every treated group and entity: mean, n, mean and n of the controls with the same keys (nulls equal), effect.
+CONTROLS = ("vehicle_control", "untreated_control")
+SIGNATURE = ["compounds", "exposure_h", "exposure_type"]
 
-    All entities at once: treated and control means are one aggregation over the same keys, so the fact is shuffled
-    once and no join is needed. Groups without a control have a null effect.
-    """
-    is_t = treated if treated is not None else F.col("role") == "treated"
-    is_c = control if control is not None else F.col("role") == "vehicle_control"
-    g = meas.groupBy(*keys, entity).agg(
-        F.avg(F.when(is_t, F.col(value))).alias("treated_mean"), F.count_if(is_t & F.col(value).isNotNull()).alias("n_treated"),
-        F.avg(F.when(is_c, F.col(value))).alias("control_mean"), F.count_if(is_c & F.col(value).isNotNull()).alias("n_control"), F.bool_or(is_t).alias("_any"),
-    )
-    return g.where("_any").drop("_any").withColumn("effect", F.col("treated_mean") - F.col("control_mean"))
 
+def signatures(treatments: DataFrame, solvents: list[str], sample: str = "sample_id") -> DataFrame:
+    """sample, compounds ("A+B"), exposure_h, exposure_type: what each sample received, solvents left out."""
+    real = treatments.where(~F.col("compound_id").isin(solvents))
+    names = F.array_join(F.array_sort(F.collect_list("compound_id")), "+").alias("compounds")
+    return real.groupBy(sample).agg(names, F.max("exposure_h").alias("exposure_h"), F.max("exposure_type").alias("exposure_type"))
 
-def effect_ids(samples: DataFrame, keys: list[str], sample: str = "sample_id", treated: Column | None = None, control: Column | None = None) -> DataFrame:
-    """The sorted sample ids behind every treated group and its control."""
+
+def _roles(treated: Column | None, control: Column | None) -> tuple[Column, Column]:
     is_t = treated if treated is not None else F.col("role") == "treated"
-    is_c = control if control is not None else F.col("role") == "vehicle_control"
-    g = samples.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(is_t, F.col(sample)))).alias("treated_ids"), F.array_sort(F.collect_list(F.when(is_c, F.col(sample)))).alias("control_ids"))
-    return g.where(F.size("treated_ids") > 0)
+    return is_t, control if control is not None else F.col("role").isin(*CONTROLS)
+
+
+def matched_effect(meas: DataFrame, samples: DataFrame, sig: DataFrame, keys: list[str], entity: str = "entity", value: str = "value",
+                   sample: str = "sample_id", treated: Column | None = None, control: Column | None = None) -> DataFrame:
+    """For every treated group (keys and signature) and entity: mean, n, mean and n of the controls with the same keys
+    (nulls equal), effect.
+
+    Treated samples count by what they received (``sig``, see ``signatures``; those without a signature are left out),
+    controls by the keys alone. The context is put together on the samples, so the fact (sample, entity, value) is joined
+    once; all entities are one aggregation, and control means reach the treated groups of their keys by a window over the
+    aggregated rows. Groups without a control have a null effect. Samples to leave out are left out of ``samples``.
+    """
+    is_t, is_c = _roles(treated, control)
+    told = samples.select("*", F.coalesce(is_t, F.lit(False)).alias("_t"), F.coalesce(is_c, F.lit(False)).alias("_c")).join(sig, sample, "left")
+    context = told.where(F.col("_t") & F.col("compounds").isNotNull() | ~F.col("_t") & F.col("_c"))
+    context = context.select(sample, *keys, "_t", *(F.when(F.col("_t"), F.col(c)).alias(c) for c in SIGNATURE))
+    rows = meas.select(sample, entity, value).join(context, sample)
+    g = rows.groupBy(*keys, *SIGNATURE, "_t", entity).agg(F.avg(value).alias("treated_mean"), F.count(value).alias("n_treated"))
+    w = Window.partitionBy(*keys, entity)
+    g = g.withColumn("control_mean", F.max(F.when(~F.col("_t"), F.col("treated_mean"))).over(w))
+    g = g.withColumn("n_control", F.coalesce(F.max(F.when(~F.col("_t"), F.col("n_treated"))).over(w), F.lit(0).cast("bigint")))
+    return g.where("_t").drop("_t").withColumn("effect", F.col("treated_mean") - F.col("control_mean"))
+
+
+def effect_ids(samples: DataFrame, sig: DataFrame, keys: list[str], sample: str = "sample_id", treated: Column | None = None, control: Column | None = None) -> DataFrame:
+    """The sorted sample ids behind every treated group (keys and signature) and its controls."""
+    is_t, is_c = _roles(treated, control)
+    ids = F.array_sort(F.collect_list(sample))
+    t = samples.where(is_t).join(sig, sample).groupBy(*keys, *SIGNATURE).agg(ids.alias("treated_ids")).alias("t")
+    c = samples.where(is_c).groupBy(*keys).agg(ids.alias("control_ids")).alias("c")
+    got = t.join(c, same("t", "c", keys), "left")
+    none = F.array().cast(samples.select(F.array(sample)).schema[0].dataType)
+    return got.select("t.*", F.coalesce("c.control_ids", none).alias("control_ids"))
 
 
 def effect_by_entity(effects: DataFrame, entity: str, comparison: str, names: list[str]) -> DataFrame:
@@ -51,11 +77,52 @@ def consistent_direction(effects: DataFrame, entity: str, by: str) -> DataFrame:
     return m.groupBy(entity).agg(F.bool_and(F.col("m") > 0).alias("all_up"), F.bool_and(F.col("m") < 0).alias("all_down"), F.count(F.lit(1)).alias("n_sources"))
 
 
-def up_in_every(effects: DataFrame, treatment: str, line: str, universe: DataFrame) -> DataFrame:
-    """Treatments whose effect is positive in every line of the universe; a line without a control disqualifies."""
+def up_in_every(effects: DataFrame, treatment: list[str], line: str, universe: DataFrame) -> DataFrame:
+    """Treatments (and entities) whose effect is positive in every line of the universe; a line without a control disqualifies."""
     n = universe.select(line).distinct().agg(F.count(F.lit(1)).alias("n_lines"))
-    m = effects.groupBy(treatment, line).agg(F.bool_and(F.coalesce(F.col("effect") > 0, F.lit(False))).alias("up"))
-    return m.groupBy(treatment).agg(F.count_if("up").alias("n_up")).crossJoin(F.broadcast(n)).where("n_up = n_lines").select(treatment)  # one row
+    m = effects.groupBy(*treatment, line).agg(F.bool_and(F.coalesce(F.col("effect") > 0, F.lit(False))).alias("up"))
+    up = m.groupBy(*treatment).agg(F.count_if("up").alias("n_up"))
+    return up.crossJoin(F.broadcast(n)).where("n_up = n_lines").select(*treatment)  # n: one row
+
+
+def eligible_sources(effects: DataFrame, by: list[str], kind: str = "acute", hours: float | None = None) -> DataFrame:
+    """Sources with a treated group of that kind of exposure, of stated (or the given) hours, and with a matched control."""
+    stated = F.col("exposure_h").isNotNull() if hours is None else F.col("exposure_h") == hours
+    return effects.where((F.col("exposure_type") == kind) & stated & (F.col("n_control") > 0)).select(*by).distinct()
+
+
+def count_by_source(samples: DataFrame, study: str, distinct: dict[str, str]) -> DataFrame:
+    """Per study and in total: n_samples, and the distinct values of columns (result name -> column)."""
+    counts = [F.count_distinct(c).alias(name) for name, c in distinct.items()]
+    g = samples.rollup(study).agg(F.count(F.lit(1)).alias("n_samples"), *counts, F.grouping(study).alias("_all"))
+    return g.withColumn(study, F.when(F.col("_all") == 1, "total").otherwise(F.col(study))).drop("_all")
+
+
+def count_by_line(samples: DataFrame, line: str) -> DataFrame:
+    return samples.groupBy(line).agg(F.count(F.lit(1)).alias("n"))
+
+
+def count_by_compound(treatments: DataFrame, compound: str = "compound_id", sample: str = "sample_id") -> DataFrame:
+    return treatments.groupBy(compound).agg(F.count_distinct(sample).alias("n"))
+
+
+def list_derived(lines: DataFrame, used: DataFrame, key: str, doubles: list) -> DataFrame:
+    """Lines that some row of ``used`` has, without those that are another line under a second name."""
+    kept = lines.where(~F.col(key).isin(doubles)) if doubles else lines
+    return kept.join(used.select(key), key, "left_semi")
+
+
+def partition_by_flag(samples: DataFrame, study: str, flag: Column) -> DataFrame:
+    """flagged (true where any of a study's rows is), studies (sorted, as text): the sources split in two."""
+    g = samples.groupBy(study).agg(F.bool_or(F.coalesce(flag, F.lit(False))).alias("flagged"))
+    return g.groupBy("flagged").agg(F.array_join(F.array_sort(F.collect_list(study)), ", ").alias("studies"), F.count(F.lit(1)).alias("n"))
+
+
+def issue_lookup(issues: DataFrame, check: str, by: list[str], record: str, resolution: str | None = None) -> DataFrame:
+    """What the issue table says of one check: per ``by`` the number of issues, of records, and the first record."""
+    i = issues.where(F.col("check_name") == check)
+    i = i.where(F.col("resolution") == resolution) if resolution else i
+    return i.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(record).alias("n_records"), F.min(record).alias("first_record"))
 
 
 def pooled_effect(effects: DataFrame, entity: str, by: str) -> DataFrame:
@@ -123,3 +190,45 @@ def sample_view(samples: DataFrame, treatments: DataFrame, issues: DataFrame) ->
 def expression_view(meas: DataFrame, samples: DataFrame, excluded: Column) -> DataFrame:
     """The fact with its samples' context; excluded samples are left out before the join."""
     return meas.join(samples.where(~F.coalesce(excluded, F.lit(False))), ["sample_id", "study_id"])
+
+
+def treated_listing(samples: DataFrame, treatments: DataFrame, compound: str, sample: str = "sample_id") -> DataFrame:
+    """Treated samples that got the compound, with dose and time."""
+    got = treatments.where(F.col("compound_id") == compound).select(sample, "dose", "exposure_h", "exposure_type")
+    return samples.where(F.col("role") == "treated").join(got, sample)
+
+
+def _listed(c: str) -> Column:
+    return F.array_join(F.array_sort(F.collect_set(c)), ", ")
+
+
+def study_dashboard(samples: DataFrame, study: str, line: str) -> DataFrame:
+    role = F.col("role")
+    return samples.groupBy(study).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(role == "treated").alias("n_treated"),
+        F.count_if(role.isin(*CONTROLS)).alias("n_control"), F.count_if(role == "parental").alias("n_parental"), _listed(line).alias("lines"),
+    )
+
+
+def line_dashboard(samples: DataFrame, line: str, study: str) -> DataFrame:
+    return samples.groupBy(line).agg(F.count_distinct(study).alias("n_studies"), F.count(F.lit(1)).alias("n"), _listed(study).alias("studies"))
+
+
+def treatment_dashboard(treatments: DataFrame, samples: DataFrame, study: str, sample: str = "sample_id") -> DataFrame:
+    """Per compound and time ("chronic", "not stated" or hours): samples, mean dose, and the studies that used it."""
+    time = F.when(F.col("exposure_type") == "chronic", "chronic").when(F.col("exposure_h").isNull(), "not stated").otherwise(F.col("exposure_h").cast("bigint").cast("string"))
+    rows = treatments.join(samples.select(sample, study), sample).withColumn("time", time)
+    return rows.groupBy("compound_id", "time").agg(F.count_distinct(sample).alias("n"), F.avg("dose").alias("mean_dose"), _listed(study).alias("studies"))
+
+
+def issue_dashboard(issues: DataFrame, study: str) -> DataFrame:
+    return issues.groupBy(study, "check_name", "resolution", "impact").agg(F.count(F.lit(1)).alias("n"))
+
+
+def totals(**tables: DataFrame) -> DataFrame:
+    """One row: the number of rows of each table, by name."""
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.count(F.lit(1)).alias(name))
+        out = one if out is None else out.crossJoin(one)  # one row each
+    return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SAMPLED = 100  # sampled rows for each range of a surrogate id
 
 def check_not_null(df: DataFrame, cols: list[str]) -> DataFrame:
     """column, n_null for each listed column, in one scan."""
@@ -47,12 +48,18 @@ def constraint_report(checks: dict[str, DataFrame]) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, exclude: list[str] = ()) -> DataFrame:
-    """Order-independent content hash in two levels: row digests are grouped by their first three hex digits, each group
-    is hashed in sorted order, and so are the groups' hashes. No task holds more than a 4096th of the digests."""
+    """Order-independent content hash in three levels: row digests are grouped by their first six hex digits, each group
+    is hashed in sorted order, the groups' hashes are hashed by their first three digits, and so are those. A group of
+    the first level has a 16-millionth of the rows (2 MB of digests at 10^12 rows), the others 4096 hashes at most."""
     cols = [c for c in sorted(df.columns) if c not in exclude]
     row = F.md5(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols)))
-    groups = df.select(row.alias("h")).groupBy(F.substring("h", 1, 3).alias("p")).agg(F.md5(F.array_join(F.array_sort(F.collect_list("h")), "")).alias("g"), F.count(F.lit(1)).alias("n"))
-    return groups.agg(F.md5(F.array_join(F.array_sort(F.collect_list("g")), "")).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))  # 4096 groups at most
+
+    def hashed(c: str) -> Column:
+        return F.md5(F.array_join(F.array_sort(F.collect_list(c)), ""))
+
+    fine = df.select(row.alias("h")).groupBy(F.substring("h", 1, 6).alias("p")).agg(hashed("h").alias("g"), F.count(F.lit(1)).alias("n"))
+    coarse = fine.groupBy(F.substring("p", 1, 3).alias("p")).agg(hashed("g").alias("g"), F.sum("n").alias("n"))
+    return coarse.agg(hashed("g").alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))  # 4096 groups at most
 
 
 def fingerprint_diff(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -62,16 +69,28 @@ def fingerprint_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def surrogate_id(df: DataFrame, order: list[str], name: str = "id", parts: int = 64) -> DataFrame:
-    """1, 2, 3 ... in a total order, without a global window: rows are numbered inside ranges of the first order column
-    (cut at its own quantiles) and each range gets the count of those before it."""
-    cuts = df.select(F.percentile_approx(order[0], [k / parts for k in range(1, parts)]).alias("q")).first()["q"] or []  # parts - 1 values
-    at = sum((F.when(F.col(order[0]) > F.lit(c), 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
+    """1, 2, 3 ... in a total order, without a global window: rows are numbered inside ranges of all order columns together
+    (cut at the quantiles of a sample) and each range gets the count of those before it. Order columns may be of any
+    ordered type; nulls come first."""
+    key = F.struct(*(F.col(c) for c in order))
+    few = df.select(*order).orderBy(F.xxhash64(*order)).limit(parts * SAMPLED)  # a bounded sample, the same whatever the partitions
+    few = sorted_rows(few, order)
+    cuts = [few[len(few) * k // parts] for k in range(1, parts)] if few else []
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    after = [key > F.struct(*(F.lit(r[c]).cast(kinds[c]).alias(c) for c in order)) for r in dict.fromkeys(cuts)]
+    at = sum((F.when(a, 1).otherwise(0) for a in after), F.lit(0))
     cut = df.withColumn("_range", at)
     sizes = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_range", before.alias("_before"))  # a row for each range
     number = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return cut.withColumn("_k", number).join(F.broadcast(offsets), "_range").withColumn(name, (F.col("_k") + F.col("_before")).cast("bigint")).drop("_range", "_k", "_before")
+    out = cut.withColumn("_k", number).join(F.broadcast(offsets), "_range")
+    return out.withColumn(name, (F.col("_k") + F.col("_before")).cast("bigint")).drop("_range", "_k", "_before")
+
+
+def sorted_rows(few: DataFrame, order: list[str]) -> list:
+    """The rows of a bounded sample in Spark's order."""
+    return few.coalesce(1).sortWithinPartitions(*order).collect()
 
 
 def explain_value(prov: DataFrame, entity: str) -> DataFrame:
@@ -79,10 +98,30 @@ def explain_value(prov: DataFrame, entity: str) -> DataFrame:
     return prov.where(F.split_part(F.col("entity").cast("string"), F.lit("|"), F.lit(1)) == entity)
 
 
-def resolve_citations(ids: DataFrame, key: str, records: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
-    """For each cited id: whether it is found, and how many rows each child table has for it."""
-    out = ids.select(key).distinct().join(records.select(F.col(key).alias("_k")).distinct(), F.col(key) == F.col("_k"), "left").select(key, F.col("_k").isNotNull().alias("found"))
-    for name, df in children.items():
-        hits = df.join(ids.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias(name))
-        out = out.join(hits, key, "left").withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
+def resolve_citations(ids: DataFrame, key: str, records: DataFrame, treatments: DataFrame | None = None, provenance: DataFrame | None = None,
+                      fields: list[str] = (), files: DataFrame | None = None, file_key: str = "source_file_id", issues: DataFrame | None = None,
+                      inventory: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What stands behind cited ids (``ids``: one column ``key``; blanks and repeats don't count).
+
+    records: the rows of the ids that exist, with their treatments (key, treatment) as one text. not_found: the other ids.
+    provenance: rows (entity, field, ...) of those records or their child keys (id|child), of ``fields`` only if given.
+    files: the files that the records name in ``file_key``. issues: of the cited ``inventory`` ids (inventory_id) the
+    number of records, and the first impact, resolution and record.
+    """
+    cited = ids.select(key).where(F.trim(F.col(key).cast("string")) != "").distinct()
+    found = records.join(cited, key, "left_semi")
+    out = {"not_found": cited.join(records.select(key), key, "left_anti"), "records": found}
+    if treatments is not None:
+        spelled = treatments.join(cited, key, "left_semi").groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("treatment")), ", ").alias("treatment"))
+        out["records"] = found.join(spelled, key, "left")
+    if provenance is not None:
+        own = provenance.withColumn("_k", F.split_part(F.col("entity").cast("string"), F.lit("|"), F.lit(1)))
+        own = own.where(F.col("field").isin(list(fields))) if fields else own
+        out["provenance"] = own.join(cited.select(F.col(key).cast("string").alias("_k")), "_k", "left_semi").drop("_k")
+    if files is not None:
+        out["files"] = files.join(found.select(file_key).distinct(), file_key, "left_semi")
+    if issues is not None and inventory is not None:
+        told = issues.join(inventory.select(F.upper(F.trim("inventory_id")).alias("inventory_id")).distinct(), "inventory_id", "left_semi")
+        first = F.min(F.struct("record_id", "impact", "resolution")).alias("f")
+        out["issues"] = told.groupBy("inventory_id").agg(F.count(F.lit(1)).alias("n_records"), first).select("inventory_id", "n_records", "f.*")
     return out

@@ -2,48 +2,92 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UNIT = r"(?i)(?<=\d)\s*(?:nm|um|µm|mm|h|hr|hrs|hours|%)$"
+from concord.operators.identity import bounded
 
+#: Units that an answer may carry behind its number, and the prefixes of record ids.
+UNIT = r"(?i)(?<=\d)\s*(?:nm|nanomolar|h|hr|hrs|hours)\s*$"
+IDS = r"(?i)^(?:gsm|gse)\d+$"
+NUMBER = r"(?i)^[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?$"
+HALVES = r"^(.+?)\s*\((.+)\)$"
 
-def normalize_item(item: Column) -> Column:
-    """Trimmed; a unit after a digit and a trailing .0 go; ids in capitals, other text in lower case; 'name (code)' keeps the name."""
-    x = F.regexp_replace(F.trim(item), UNIT, "")
-    x = F.regexp_replace(x, r"^([+-]?\d+)\.0+$", "$1")
-    x = F.regexp_replace(x, r"^(.*\S)\s*\([^()]*\)$", "$1")
-    return F.when(x.rlike(r"^(?i)[a-z]+\d+$"), F.upper(x)).otherwise(F.lower(x))
 
+def _trimmed(item: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.trim(item), UNIT, ""), r"\.0+$", "")
+
+
+def normalize_item(item: Column) -> Column:
+    """Trimmed, without a unit after a digit or a trailing .0; record ids in capitals; numbers without thousands
+    separators, whole or rounded to four places; other text in lower case."""
+    x = _trimmed(item)
+    bare = F.replace(x, F.lit(","), F.lit(""))
+    number = F.when(bare.rlike(NUMBER), bare.try_cast("double"))
+    whole = number.try_cast("decimal(38,0)").cast("string")
+    part = F.regexp_replace(F.regexp_replace(F.round(number, 4).try_cast("decimal(38,4)").cast("string"), r"(?<=\.\d{0,4}?)0+$", ""), r"\.$", "")
+    text = F.when(number == F.floor(number), whole).when(number.isNotNull(), part)
+    return F.when(x.rlike(IDS), F.upper(x)).otherwise(F.coalesce(text, F.lower(x)))
+
+
+def normalized(df: DataFrame, col: str, aliases: DataFrame, name: str = "item") -> DataFrame:
+    """Column ``name``: what an alias table (alias, name) says of the item or, for 'name (code)', of either half; else
+    normalize_item. The alias side is broadcast only if it is small."""
+    low = F.lower(_trimmed(F.col(col)))
+    a = bounded(aliases.groupBy(F.lower(F.trim("alias")).alias("_a")).agg(F.min("name").alias("_name")))
+    out = df.withColumns({"_0": low, "_1": F.trim(F.regexp_extract(low, HALVES, 1)), "_2": F.trim(F.regexp_extract(low, HALVES, 2))})
+    for k in range(3):
+        out = out.join(a.select(F.col("_a").alias(f"_a{k}"), F.col("_name").alias(f"_n{k}")), F.col(f"_{k}") == F.col(f"_a{k}"), "left")
+    return out.select(*df.columns, F.coalesce("_n0", "_n1", "_n2", normalize_item(F.col(col))).alias(name))
+
+
+def answer_items(answers: DataFrame, keys: list[str], aliases: DataFrame, col: str = "answer", parts: DataFrame | None = None) -> DataFrame:
+    """JSON object answers -> rows (keys, part, item), items normalized and distinct.
+
+    Values may be scalars, lists or objects. An object's entries become 'name: value', one for each value where the value
+    is a list; so do 'name: value' texts in a list. ``parts`` (question, part): the fields to read, where "a.b" is the
+    value of b in the object a; by default all fields of the answer.
+    """
+    if parts is None:
+        raw = answers.select(*keys, F.explode(F.from_json(col, "map<string,string>")).alias("part", "raw"))
+    else:
+        path = F.concat(F.lit("$['"), F.replace("part", F.lit("."), F.lit("']['")), F.lit("']"))
+        raw = answers.join(bounded(parts.select("question", "part").distinct()), "question").select(*keys, "part", F.call_function("get_json_object", F.col(col), path).alias("raw"))
+    pair = "array<struct<label:string,value:string>>"
 
-def normalized(df: DataFrame, col: str, aliases: DataFrame) -> DataFrame:
-    """Column ``item``: normalized, then through an alias table (alias, name) of bounded size."""
-    a = aliases.select(normalize_item(F.col("alias")).alias("_a"), F.lower("name").alias("_name"))
-    return df.withColumn("_i", normalize_item(F.col(col))).join(F.broadcast(a), F.col("_i") == F.col("_a"), "left").withColumn("item", F.coalesce("_name", "_i")).drop("_i", "_a", "_name")
+    def each(label: Column, v: Column) -> Column:
+        return F.transform(F.when(v.startswith("["), F.from_json(v, "array<string>")).otherwise(F.array(v)), lambda x: F.struct(label.alias("label"), x.alias("value")))
 
+    def told(x: Column) -> Column:
+        split = F.struct(F.trim(F.substring_index(x, ":", 1)).alias("label"), F.trim(F.substr(x, F.locate(":", x) + 1)).alias("value"))
+        return F.when(F.locate(":", x) > 0, split).otherwise(F.struct(F.lit(None).cast("string").alias("label"), x.alias("value")))
 
-def answer_items(answers: DataFrame, keys: list[str], col: str = "answer") -> DataFrame:
-    """JSON object answers -> rows (keys, part, item). Values may be scalars, lists or objects; an object's entries become
-    'name: value' and entries of value 0 are left out."""
-    parts = answers.select(*keys, F.explode(F.from_json(col, "map<string,string>")).alias("part", "raw"))
-    as_list, as_map = F.from_json("raw", "array<string>"), F.from_json("raw", "map<string,string>")
-    pairs = F.transform(F.filter(F.map_entries(as_map), lambda e: e["value"] != "0"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
-    items = F.when(F.col("raw").startswith("["), as_list).when(F.col("raw").startswith("{"), pairs).otherwise(F.array("raw"))
-    return parts.select(*keys, "part", F.explode(F.array_distinct(items)).alias("item"))
+    r = F.col("raw")
+    entries = F.flatten(F.transform(F.map_entries(F.from_json(r, "map<string,string>")), lambda e: each(e["key"], e["value"])))
+    listed = F.transform(F.from_json(r, "array<string>"), told)
+    items = F.when(r.startswith("{"), entries.cast(pair)).when(r.startswith("["), listed.cast(pair)).otherwise(each(F.lit(None).cast("string"), r).cast(pair))
+    rows = raw.where("raw is not null").select(*keys, "part", F.explode(items).alias("_x")).select(*keys, "part", F.col("_x.label").alias("_label"), F.col("_x.value").alias("_value"))
+    rows = normalized(normalized(rows, "_label", aliases, "_l"), "_value", aliases, "_v")
+    return rows.select(*keys, "part", F.concat_ws(": ", "_l", "_v").alias("item")).distinct()
 
 
 def grade(answers: DataFrame, key: DataFrame, keys: list[str]) -> DataFrame:
     """Per answer whether all parts of the key pass.
 
-    answers: keys, question, part, items (array<string>). key: question, part, kind, expected (array<string>), tolerance.
-    exact_number and tolerance compare numbers, exact_list compares sets. A missing part fails.
+    answers: keys, question, part, items (array<string>, see answer_items). key: question, part, kind, expected
+    (array<string>, normalized alike), tolerance. exact_number and tolerance compare numbers, exact_list compares sets, in
+    which 'name: 0' of an answer counts only if it is expected. A missing part fails.
     """
     asked = answers.select(*keys, "question").distinct().join(key, "question")
     j = asked.join(answers.select(*keys, "question", "part", F.col("items").alias("got")), [*keys, "question", "part"], "left")
     number, want = F.try_element_at("got", F.lit(1)).try_cast("double"), F.try_element_at("expected", F.lit(1)).try_cast("double")
-    sets = (F.size(F.array_except("got", "expected")) == 0) & (F.size(F.array_except("expected", "got")) == 0)
+    missing = F.array_except("got", "expected")
+    sets = (F.size(F.filter(missing, lambda x: ~x.endswith(": 0"))) == 0) & (F.size(F.array_except("expected", "got")) == 0)
     ok = F.when(F.col("kind") == "exact_list", sets).when(F.col("kind") == "exact_number", number == want).otherwise(F.abs(number - want) <= F.col("tolerance"))
-    return j.groupBy(*keys, "question").agg(F.bool_and(F.coalesce(ok, F.lit(False))).alias("correct"), F.count_if(F.coalesce(ok, F.lit(False))).alias("n_passed"), F.count(F.lit(1)).alias("n_parts"))
+    ok = F.coalesce(ok, F.lit(False))
+    return j.groupBy(*keys, "question").agg(F.bool_and(ok).alias("correct"), F.count_if(ok).alias("n_passed"), F.count(F.lit(1)).alias("n_parts"))
 
 
 def grader_selftest(grades: DataFrame, expected: str) -> DataFrame:
@@ -72,10 +116,15 @@ def run_summary(records: DataFrame, excluded: list[str], conditions: tuple[str,
 
 
 def question_grid(records: DataFrame, columns: list[str]) -> DataFrame:
-    """Right answers of each question by condition and model; '-' where there is no record."""
+    """Right answers of each question by condition and model; '-' where there is no record. right_everywhere: every one of
+    these columns has a record and all of its records are right."""
     r = records.withColumn("_c", F.concat_ws("/", "condition", "model"))
-    g = r.groupBy("question").pivot("_c", columns).agg(F.when(F.count(F.lit(1)) > 0, F.count_if("correct").cast("string")))
-    return g.select("question", *(F.coalesce(F.col(f"`{c}`"), F.lit("-")).alias(c) for c in columns))
+    counts = [F.count_if(F.col("_c") == c).alias(f"_n{i}") for i, c in enumerate(columns)]
+    right = [F.count_if((F.col("_c") == c) & F.col("correct")).alias(f"_r{i}") for i, c in enumerate(columns)]
+    g = r.groupBy("question").agg(*counts, *right)
+    cells = [F.when(F.col(f"_n{i}") > 0, F.col(f"_r{i}").cast("string")).otherwise("-").alias(c) for i, c in enumerate(columns)]
+    everywhere = reduce(Column.__and__, [(F.col(f"_n{i}") > 0) & (F.col(f"_n{i}") == F.col(f"_r{i}")) for i in range(len(columns))])
+    return g.select("question", *cells, everywhere.alias("right_everywhere"))
 
 
 def regrade_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,4 +135,4 @@ def regrade_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def run_cost(records: DataFrame, prices: DataFrame) -> DataFrame:
     """Tokens times price per million; prices: model, input_price, output_price."""
-    return records.join(F.broadcast(prices), "model").withColumn("cost", (F.col("input_tokens") * F.col("input_price") + F.col("output_tokens") * F.col("output_price")) / 1e6)
+    return records.join(bounded(prices), "model").withColumn("cost", (F.col("input_tokens") * F.col("input_price") + F.col("output_tokens") * F.col("output_price")) / 1e6)

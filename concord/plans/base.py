@@ -39,12 +39,20 @@ def fx_sample(spark: SparkSession, d: str) -> DataFrame:
 
 def fx_treatment(spark: SparkSession, d: str) -> DataFrame:
     c = F.when(F.col("l_returnflag") == "R", "OHT").when(F.col("l_returnflag") == "A", "E2").otherwise("DMSO")
-    return t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sample_id"), c.alias("compound_id")).agg(F.avg("l_quantity").alias("dose"), F.max("l_linenumber").alias("exposure_h"))
+    g = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sample_id"), c.alias("compound_id"))
+    g = g.agg(F.avg("l_quantity").alias("dose"), F.max("l_linenumber").alias("exposure_h"))
+    return g.withColumn("exposure_type", F.when(F.col("exposure_h") >= 6, "chronic").otherwise("acute"))
+
+
+def fx_values(spark: SparkSession, d: str) -> DataFrame:
+    """sample_id, feature_id, raw_value; dealt out by sample alone, so that a join on it needs no further shuffle."""
+    lines = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("sample_id"), F.col("l_partkey").alias("feature_id"), "l_extendedprice")
+    return lines.repartition("sample_id").groupBy("sample_id", "feature_id").agg(F.avg("l_extendedprice").alias("raw_value"))
 
 
 def fx_measurement(spark: SparkSession, d: str) -> DataFrame:
-    m = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sample_id"), F.col("l_partkey").alias("feature_id")).agg(F.avg("l_extendedprice").alias("raw_value"))
-    return m.join(fx_sample(spark, d).select("sample_id", "study_id"), "sample_id").select("study_id", "sample_id", "feature_id", "raw_value")
+    m = fx_values(spark, d).join(fx_sample(spark, d).select("sample_id", "study_id"), "sample_id")
+    return m.select("study_id", "sample_id", "feature_id", "raw_value")
 
 
 def fx_feature_map(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +65,7 @@ FX_SAMPLE = """fx_sample AS (SELECT o_orderkey AS sample_id, r_name AS study_id,
   c_mktsegment AS line, CASE o_orderstatus WHEN 'F' THEN 'treated' WHEN 'O' THEN 'vehicle_control' ELSE 'untreated_control' END AS role, n_name, o_custkey, o_orderpriority AS prio
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 FX_TREATMENT = """fx_treatment AS (SELECT l_orderkey AS sample_id, CASE l_returnflag WHEN 'R' THEN 'OHT' WHEN 'A' THEN 'E2' ELSE 'DMSO' END AS compound_id, avg(l_quantity) AS dose,
-  max(l_linenumber) AS exposure_h FROM lineitem GROUP BY ALL)"""
+  max(l_linenumber) AS exposure_h, CASE WHEN max(l_linenumber) >= 6 THEN 'chronic' ELSE 'acute' END AS exposure_type FROM lineitem GROUP BY ALL)"""
 FX_MEASUREMENT = FX_SAMPLE + """, fx_measurement AS (SELECT study_id, sample_id, feature_id, raw_value FROM
   (SELECT l_orderkey AS sample_id, l_partkey AS feature_id, avg(l_extendedprice) AS raw_value FROM lineitem GROUP BY ALL) JOIN fx_sample USING (sample_id))"""
 FX_FEATURE_MAP = FX_MEASUREMENT + """, fx_feature_map AS (SELECT study_id, feature_id, p_name AS entity, avg(log2(raw_value + 1)) AS mean

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.operators import checks as C
@@ -11,29 +14,47 @@ from concord.plans.q_cohort import REGIONS
 from concord.plans.q_values_identity import rows
 
 NAMES = "bolt|ring|anvil|widget|gear|nut"
-DOSE_SQL = f"SELECT p_partkey, CAST(p_size AS DOUBLE) AS amount, 'uM' AS unit, p_size * 1000.0::DOUBLE AS value FROM part WHERE p_size > 40 AND regexp_matches(p_name, '\\b({NAMES})\\b')"
 
 
 def dose(spark, d):
-    p = t(spark, d, "part").select("p_partkey", F.concat(F.col("p_size").cast("string"), F.lit(" uM "), "p_name").alias("text"))
-    return C.dose_above_limit(p, ["p_partkey"], "text", 40000, NAMES.split("|"))
+    """Two doses of a part in one text; the second name is out of reach of the first dose."""
+    far = F.lit(" and, much later in the same protocol, another dose of ")
+    text = F.concat(F.col("p_size").cast("string"), F.lit(" uM "), "p_name", far, (F.col("p_size") + 5).cast("string"), F.lit("uM "), "p_name")
+    return C.dose_above_limit(t(spark, d, "part").select("p_partkey", text.alias("text")), ["p_partkey"], "text", 40000, NAMES.split("|"))
+
+
+@query("F01_dose_above_limit", f"""SELECT p_partkey, CAST(n AS DOUBLE) AS amount, 'uM' AS unit, n * 1000.0::DOUBLE AS value
+ FROM (SELECT p_partkey, p_name, unnest([p_size, p_size + 5]) AS n FROM part) WHERE n > 40 AND regexp_matches(p_name, '\\b({NAMES})\\b')""")
+def _(spark, d):
+    return dose(spark, d)
 
 
-@query("F01_dose_above_limit", DOSE_SQL)
+@query("F01b_stored_dose", f"WITH {FX_TREATMENT} SELECT sample_id, compound_id, round(dose, 4) AS dose FROM fx_treatment WHERE dose > 45")
 def _(spark, d):
-    return dose(spark, d).drop("text")
+    return C.stored_above_limit(fx_treatment(spark, d), ["sample_id", "compound_id"], "dose", 45).withColumn("dose", r4("dose"))
 
 
-@query("F02_fields_contradict", "WITH l AS (SELECT l_orderkey AS k, list_sort(list_distinct(list(l_linestatus))) AS s FROM lineitem GROUP BY 1) SELECT o_orderkey AS k, CAST(2 AS INTEGER) AS n_views, CAST(NULL AS VARCHAR) AS odd_one FROM orders JOIN l ON k = o_orderkey WHERE s <> [o_orderstatus]")
+@query("F02_fields_contradict", f"""WITH {FX_SAMPLE}, v AS (SELECT study_id, o_orderkey AS k, [o_orderstatus] AS a,
+  coalesce((SELECT list_sort(list_distinct(list(l_linestatus))) FROM lineitem WHERE l_orderkey = o_orderkey), []) AS b,
+  coalesce((SELECT list_sort(list_distinct(list(CASE WHEN l_returnflag = 'N' THEN 'O' ELSE 'F' END))) FROM lineitem WHERE l_orderkey = o_orderkey), []) AS c
+  FROM orders JOIN fx_sample ON o_orderkey = sample_id)
+SELECT study_id, k, CAST(3 AS INTEGER) AS n_views, CAST(len(list_distinct([a, b, c])) AS INTEGER) AS n_sets,
+ concat_ws(',', CASE WHEN b <> c AND b <> a THEN 'flags' END, CASE WHEN c <> a AND c <> b THEN 'lines' END, CASE WHEN a <> b AND a <> c THEN 'order' END) AS odd_ones
+FROM (SELECT study_id, k, a, c AS b, b AS c FROM v) WHERE NOT (a = b AND b = c)""")
 def _(spark, d):
-    a = t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit("order").alias("field"), F.col("o_orderstatus").alias("value"))
-    b = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.lit("lines").alias("field"), F.col("l_linestatus").alias("value"))
-    return C.fields_contradict(a.unionByName(b), "k", "field", "value")
+    study = fx_sample(spark, d).select(F.col("sample_id").alias("k"), "study_id")
+    flag = F.when(F.col("l_returnflag") == "N", "O").otherwise("F")
+    parts = {"order": ("orders", "o_orderkey", F.col("o_orderstatus")), "shop": ("orders", "o_orderkey", F.lit("same")), "lines": ("lineitem", "l_orderkey", F.col("l_linestatus")), "flags": ("lineitem", "l_orderkey", flag)}
+    each = [t(spark, d, table).select(F.col(k).alias("k"), F.lit(name).alias("field"), v.alias("value")) for name, (table, k, v) in parts.items()]
+    views = reduce(DataFrame.unionByName, each)
+    return C.fields_contradict(views.join(study, "k"), "study_id", "k", "field", "value")
 
 
-@query("F03_duplicate_titles", "SELECT md5(text) AS core, CAST(count(*) AS BIGINT) AS n, count(DISTINCT source) AS n_batches, CASE WHEN count(DISTINCT source) > 1 THEN 'across batches' ELSE 'within batch' END AS kind FROM documents GROUP BY text HAVING count(*) > 1")
+@query("F03_duplicate_titles", """SELECT lang, md5(text) AS core, CAST(count(*) AS BIGINT) AS n, count(DISTINCT source) AS n_batches, min(doc_id) AS first_record,
+ CASE WHEN count(DISTINCT source) > 1 THEN 'across batches' ELSE 'within batch' END AS kind FROM documents GROUP BY lang, text HAVING count(*) > 1""")
 def _(spark, d):
-    return C.duplicate_titles(t(spark, d, "documents"), "doc_id", F.md5(F.encode("text", "utf-8")), "source")
+    title = F.concat(F.md5(F.encode("text", "utf-8")), F.lit("  (MD"), F.col("doc_id").cast("string"), F.lit(") "))
+    return C.duplicate_titles(t(spark, d, "documents").withColumn("title", title), "lang", "doc_id", "title", "source", r"\s*\(MD\d+\)\s*$")
 
 
 @query("F04_no_control_in_batch", f"WITH {FX_SAMPLE} SELECT sample_id, study_id, batch, line FROM fx_sample s WHERE role = 'treated' AND NOT EXISTS (SELECT 1 FROM fx_sample c WHERE c.role = 'vehicle_control' AND c.study_id IS NOT DISTINCT FROM s.study_id AND c.batch IS NOT DISTINCT FROM s.batch AND (c.line = s.line OR (s.line = 'FURNITURE' AND c.line = 'MACHINERY')))")
@@ -51,10 +72,12 @@ def _(spark, d):
     return C.value_scale_mismatch(v, "column", "value", rows(spark, METRICS, "column string, note string"), "note")
 
 
-@query("F06_date_like_name", "SELECT name, CAST(count(*) AS BIGINT) AS n FROM (SELECT CAST(day(o_orderdate) AS VARCHAR) || '-' || strftime(o_orderdate, '%b') AS name FROM orders UNION ALL SELECT p_name FROM part) WHERE regexp_matches(name, '^\\d{1,2}-[A-Z]') GROUP BY 1")
+@query("F06_date_like_name", """SELECT feature_id, name, p_name AS recovered FROM (SELECT o_orderkey AS feature_id, CAST(day(o_orderdate) AS VARCHAR) || '-' || strftime(o_orderdate, '%b') AS name
+ FROM orders UNION ALL SELECT p_partkey, p_name FROM part) LEFT JOIN part ON feature_id = p_partkey WHERE regexp_matches(name, '^\\d{1,2}-[A-Z]')""")
 def _(spark, d):
-    n = t(spark, d, "orders").select(F.date_format("o_orderdate", "d-MMM").alias("name")).unionByName(t(spark, d, "part").select(F.col("p_name").alias("name")))
-    return n.where(C.date_like(F.col("name"))).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("feature_id"), F.col("p_name").alias("name"))
+    n = t(spark, d, "orders").select(F.col("o_orderkey").alias("feature_id"), F.date_format("o_orderdate", "d-MMM").alias("name")).unionByName(p)
+    return C.recovered_names(n, ["feature_id"], "name", p, "name")
 
 
 @query("F07_duplicate_record_id", "SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n_arrivals, count(DISTINCT l_suppkey) AS n_sources FROM lineitem GROUP BY 1 HAVING count(*) > 1")
@@ -84,21 +107,23 @@ def _(spark, d):
     return u.groupBy("sample_id", "problem").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("F12_basis_flags", f"WITH {FX_SAMPLE} SELECT study_id, unnest(['batch inferred', 'replicate assigned']) AS problem, unnest([CAST(count(*) FILTER (WHERE prio LIKE '1%') AS BIGINT), CAST(count(*) FILTER (WHERE regexp_matches(batch, '-0[1-3]$')) AS BIGINT)]) AS n FROM fx_sample GROUP BY 1")
+@query("F12_basis_flags", f"""WITH {FX_SAMPLE} SELECT study_id, problem, CAST(sum(n) AS BIGINT) AS n FROM (SELECT study_id, unnest(['batch_inferred', 'replicate_assigned', 'unexplained_label']) AS problem,
+ unnest([count(*) FILTER (WHERE prio LIKE '1%'), count(*) FILTER (WHERE regexp_matches(batch, '-0[1-3]$')), count(*) FILTER (WHERE prio LIKE '2%' AND sample_id % 10 < 9)]) AS n FROM fx_sample GROUP BY 1) WHERE n > 0 GROUP BY ALL""")
 def _(spark, d):
-    u = C.unknown_values(fx_sample(spark, d).select("study_id", "prio", "batch"), "study_id", {"batch inferred": F.col("prio").like("1%"), "replicate assigned": F.col("batch").rlike("-0[1-3]$")})
-    return u.groupBy("study_id", "problem").agg(F.count(F.lit(1)).alias("n"))
+    title = F.concat(F.lit("replicate"), (F.col("sample_id") % 10 + 1).cast("string"), F.when(F.col("prio").like("2%"), " b").otherwise(""))
+    return C.basis_flags(fx_sample(spark, d).withColumn("title", title), "study_id", F.col("prio").like("1%"), F.col("batch").rlike("-0[1-3]$"), "title", r"replicate\d b$")
 
 
-@query("F13_entity_rows_by_status", "SELECT p_brand, CASE WHEN p_size = 7 THEN 'corrupt_annotation' ELSE 'unmapped' END AS status, CAST(count(*) AS BIGINT) AS n FROM part WHERE p_size = 7 OR p_type = 'PROMO' GROUP BY ALL")
+@query("F13_entity_rows_by_status", """SELECT p_brand, 'unmapped' AS status, CAST(NULL AS BIGINT) AS p_partkey, CAST(count(*) AS BIGINT) AS n FROM part WHERE p_type = 'PROMO' AND p_size <> 7 GROUP BY 1
+ UNION ALL SELECT p_brand, 'corrupt_annotation', p_partkey, 1::BIGINT FROM part WHERE p_size = 7""")
 def _(spark, d):
     s = F.when(F.col("p_size") == 7, "corrupt_annotation").when(F.col("p_type") == "PROMO", "unmapped").otherwise("mapped")
-    return C.entity_rows_by_status(t(spark, d, "part").withColumn("status", s), "p_brand")
+    return C.entity_rows_by_status(t(spark, d, "part").withColumn("status", s), "p_brand", "p_partkey")
 
 
-@query("F14_compound_spellings", "SELECT p_brand, p_type, string_agg(DISTINCT p_name, ', ' ORDER BY p_name) AS spellings FROM part WHERE p_size < 10 GROUP BY ALL HAVING count(DISTINCT p_name) > 1")
+@query("F14_compound_spellings", "SELECT p_brand, p_type, string_agg(DISTINCT p_name, ', ' ORDER BY p_name) AS spellings FROM part GROUP BY ALL HAVING count(DISTINCT p_name) > 1")
 def _(spark, d):
-    return C.compound_spellings(t(spark, d, "part").where("p_size < 10"), "p_brand", "p_type", "p_name")
+    return C.compound_spellings(t(spark, d, "part"), "p_brand", "p_type", "p_name")
 
 
 @query("F15_column_order", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS r FROM lineitem) WHERE r <> l_linenumber")
@@ -128,7 +153,7 @@ def _(spark, d):
 
 
 def issues(spark, d):
-    inv = rows(spark, [("no_control", "major")], "check string, impact string")
+    inv = rows(spark, [("no_control", "major", "M50")], "check string, impact string, id string")
     s = fx_sample(spark, d).withColumn("parent", F.when(F.col("line") == "FURNITURE", "MACHINERY"))
     lost = C.no_control_in_batch(s, ["study_id", "batch"], F.col("role") == "treated", F.col("role") == "vehicle_control", "line", "parent")
     a = C.as_issues(lost, "no_control", F.col("study_id"), F.col("sample_id"), F.col("batch"), F.lit("a control"), "flagged", inv)
@@ -138,8 +163,8 @@ def issues(spark, d):
 
 
 ISS = f"""WITH {FX_SAMPLE}, z AS (SELECT study_id, yr, line, role, count(*) AS n FROM fx_sample GROUP BY ALL), u AS (SELECT study_id, n AS usual FROM (SELECT study_id, n, row_number() OVER (PARTITION BY study_id ORDER BY count(*) DESC, n DESC) AS r FROM z GROUP BY study_id, n) WHERE r = 1),
-iss AS (SELECT 'no_control' AS "check", study_id, CAST(sample_id AS VARCHAR) AS record_id, batch AS observed, 'a control' AS expected, 'flagged' AS resolution, 'major' AS impact FROM fx_sample s WHERE role = 'treated' AND NOT EXISTS (SELECT 1 FROM fx_sample c WHERE c.role = 'vehicle_control' AND c.study_id = s.study_id AND c.batch = s.batch AND (c.line = s.line OR (s.line = 'FURNITURE' AND c.line = 'MACHINERY')))
- UNION ALL SELECT 'fewer_replicates', study_id, NULL, CAST(n AS VARCHAR), CAST(usual AS VARCHAR), 'fixed', 'minor' FROM z JOIN u USING (study_id) WHERE n < usual)"""
+iss AS (SELECT 'no_control' AS "check", study_id, CAST(sample_id AS VARCHAR) AS record_id, batch AS observed, 'a control' AS expected, 'flagged' AS resolution, 'major' AS impact, 'M50' AS inventory_id FROM fx_sample s WHERE role = 'treated' AND NOT EXISTS (SELECT 1 FROM fx_sample c WHERE c.role = 'vehicle_control' AND c.study_id = s.study_id AND c.batch = s.batch AND (c.line = s.line OR (s.line = 'FURNITURE' AND c.line = 'MACHINERY')))
+ UNION ALL SELECT 'fewer_replicates', study_id, NULL, CAST(n AS VARCHAR), CAST(usual AS VARCHAR), 'fixed', 'minor', NULL FROM z JOIN u USING (study_id) WHERE n < usual)"""
 
 
 @query("F00_issue_rows", ISS + " SELECT * FROM iss")
@@ -147,7 +172,7 @@ def _(spark, d):
     return issues(spark, d)
 
 
-@query("F20_issue_summary", ISS + " SELECT \"check\", resolution, CAST(count(*) AS BIGINT) AS n, string_agg(DISTINCT study_id, ', ' ORDER BY study_id) AS studies FROM iss GROUP BY ALL")
+@query("F20_issue_summary", ISS + " SELECT \"check\", resolution, CAST(count(*) AS BIGINT) AS n, string_agg(DISTINCT study_id, ', ' ORDER BY study_id) AS studies, coalesce(string_agg(DISTINCT inventory_id, ', '), '') AS inventory FROM iss GROUP BY ALL")
 def _(spark, d):
     return C.issue_summary(issues(spark, d))
 
@@ -214,11 +239,11 @@ def _(spark, d):
     return P.library_depth(e, "user_id", "value", e.groupBy("user_id").agg(F.min("event_type").alias("label"))).withColumn("depth", r4("depth"))
 
 
-PRES = f"WITH {FX_MEASUREMENT}, e AS (SELECT DISTINCT p_name, study_id FROM fx_measurement JOIN part ON feature_id = p_partkey WHERE p_size < 4)"
+PRES = f"WITH {FX_MEASUREMENT}, e AS (SELECT DISTINCT p_name, study_id FROM fx_measurement JOIN part ON feature_id = p_partkey)"
 
 
 def names(spark, d):
-    return fx_measurement(spark, d).join(t(spark, d, "part").where("p_size < 4"), F.col("feature_id") == F.col("p_partkey")).select("p_name", "study_id")
+    return fx_measurement(spark, d).join(t(spark, d, "part"), F.col("feature_id") == F.col("p_partkey")).select("p_name", "study_id")
 
 
 @query("G08_presence_matrix", PRES + " SELECT p_name, " + ", ".join(f"bool_or(study_id = '{r}') AS \"{r}\"" for r in REGIONS) + " FROM e WHERE p_name IN ('red widget', 'blue bolt', 'small ring') GROUP BY 1")

@@ -178,7 +178,8 @@ def _(spark, d):
 
 def _fp(table: str, cols: list[str]) -> str:
     text = " || chr(31) || ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in sorted(cols))
-    return f"(SELECT md5(string_agg(g, '' ORDER BY g)) FROM (SELECT md5(string_agg(h, '' ORDER BY h)) AS g FROM (SELECT md5({text}) AS h FROM {table}) GROUP BY substr(h, 1, 3)))"
+    fine = f"SELECT substr(h, 1, 6) AS p, md5(string_agg(h, '' ORDER BY h)) AS g FROM (SELECT md5({text}) AS h FROM {table}) GROUP BY 1"
+    return f"(SELECT md5(string_agg(g, '' ORDER BY g)) FROM (SELECT md5(string_agg(g, '' ORDER BY g)) AS g FROM ({fine}) GROUP BY substr(p, 1, 3)))"
 
 
 FP = {"nation": ["n_nationkey", "n_name", "n_regionkey"], "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]}
@@ -203,9 +204,10 @@ def _(spark, d):
     return D.fingerprint_diff(fingerprints(spark, d), fingerprints(spark, d, {"part": "p_size < 50"}))
 
 
-@query("D09_surrogate_id", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS BIGINT) AS id FROM orders")
+@query("D09_surrogate_id", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS BIGINT) AS id, CAST(row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS BIGINT) AS by_text FROM orders")
 def _(spark, d):
-    return D.surrogate_id(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"]).select("o_orderkey", "id")
+    o = D.surrogate_id(t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), ["o_totalprice", "o_orderkey"])
+    return D.surrogate_id(o, ["o_orderpriority", "o_orderkey"], "by_text").select("o_orderkey", "id", "by_text")
 
 
 @query("D10_explain_value", PROV + " SELECT * FROM w WHERE entity = 77")
@@ -213,8 +215,42 @@ def _(spark, d):
     return D.explain_value(B.provenance(labelled(spark, d), PROGRAM, "o_orderkey"), "77").select("entity", "field", "value", "rule", "superseded")
 
 
-@query("D11_resolve_citations", "WITH c AS (SELECT DISTINCT l_orderkey + (CASE WHEN l_quantity = 50 THEN 100000000 ELSE 0 END) AS o_orderkey FROM lineitem WHERE l_quantity >= 49) SELECT o_orderkey, o_orderkey IN (SELECT o_orderkey FROM orders) AS found, CAST((SELECT count(*) FROM lineitem l WHERE l.l_orderkey = c.o_orderkey) AS BIGINT) AS n_lines FROM c")
-def _(spark, d):
-    li = t(spark, d, "lineitem")
+CITED = """WITH c AS (SELECT DISTINCT l_orderkey + (CASE WHEN l_quantity = 50 THEN 100000000 ELSE 0 END) AS o_orderkey FROM lineitem WHERE l_quantity >= 49)"""
+
+
+def cited(spark, d):
+    """Orders of large lines, some of which don't exist; what they got, who ordered (as the files), and issues by priority."""
+    li, o = t(spark, d, "lineitem"), t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     ids = li.where("l_quantity >= 49").select((F.col("l_orderkey") + F.when(F.col("l_quantity") == 50, 100000000).otherwise(0)).alias("o_orderkey"))
-    return D.resolve_citations(ids, "o_orderkey", t(spark, d, "orders"), {"n_lines": li.withColumnRenamed("l_orderkey", "o_orderkey")})
+    got = li.select(F.col("l_orderkey").alias("o_orderkey"), F.concat_ws(" ", "l_returnflag", F.col("l_linenumber").cast("string")).alias("treatment"))
+    files = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    issues = t(spark, d, "orders").where("o_orderstatus = 'P'").select(F.substring("o_orderpriority", 1, 1).alias("inventory_id"), F.col("o_orderkey").alias("record_id"), F.lit("minor").alias("impact"), F.lit("flagged").alias("resolution"))
+    prov = B.provenance(labelled(spark, d), PROGRAM, "o_orderkey")
+    wanted = spark.createDataFrame([(" 1",), ("3",), ("9",)], "inventory_id string")
+    return D.resolve_citations(ids, "o_orderkey", o, got, prov, [], files, "o_custkey", issues, wanted)
+
+
+@query("D11_resolve_citations", CITED + """ SELECT o_orderkey, o_custkey, o_orderstatus, (SELECT string_agg(DISTINCT l_returnflag || ' ' || l_linenumber, ', ' ORDER BY l_returnflag || ' ' || l_linenumber)
+ FROM lineitem WHERE l_orderkey = o_orderkey) AS treatment FROM orders JOIN c USING (o_orderkey)""")
+def _(spark, d):
+    return cited(spark, d)["records"]
+
+
+@query("D11b_not_found", CITED + " SELECT o_orderkey FROM c WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+def _(spark, d):
+    return cited(spark, d)["not_found"]
+
+
+@query("D11c_files", CITED + " SELECT DISTINCT c_custkey AS o_custkey, c_name FROM customer JOIN orders ON o_custkey = c_custkey JOIN c USING (o_orderkey)")
+def _(spark, d):
+    return cited(spark, d)["files"]
+
+
+@query("D11d_issues", "SELECT substr(o_orderpriority, 1, 1) AS inventory_id, CAST(count(*) AS BIGINT) AS n_records, min(o_orderkey) AS record_id, 'minor' AS impact, 'flagged' AS resolution FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority[1] IN ('1', '3') GROUP BY 1")
+def _(spark, d):
+    return cited(spark, d)["issues"]
+
+
+@query("D11e_provenance", PROV + ", " + CITED.removeprefix("WITH ") + " SELECT w.* FROM w WHERE entity IN (SELECT o_orderkey FROM c)")
+def _(spark, d):
+    return cited(spark, d)["provenance"].select("entity", "field", "value", "rule", "superseded")

@@ -166,7 +166,7 @@ def _(spark, d):
     return S.non_finite(t(spark, d, "lineitem").select(v.alias("v")), "v")
 
 
-@query("E08_cpm_closure", "SELECT 1000000.0::DOUBLE AS least, 1000000.0::DOUBLE AS most FROM events LIMIT 1")
+@query("E08_cpm_closure", "SELECT round(min(s), 2) AS least, round(max(s), 2) AS most FROM (SELECT sum(pow(2, v) - 1) AS s FROM (SELECT user_id, log2(value / sum(value) OVER (PARTITION BY user_id) * 1e6 + 1) AS v FROM events) GROUP BY user_id)")
 def _(spark, d):
     e = ev(spark, d)
     c = S.cpm_closure(S.log_cpm(e, S.library_size(e)))

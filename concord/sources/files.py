@@ -34,7 +34,8 @@ def _sections(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in files:
         for path, data in zip(pdf["path"], pdf["content"], strict=True):
             rows, inside, header, n = [], False, None, 0
-            for line in _plain(bytes(data)).splitlines():
+            for line in _plain(bytes(data)).split("\n"):  # other line separators may stand inside a value
+                line = line.removesuffix("\r")
                 if not line.strip():
                     continue
                 n += 1
@@ -62,6 +63,20 @@ def read_sectioned(files: DataFrame) -> DataFrame:
     return files.mapInPandas(_sections, "path string, section string, line long, field string, column int, value string")
 
 
+def bind_samples(rows: DataFrame, id_field: str = "geo_accession") -> tuple[DataFrame, DataFrame]:
+    """Rows of sectioned text bound to their samples: path, section, line, field, sample_id, value of sample lines and table
+    cells. A sample line binds by the id line's columns, a table cell by the header's ids, never by one for the other.
+
+    Second, the files whose table doesn't have exactly the samples of the id line (path, n_listed, n_columns)."""
+    listed = rows.where((F.col("section") == "sample") & (F.col("field") == id_field)).select("path", F.lit("sample").alias("section"), "column", F.col("value").alias("sample_id"))
+    header = rows.where("section = 'header'").select("path", F.lit("table").alias("section"), "column", F.col("value").alias("sample_id"))
+    ids = listed.unionByName(header)
+    bound = rows.join(ids, ["path", "section", "column"]).select("path", "section", "line", "field", "sample_id", "value")
+    each = ids.groupBy("path", "sample_id").agg(F.count_if(F.col("section") == "sample").alias("a"), F.count_if(F.col("section") == "table").alias("b"))
+    files = each.groupBy("path").agg(F.sum("a").alias("n_listed"), F.sum("b").alias("n_columns"), F.bool_and((F.col("a") == 1) & (F.col("b") == 1)).alias("_fits"))
+    return bound, files.where("n_columns > 0 and not _fits").drop("_fits")
+
+
 def number_repeated(df: DataFrame, keys: list[str], name: str, order: list[str], style: str = "suffix") -> DataFrame:
     """Repeated names get '#1', '#2' ... from the second occurrence on ('suffix'), or every one its ordinal n ('ordinal')."""
     n = F.row_number().over(Window.partitionBy(*keys, name).orderBy(*order))

@@ -37,15 +37,49 @@ def test_replicates_start_at_one_or_after_the_stated(spark):
     assert [r.replicate for r in rules.assign_replicates(df, ["c"], "id", avoid_stated=True).orderBy("id").collect()] == [6, 5, 1, 2]
 
 
+def cohort_of(spark, rows):
+    """(sample, batch, role, value, {compound: hours}) -> measurements, samples, signatures."""
+    samples = spark.createDataFrame([r[:3] for r in rows], "sample_id int, batch string, role string")
+    meas = spark.createDataFrame([(r[0], "g", r[3]) for r in rows], "sample_id int, entity string, value double")
+    got = [(r[0], c, h, "acute") for r in rows for c, h in r[4].items()]
+    return meas, samples, cohort.signatures(spark.createDataFrame(got, "sample_id int, compound_id string, exposure_h int, exposure_type string"), ["DMSO"])
+
+
 def test_matched_effect_takes_nulls_as_equal_and_ignores_shifts(spark):
-    rows = [(None, "g", "treated", 3.0), (None, "g", "vehicle_control", 1.0), ("b", "g", "treated", 2.0)]
-    df = spark.createDataFrame(rows, "batch string, entity string, role string, value double")
-    got = {r.batch: r.effect for r in cohort.matched_effect(df, ["batch"]).collect()}
+    rows = [(1, None, "treated", 3.0, {"A": 24}), (2, None, "vehicle_control", 1.0, {"DMSO": 24}), (3, "b", "treated", 2.0, {"A": 24})]
+    meas, samples, sig = cohort_of(spark, rows)
+    got = {r.batch: r.effect for r in cohort.matched_effect(meas, samples, sig, ["batch"]).collect()}
     assert got == {None: 2.0, "b": None}
-    moved = {r.batch: r.effect for r in cohort.matched_effect(df.withColumn("value", F.col("value") + 7), ["batch"]).collect()}
+    moved = {r.batch: r.effect for r in cohort.matched_effect(meas.withColumn("value", F.col("value") + 7), samples, sig, ["batch"]).collect()}
     assert moved == got
 
 
+def test_matched_effect_keeps_compounds_hours_and_mixtures_apart(spark):
+    rows = [
+        (1, "b", "treated", 3.0, {"A": 24, "DMSO": 24}), (2, "b", "treated", 9.0, {"B": 24}), (3, "b", "treated", 5.0, {"A": 6}), (4, "b", "treated", 7.0, {"B": 24, "A": 12}),
+        (5, "b", "treated", 99.0, {"DMSO": 24}), (6, "b", "vehicle_control", 1.0, {"DMSO": 24}), (7, "b", "untreated_control", 2.0, {}), (8, "b", "parental", 50.0, {}), (9, "b", "treated", 4.0, {"A": 24}),
+    ]
+    meas, samples, sig = cohort_of(spark, rows)
+    got = {(r.compounds, r.exposure_h): (r.treated_mean, r.n_treated, r.control_mean, r.n_control, r.effect) for r in cohort.matched_effect(meas, samples, sig, ["batch"]).collect()}
+    assert got == {("A", 24): (3.5, 2, 1.5, 2, 2.0), ("B", 24): (9.0, 1, 1.5, 2, 7.5), ("A", 6): (5.0, 1, 1.5, 2, 3.5), ("A+B", 24): (7.0, 1, 1.5, 2, 5.5)}
+    ids = {(r.compounds, r.exposure_h): (r.treated_ids, r.control_ids) for r in cohort.effect_ids(samples, sig, ["batch"]).collect()}
+    assert ids[("A", 24)] == ([1, 9], [6, 7]) and len(ids) == 4
+
+
+def test_fields_that_do_not_vary_are_not_compared(spark):
+    rows = [("s", r, f, v) for r, by in {1: "aab", 2: "bbb", 3: "aaa"}.items() for f, v in zip(("title", "source", "label"), by, strict=True)]
+    rows += [("s", r, "lab", "zz") for r in (1, 2, 3)] + [("t", 9, "title", "a"), ("t", 9, "source", "b"), ("t", 8, "title", "a"), ("t", 8, "source", "b"), ("u", 7, "title", "a"), ("u", 7, "source", "a"), ("u", 6, "title", "b")]
+    df = spark.createDataFrame(rows, "study string, record int, field string, value string")
+    got = {(r.study, r.record): (r.n_views, r.odd_ones) for r in checks.fields_contradict(df, "study", "record", "field", "value").collect()}
+    assert got == {("s", 1): (3, "label"), ("u", 6): (2, None)}
+
+
+def test_every_quantity_above_the_limit(spark):
+    df = spark.createDataFrame([("f", "1 M tamoxifen, then 2 mM tamoxifen or 1 M of tamoxifen; 5 M sodium chloride is something else altogether, as are 3 nM tamoxifen")], "field string, text string")
+    got = {(r.amount, r.unit) for r in checks.dose_above_limit(df, ["field"], "text", 1e5, ["tamoxifen"]).collect()}
+    assert got == {(1.0, "M"), (2.0, "mM")}
+
+
 def test_representative_ties_and_nulls(spark):
     df = spark.createDataFrame([("s", "e", 2, 1.0), ("s", "e", 1, 1.0), ("s", "f", 3, None), ("s", "f", 4, 0.1)], "study_id string, entity string, feature_id int, mean double")
     assert {r.feature_id for r in identity.choose_representative(df, ["study_id", "entity"]).where("chosen").collect()} == {1, 4}
@@ -72,9 +106,29 @@ def test_surrogate_ids_do_not_depend_on_partitions(spark):
         assert [(r.a, r.b) for r in got] == want and [r.id for r in got] == list(range(1, 501))
 
 
-def test_unit_needs_a_digit_before_it(spark):
-    got = spark.createDataFrame([("growth",), ("24 h",), ("gsm12",), ("3.0",), ("Name (code)",)], "x string").select(grading.normalize_item(F.col("x")).alias("y")).collect()
-    assert [r.y for r in got] == ["growth", "24", "GSM12", "3", "name"]
+def test_items_are_normalized(spark):
+    want = {"growth": "growth", " 24 h": "24", "gsm12": "GSM12", "3.0": "3", "1,000": "1000", "1,234.56789 nM": "1234.5679", "0.00012": "0.0001", "-2.50": "-2.5", "5 %": "5 %", "MCF7": "mcf7", "10 uM": "10 um",
+            "17beta-estradiol (E2)": "estradiol", "E2 (anything)": "estradiol", "Name (code)": "name (code)", "e2": "estradiol", "1e3": "1000"}
+    aliases = spark.createDataFrame([("E2", "estradiol"), ("estradiol", "estradiol")], "alias string, name string")
+    df = spark.createDataFrame([(x, "kept") for x in [*want, None]], "x string, item string")
+    got = {r.x: r.new for r in grading.normalized(df, "x", aliases, "new").collect()}
+    assert got == want | {None: None}
+
+
+def test_answers_become_items(spark):
+    answer = '{"a": {"x": ["u", "v"], "none": 0}, "b": ["GSE1: 1,000", "plain"], "c": 5, "d": {"GSE1": "2.0 h"}, "e": null}'
+    df = spark.createDataFrame([(1, "q", answer), (2, "q", "not json"), (3, "q", None)], "id int, question string, answer string")
+    none = spark.createDataFrame([], "alias string, name string")
+    got = {(r.part, r.item) for r in grading.answer_items(df, ["id"], none).collect()}
+    assert got == {("a", "x: u"), ("a", "x: v"), ("a", "none: 0"), ("b", "GSE1: 1000"), ("b", "plain"), ("c", "5"), ("d", "GSE1: 2")}
+    parts = spark.createDataFrame([("q", "d.GSE1"), ("q", "a.x"), ("q", "a.gone")], "question string, part string")
+    assert {(r.part, r.item) for r in grading.answer_items(df, ["id"], none, parts=parts).collect()} == {("d.GSE1", "2"), ("a.x", "u"), ("a.x", "v")}
+
+
+def test_zeros_count_only_if_expected(spark):
+    key = spark.createDataFrame([("q", "p", "exact_list", ["a: 1", "b: 0"], 0.0)], "question string, part string, kind string, expected array<string>, tolerance double")
+    ans = spark.createDataFrame([(1, "q", "p", ["a: 1", "b: 0", "c: 0"]), (2, "q", "p", ["a: 1"]), (3, "q", "p", ["a: 1", "b: 0", "c: 2"])], "id int, question string, part string, items array<string>")
+    assert {r.id: r.correct for r in grading.grade(ans, key, ["id"]).collect()} == {1: True, 2: False, 3: False}
 
 
 def test_a_missing_part_fails(spark):
@@ -90,6 +144,31 @@ def test_cpm_adds_up_and_empty_samples_are_null(spark):
     assert abs(scaling.cpm_closure(m.where("value is not null")).first().least - 1e6) < 1e-3
 
 
+def test_sections_keep_odd_separators_and_bind_samples(spark):
+    text = '!Series_title\t"a\x0bb\u2028c\x85d"\r\n!Sample_geo_accession\t"S2"\t"S1"\n!Sample_note\t"two"\t"one"\n!series_matrix_table_begin\nID_REF\tS1\tS2\nf\t1\t2\n!series_matrix_table_end\n'
+    odd = text.replace("ID_REF\tS1\tS2", "ID_REF\tS1\tS3")
+    rows = files.read_sectioned(spark.createDataFrame([("a", bytearray(text.encode())), ("b", bytearray(odd.encode()))], "path string, content binary"))
+    assert [r.value for r in rows.where("path = 'a' and section = 'series'").collect()] == ["a\x0bb\u2028c\x85d"]
+    bound, misfits = files.bind_samples(rows)
+    assert {(r.field, r.sample_id, r.value) for r in bound.where("path = 'a' and field <> 'geo_accession'").collect()} == {("note", "S1", "one"), ("note", "S2", "two"), ("f", "S1", "1"), ("f", "S2", "2")}
+    assert [(r.path, r.n_listed, r.n_columns) for r in misfits.collect()] == [("b", 2, 2)]
+
+
+def test_surrogate_ids_of_texts_nulls_and_ties(spark):
+    rows = [(None if i % 11 == 0 else "same" if i % 3 else f"t{i % 7}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "a string, b int")
+    want = [(r.a, r.b) for r in df.orderBy("a", "b").collect()]
+    got = constraints.surrogate_id(df.repartition(5), ["a", "b"], parts=8).orderBy("id").collect()
+    assert [(r.a, r.b) for r in got] == want and [r.id for r in got] == list(range(1, 301))
+    assert constraints.surrogate_id(df.limit(0), ["a", "b"]).count() == 0
+
+
+def test_medians_are_exact(spark):
+    df = spark.range(40_000).selectExpr("nullif(id % 4, 0) as k", "case when id % 4 = 1 then 7 when id % 4 = 2 then pmod(hash(id), 1000) / 8 when id % 4 = 3 and id < 8 then id when id % 4 = 0 then hash(id) end as v")
+    want = {r.k: r.m for r in df.groupBy("k").agg(F.median("v").alias("m")).collect()}
+    assert {r.k: r.v_median for r in scaling.value_summary(df, ["k"], "v").collect()} == want
+
+
 def test_unpivot_drops_or_keeps_nulls(spark):
     df = spark.createDataFrame([(1, 2.0, None)], "id int, a double, b double")
     assert files.unpivot_matrix(df, ["id"], ["a", "b"]).count() == 1
