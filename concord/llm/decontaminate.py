@@ -11,8 +11,10 @@ inconsistent alignments don't count. Windows that matched ones span together cou
 an item when its consistent windows cover at least COVER of the item's windows, of which none is left out, or when an
 alignment has QUOTE tokens of the item in one run, however long the item is.
 
-Defined results: null or empty texts match nothing; repeated rows of a doc_id count as one document; rows without a
-doc_id are taken together; items without a token are skipped; items with equal ids are one item.
+Defined results: null or empty texts match nothing. A document is a doc_id (which may be null) with a text: repeated rows
+are one document, rows that share a doc_id but not a text are several, each with its own matches. Items without a token
+or id are skipped; of several texts under one item id each is held against the documents, and the best match is reported.
+Whether a text is contaminated depends on the text alone, so ``clean`` drops rows without a doc_id too.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm.common import let, salted_rows_bound, table, written
+from concord.llm.common import let, private, salted_rows_bound, table, written
 
 WINDOW, COVER, QUOTE = 5, 0.5, 13
 BROADCAST_ROWS = 500_000  # windows of the benchmark; beyond it the join shuffles both sides
@@ -82,10 +84,11 @@ def _windows(text: Column, sizes: list[int], exact: bool) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, n_windows, h, at, slots, literal."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").dropDuplicates(["item_id"])
-    rows = items.select("item_id", F.explode(_windows(F.col("text"), list(range(1, WINDOW + 1)), True)).alias("w")).select("item_id", "w.*")
-    return rows.join(rows.groupBy("item_id").agg(F.count_distinct("at").alias("n_windows")), "item_id")
+    """item_id, item_text (a digest), n_windows, h, at, slots, literal."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    items = items.withColumn("item_text", F.xxhash64("text"))
+    rows = items.select("item_id", "item_text", F.explode(_windows(F.col("text"), list(range(1, WINDOW + 1)), True)).alias("w")).select("item_id", "item_text", "w.*")
+    return rows.join(rows.groupBy("item_id", "item_text").agg(F.count_distinct("at").alias("n_windows")), ["item_id", "item_text"])
 
 
 def _spanned(at: Column) -> Column:
@@ -99,35 +102,56 @@ def _quoted(at: Column) -> Column:
     return F.exists(F.transform(at, lambda p, k: F.coalesce(F.get(at, k + more) == p + more, F.lit(False))), lambda x: x)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
-    """doc_id, item_id, matched (windows), n_windows, coverage, reparameterised (some slot differs)."""
+DOC, ITEM = ["doc_id", "doc_text"], ["item_id", "item_text"]
+
+
+def text_digest(text: Column) -> Column:
+    """Names a text; null and empty texts, which match nothing, share one."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def found(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
+    """doc_id, doc_text (see text_digest), item_id, matched (windows), n_windows, coverage, reparameterised (some slot differs).
+
+    Document windows are hash-joined with the items' windows, which are broadcast only up to BROADCAST_ROWS; beyond that
+    both sides shuffle, and Spark splits the partitions of common windows (a plain join, so its skew handling applies)."""
     items = written(item_windows(benchmark), "items")
     lengths = benchmark.select(F.size(_tokens(F.col("text").cast("string"))).alias("n")).where("n >= 1")
     sizes = sorted(r[0] for r in lengths.select(F.least("n", F.lit(WINDOW))).distinct().collect()) or [WINDOW]  # WINDOW values at most
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = text.select("doc_id", F.explode(_windows(F.col("text"), sizes, False)).alias("w")).select("doc_id", F.col("w.h").alias("h"), F.col("w.at").alias("doc_at"), F.col("w.slots").alias("doc_slots"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("doc_text"), F.col("text").cast("string").alias("text"))
+    seen = text.select(*DOC, F.explode(_windows(F.col("text"), sizes, False)).alias("w"))
+    seen = seen.select(*DOC, F.col("w.h").alias("h"), F.col("w.at").alias("doc_at"), F.col("w.slots").alias("doc_slots"))
     side = items.withColumnRenamed("slots", "item_slots")
     hits = seen.join(F.broadcast(side) if salted_rows_bound(side, BROADCAST_ROWS) else side, "h")
     # what matches literally maps each of the item's values to itself, whatever the document's context makes of the word
     none = F.array().cast("array<string>")
     at_item = F.coalesce("item_slots", none)
     at_doc = F.when(F.col("literal"), at_item).when(F.size(at_item) == 0, none).otherwise(F.coalesce("doc_slots", none))
-    hits = hits.select("doc_id", "item_id", (F.col("doc_at") - F.col("at")).alias("shift"), "at", "n_windows", F.arrays_zip(at_item.alias("i"), at_doc.alias("d")).alias("pairs"))
+    hits = hits.select(*DOC, *ITEM, (F.col("doc_at") - F.col("at")).alias("shift"), "at", "n_windows", F.arrays_zip(at_item.alias("i"), at_doc.alias("d")).alias("pairs"))
     # at most one row per window of the item and alignment; a set of pairs is bounded by the item's slots
-    lines = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("at").alias("at"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    pairs = F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+    lines = hits.groupBy(*DOC, *ITEM, "shift").agg(F.collect_set("at").alias("at"), F.max("n_windows").alias("n_windows"), pairs)
     one = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
     two = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"])))
-    good = lines.where(one & two).select("doc_id", "item_id", "n_windows", _spanned(F.col("at")).alias("ats"), F.exists("pairs", lambda p: p["i"] != p["d"]).alias("differs"))
-    good = good.select("doc_id", "item_id", "n_windows", F.explode("ats").alias("at"), "differs", _quoted(F.col("ats")).alias("quoted"))
-    found = good.groupBy("doc_id", "item_id", "at").agg(F.max("n_windows").alias("n_windows"), F.min("differs").alias("differs"), F.max("quoted").alias("quoted")).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("matched"), F.max("n_windows").alias("n_windows"), F.max("differs").alias("reparameterised"), F.max("quoted").alias("quoted"))
+    good = lines.where(one & two).select(*DOC, *ITEM, "n_windows", _spanned(F.col("at")).alias("ats"), F.exists("pairs", lambda p: p["i"] != p["d"]).alias("differs"))
+    good = good.select(*DOC, *ITEM, "n_windows", F.explode("ats").alias("at"), "differs", _quoted(F.col("ats")).alias("quoted"))
+    good = good.groupBy(*DOC, *ITEM, "at").agg(F.max("n_windows").alias("n_windows"), F.min("differs").alias("differs"), F.max("quoted").alias("quoted"))
+    each = good.groupBy(*DOC, *ITEM).agg(F.count(F.lit(1)).alias("matched"), F.max("n_windows").alias("n_windows"), F.max("differs").alias("reparameterised"), F.max("quoted").alias("quoted"))
     share = F.col("matched") / F.col("n_windows")
-    return found.where((share >= cover) | F.col("quoted")).select("doc_id", "item_id", "matched", "n_windows", F.round(share, 6).alias("coverage"), "reparameterised")
+    each = each.where((share >= cover) | F.col("quoted")).withColumn("coverage", F.round(share, 6))
+    best = F.max(F.struct("coverage", "matched", "n_windows", "reparameterised")).alias("b")
+    return each.groupBy(*DOC, "item_id").agg(best).select(*DOC, "item_id", "b.matched", "b.n_windows", "b.coverage", "b.reparameterised")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
+    """doc_id, item_id, matched, n_windows, coverage, reparameterised of every contaminated document; see ``found``."""
+    return found(docs, benchmark, cover).drop("doc_text")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
-    """The rows of ``docs`` that no item contaminates; rows without a doc_id stay."""
-    gone = matches(docs, benchmark, cover).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` whose text no item contaminates, whatever their doc_id."""
+    gone = found(docs, benchmark, cover).select(F.col("doc_text").alias(private(docs))).distinct()
+    return docs.join(gone, text_digest(docs["text"]) == gone[private(docs)], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

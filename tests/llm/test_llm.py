@@ -86,6 +86,75 @@ def test_maximal_segments_against_brute_force():
         assert [x[:2] for x in toxicity.maximal_segments(list(sc), list(sc.values()), 0.4)] == best(0, n)
 
 
+def plain_toxicity(rows, labels):
+    """doc_id -> score, without Spark: direct counts, all maximal segments by recursion, plain sums."""
+    import math
+    import zlib
+    from collections import Counter
+
+    split = lambda t: toxicity._find((t or "").lower())
+    texts: dict = {}
+    for i, t in rows:
+        marks = [y for k, y in labels if k == i and y in (0, 1)]
+        if i is not None and marks and zlib.crc32(str(i).encode()) % 3 != 1:
+            texts[t] = max(texts.get(t, 0), *marks)
+    n, docs = (Counter(), Counter()), Counter()
+    for t, y in texts.items():
+        tokens = [k for w in split(t) for k in toxicity.tokens_of(w)]
+        n[y].update(tokens)
+        docs.update(set(tokens) if y else ())
+    total = [sum(c.values()) for c in n]
+    prior = toxicity.PRIOR_SHARE * sum(total)
+    lexicon = {}
+    for k in set(n[0]) | set(n[1]):
+        a = toxicity.PRIOR_LEAST + toxicity.PRIOR_SHARE * (n[0][k] + n[1][k])
+        side = [math.log((n[y][k] + a) / max(total[y] + prior - n[y][k] - a, 1)) for y in (0, 1)]
+        delta = side[1] - side[0]
+        if delta >= toxicity.MIN_DELTA and delta / math.sqrt(1 / (n[1][k] + a) + 1 / (n[0][k] + a)) >= toxicity.MIN_Z and docs[k] >= toxicity.MIN_DOCS:
+            lexicon[k] = delta
+    freq = {k: (n[0][k] + 5 / len(lexicon)) / total[0] for k in lexicon}
+    gap = max(toxicity.GAP, 2 * sum(freq[k] * lexicon[k] for k in lexicon))
+    decay = toxicity._decay(np.array(list(lexicon.values())), np.array(list(freq.values())), gap)
+
+    def segments(full, lo, hi):
+        found = max(((sum(full[i : j + 1]), -i, -j) for i in range(lo, hi) for j in range(i, hi)), default=(0, 0, 0))
+        return [] if found[0] <= 1e-12 else [*segments(full, lo, -found[1]), found[0], *segments(full, -found[2] + 1, hi)]
+
+    def scan(t):
+        full = [max((lexicon[k] for k in toxicity.tokens_of(w) if k in lexicon), default=-gap) for w in split(t)]
+        return len(full), segments(full, 0, len(full))
+
+    clean = [scan(t) for t, y in texts.items() if y == 0]
+    log_k = math.log((sum(len(s) for _, s in clean) + 1) / sum(k for k, _ in clean)) + decay * min(lexicon.values())
+    evidence = lambda k, s: sum(max(0.0, decay * x - log_k - math.log(max(k, 1))) for x in s)
+    bins: dict = {}
+    for t, y in texts.items():
+        x = evidence(*scan(t))
+        bins.setdefault(round(math.log1p(x) / toxicity.BIN), []).append((x, y))
+    each = [(np.mean([x for x, _ in g]), sum(y for _, y in g), sum(1 - y for _, y in g)) for _, g in sorted(bins.items())]
+    a, b = toxicity._logistic(*(np.array(c, float) for c in zip(*each, strict=True)))
+    return [(i, 1 / (1 + math.exp(-max(-30, min(30, a + b * evidence(*scan(t))))))) for i, t in rows]
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    rnd = random.Random(9)
+    rows, labels = [], []
+    for i in range(600):
+        words = [f"w{rnd.randint(0, 40)}" for _ in range(rnd.randint(3, 25))]
+        if i % 4 == 0:
+            for _ in range(2):
+                words[rnd.randrange(len(words))] = rnd.choice(["vile", "scum", "idiot"]) + rnd.choice(["", "ic", "ish"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    rows += [(None, "vile scum"), (700, None), (701, ""), (702, "vile " * 30 + "w1 " * 30), (3, rows[3][1]), (703, rows[0][1])]
+    labels += [(None, 1), (703, 0), (7, 1), (9, None)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score int")
+    got = toxicity.classified(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    for (i, x), (k, y) in zip(sorted(((r.doc_id, r.score) for r in got), key=key), sorted(plain_toxicity(rows, labels), key=key), strict=True):
+        assert i == k and abs(x - y) < 1e-6, (i, x, y)
+
+
 def test_toxicity_on_held_out_rows(spark):
     rnd = random.Random(5)
     rows, labels = [], []
@@ -123,6 +192,82 @@ def test_decontamination_of_items_full_of_placeholders(spark):
     assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == [1, 3, 4, 8, 9]
 
 
+def plain_matches(docs, items):
+    """(doc_id, item_id) -> contaminated, without Spark: templates by loops, every alignment tried."""
+    import regex
+
+    w, token = decontaminate.WINDOW, regex.compile(decontaminate.TOKEN)
+    number = regex.compile(r"\p{N}+(?:[.,]\p{N}+)*")
+
+    def tokens(text):
+        """(placeholder or lower-cased word, value or None) of each token."""
+        text = text or ""
+        name = {m.span() for m in regex.finditer(r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+(?![\p{L}\p{M}])", text)}
+        unit = {m.span() for m in regex.finditer(rf"(?i)(?<=\p{{N}}[ ])(?:{decontaminate.UNITS})(?![\p{{L}}\p{{M}}])", text)}
+        out = []
+        for m in token.finditer(text):
+            kind = "<num>" if number.fullmatch(m[0]) else "<name>" if m.span() in name else "<unit>" if m.span() in unit else None
+            out.append((kind or m[0].lower(), m[0].lower() if kind else None))
+        return out
+
+    def contaminated(doc, item):
+        size = min(w, len(item))
+        n = len(item) - size + 1
+        covered, quoted = set(), False
+        for shift in range(-len(item), len(doc)):
+            at, pairs = set(), set()
+            for i in range(n):
+                if not 0 <= i + shift <= len(doc) - size:
+                    continue
+                a, b = item[i : i + size], doc[i + shift : i + shift + size]
+                slots = [x[1] for x in a if x[1] is not None]
+                literal = [x[1] or x[0] for x in a] == [x[1] or x[0] for x in b]
+                typed = [x[0] for x in a] == [x[0] for x in b] and len(slots) <= (size - 1) // 2
+                if typed:
+                    at.add(i)
+                    pairs |= {(x[1], y[1]) for x, y in zip(a, b, strict=True) if x[1] is not None}
+                if literal:
+                    at.add(i)
+                    pairs |= {(v, v) for v in slots}
+            if not at or len({a for a, _ in pairs}) < len(pairs) or len({b for _, b in pairs}) < len(pairs):
+                continue
+            ordered = sorted(at)
+            for p, q in zip(ordered, ordered[1:], strict=False):
+                at |= set(range(p, q)) if q <= p + w else set()
+            covered |= at
+            quoted |= any(set(range(p, p + decontaminate.QUOTE - w + 1)) <= at for p in at)
+        return len(covered) >= decontaminate.COVER * n or quoted
+
+    return {(d, i) for d, text in docs for i, words in ((i, tokens(x)) for i, x in items) if words and contaminated(tokens(text), words)}
+
+
+def test_decontamination_equals_a_plain_version(spark):
+    rnd = random.Random(11)
+    words = "the a of red blue train car runs buys gives adds then and to for with Anna Bob Carl 7 12 3.5 1,000 kg km hours =".split()
+    sentence = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    items = [(i, sentence(rnd.choice([1, 2, 3, 4, 5, 6, 9, 20]))) for i in range(40)]
+    docs = []
+    for i in range(160):
+        base = rnd.choice(items)[1].split()
+        if i % 2:
+            base = [rnd.choice(["5", "9", "44"]) if x[0].isdigit() and rnd.random() < 0.5 else rnd.choice(["Dora", "Emil"]) if x[0].isupper() and rnd.random() < 0.5 else x for x in base]
+        docs.append((i, " ".join([sentence(rnd.randint(0, 5)), *base[: rnd.randint(1, 25)], sentence(rnd.randint(0, 5))]).strip()))
+    got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = plain_matches(docs, items)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 50
+
+
+def test_decontamination_of_rows_without_or_with_repeated_ids(spark):
+    item = "the quick brown fox jumps over the lazy dog near the river bank"
+    rows = [(None, f"so {item} it ends", 0), (None, "something else entirely", 1), (1, f"so {item}", 2), (1, "another text of that id", 3), (1, "another text of that id", 4), (2, "", 5), (3, None, 6), (4, LONG, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _own int")
+    items = spark.createDataFrame([(9, item, 0), (9, "a second text under the same id of an item", 0), (None, "another text of that id", 0)], "item_id long, text string, doc_id int")
+    assert sorted((r.doc_id is None, r.item_id, r.coverage) for r in decontaminate.matches(docs, items).collect()) == [(False, 9, 1.0), (True, 9, 1.0)]
+    kept = decontaminate.clean(docs, items)
+    assert kept.columns == docs.columns and sorted(r["_own"] for r in kept.collect()) == [1, 3, 4, 5, 6, 7]
+    assert decontaminate.clean(docs.limit(0), items).count() == 0
+
+
 def test_decontamination_counts_windows_that_matched_ones_span(spark):
     items = spark.createDataFrame([(1, "we add up 1 2 3 to get all of it")], "item_id long, text string")
     docs = frame(spark, ["we add up 4 5 6 to get all of it", "they say we add up 4 5 here"])
