@@ -23,6 +23,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is not in the one column of ``gone``; rows with a null key stay. ``gone`` is written
+    and counted, and broadcast only if it is small."""
+    own = private(docs)
+    gone = written(gone.toDF(own).where(F.col(own).isNotNull()).distinct(), "gone")
+    side = F.broadcast(gone) if salted_rows_bound(gone, BROADCAST_ROWS) else gone
+    return docs.join(side, key == side[own], "left_anti")
+
+
 def private(df: DataFrame, name: str = "_own") -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 from concord.llm.common import written
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """u, m: the smallest neighbour of each node. Written, so that the join on a node with many edges is a plain one, whose
+    large partitions Spark splits."""
+    return written(edges.groupBy("u").agg(F.min("v").alias("m")), "cc")
+
+
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = _least(both).withColumn("m", F.least("u", "m"))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = _least(down)
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm.common import let, private, salted_rows_bound, table, written
+from concord.llm.common import let, salted_rows_bound, table, without, written
 
 WINDOW, COVER, QUOTE = 5, 0.5, 13
 BROADCAST_ROWS = 500_000  # windows of the benchmark; beyond it the join shuffles both sides
@@ -150,8 +150,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> Data
 
 def clean(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """The rows of ``docs`` whose text no item contaminates, whatever their doc_id."""
-    gone = found(docs, benchmark, cover).select(F.col("doc_text").alias(private(docs))).distinct()
-    return docs.join(gone, text_digest(docs["text"]) == gone[private(docs)], "left_anti")
+    return without(docs, text_digest(docs["text"]), found(docs, benchmark, cover).select("doc_text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

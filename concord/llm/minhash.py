@@ -14,9 +14,13 @@ buckets' centres, then against the centres whose class still differs from its ow
 buckets with several classes even so connect, all documents against each other, block by block. So no pair of a bucket
 is left undecided unless its two documents are already in one class, and rows never grow with the pairs of a group.
 
+Of the published scheme this keeps the Poisson processes over discretised weights, one for each dyadic level with
+rejection; it doesn't split them recursively or end them early by a queue, since points are made for whole arrays at once.
+
 Defined results: null texts count as empty; all texts without a word form one class; class_id is the class's
-smallest doc_id; repeated rows give repeated rows; rows whose doc_id is null are classed by their texts too, but
-never lend a class its id unless no other member has one (then it is null).
+smallest doc_id; repeated rows give repeated rows, and rows that share a doc_id are one document; rows whose doc_id is
+null are compared and classed like others, each text as a document of its own, but never lend a class its id unless no
+other member has one (then class_id is null, as is rep_id where all rows with the same words have none).
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm.common import table, written
+from concord.llm.common import private, table, without, written
 from concord.llm.components import components
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -259,15 +263,30 @@ def _placed(slots: DataFrame, found: DataFrame) -> DataFrame:
     return slots.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "u", "doc_id", F.coalesce("root", "doc_id").alias("label"))
 
 
+#: Ids of texts that come without one; doc_ids are assumed to be smaller.
+NAMELESS = 1 << 62
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text: rows without a doc_id get one from their text, larger than all real ones."""
+    text = F.col("text").cast("string")
+    own = F.lit(NAMELESS) + F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(1 << 61))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), own).alias("doc_id"), text.alias("text"))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, rep_id for every row of ``docs`` (doc_id, text; other columns are ignored).
 
     rep_id is the smallest doc_id among rows with the same words, class_id the smallest of the whole class.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    got = _classes(identified(docs), threshold)
+    return got.select(*(F.when(F.col(c) < NAMELESS, F.col(c)).alias(c) for c in ("doc_id", "class_id", "rep_id")))
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     marks = written(signed(docs), "bag")
-    reps = marks.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    heads = marks.join(reps.select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id", "left_semi")
+    reps = written(marks.groupBy("key").agg(F.min("doc_id").alias("rep")), "bag")
+    heads = marks.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     slots = heads.select("doc_id", F.explode("bands").alias("band"))
     mins = slots.groupBy("band").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("z")).where("u < z").select("band", "u")
     slots = written(slots.join(mins, "band").distinct(), "bag")  # only buckets with more than one document
@@ -297,15 +316,21 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         extra = written(_among(texts, inside, threshold), "bag")
         if not extra.isEmpty():
             found = components(links.unionByName(extra))
-    member = marks.select("doc_id", "key").join(reps, "key").select("doc_id", "rep")
-    return member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"), F.col("rep").alias("rep_id"))
+    # classes first meet the representatives, one row each; copies join them by their words in one plain join
+    named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("class_id"))
+    return marks.select("doc_id", "key").join(written(named, "bag"), "key").select("doc_id", "class_id", F.col("rep").alias("rep_id"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the document with the smallest doc_id; rows that repeat one
-    doc_id are one document and stay or go together; rows without a doc_id stay."""
-    gone = classes(docs, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` that stay: of each class the document with the smallest doc_id. Rows that repeat one doc_id are
+    one document and stay or go together; of rows without a doc_id one of each text can stay, and only where no document
+    of its class has an id."""
+    gone = _classes(identified(docs), threshold).where("doc_id <> class_id").select("doc_id")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NAMELESS) + F.pmod(F.xxhash64(text), F.lit(1 << 61)))
+    kept = without(docs, own, gone)
+    nameless = kept.where("doc_id is null").withColumn(private(docs), text).dropDuplicates([private(docs)]).drop(private(docs))
+    return kept.where("doc_id is not null").unionByName(nameless)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

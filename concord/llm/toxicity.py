@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from concord.llm.common import salted_rows_bound, table, written
 
@@ -46,6 +47,8 @@ BIN = 0.02  # width of the curve's bins on the scale ln(1 + evidence)
 MEMO = 200_000  # words whose score a task remembers
 FLUSH = 200_000  # tokens a task counts before it hands its partial counts on
 
+SEGMENTS = ArrayType(StructType([StructField("first", IntegerType()), StructField("last", IntegerType()), StructField("score", DoubleType()), StructField("e_value", DoubleType())]))
+
 _find = re.compile(r"\w+").findall
 
 
@@ -220,7 +223,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict | None:
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id, score, segments (first word, last word, score, e_value) of every row; the significant ones only."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _scored(rows, model, ["doc_id"])
+
+
+def _scored(rows: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of every row, score and segments: one pass over the texts, no shuffle."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,10 +247,12 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
                 log_e = [(a, b, s, m["log_k"] + math.log(max(n, 1)) - m["decay"] * s) for a, b, s in segments]
                 found.append([{"first": a, "last": b, "score": s, "e_value": math.exp(max(-700.0, e))} for a, b, s, e in log_e if e < 0])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(found, kind)], ["doc_id", "score", "segments"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64()), pa.array(found, kind)], [*keep, *names])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, segments array<struct<first int, last int, score double, e_value double>>")
+    names = ["_score", "_segments"]
+    out = StructType([*(rows.schema[c] for c in keep), StructField(names[0], DoubleType()), StructField(names[1], SEGMENTS)])
+    got = rows.mapInArrow(run, out)
+    return got.select(*(got[c] for c in keep), got["_score"].alias("score"), got["_segments"].alias("segments"))
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -249,6 +260,15 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return got.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "segments")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, with all their columns; rows without a doc_id are scored alike.
+
+    A row is decided where it is scored, so nothing is joined."""
+    model = learn(docs, labels)
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    return _scored(row, model, ["row"]).where(F.col("score") < THRESHOLD).select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return got.select("doc_id", "held_out", "score", "predicted", F.size("segments").alias("n_segments"))

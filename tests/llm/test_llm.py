@@ -4,7 +4,6 @@ import random
 from array import array
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from concord.llm import ann, bpe, components, decontaminate, html_text, licenses, minhash, token_counts, toxicity, url_filters, warc
@@ -55,6 +54,43 @@ def test_near_duplicates(spark):
     assert minhash.classes(docs.limit(0)).count() == 0
 
 
+def plain_classes(texts):
+    """The smallest index of each text's class, by the exact weighted Jaccard similarity of all pairs and union-find."""
+    from collections import Counter
+
+    bags = [Counter(minhash.shingles(minhash.words_of(t)).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both, either = sum((bags[i] & bags[j]).values()), sum((bags[i] | bags[j]).values())
+            if not either or both >= 0.8 * either:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def test_near_duplicates_equal_all_pairs(spark):
+    """Null ids are among them."""
+    rnd = random.Random(21)
+    texts = []
+    for f in range(12):
+        base = [f"f{f}w{rnd.randint(0, 60)}" for _ in range(rnd.choice([8, 30, 90, 300]))]
+        for _ in range(rnd.choice([1, 3, 8, 20])):
+            t = base[:]
+            for _ in range(rnd.choice([0, 0, 1, 2, 4]) * len(t) // 90):
+                t[rnd.randrange(len(t))] = f"x{rnd.randint(0, 999)}"
+            texts.append(" ".join(t + t[:20] * rnd.choice([0, 0, 1])))
+    rnd.shuffle(texts)
+    rows = [(None if i % 9 == 4 else i, t, i) for i, t in enumerate([*texts, "", None, "one", "one", LONG])]
+    root = plain_classes([t for _, t, _ in rows])
+    ids = {r: min((rows[k][0] for k in range(len(rows)) if root[k] == r and rows[k][0] is not None), default=None) for r in set(root)}
+    want = sorted(((rows[k][0], ids[root[k]]) for k in range(len(rows))), key=repr)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key long")
+    assert sorted(((r.doc_id, r.class_id) for r in minhash.classes(docs).collect()), key=repr) == want
+    kept = [r.key for r in minhash.keep_one(docs).collect()]
+    assert sorted(root[k] for k in kept) == sorted(set(root)) and len({r for r in root}) < len(rows) - 20
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 99), (7, 7)], "u long, v long")
     assert {r.node: r.root for r in components.components(e).collect()} == {i: 0 for i in range(1, 31)} | {100: 99}
@@ -72,6 +108,15 @@ def test_components_of_random_edges_against_union_find(spark):
         assert sorted((r.node, r.root) for r in got) == [(i, r) for i, r in enumerate(root) if r != i]
 
 
+def test_toxic_rows_go_with_or_without_an_id(spark):
+    rows = [(i, "vile scum idiot talk " * 3 + f"w{i}" if i % 3 == 0 else f"some plain words w{i} and more w{i % 7}") for i in range(90)] + [(None, "vile scum idiot talk " * 3), (None, "plain words")]
+    docs = spark.createDataFrame([(*r, 1, [2]) for r in rows], "doc_id long, text string, score int, row array<int>")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    kept = toxicity.without_toxic(docs, labels)
+    assert kept.columns == docs.columns and {(r.doc_id, r.text) for r in kept.collect()} == {r for r in rows if "vile" not in r[1]}
+    assert toxicity.without_toxic(docs.limit(0), labels).count() == 0 and toxicity.without_toxic(docs, labels.limit(0)).count() == 92
+
+
 def test_maximal_segments_against_brute_force():
     rnd = random.Random(0)
     for _ in range(300):
@@ -422,11 +467,60 @@ def test_registry_matches_the_entry():
     assert {"pipeline"} <= names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
 
 
-@pytest.mark.parametrize("k", [0])
-def test_pipeline_stages_keep_columns(spark, k):
+def test_pipeline_equals_plain_versions(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    rnd = random.Random(17)
+    items = [(1, "if John has 7 apples and gives 3 apples to Mary then how many of the 7 apples remain"), (2, "the quick brown fox jumps over the lazy dog near the river bank")]
+    rows, labels = [], []
+    for i in range(400):
+        words = [f"w{rnd.randint(0, 40)}" for _ in range(rnd.randint(6, 25))]
+        if i % 5 == 0:
+            for _ in range(3):
+                words[rnd.randrange(len(words))] = rnd.choice(["vile", "scum", "idiot"]) + rnd.choice(["", "ic", "ish"])
+        if i % 11 == 3:
+            words += [items[0][1].replace("John", "Peter").replace("7", "12"), "end"] if i % 2 else [items[1][1]]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 5 == 0)))
+    for i in range(20):
+        t = rows[rnd.randrange(400)][1].split()
+        rows.append((1000 + i, " ".join(t if i % 2 else [*t, "extra"])))
+    rows += [(None, rows[1][1]), (None, "of its own, without an id"), (None, "of its own, without an id"), (None, items[1][1]), (None, "vile scum idiot talk " * 3), (2000, ""), (2001, None), (2002, LONG[:400]), (7, rows[7][1])]
+    for name, df in {
+        "documents": spark.createDataFrame([(i, t, "en", "s", len(t or ""), "c") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _own string"),
+        "labels": spark.createDataFrame(labels, "doc_id long, toxic int"), "benchmark": spark.createDataFrame(items, "item_id long, text string"),
+    }.items():
+        df.repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    score = plain_toxicity(rows, labels)
+    clean = [(i, t) for (i, t), (_, p) in zip(rows, score, strict=True) if p < toxicity.THRESHOLD]
+    root = plain_classes([t for _, t in clean])
+    least = {r: min((clean[k][0] for k in range(len(clean)) if root[k] == r and clean[k][0] is not None), default=None) for r in set(root)}
+    kept, seen = [], set()
+    for (i, t), r in zip(clean, root, strict=True):
+        if i == least[r] and (i is not None or r not in seen):
+            kept.append((i, t))
+            seen.add(r)
+    bad = {d for d, _ in plain_matches(list(enumerate(t for _, t in kept)), items)}
+    left = [row for k, row in enumerate(kept) if k not in bad]
+    assert len(rows) - 20 > len(clean) > len(kept) + 15 > len(left) + 20
+    lib = Tokenizer.from_file(bpe.default_vocabulary())
+    want = sorted(((i, lib.encode(t or "", add_special_tokens=False).ids) for i, t in left), key=repr)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, list(array("I", r.ids))) for r in got), key=repr) == want
+    assert all(r.round_trip and r.n_tokens == len(r.ids) // 4 for r in got)
+
+
+def test_pipeline_stages_keep_columns_and_survive_empty_tables(spark, tmp_path):
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "minhash near-dedup", "benchmark decontamination", "bpe"]
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    out = corpus_pipeline.STAGES[2][1](spark, docs, "/root/testdata/sf0.001")
-    assert out.columns == docs.columns and 0 < out.count() < docs.count()
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, row int, _own string, bands int, h long")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
