@@ -10,24 +10,25 @@ from concord.llm.common import table, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that operator 4 predicts toxic go; rows without a doc_id stay."""
-    got = toxicity.classified(docs, table(spark, sf_dir, "labels"))
-    gone = got.where("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Rows whose text operator 4 predicts toxic go, whether they have a doc_id or not. Null and empty texts stay (they have
+    no evidence); with no labels nothing goes."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate class of operator 2 the document with the smallest doc_id stays."""
+    """Of each near-duplicate class of operator 2 the document with the smallest doc_id stays, with all rows that repeat that
+    doc_id; of a class without any doc_id one row stays. Null and empty texts are one class."""
     return minhash.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that operator 7 finds contaminated go."""
+    """Rows whose text operator 7 finds contaminated go, whether they have a doc_id or not; null and empty texts stay."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids (packed little-endian unsigned 32-bit) and whether they decode to the text."""
+    """doc_id, lang, source, n_tokens, ids (packed little-endian unsigned 32-bit) and whether they decode to the text; null
+    and empty texts have no ids."""
     path = bpe.default_vocabulary()
     got = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
     same = F.coalesce("text", F.lit("")) == F.col("decoded")
