@@ -4,12 +4,14 @@ A list entry (pattern, since, action) holds from its date until the pattern's ne
 domain of it, or a host with a first path segment. A capture is evaluated against the entries active at its fetch time,
 and is blocked if an active entry of any of its patterns says "block"; the longest active pattern is reported.
 
-The as-of join has two levels, so that a host with a third of all captures is not one task: time is cut into buckets;
-within a (pattern, bucket) a window finds the last entry, and what held at the bucket's start comes from a window over
-the pattern's buckets, one row each. Intervals get their ends in the same way.
+The as-of join has two levels, so that a host with a third of all captures is not one task: a pattern's time is cut into
+buckets, as many as give about BUCKET rows each; within a (pattern, bucket) a window finds the last entry, and what held at
+the bucket's start comes from a window over the pattern's buckets, one row each. Intervals get their ends in the same way.
 
 Defined results: of entries of one pattern and date "block" wins; entries with a null pattern or date are ignored;
-captures without a fetch time or host have no active entry and pass; repeated captures give repeated rows.
+captures without a fetch time or host have no active entry and pass, those without an id are evaluated like others; each
+row is evaluated by itself, so repeated ids and repeated captures give a row each. The captures' own columns stay as they
+are; where one is named like a column of the result (blocked, pattern, since), the result's name gets underscores.
 """
 
 from __future__ import annotations
@@ -17,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from concord.llm.common import table
+from concord.llm.common import BROADCAST_ROWS, private, salted_rows_bound, table, written
 
-BUCKET_S = 6 * 3600
+BUCKET = 5000  # rows of a pattern that a task handles together, about
 
 
 def host_of(url: Column) -> Column:
@@ -34,13 +36,20 @@ def patterns_of(url: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(domains, F.array(F.when(first != "", F.concat(host, F.lit("/"), first))))), lambda p: p.isNotNull() & (p != ""))
 
 
-def _bucket(ts: Column) -> Column:
-    return F.floor(F.unix_seconds(ts) / BUCKET_S)
+def _bucketed(rows: DataFrame, at: str) -> DataFrame:
+    """``rows`` (pattern, ``at``, ...) with their bucket: a pattern's time from its first to its last row in equal parts."""
+    second = F.unix_seconds(at)
+    stats = rows.groupBy("pattern").agg(F.min(second).alias("_from"), (F.max(second) - F.min(second)).alias("_span"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BUCKET)
+    wide = written(stats.select("pattern", "_from", F.greatest(F.floor(F.col("_span") * BUCKET / F.col("_n")), F.lit(1)).alias("_width")), "buckets")
+    side = F.broadcast(wide) if salted_rows_bound(wide, BROADCAST_ROWS) else wide
+    bucket = F.coalesce(F.floor((second - F.col("_from")) / F.col("_width")), F.lit(0))
+    return rows.join(side, "pattern", "left").withColumn("bucket", bucket).drop("_from", "_width")
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """pattern, action, since, until (null: open): the validity intervals of dated entries (pattern, since, action)."""
-    e = entries.where("pattern is not null and since is not null").groupBy("pattern", "since").agg(F.min("action").alias("action")).withColumn("bucket", _bucket(F.col("since")))
+    e = entries.where("pattern is not null and since is not null").groupBy("pattern", "since").agg(F.min("action").alias("action"))
+    e = _bucketed(e, "since")
     first = e.groupBy("pattern", "bucket").agg(F.min("since").alias("first"))
     later = first.select("pattern", "bucket", F.lead("first").over(Window.partitionBy("pattern").orderBy("bucket")).alias("later"))
     nxt = F.lead("since").over(Window.partitionBy("pattern", "bucket").orderBy("since"))
@@ -50,9 +59,10 @@ def intervals(entries: DataFrame) -> DataFrame:
 def active(captures: DataFrame, spans: DataFrame) -> DataFrame:
     """captures (row, pattern, at) and intervals -> row, pattern, action, since, until of the one active then, if any."""
     entry = F.struct("since", "action", "until")
-    e = spans.select("pattern", F.col("since").alias("at"), _bucket(F.col("since")).alias("bucket"), F.lit(0).alias("kind"), entry.alias("entry"), F.lit(None).cast("string").alias("row"))
-    c = captures.select("pattern", "at", _bucket(F.col("at")).alias("bucket"), F.lit(1).alias("kind"), F.lit(None).cast("struct<since:timestamp,action:string,until:timestamp>").alias("entry"), "row")
-    both = c.unionByName(e.select(*c.columns))
+    row = captures.schema["row"].dataType
+    e = spans.select("pattern", F.col("since").alias("at"), F.lit(0).alias("kind"), entry.alias("entry"), F.lit(None).cast(row).alias("row"))
+    c = captures.select("pattern", "at", F.lit(1).alias("kind"), F.lit(None).cast("struct<since:timestamp,action:string,until:timestamp>").alias("entry"), "row")
+    both = _bucketed(c.unionByName(e.select(*c.columns)), "at")
     ends = both.groupBy("pattern", "bucket").agg(F.max("entry").alias("ends"))
     before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     held = ends.select("pattern", "bucket", F.last("ends", ignorenulls=True).over(before).alias("held"))
@@ -61,13 +71,17 @@ def active(captures: DataFrame, spans: DataFrame) -> DataFrame:
     return seen.join(held, ["pattern", "bucket"]).withColumn("e", F.coalesce("last", "held")).where("e is not null").select("row", "pattern", "e.*")
 
 
-def filtered(captures: DataFrame, entries: DataFrame, row: str, url: str, at: str) -> DataFrame:
+def filtered(captures: DataFrame, entries: DataFrame, url: str, at: str) -> DataFrame:
     """Every capture with blocked, pattern (longest active one that decides) and since."""
-    caps = captures.withColumn("_row", F.col(row).cast("string"))
-    keyed = caps.where(F.col(at).isNotNull()).select(F.col("_row").alias("row"), F.col(at).alias("at"), F.explode(patterns_of(F.col(url))).alias("pattern"))
+    own, as_of = F.struct(*(F.col(f"`{c}`") for c in captures.columns)), F.col(at).cast("timestamp")
+    rows = captures.select(F.monotonically_increasing_id().alias("row"), own.alias("capture"), F.col(url).cast("string").alias("url"), as_of.alias("at"))
+    rows = written(rows, "captures")  # the numbers must be the same in both places
+    keyed = rows.where("at is not null").select("row", "at", F.explode(patterns_of(F.col("url"))).alias("pattern"))
     found = active(keyed, intervals(entries)).where("action = 'block'")
     top = found.groupBy("row").agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", "since")).alias("top"))
-    return caps.join(top, F.col("_row") == F.col("row"), "left").select(*captures.columns, F.col("top").isNotNull().alias("blocked"), F.col("top.pattern").alias("pattern"), F.col("top.since").alias("since")).drop("_row")
+    names = [private(captures, n) for n in ("blocked", "pattern", "since")]
+    found = [F.col("top").isNotNull(), F.col("top.pattern"), F.col("top.since")]
+    return rows.join(top, "row", "left").select("capture.*", *(c.alias(n) for n, c in zip(names, found, strict=True)))
 
 
 def fetched(pages: DataFrame) -> DataFrame:
@@ -88,7 +102,7 @@ def dated_entries(captures: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     caps = fetched(table(spark, sf_dir, "pages"))
-    return filtered(caps, dated_entries(caps), "page_id", "url", "fetched_at").select("page_id", "url", "blocked", "pattern", F.unix_seconds("since").alias("since_s"))
+    return filtered(caps, dated_entries(caps), "url", "fetched_at").select("page_id", "url", "blocked", "pattern", F.unix_seconds("since").alias("since_s"))
 
 
 QUERIES = {"op8_url_filters": query}

@@ -15,15 +15,19 @@ no field; repeated rows are repeated records; a record without an id is written,
 from __future__ import annotations
 
 import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm.common import shared_dir, table
+from concord.llm.common import table
+from concord.shared import shared_dir
 
 LEAST = 1000
 FILE_RECORDS = 2000
 CRLF = "\r\n"
+DATE = "%Y-%m-%dT%H:%M:%SZ"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _field(name: str, value: Column) -> Column:
@@ -34,32 +38,36 @@ def _first(boundary: str) -> str:
     return f"WARC/1.1{CRLF}WARC-Archive-Boundary: {boundary}{CRLF}"
 
 
-def records(df: DataFrame, record_id: str, url: str, payload: str) -> DataFrame:
-    """record_id, url, address (SHA-256), digest (SHA-1), bytes, record_type, refers_to: a row for each row of ``df``."""
+def records(df: DataFrame, record_id: str, url: str, payload: str, at: str | None = None) -> DataFrame:
+    """record_id, url, date, address (SHA-256), digest (SHA-1), bytes, record_type, refers_to: a row for each row of ``df``."""
+    date = F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'") if at else F.lit(None).cast("string")
     data = F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary"))
-    thin = df.select(F.col(record_id).cast("long").alias("record_id"), F.col(url).cast("string").alias("url"), F.sha2(data, 256).alias("address"), F.sha1(data).alias("digest"), F.octet_length(data).cast("long").alias("bytes"))
+    thin = df.select(F.col(record_id).cast("long").alias("record_id"), F.col(url).cast("string").alias("url"), date.alias("date"), F.sha2(data, 256).alias("address"), F.sha1(data).alias("digest"), F.octet_length(data).cast("long").alias("bytes"))
     owners = thin.where(F.col("bytes") >= LEAST).groupBy("address").agg(F.max("record_id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     both = thin.join(owners, "address", "left")
     revisit = F.col("owner").isNotNull() & ~F.col("owner").eqNullSafe(F.col("record_id"))
-    return both.select("record_id", "url", "address", "digest", "bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("owner")).alias("refers_to"))
+    return both.select("record_id", "url", "date", "address", "digest", "bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("owner")).alias("refers_to"))
 
 
-def write(df: DataFrame, path: str, record_id: str = "page_id", url: str = "url", payload: str = "html") -> str:
-    """Writes every row of ``df`` as a record of a new archive in folder ``path``; the archive's boundary."""
-    boundary = uuid.uuid4().hex
+def write(df: DataFrame, path: str, record_id: str = "page_id", url: str = "url", payload: str = "html", at: str | None = None) -> str:
+    """Writes every row of ``df`` as a record of a new archive in folder ``path``; the archive's boundary. ``at``: a timestamp
+    column for WARC-Date, by default the time of writing."""
+    boundary, now = uuid.uuid4().hex, datetime.now(UTC).strftime(DATE)
     options = {"lineSep": CRLF + CRLF, "compression": "gzip", "maxRecordsPerFile": str(FILE_RECORDS)}
     data = F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary"))
     once = df.select(F.sha2(data, 256).alias("address"), data.alias("payload")).groupBy("address").agg(F.first("payload").alias("payload"))
     body = F.concat(
-        F.lit(_first(boundary) + "WARC-Type: resource" + CRLF), _field("WARC-Target-URI", F.concat(F.lit("urn:sha256:"), "address")),
+        F.lit(_first(boundary) + "WARC-Type: resource" + CRLF), _field("WARC-Record-ID", F.concat(F.lit("<urn:sha256:"), "address", F.lit(">"))),
+        _field("WARC-Date", F.lit(now)), _field("WARC-Target-URI", F.concat(F.lit("urn:sha256:"), "address")),
         F.lit("Content-Length: "), F.octet_length("payload").cast("string"), F.lit(CRLF + CRLF), F.col("payload").cast("string"),
     )
     once.select(body.alias("value")).write.options(**options).text(f"{path}/payloads")
-    r = records(df, record_id, url, payload)
+    r = records(df, record_id, url, payload, at)
+    revisit = F.col("record_type") == "revisit"
     head = F.concat(
-        F.lit(f"WARC/1.1{CRLF}"), _field("WARC-Type", F.col("record_type")), _field("WARC-Record-ID", F.concat(F.lit("<urn:record:"), F.col("record_id").cast("string"), F.lit(">"))),
+        F.lit(f"WARC/1.1{CRLF}"), _field("WARC-Type", F.col("record_type")), _field("WARC-Date", F.coalesce("date", F.lit(now))), _field("WARC-Record-ID", F.concat(F.lit("<urn:record:"), F.col("record_id").cast("string"), F.lit(">"))),
         _field("WARC-Target-URI", F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))), _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
-        _field("WARC-Refers-To", F.concat(F.lit("<urn:record:"), F.col("refers_to").cast("string"), F.lit(">"))), _field("X-Payload-Address", F.concat(F.lit("sha256:"), "address")), F.lit("Content-Length: "), F.col("bytes").cast("string"),
+        _field("WARC-Profile", F.when(revisit, PROFILE)), _field("WARC-Refers-To", F.concat(F.lit("<urn:record:"), F.col("refers_to").cast("string"), F.lit(">"))), _field("X-Payload-Address", F.concat(F.lit("sha256:"), "address")), F.lit("Content-Length: "), F.when(revisit, "0").otherwise(F.col("bytes").cast("string")),
     )
     r.select(head.alias("value")).write.options(**options).text(f"{path}/headers")
     return boundary
@@ -91,8 +99,11 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, boundary: str) -> DataFrame:
-    """The original records: the columns of headers() and payload."""
-    return headers(spark, path).join(payloads(spark, path, boundary), "address")
+    """The original records: the columns of headers(), payload, and record (the exact bytes of the record: header block, empty
+    line, block, two line ends)."""
+    got = headers(spark, path).join(payloads(spark, path, boundary), "address")
+    block = F.when(F.col("record_type") == "revisit", F.lit("").cast("binary")).otherwise(F.col("payload"))
+    return got.withColumn("record", F.concat(F.encode("head", "utf-8"), F.lit(CRLF + CRLF).cast("binary"), block, F.lit(CRLF + CRLF).cast("binary")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -328,11 +328,24 @@ def test_decontamination_of_partial_quotes(spark):
     assert [r.doc_id for r in decontaminate.matches(docs, items).orderBy("doc_id").collect()] == [0, 1]
 
 
-def test_licenses(spark):
-    text = "Copyright (c) 2020 Someone\n" + licenses._MIT.upper().replace(",", " ,")
-    docs = frame(spark, [text, "x\n  released under the mit licence!\ny", None, "", "Licensed under CC BY-NC 4.0.", "the MIT License is nice"])
+def test_licenses(spark, tmp_path):
+    import duckdb
+
+    text = "Copyright (c) 2020 J. Someone\n" + licenses._MIT.upper().replace(",", " ,")
+    wrapped = "# a file\n" + licenses._MIT.replace(" the ", "\nthe ") + "\nprint(1)\n"
+    texts = [text, "x\n  released under the mit licence!\ny", None, "", "Licensed under CC BY-NC 4.0.", "the MIT License is nice", "Copyright 2020 X. Released under the MIT License.",
+             "Copyright 2020 Foo Inc. All rights reserved. Released under the MIT License.", wrapped, f"{licenses._APACHE}\nand\n{licenses._APACHE}", "!!!", licenses._MIT.replace("granted", "not granted"), "(c) me", LONG]
+    docs = frame(spark, texts)
     got = {(r.doc_id, r.scope, r.license, r.n) for r in licenses.scan(docs, licenses.known(spark)).collect()}
-    assert got == {(0, "text", "MIT", 1), (1, "line", "MIT", 1), (4, "text", "CC-BY-NC-4.0", 1), (4, "line", "CC-BY-NC-4.0", 1)}
+    want = {(0, "text", "MIT", 1), (1, "line", "MIT", 1), (4, "text", "CC-BY-NC-4.0", 1), (4, "line", "CC-BY-NC-4.0", 1), (6, "text", "MIT", 1), (6, "line", "MIT", 1),
+            (7, "text", "MIT", 1), (7, "line", "MIT", 1), (8, "passage", "MIT", 1), (9, "passage", "Apache-2.0", 2)}
+    assert got == want
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert set(con.sql(licenses.ORACLES["op3_license_scan"]).fetchall()) == want
+    own = licenses.registry(spark.createDataFrame([("own", "My own terms apply."), ("none", ""), ("null", None)], "license string, text string"))
+    assert [r.license for r in licenses.scan(frame(spark, ["my own terms apply"]), own).where("scope = 'text'").collect()] == ["own"]
+    assert licenses.scan(docs.limit(0), licenses.known(spark)).count() == 0 and licenses.scan(docs, own.limit(0)).count() == 0
 
 
 def test_token_counts(spark):
@@ -427,10 +440,48 @@ def test_html_boilerplate_does_not_depend_on_shards(spark, monkeypatch):
 def test_url_filters(spark):
     entries = spark.createDataFrame([("a.example.com", 10, "block"), ("a.example.com", 90000, "pass"), ("example.com", 50000, "block"), (None, 1, "block"), ("a.example.com/x", 95000, "block"), ("a.example.com/x", 95000, "pass")], "pattern string, s long, action string").select("pattern", F.timestamp_seconds("s").alias("since"), "action")
     caps = spark.createDataFrame([(1, "http://a.example.com/y", 5), (2, "http://A.example.com/y", 10), (3, "http://a.example.com/y", 89999), (4, "http://a.example.com/y", 90000), (5, "http://b.example.com", 40000), (6, "http://a.example.com/x/z", 99000), (7, None, 5), (8, "http://a.example.com/", None)], "id long, url string, s long").select("id", "url", F.timestamp_seconds("s").alias("at"))
-    got = {r.id: r.pattern for r in url_filters.filtered(caps, entries, "id", "url", "at").collect()}
+    got = {r.id: r.pattern for r in url_filters.filtered(caps, entries, "url", "at").collect()}
     assert got == {1: None, 2: "a.example.com", 3: "a.example.com", 4: "example.com", 5: None, 6: "a.example.com/x", 7: None, 8: None}
 
 
+def test_url_filters_against_brute_force(spark, monkeypatch):
+    """Many rows a pattern, with small buckets; repeated and null ids, clashing columns, empty tables."""
+    monkeypatch.setattr(url_filters, "BUCKET", 20)
+    rnd = random.Random(3)
+    hosts = ["a.x.org", "b.x.org", "x.org", "c.y.net"]
+    spans = [(rnd.choice([*hosts, "a.x.org/p"]), rnd.choice([rnd.randint(0, 10**6), 777]), rnd.choice(["block", "pass"])) for _ in range(150)]
+    caps = [(rnd.choice([1, 2, None]), f"http://{rnd.choice(hosts[:2] if k % 3 else hosts)}/{rnd.choice('pq')}/x", rnd.choice([rnd.randint(0, 10**6), 777]), k) for k in range(400)]
+
+    def verdict(url, at):
+        host, seg = url.split("/")[2:4]
+        on = []
+        for p in {host, ".".join(host.split(".")[1:]) if host.count(".") > 1 else host, f"{host}/{seg}"}:
+            past = [(s, a == "pass") for q, s, a in spans if q == p and s <= at]
+            if past and not min((-s, x) for s, x in past)[1]:
+                on.append((len(p), p, max(past)[0]))
+        return max(on)[1:] if on else (None, None)
+
+    entries = spark.createDataFrame(spans, "pattern string, s long, action string").select("pattern", F.timestamp_seconds("s").alias("since"), "action")
+    df = spark.createDataFrame(caps, "id long, url string, s long, row int").select("id", "url", F.timestamp_seconds("s").alias("at"), "row", F.lit(1).alias("pattern"), F.lit(2).alias("top"))
+    got = url_filters.filtered(df, entries, "url", "at")
+    assert got.columns == [*df.columns, "blocked", "pattern_", "since"]
+    assert {r.row: (r.pattern_, r.since and int(r.since.timestamp())) for r in got.collect()} == {k: verdict(u, s) for _, u, s, k in caps}
+    assert url_filters.filtered(df.limit(0), entries, "url", "at").count() == 0
+    assert url_filters.filtered(df, entries.limit(0), "url", "at").where("blocked").count() == 0
+
+
+def test_warc_records_are_rebuilt(spark, tmp_path):
+    big = "y" * 1500
+    pages = spark.createDataFrame([(1, "http://a", big, 0), (2, "http://b", big, 60), (3, "http://c", "small é", None)], "page_id long, url string, html string, s long")
+    pages = pages.select("page_id", "url", "html", F.timestamp_seconds("s").alias("at"), F.lit(1).alias("head"), F.lit(2).alias("address"))
+    got = {r.record_id: bytes(r.record).decode() for r in warc.read(spark, f"{tmp_path}/w", warc.write(pages, f"{tmp_path}/w", at="at")).collect()}
+    assert got[2].startswith("WARC/1.1\r\nWARC-Type: response\r\nWARC-Date: 1970-01-01T00:01:00Z\r\nWARC-Record-ID: <urn:record:2>\r\n") and got[2].endswith(f"Content-Length: 1500\r\n\r\n{big}\r\n\r\n")
+    assert f"WARC-Profile: {warc.PROFILE}\r\nWARC-Refers-To: <urn:record:2>" in got[1] and got[1].endswith("Content-Length: 0\r\n\r\n\r\n\r\n")
+    assert got[3].endswith("Content-Length: 8\r\n\r\nsmall é\r\n\r\n")
+    none = f"{tmp_path}/none"
+    assert warc.read(spark, none, warc.write(pages.limit(0), none)).count() == 0
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "x" * 1200 + "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\né"
     rows = [(1, "http://a", big, 0), (2, "http://b\r\nX: y", big, 0), (3, None, "small", 0), (4, "http://d", "small", 0), (5, "http://e", None, 0), (6, "http://f", "", 0), (None, "http://g", big, 0)]
