@@ -35,6 +35,11 @@ def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
     return docs.join(side, key == side[own], "left_anti")
 
 
+def text_digest(text: Column) -> Column:
+    """Names a text; null and empty texts share one."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def private(df: DataFrame, name: str = "_own") -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

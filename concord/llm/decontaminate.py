@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm.common import let, salted_rows_bound, table, without, written
+from concord.llm.common import let, salted_rows_bound, table, text_digest, without, written
 
 WINDOW, COVER, QUOTE = 5, 0.5, 13
 BROADCAST_ROWS = 500_000  # windows of the benchmark; beyond it the join shuffles both sides
@@ -105,11 +105,6 @@ def _quoted(at: Column) -> Column:
 DOC, ITEM = ["doc_id", "doc_text"], ["item_id", "item_text"]
 
 
-def text_digest(text: Column) -> Column:
-    """Names a text; null and empty texts, which match nothing, share one."""
-    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
-
-
 def found(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """doc_id, doc_text (see text_digest), item_id, matched (windows), n_windows, coverage, reparameterised (some slot differs).
 

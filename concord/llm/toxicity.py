@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from concord.llm.common import salted_rows_bound, table, written
+from concord.llm.common import salted_rows_bound, table, text_digest, without, written
 
 GAP = 0.1
 PRIOR_SHARE, PRIOR_LEAST = 0.01, 0.5
@@ -44,8 +44,8 @@ BROADCAST_ROWS = 1_000_000
 STEMS = (3, 4, 5, 6)
 THRESHOLD = 0.7
 BIN = 0.02  # width of the curve's bins on the scale ln(1 + evidence)
-MEMO = 200_000  # words whose score a task remembers
-FLUSH = 200_000  # tokens a task counts before it hands its partial counts on
+MEMO = 100_000  # words whose score a task remembers
+FLUSH = 100_000  # tokens a task counts before it hands its partial counts on
 
 SEGMENTS = ArrayType(StructType([StructField("first", IntegerType()), StructField("last", IntegerType()), StructField("score", DoubleType()), StructField("e_value", DoubleType())]))
 
@@ -263,10 +263,11 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, with all their columns; rows without a doc_id are scored alike.
 
-    A row is decided where it is scored, so nothing is joined."""
+    A prediction depends on the text alone, so rows go by a digest of their text."""
     model = learn(docs, labels)
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
-    return _scored(row, model, ["row"]).where(F.col("score") < THRESHOLD).select("row.*")
+    rows = docs.select(text_digest(docs["text"]).alias("digest"), F.col("text").cast("string").alias("text"))
+    toxic = _scored(rows, model, ["digest"]).where(F.col("score") >= THRESHOLD).select("digest")
+    return without(docs, text_digest(docs["text"]), toxic)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
