@@ -22,12 +22,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from concord.llm.common import table
 
 #: Fixed value: the byte-level pre-tokenizer's split pattern, with white space as Unicode's White_Space property.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-MEMO_WORDS, MEMO_PIECES = 250_000, 120_000  # what a task remembers; frequent ones come first and stay
+MEMO_WORDS, MEMO_PIECES = 200_000, 100_000  # what a task remembers; frequent ones come first and stay
 
 
 def byte_letters() -> dict[str, int]:
@@ -133,35 +134,45 @@ class Encoder:
 _held: list = []  # the model last used in this worker process, and its encoder
 
 
-def _appended(schema, name: str, kind: str):
-    from pyspark.sql import types as T
+KINDS = {"binary": (pa.binary(), T.BinaryType()), "string": (pa.string(), T.StringType())}
 
-    return T.StructType([f for f in schema.fields if f.name != name] + [T.StructField(name, T.BinaryType() if kind == "binary" else T.StringType())])
 
-
-def _map_column(df: DataFrame, source: str, target: str, kind: str, make: Callable[[], Callable]) -> DataFrame:
-    schema = _appended(df.schema, target, kind)
+def _map_column(df: DataFrame, source: str, targets: dict[str, str], make: Callable[[], Callable]) -> DataFrame:
+    """Adds columns (name -> kind) that a function of one column gives, as a tuple; one Python process a task."""
+    kept = [f for f in df.schema.fields if f.name not in targets]
+    schema = T.StructType(kept + [T.StructField(n, KINDS[k][1]) for n, k in targets.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            got = pa.array([f(x) for x in batch.column(source).to_pylist()], pa.binary() if kind == "binary" else pa.string())
-            keep = [n for n in batch.schema.names if n != target]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), got], [*keep, target])
+            got = [f(x.as_py()) for x in batch.column(source)]
+            new = [pa.array([g[i] for g in got], KINDS[k][0]) for i, k in enumerate(targets.values())]
+            keep = [n for n in batch.schema.names if n not in targets]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *new], [*keep, *targets])
 
     return df.mapInArrow(run, schema)
 
 
+def _encoder(model: dict) -> Encoder:
+    if not _held or _held[0] is not model:
+        _held[:] = [model, Encoder(model)]
+    return _held[1]
+
+
+def _decoder(strings: list[bytes]) -> Callable[[bytes | None], str]:
+    string = strings.__getitem__
+    return lambda packed: b"".join(map(string, array("I", packed or b""))).decode("utf-8", "replace")
+
+
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds column ``ids``: the whole text's ids, packed as little-endian unsigned 32-bit integers."""
     model = df.sparkSession.sparkContext.broadcast(load_model(vocabulary))
 
     def make():
-        if not _held or _held[0] is not model.value:
-            _held[:] = [model.value, Encoder(model.value)]
-        return _held[1].encode
+        run = _encoder(model.value).encode
+        return lambda x: (run(x),)
 
-    return _map_column(df, text, ids, "binary", make)
+    return _map_column(df, text, {ids: "binary"}, make)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -169,15 +180,31 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
     model = df.sparkSession.sparkContext.broadcast(load_model(vocabulary)["strings"])
 
     def make():
-        string = model.value.__getitem__
-        return lambda packed: b"".join(map(string, array("I", packed or b""))).decode("utf-8", "replace")
+        run = _decoder(model.value)
+        return lambda x: (run(x),)
+
+    return _map_column(df, ids, {text: "string"}, make)
+
+
+def coded(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Adds both columns: the ids of ``text`` as encode() gives them, and what decode() makes of those ids."""
+    model = df.sparkSession.sparkContext.broadcast(load_model(vocabulary))
+
+    def make():
+        there, back = _encoder(model.value).encode, _decoder(model.value["strings"])
+
+        def both(x: str | None) -> tuple[bytes, str]:
+            packed = there(x)
+            return packed, back(packed)
+
+        return both
 
-    return _map_column(df, ids, text, "string", make)
+    return _map_column(df, text, {ids: "binary", decoded: "string"}, make)
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, ids, decoded, n_tokens for every row of ``docs``."""
-    return decode(encode(docs.select("doc_id", "text"), vocabulary).drop("text"), vocabulary).withColumn("n_tokens", (F.length("ids") / 4).cast("long"))
+    return coded(docs.select("doc_id", "text"), vocabulary).select("doc_id", "ids", "decoded", (F.length("ids") / 4).cast("long").alias("n_tokens"))
 
 
 def default_vocabulary() -> str:
