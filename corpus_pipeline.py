@@ -29,8 +29,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (packed little-endian unsigned 32-bit) and whether they decode to the text; null
     and empty texts have no ids."""
-    path = bpe.default_vocabulary()
-    got = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    got = bpe.coded(docs.select("doc_id", "lang", "source", "text"), bpe.default_vocabulary())
     same = F.coalesce("text", F.lit("")) == F.col("decoded")
     return got.select("doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
