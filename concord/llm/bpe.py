@@ -28,7 +28,7 @@ from concord.llm.common import table
 
 #: Fixed value: the byte-level pre-tokenizer's split pattern, with white space as Unicode's White_Space property.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-MEMO_WORDS, MEMO_PIECES = 200_000, 100_000  # what a task remembers; frequent ones come first and stay
+MEMO_WORDS, MEMO_PIECES = 120_000, 60_000  # what a task remembers; frequent ones come first and stay
 
 
 def byte_letters() -> dict[str, int]:
@@ -131,9 +131,6 @@ class Encoder:
         return b"".join(struct.pack("<I", self.special[x]) if k % 2 else self.plain(x) for k, x in enumerate(parts) if x)
 
 
-_held: list = []  # the model last used in this worker process, and its encoder
-
-
 KINDS = {"binary": (pa.binary(), T.BinaryType()), "string": (pa.string(), T.StringType())}
 
 
@@ -153,12 +150,6 @@ def _map_column(df: DataFrame, source: str, targets: dict[str, str], make: Calla
     return df.mapInArrow(run, schema)
 
 
-def _encoder(model: dict) -> Encoder:
-    if not _held or _held[0] is not model:
-        _held[:] = [model, Encoder(model)]
-    return _held[1]
-
-
 def _decoder(strings: list[bytes]) -> Callable[[bytes | None], str]:
     string = strings.__getitem__
     return lambda packed: b"".join(map(string, array("I", packed or b""))).decode("utf-8", "replace")
@@ -169,7 +160,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
     model = df.sparkSession.sparkContext.broadcast(load_model(vocabulary))
 
     def make():
-        run = _encoder(model.value).encode
+        run = Encoder(model.value).encode
         return lambda x: (run(x),)
 
     return _map_column(df, text, {ids: "binary"}, make)
@@ -191,7 +182,7 @@ def coded(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
     model = df.sparkSession.sparkContext.broadcast(load_model(vocabulary))
 
     def make():
-        there, back = _encoder(model.value).encode, _decoder(model.value["strings"])
+        there, back = Encoder(model.value).encode, _decoder(model.value["strings"])
 
         def both(x: str | None) -> tuple[bytes, str]:
             packed = there(x)
