@@ -39,9 +39,9 @@ from pyspark.sql import functions as F
 
 from concord.llm.common import salted_rows_bound, table, written
 
-RUN, PAGES, COVERED, SHARD = 8, 3, 0.8, 1_000_000
+RUN, PAGES, COVERED, SHARD = 8, 3, 0.8, 250_000
 EVERYWHERE, ARTICLES = 0.5, 8
-BROADCAST_ROWS = 200_000  # template blocks of all hosts; beyond it the join shuffles
+BROADCAST_ROWS = 200_000  # hosts, or template blocks of all hosts; beyond it the join shuffles
 TEXT, OPEN, NOT_TEXT = 0, 1, 2
 
 #: Element and class names that say what a part of a page is.
@@ -279,7 +279,8 @@ def repeated_blocks(tokens: DataFrame) -> DataFrame:
     """uid, block of the blocks outside articles that repeat across their host's pages, by the arrays."""
     rows = tokens.where("article is null").drop("article")
     sizes = rows.groupBy("host").agg(F.ceil(F.sum(F.length("tokens") / 8 + RUN) / SHARD).cast("int").alias("shards"))
-    dealt = rows.join(sizes, "host").withColumn("shard", F.pmod(F.xxhash64("uid"), "shards"))
+    few = F.broadcast(sizes) if salted_rows_bound(sizes, BROADCAST_ROWS) else sizes
+    dealt = rows.join(few, "host").withColumn("shard", F.pmod(F.xxhash64("uid"), "shards")).repartition("host", "shard")  # not by host alone
     out = "uid long, block long"
     one, more = dealt.where("shards = 1"), dealt.where("shards > 1")
     windows = more.groupBy("host", "shard").applyInPandas(lambda df: _windows(df), "host string, shard long, hash long, key long")
