@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from concord.shared import shared_dir
 
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of ``rows`` rows, since a row may be a long document; the session's own setting is lowered, never raised."""
+def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 4) -> None:
+    """Arrow batches of ``rows`` rows and about ``mb`` MB at most, since a row may be a long document; a batch has one row
+    at least. The session's own row setting is lowered, never raised."""
     if not 0 < int(spark.conf.get(BATCH, "10000")) <= rows:
         spark.conf.set(BATCH, str(rows))
+    spark.conf.set(BATCH_BYTES, f"{mb}m")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
