@@ -48,6 +48,11 @@ def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
     return docs.join(side, key == side[own], "left_anti")
 
 
+def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, hinted for broadcast only if it has at most ``limit`` rows."""
+    return F.broadcast(df) if salted_rows_bound(df, limit) else df
+
+
 def text_digest(text: Column) -> Column:
     """Names a text; null and empty texts share one."""
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
