@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StructType
 
 SAMPLED = 100  # sampled rows for each range of a surrogate id
 
+
 def check_not_null(df: DataFrame, cols: list[str]) -> DataFrame:
     """column, n_null for each listed column, in one scan."""
     one = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in cols))
@@ -47,19 +49,49 @@ def constraint_report(checks: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def fingerprint(df: DataFrame, exclude: list[str] = ()) -> DataFrame:
-    """Order-independent content hash in three levels: row digests are grouped by their first six hex digits, each group
-    is hashed in sorted order, the groups' hashes are hashed by their first three digits, and so are those. A group of
-    the first level has a 16-millionth of the rows (2 MB of digests at 10^12 rows), the others 4096 hashes at most."""
+#: A row digest is cut into LANES parts of LANE_HEX hex digits. Sums of 16 bits stay below 2^63 up to 10^14 rows.
+LANES, LANE_HEX, LANE_MODULUS = 8, 4, 1 << 32
+
+
+def row_digest(df: DataFrame, cols: list[str]) -> Column:
+    """MD5 of an encoding that no other row has: the columns' names, then for each value its length in bytes, ':' and the
+    value, or '-' for null. Nested values are written as JSON, binary ones as hex."""
+    def text(c: str) -> Column:
+        kind = df.schema[c].dataType
+        if isinstance(kind, BinaryType):
+            return F.hex(c)
+        return F.when(F.col(c).isNotNull(), F.to_json(F.struct(c))) if isinstance(kind, (ArrayType, MapType, StructType)) else F.col(c).cast("string")
+
+    values = [F.coalesce(F.concat(F.octet_length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-")) for c in cols]
+    return F.md5(F.concat(F.lit("".join(f"{len(c.encode())}:{c}" for c in cols) + ";"), *values))
+
+
+def content_lanes(df: DataFrame, exclude: list[str] = ()) -> DataFrame:
+    """lanes (array of long) and n_rows: a hash of the table as a multiset of rows. Digests are cut into lanes and each
+    lane is added, so every task returns one row, order and partitions don't matter, and lanes of parts can be added and
+    taken away (see combined_lanes)."""
     cols = [c for c in sorted(df.columns) if c not in exclude]
-    row = F.md5(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols)))
+    h = df.select(row_digest(df, cols).alias("h"))
+    lanes = [F.coalesce(F.sum(F.conv(F.substring("h", 1 + LANE_HEX * k, LANE_HEX), 16, 10).cast("long")), F.lit(0)) for k in range(LANES)]
+    one = h.agg(*(x.alias(f"_l{k}") for k, x in enumerate(lanes)), F.count(F.lit(1)).alias("n_rows"))
+    return one.select(F.array(*(F.pmod(f"_l{k}", F.lit(LANE_MODULUS)) for k in range(LANES))).alias("lanes"), "n_rows")
+
+
+def combined_lanes(parts: DataFrame, by: list[str] = (), sign: str | None = None) -> DataFrame:
+    """Lanes and n_rows of tables put together, for each ``by``; parts whose ``sign`` is -1 are taken away."""
+    times = F.col(sign) if sign else F.lit(1)
+    total = [F.sum(F.get("lanes", k) * times).alias(f"_l{k}") for k in range(LANES)]
+    g = parts.groupBy(*by).agg(*total, F.sum(F.col("n_rows") * times).alias("n_rows"))
+    return g.select(*by, F.array(*(F.pmod(f"_l{k}", F.lit(LANE_MODULUS)) for k in range(LANES))).alias("lanes"), "n_rows")
 
-    def hashed(c: str) -> Column:
-        return F.md5(F.array_join(F.array_sort(F.collect_list(c)), ""))
 
-    fine = df.select(row.alias("h")).groupBy(F.substring("h", 1, 6).alias("p")).agg(hashed("h").alias("g"), F.count(F.lit(1)).alias("n"))
-    coarse = fine.groupBy(F.substring("p", 1, 3).alias("p")).agg(hashed("g").alias("g"), F.sum("n").alias("n"))
-    return coarse.agg(hashed("g").alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))  # 4096 groups at most
+def lanes_text(lanes: Column) -> Column:
+    return F.array_join(F.transform(lanes, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+
+
+def fingerprint(df: DataFrame, exclude: list[str] = ()) -> DataFrame:
+    """fingerprint and n_rows of the table's content, whatever its order and partitions."""
+    return content_lanes(df, exclude).select(lanes_text(F.col("lanes")).alias("fingerprint"), "n_rows")
 
 
 def fingerprint_diff(a: DataFrame, b: DataFrame) -> DataFrame:

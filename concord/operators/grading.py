@@ -13,6 +13,7 @@ from concord.operators.identity import bounded
 UNIT = r"(?i)(?<=\d)\s*(?:nm|nanomolar|h|hr|hrs|hours)\s*$"
 IDS = r"(?i)^(?:gsm|gse)\d+$"
 NUMBER = r"(?i)^[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?$"
+#: Fixed value: a name with a code in brackets behind it.
 HALVES = r"^(.+?)\s*\((.+)\)$"
 
 
@@ -43,51 +44,107 @@ def normalized(df: DataFrame, col: str, aliases: DataFrame, name: str = "item")
     return out.select(*df.columns, F.coalesce("_n0", "_n1", "_n2", normalize_item(F.col(col))).alias(name))
 
 
-def answer_items(answers: DataFrame, keys: list[str], aliases: DataFrame, col: str = "answer", parts: DataFrame | None = None) -> DataFrame:
-    """JSON object answers -> rows (keys, part, item), items normalized and distinct.
+#: A value of an answer and the name it is said of, if any.
+ENTRY = "array<struct<label:string,value:string>>"
+
+
+def _text(v: Column) -> Column:
+    return F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("none"))
+
+
+def _is(v: Column, *kinds: str) -> Column:
+    kind = F.schema_of_variant(v)
+    return F.coalesce(reduce(Column.__or__, [kind.startswith(k) for k in kinds]), F.lit(False))
+
+
+def value_at(answer: Column, path: Column) -> Column:
+    """What stands at "a.b" of a parsed answer (a VARIANT): the value of b in the object a. JSON null counts as missing."""
+    found = F.aggregate(F.split(path, r"\."), answer, lambda at, k: F.try_element_at(F.try_variant_get(at, "$", "map<string,variant>"), k))
+    return F.when(~F.is_variant_null(found), found)
 
-    Values may be scalars, lists or objects. An object's entries become 'name: value', one for each value where the value
-    is a list; so do 'name: value' texts in a list. ``parts`` (question, part): the fields to read, where "a.b" is the
-    value of b in the object a; by default all fields of the answer.
-    """
-    if parts is None:
-        raw = answers.select(*keys, F.explode(F.from_json(col, "map<string,string>")).alias("part", "raw"))
-    else:
-        path = F.concat(F.lit("$['"), F.replace("part", F.lit("."), F.lit("']['")), F.lit("']"))
-        raw = answers.join(bounded(parts.select("question", "part").distinct()), "question").select(*keys, "part", F.call_function("get_json_object", F.col(col), path).alias("raw"))
-    pair = "array<struct<label:string,value:string>>"
 
-    def each(label: Column, v: Column) -> Column:
-        return F.transform(F.when(v.startswith("["), F.from_json(v, "array<string>")).otherwise(F.array(v)), lambda x: F.struct(label.alias("label"), x.alias("value")))
+def entries_of(v: Column, whole: list[str] = ()) -> Column:
+    """A value as entries. An object gives one for each value, also within its lists; a list one for each item, and its
+    texts of the form 'name: value' are split unless they begin with one of ``whole``. A text that only begins with a
+    bracket stays a text: types are those of the parsed JSON."""
+    def each(label: Column, x: Column) -> Column:
+        many = F.transform(F.try_variant_get(x, "$", "array<variant>"), lambda y: F.struct(label.alias("label"), _text(y).alias("value")))
+        return F.when(_is(x, "ARRAY"), many).otherwise(F.array(F.struct(label.alias("label"), _text(x).alias("value"))))
 
     def told(x: Column) -> Column:
-        split = F.struct(F.trim(F.substring_index(x, ":", 1)).alias("label"), F.trim(F.substr(x, F.locate(":", x) + 1)).alias("value"))
-        return F.when(F.locate(":", x) > 0, split).otherwise(F.struct(F.lit(None).cast("string").alias("label"), x.alias("value")))
-
-    r = F.col("raw")
-    entries = F.flatten(F.transform(F.map_entries(F.from_json(r, "map<string,string>")), lambda e: each(e["key"], e["value"])))
-    listed = F.transform(F.from_json(r, "array<string>"), told)
-    items = F.when(r.startswith("{"), entries.cast(pair)).when(r.startswith("["), listed.cast(pair)).otherwise(each(F.lit(None).cast("string"), r).cast(pair))
-    rows = raw.where("raw is not null").select(*keys, "part", F.explode(items).alias("_x")).select(*keys, "part", F.col("_x.label").alias("_label"), F.col("_x.value").alias("_value"))
+        t = _text(x)
+        kept = reduce(Column.__or__, [F.lower(t).startswith(w.lower()) for w in whole], F.lit(False))
+        pair = F.struct(F.trim(F.substring_index(t, ":", 1)).alias("label"), F.trim(F.substr(t, F.locate(":", t) + 1)).alias("value"))
+        return F.when(_is(x, "STRING") & (F.locate(":", t) > 0) & ~kept, pair).otherwise(F.struct(F.lit(None).cast("string").alias("label"), t.alias("value")))
+
+    fields = F.flatten(F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: each(e["key"], e["value"])))
+    items = F.transform(F.try_variant_get(v, "$", "array<variant>"), told)
+    one = F.array(F.struct(F.lit(None).cast("string").alias("label"), _text(v).alias("value")))
+    return F.when(_is(v, "OBJECT"), fields.cast(ENTRY)).when(_is(v, "ARRAY"), items.cast(ENTRY)).when(v.isNotNull(), one.cast(ENTRY))
+
+
+def _with_items(df: DataFrame, entries: str, aliases: DataFrame) -> DataFrame:
+    """A row for each entry with its normalized ``item``; one with a null item where there is none."""
+    kept = [c for c in df.columns if c != entries]
+    rows = df.select(*kept, F.explode_outer(entries).alias("_x")).select(*kept, F.col("_x.label").alias("_label"), F.col("_x.value").alias("_value"))
     rows = normalized(normalized(rows, "_label", aliases, "_l"), "_value", aliases, "_v")
-    return rows.select(*keys, "part", F.concat_ws(": ", "_l", "_v").alias("item")).distinct()
-
-
-def grade(answers: DataFrame, key: DataFrame, keys: list[str]) -> DataFrame:
-    """Per answer whether all parts of the key pass.
-
-    answers: keys, question, part, items (array<string>, see answer_items). key: question, part, kind, expected
-    (array<string>, normalized alike), tolerance. exact_number and tolerance compare numbers, exact_list compares sets, in
-    which 'name: 0' of an answer counts only if it is expected. A missing part fails.
-    """
-    asked = answers.select(*keys, "question").distinct().join(key, "question")
-    j = asked.join(answers.select(*keys, "question", "part", F.col("items").alias("got")), [*keys, "question", "part"], "left")
-    number, want = F.try_element_at("got", F.lit(1)).try_cast("double"), F.try_element_at("expected", F.lit(1)).try_cast("double")
-    missing = F.array_except("got", "expected")
-    sets = (F.size(F.filter(missing, lambda x: ~x.endswith(": 0"))) == 0) & (F.size(F.array_except("expected", "got")) == 0)
-    ok = F.when(F.col("kind") == "exact_list", sets).when(F.col("kind") == "exact_number", number == want).otherwise(F.abs(number - want) <= F.col("tolerance"))
-    ok = F.coalesce(ok, F.lit(False))
-    return j.groupBy(*keys, "question").agg(F.bool_and(ok).alias("correct"), F.count_if(ok).alias("n_passed"), F.count(F.lit(1)).alias("n_parts"))
+    return rows.select(*kept, F.when(F.col("_value").isNotNull(), F.concat_ws(": ", "_l", "_v")).alias("item"))
+
+
+def answer_items(answers: DataFrame, keys: list[str], aliases: DataFrame, col: str = "answer", parts: DataFrame | None = None, whole: list[str] = ()) -> DataFrame:
+    """JSON object answers -> rows (keys, part, item), items normalized and distinct, see entries_of.
+
+    ``parts`` (question, part): the fields to read, "a.b" being the value of b in the object a; by default all fields of the
+    answer. Answers that aren't JSON objects, and empty lists and objects, have no items; grade_parts has a row for them."""
+    v = answers.withColumn("_v", F.try_parse_json(F.col(col).cast("string")))
+    if parts is None:
+        each = F.explode(F.map_entries(F.try_variant_get("_v", "$", "map<string,variant>"))).alias("e")
+        got = v.select(*keys, each).select(*keys, F.col("e.key").alias("part"), F.col("e.value").alias("_v")).where(~F.is_variant_null("_v"))
+    else:
+        got = v.join(bounded(parts.select("question", "part").distinct()), "question").select(*keys, "part", value_at(F.col("_v"), F.col("part")).alias("_v"))
+    return _with_items(got.select(*keys, "part", entries_of(F.col("_v"), whole).alias("_e")), "_e", aliases).where("item is not null").distinct()
+
+
+def number_of(v: Column) -> Column:
+    """A JSON number, or a text that is one but for commas and spaces around, in full precision; null for all else, so a
+    text with a unit is no number."""
+    text = F.trim(F.replace(F.try_variant_get(v, "$", "string"), F.lit(","), F.lit("")))
+    return F.when(~_is(v, "ARRAY", "OBJECT", "BOOLEAN") & text.rlike(NUMBER), text.try_cast("double"))
+
+
+def normalized_key(key: DataFrame, aliases: DataFrame) -> DataFrame:
+    """question, part, kind, want (number), tolerance and expected (set of items) of a key as it is written: question, part,
+    kind, expected (array<string>, 'name: value' being a pair), tolerance."""
+    pair = lambda x: F.when(F.locate(": ", x) > 0, F.struct(F.substring_index(x, ": ", 1).alias("label"), F.substr(x, F.locate(": ", x) + 2).alias("value"))).otherwise(F.struct(F.lit(None).cast("string").alias("label"), x.alias("value")))
+    want = F.replace(F.try_element_at("expected", F.lit(1)), F.lit(","), F.lit("")).try_cast("double")
+    own = key.select("question", "part", "kind", want.alias("want"), F.col("tolerance").cast("double").alias("tolerance"), F.transform("expected", pair).alias("_e"))
+    items = _with_items(own, "_e", aliases)
+    return items.groupBy("question", "part", "kind", "want", "tolerance").agg(F.collect_set("item").alias("expected"))
+
+
+def grade_parts(records: DataFrame, key: DataFrame, keys: list[str], aliases: DataFrame, col: str = "answer", whole: list[str] = ()) -> DataFrame:
+    """keys, question, part, ok and got (JSON text; null if missing): a row for each record and each part of its question.
+
+    records: keys (which name a record), question and the answer as JSON text. key: see normalized_key. exact_number and
+    tolerance compare numbers, see number_of. exact_list compares sets of items, in which 'name: 0' of an answer counts only
+    if it is expected. What is missing or no JSON fails in every part, and so does a record without an answer."""
+    own = [*keys, "question"]
+    asked = records.select(*own, F.try_parse_json(F.col(col).cast("string")).alias("_v")).join(bounded(normalized_key(key, aliases)), "question")
+    asked = asked.withColumn("_v", value_at(F.col("_v"), F.col("part")))
+    number = number_of(F.col("_v"))
+    right = F.when(F.col("kind") == "exact_number", number == F.col("want")).when(F.col("kind") == "tolerance", F.abs(number - F.col("want")) <= F.col("tolerance"))
+    entries = F.when(F.col("kind") == "exact_list", entries_of(F.col("_v"), whole))
+    rows = asked.select(*own, "part", "kind", "expected", F.coalesce(right, F.lit(False)).alias("_right"), F.col("_v").cast("string").alias("got"), entries.alias("_e"))
+    items = _with_items(rows, "_e", aliases).groupBy(*own, "part").agg(*(F.first(c).alias(c) for c in ("kind", "expected", "_right", "got")), F.collect_set("item").alias("_items"))
+    extra = F.filter(F.array_except("_items", "expected"), lambda x: ~x.endswith(": 0"))
+    same = F.col("got").isNotNull() & (F.size(extra) == 0) & (F.size(F.array_except("expected", "_items")) == 0)
+    return items.select(*own, "part", F.when(F.col("kind") == "exact_list", same).otherwise(F.col("_right")).alias("ok"), "got")
+
+
+def grade(records: DataFrame, key: DataFrame, keys: list[str], aliases: DataFrame, col: str = "answer", whole: list[str] = ()) -> DataFrame:
+    """Per record whether all parts of its question pass, see grade_parts."""
+    parts = grade_parts(records, key, keys, aliases, col, whole)
+    return parts.groupBy(*keys, "question").agg(F.bool_and("ok").alias("correct"), F.count_if("ok").alias("n_passed"), F.count(F.lit(1)).alias("n_parts"))
 
 
 def grader_selftest(grades: DataFrame, expected: str) -> DataFrame:

@@ -8,6 +8,7 @@ import tarfile
 import uuid
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from concord.operators import grading as J
@@ -41,50 +42,78 @@ def aliases(spark):
     return rows(spark, ALIASES, "alias string, name string")
 
 
+def per_region(spark, d):
+    s = fx_sample(spark, d).groupBy("study_id")
+    return s.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("line")).alias("lines"), F.count_if(F.col("prio") == "1-URGENT").alias("urgent"), F.count_if(F.col("role") == "none").alias("none"))
+
+
 def answers(spark, d):
-    """Per region a JSON answer about its orders, made from the table: a number, a list, a list of pairs, objects of numbers and of lists."""
-    s = fx_sample(spark, d).groupBy("study_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("line")).alias("lines"), F.count_if(F.col("prio") == "1-URGENT").alias("urgent"), F.count_if(F.col("role") == "none").alias("none"))
-    counts = F.create_map(F.lit("Urgent"), "urgent", F.lit("none"), "none").alias("counts")
+    """Per region JSON answers about its orders, made from the table: a number, a list, a list of pairs, objects of numbers
+    and of lists. Each is also given with units behind the numbers, with empty values and a text like a list, cut off in
+    the middle, and not at all."""
+    s = per_region(spark, d)
     by = F.create_map(F.lit("lines"), F.slice("lines", 1, 2)).alias("first")
     pairs = F.array(F.concat(F.lit("orders: "), F.format_number("n", 0))).alias("pairs")
-    return s.select("study_id", F.lit("Q1").alias("question"), F.to_json(F.struct("n", "lines", counts, by, pairs)).alias("answer"))
+
+    def told(unit: str):
+        n, urgent = (F.concat(F.col(c).cast("string"), F.lit(unit)) if unit else F.col(c) for c in ("n", "urgent"))
+        counts = F.create_map(F.lit("Urgent"), urgent, F.lit("none"), F.lit("0") if unit else F.col("none")).alias("counts")
+        return F.to_json(F.struct(n.alias("n"), "lines", counts, by, pairs))
+
+    empty = F.lit('{"n": [], "lines": [], "counts": {}, "first": "[odd", "pairs": null}')
+    forms = {"": told(""), " hours": told(" h"), " empty": empty, " cut": F.substring(told(""), 1, 20), " none": F.lit(None).cast("string")}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("form"), v.alias("answer")) for k, v in forms.items()))).alias("x")
+    return s.select("study_id", each).select(F.concat("study_id", "x.form").alias("study_id"), F.lit("Q1").alias("question"), "x.answer")
 
 
 ANSWERS = f"""WITH {FX_SAMPLE}, g AS (SELECT study_id, count(*) AS n, count(*) FILTER (WHERE prio = '1-URGENT') AS u, list_sort(list_distinct(list(line))) AS l FROM fx_sample GROUP BY 1),
-al AS (SELECT DISTINCT study_id, line, CASE line WHEN 'MACHINERY' THEN 'machines' ELSE lower(line) END AS item FROM fx_sample)"""
+al AS (SELECT DISTINCT study_id, line, CASE line WHEN 'MACHINERY' THEN 'machines' ELSE lower(line) END AS item FROM fx_sample),
+f AS (SELECT unnest(['', ' hours']) AS form)"""
 
 
-@query("J02_answer_items", ANSWERS + """ SELECT study_id, 'n' AS part, CAST(n AS VARCHAR) AS item FROM g UNION ALL SELECT study_id, 'counts', 'urgent: ' || u FROM g UNION ALL SELECT study_id, 'counts', 'none: 0' FROM g
- UNION ALL SELECT study_id, 'lines', item FROM al UNION ALL SELECT study_id, 'first', 'lines: ' || item FROM al JOIN g USING (study_id) WHERE list_contains(l[1:2], line)
- UNION ALL SELECT study_id, 'pairs', 'orders: ' || n FROM g""")
+@query("J02_answer_items", ANSWERS + """ SELECT study_id || form AS study_id, 'n' AS part, CAST(n AS VARCHAR) AS item FROM g, f UNION ALL SELECT study_id || form, 'counts', 'urgent: ' || u FROM g, f
+ UNION ALL SELECT study_id || form, 'counts', 'none: 0' FROM g, f UNION ALL SELECT study_id || form, 'lines', item FROM al, f
+ UNION ALL SELECT study_id || form, 'first', 'lines: ' || item FROM al JOIN g USING (study_id), f WHERE list_contains(l[1:2], line)
+ UNION ALL SELECT study_id || form, 'pairs', 'orders: ' || n FROM g, f UNION ALL SELECT study_id || ' empty', 'first', '[odd' FROM g""")
 def _(spark, d):
     return J.answer_items(answers(spark, d), ["study_id"], aliases(spark))
 
 
+def answer_key(spark, d, tolerance=0.0):
+    """AFRICA's orders as the key, with one nested field."""
+    s = per_region(spark, d).where("study_id = 'AFRICA'")
+    n = F.col("n").cast("string")
+    urgent = F.col("urgent").cast("string")
+    parts = {"n": ("tolerance", F.array(n)), "lines": ("exact_list", F.col("lines")), "counts": ("exact_list", F.array(F.concat(F.lit("URGENT: "), urgent))), "counts.Urgent": ("exact_number", F.array(urgent)),
+             "first": ("exact_list", F.transform(F.slice("lines", 1, 2), lambda x: F.concat(F.lit("lines: "), x))), "pairs": ("exact_list", F.array(F.concat(F.lit("orders: "), n)))}
+    rows_ = F.array(*(F.struct(F.lit(p).alias("part"), F.lit(k).alias("kind"), e.alias("expected")) for p, (k, e) in parts.items()))
+    return s.select(F.lit("Q1").alias("question"), F.explode(rows_).alias("x")).select("question", "x.*", F.lit(float(tolerance)).alias("tolerance"))
+
+
 def graded(spark, d, tolerance=0.0):
-    """The key is AFRICA's answer, with one nested field; AFRICA passes, the others are right in parts."""
-    asked = rows(spark, [("Q1", p) for p in ("n", "lines", "counts", "first", "pairs", "counts.Urgent")], "question string, part string")
-    items = J.answer_items(answers(spark, d), ["study_id", "question"], aliases(spark), parts=asked)
-    items = items.groupBy("study_id", "question", "part").agg(F.collect_list("item").alias("items"))
-    kind = F.when(F.col("part") == "n", "tolerance").when(F.col("part") == "counts.Urgent", "exact_number").otherwise("exact_list")
-    expected = F.filter("items", lambda x: x != "none: 0")  # what an answer says of nothing isn't asked for
-    key = items.where("study_id = 'AFRICA'").select("question", "part", kind.alias("kind"), expected.alias("expected"), F.lit(float(tolerance)).alias("tolerance"))
-    return J.grade(items, key, ["study_id"])
+    """AFRICA's plain answer passes, other answers are right in parts."""
+    return J.grade(answers(spark, d), answer_key(spark, d, tolerance), ["study_id"], aliases(spark))
 
 
 def grade_sql(tolerance: float) -> str:
-    return ANSWERS + f", k AS (SELECT * FROM g WHERE study_id = 'AFRICA'), r AS (SELECT g.study_id, abs(g.n - k.n) <= {tolerance} AS a, g.l = k.l AS b, g.u = k.u AS c, g.l[1:2] = k.l[1:2] AS e, g.n = k.n AS f FROM g, k)"
+    return ANSWERS + f""", k AS (SELECT * FROM g WHERE study_id = 'AFRICA'), p AS (SELECT g.study_id, abs(g.n - k.n) <= {tolerance} AS a, g.l = k.l AS b, g.u = k.u AS c, g.l[1:2] = k.l[1:2] AS e, g.n = k.n AS f FROM g, k),
+r AS (SELECT study_id, a, b, c, c AS x, e, f FROM p UNION ALL SELECT study_id || ' hours', false, b, c, false, e, f FROM p
+ UNION ALL SELECT study_id || unnest([' empty', ' cut', ' none']), false, false, false, false, false, false FROM p)"""
 
 
-OK = "a AND b AND c AND e AND f"
+OK = "a AND b AND c AND x AND e AND f"
 
 
-@query("J03_grade", grade_sql(0) + f""" SELECT study_id, 'Q1' AS question, {OK} AS correct,
- CAST(CAST(a AS INTEGER) + CAST(b AS INTEGER) + 2 * CAST(c AS INTEGER) + CAST(e AS INTEGER) + CAST(f AS INTEGER) AS BIGINT) AS n_passed, 6::BIGINT AS n_parts FROM r""")
+@query("J03_grade", grade_sql(0) + f" SELECT study_id, 'Q1' AS question, {OK} AS correct, CAST({' + '.join(f'CAST({c} AS INTEGER)' for c in 'abcxef')} AS BIGINT) AS n_passed, 6::BIGINT AS n_parts FROM r")
 def _(spark, d):
     return graded(spark, d)
 
 
+@query("J03b_grade_parts", grade_sql(0) + (" SELECT study_id, unnest(['n', 'lines', 'counts', 'counts.Urgent', 'first', 'pairs']) AS part, unnest([a, b, c, x, e, f]) AS ok FROM r"))
+def _(spark, d):
+    return J.grade_parts(answers(spark, d), answer_key(spark, d), ["study_id"], aliases(spark)).select("study_id", "part", "ok")
+
+
 @query("J04_grader_selftest", grade_sql(0) + f" SELECT study_id = 'AFRICA' AS should_pass, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE ({OK}) = (study_id = 'AFRICA')) AS BIGINT) AS n_as_expected FROM r GROUP BY 1")
 def _(spark, d):
     return J.grader_selftest(graded(spark, d).withColumn("should_pass", F.col("study_id") == "AFRICA"), "should_pass")
@@ -136,20 +165,13 @@ def _(spark, d):
     return J.question_grid(easy(spark, d), EASY).select("question", "right_everywhere")
 
 
-@query("J08_regrade_diff", grade_sql(0).replace("r AS (", "r0 AS (") + grade_sql(100000).replace(ANSWERS, "").replace(", k AS (SELECT * FROM g WHERE study_id = 'AFRICA')", "").replace("r AS (", "r1 AS (")
-       + f""" SELECT study_id, 'Q1' AS question, part_was AS was, part_now AS now FROM (SELECT r0.study_id, r0.a AS part_was, r1.a AS part_now FROM r0 JOIN r1 USING (study_id)) WHERE part_was <> part_now""")
+@query("J08_regrade_diff", ANSWERS + """ SELECT study_id, 'Q1' AS question, n = (SELECT n FROM g WHERE study_id = 'AFRICA') AS was, abs(n - (SELECT n FROM g WHERE study_id = 'AFRICA')) <= 100000 AS now FROM g WHERE was <> now""")
 def _(spark, d):
-    a, b = (number_grades(spark, d, tolerance) for tolerance in (0.0, 100000.0))
+    """Only the part n, so that a wider tolerance turns wrong grades into right ones; answers that are no number stay wrong."""
+    a, b = (J.grade(answers(spark, d), answer_key(spark, d, x).where("part = 'n'"), ["study_id"], aliases(spark)) for x in (0.0, 100000.0))
     return J.regrade_diff(a, b, ["study_id", "question"])
 
 
-def number_grades(spark, d, tolerance):
-    """Only the part n, so that a wider tolerance turns wrong grades into right ones."""
-    items = J.answer_items(answers(spark, d), ["study_id", "question"], aliases(spark)).where("part = 'n'").groupBy("study_id", "question", "part").agg(F.collect_list("item").alias("items"))
-    key = items.where("study_id = 'AFRICA'").select("question", "part", F.lit("tolerance").alias("kind"), F.col("items").alias("expected"), F.lit(tolerance).alias("tolerance"))
-    return J.grade(items, key, ["study_id"])
-
-
 @query("J09_run_cost", f"WITH {REC} SELECT run, model, round((input_tokens * 5.0 + output_tokens * 25.0) / 1e6, 6) AS cost FROM rec WHERE model IN ('1-URGENT', '5-LOW')")
 def _(spark, d):
     prices = rows(spark, [("1-URGENT", 5.0, 25.0), ("5-LOW", 5.0, 25.0)], "model string, input_price double, output_price double")
@@ -169,7 +191,7 @@ def _(spark, d):
     path = folder(spark, "sectioned")
     out = s.select(F.col("n_name").alias("study"), F.col("s_suppkey").alias("file"), F.explode(lines).alias("l")).select("study", "file", "l.*")
     out.repartition("study", "file").sortWithinPartitions("study", "file", "at").select("study", "file", "value").write.partitionBy("study", "file").option("compression", "gzip").text(path)
-    bound, _ = A.bind_samples(A.read_sectioned(A.contents(spark, f"{path}/*/*/*.txt.gz")))
+    bound, _ = A.bind_samples(A.read_sectioned(spark, f"{path}/*/*/*.txt.gz"))
     return bound.select(F.regexp_extract("path", "study=([^/]+)", 1).alias("study"), F.col("sample_id").alias("sample"), "field", "value")
 
 
@@ -181,25 +203,52 @@ def _(spark, d):
     return A.number_repeated(n, ["l_orderkey"], "l_returnflag", order)
 
 
-def _tar(df: pd.DataFrame) -> pd.DataFrame:
-    data = io.BytesIO()
-    with tarfile.open(fileobj=data, mode="w") as tar:
-        for name, part in df.groupby("s_name"):
-            text = "id\tcounts\n" + "".join(f"{k}\t{n}\n" for k, n in zip(part["p_type"], part["n"], strict=True))
-            body = gzip.compress(text.encode())
-            info = tarfile.TarInfo(f"{name.replace('#', '')}_counts.txt.gz")
-            info.size = len(body)
-            tar.addfile(info, io.BytesIO(body))
-    return pd.DataFrame({"path": [f"bundle-{df['s_nationkey'].iloc[0]}.tar"], "content": [data.getvalue()]})
+def _packed(folder_: str):
+    """Writes a nation's suppliers as a tar file of gz tables; suppliers whose number ends in 7 have an empty file, in 9 none."""
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        path, data = f"{folder_}/bundle-{df['s_nationkey'].iloc[0]}.tar", io.BytesIO()
+        with tarfile.open(fileobj=data, mode="w") as tar:
+            for name, part in df.groupby("s_name"):
+                text = "" if name[-1] == "7" else "id\tcounts\n" + "".join(f"{k}\t{n}\n" for k, n in zip(part["p_type"], part["n"], strict=True))
+                body = gzip.compress(text.encode())
+                info = tarfile.TarInfo(f"{name.replace('#', '')}_counts.txt.gz")
+                info.size = len(body)
+                if name[-1] != "9":
+                    tar.addfile(info, io.BytesIO(body))
+        store, at = fs.FileSystem.from_uri(path)
+        store.create_dir(at.rpartition("/")[0])
+        with store.open_output_stream(at) as out:
+            out.write(data.getvalue())
+        return pd.DataFrame({"path": [path]})
+
+    return run
+
+
+def bundles(spark, d):
+    """Line counts of suppliers by type of part, packed; suppliers with a good balance are kept, and one that isn't there."""
+    n = t(spark, d, "lineitem").join(t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("s_nationkey", "s_name", "p_type").agg(F.count(F.lit(1)).alias("n"))
+    at = folder(spark, "bundles")
+    n.groupBy("s_nationkey").applyInPandas(_packed(at), "path string").write.format("noop").mode("overwrite").save()
+    keep = t(spark, d, "supplier").where("s_acctbal > 1000").select(F.replace("s_name", F.lit("#"), F.lit("")).alias("sample_id"))
+    return A.read_bundle(spark, at, keep)
+
+
+PACKED = "WITH p AS (SELECT 'bundle-' || s_nationkey || '.tar' AS path, replace(s_name, '#', '') AS sample_id, right(s_name, 1) AS last, s_acctbal > 1000 AS kept FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem))"
 
 
-@query("A03_read_bundle", "SELECT 'bundle-' || s_nationkey || '.tar' AS path, replace(s_name, '#', '') AS sample_id, p_type AS row_key, CAST(count(*) AS BIGINT) AS counts FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE s_acctbal > 1000 GROUP BY ALL")
+@query("A03_read_bundle", """SELECT 'bundle-' || s_nationkey || '.tar' AS path, replace(s_name, '#', '') AS sample_id, p_type AS row_key, CAST(count(*) AS BIGINT) AS counts
+ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE s_acctbal > 1000 AND right(s_name, 1) NOT IN ('7', '9') GROUP BY ALL""")
 def _(spark, d):
-    n = t(spark, d, "lineitem").join(t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("s_nationkey", "s_name", "p_type").agg(F.count(F.lit(1)).alias("n"))
-    tars = n.groupBy("s_nationkey").applyInPandas(_tar, "path string, content binary")
-    keep = t(spark, d, "supplier").where("s_acctbal > 1000").select(F.replace("s_name", F.lit("#"), F.lit("")).alias("sample_id"))
-    kept, _, _ = A.read_bundle(tars, keep)
-    return kept.select("path", "sample_id", "row_key", F.col("value").cast("bigint").alias("counts"))
+    return bundles(spark, d)["rows"].select(F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), "sample_id", "row_key", F.col("value").cast("bigint").alias("counts"))
+
+
+@query("A03b_bundle_report", PACKED + """ SELECT path, sample_id, CASE WHEN NOT kept THEN 'skipped' ELSE 'empty' END AS what FROM p WHERE last <> '9' AND (NOT kept OR last = '7')
+ UNION ALL SELECT NULL, replace(s_name, '#', ''), 'missing' FROM supplier WHERE s_acctbal > 1000 AND (right(s_name, 1) = '9' OR s_suppkey NOT IN (SELECT l_suppkey FROM lineitem))""")
+def _(spark, d):
+    b = bundles(spark, d)
+    name, file = F.regexp_extract("member", r"^([^_]+)", 1).alias("sample_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("path")
+    out = b["missing"].select(F.lit(None).cast("string").alias("path"), "sample_id", F.lit("missing").alias("what"))
+    return out.unionByName(b["skipped"].select(file, name, F.lit("skipped").alias("what"))).unionByName(b["empty"].select(file, name, F.lit("empty").alias("what")))
 
 
 @query("A04_read_multi_header", "SELECT CAST(p_partkey AS VARCHAR) AS part, p_name AS name, unnest(['size', 'price']) AS sample_id, unnest([CAST(p_size AS DOUBLE), p_retailprice]) AS value, unnest(['units', 'money']) AS label FROM part")

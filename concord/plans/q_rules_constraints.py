@@ -81,6 +81,27 @@ def _(spark, d):
     return B.emit_children(labelled(spark, d), PROGRAM, "o_orderkey")
 
 
+NAMES = {
+    "names": {"child": {"oht": "OHT", "4-OHT": "OHT", "vehicle": "DMSO"}, "role": {"T": "treated", "C": "control"}},
+    "rules": [
+        {"name": "final", "when": {"status": "^(?P<s>F)$"}, "set": {"role": "T"}, "children": [{"key": "oht", "dose": "1"}, {"key": "vehicle", "dose": "2"}]},
+        {"name": "urgent", "when": {"priority": "URGENT"}, "set": {"role": "C"}, "children": [{"key": "4-OHT", "dose": "3"}]},
+        {"name": "low", "when": {"priority": r"-(?P<word>LOW)"}, "set": {"role": "{word}"}, "children": [{"key": "{word}", "dose": "4"}]},
+    ],
+}
+
+
+@query("B07b_children_by_name", """SELECT o_orderkey, 'OHT' AS child, CASE WHEN o_orderpriority LIKE '%URGENT%' THEN 1 ELSE 0 END AS pos, CASE WHEN o_orderpriority LIKE '%URGENT%' THEN '3' ELSE '1' END AS dose
+ FROM orders WHERE o_orderstatus = 'F' OR o_orderpriority LIKE '%URGENT%' UNION ALL SELECT o_orderkey, 'DMSO', 0, '2' FROM orders WHERE o_orderstatus = 'F'""")
+def _(spark, d):
+    return B.emit_children(labelled(spark, d), NAMES, "o_orderkey")
+
+
+@query("B07c_unresolved_names", """SELECT o_orderkey, unnest(['role', 'child']) AS field, 'LOW' AS spelling, 'low' AS rule FROM orders WHERE o_orderpriority LIKE '%LOW%'""")
+def _(spark, d):
+    return B.unresolved_names(labelled(spark, d), NAMES, "o_orderkey")
+
+
 @query("B09_cast_numeric", "SELECT event_id, TRY_CAST(x AS INTEGER) AS x, CASE WHEN x <> '' AND TRY_CAST(x AS INTEGER) IS NULL THEN x END AS bad FROM (SELECT event_id, CASE event_type WHEN 'error' THEN 'n/a' WHEN 'view' THEN '' ELSE json_extract_string(props, '$.k') END AS x FROM events)")
 def _(spark, d):
     x = F.when(F.col("event_type") == "error", "n/a").when(F.col("event_type") == "view", "").otherwise(F.get_json_object("props", "$.k"))
@@ -117,18 +138,50 @@ def _(spark, d):
     return B.treatment_signature(fx_treatment(spark, d).withColumn("dose", F.floor("dose")), "sample_id", ["compound_id", "dose", "exposure_h"])
 
 
-PROV = """WITH w AS (SELECT o_orderkey AS entity, 'role' AS field, 'unknown' AS value, 'default' AS rule, true AS superseded FROM orders
- UNION ALL SELECT o_orderkey, 'form', 'none', 'default', true FROM orders
- UNION ALL SELECT o_orderkey, 'role', 'treated', 'treated', o_orderpriority LIKE '%URGENT%' FROM orders WHERE o_orderstatus = 'F'
- UNION ALL SELECT o_orderkey, 'role', 'control', 'open', o_orderpriority LIKE '%URGENT%' FROM orders WHERE o_orderstatus <> 'F'
- UNION ALL SELECT o_orderkey, 'form', 'open', 'open', true FROM orders WHERE o_orderstatus <> 'F'
- UNION ALL SELECT o_orderkey, 'form', regexp_extract(o_orderpriority, '^(\\d)-(\\w+)', 2) || ' at ' || left(o_orderpriority, 1), 'level', false FROM orders
- UNION ALL SELECT o_orderkey, 'role', 'urgent', 'urgent', false FROM orders WHERE o_orderpriority LIKE '%URGENT%')"""
+PROV = """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, o_orderstatus AS s, o_orderpriority AS p, o_orderpriority LIKE '%URGENT%' AS urgent, o_orderkey IN (7, 10) AS fixed FROM orders),
+w AS (SELECT k AS entity, 'record' AS kind, 'role' AS field, 'unknown' AS value, 'default' AS rule, true AS superseded FROM o
+ UNION ALL SELECT k, 'record', 'form', 'none', 'default', true FROM o
+ UNION ALL SELECT k, 'record', 'role', 'treated', 'treated', urgent OR fixed FROM o WHERE s = 'F'
+ UNION ALL SELECT k, 'record', 'role', 'control', 'open', urgent OR fixed FROM o WHERE s <> 'F'
+ UNION ALL SELECT k, 'record', 'form', 'open', 'open', true FROM o WHERE s <> 'F'
+ UNION ALL SELECT k, 'record', 'form', regexp_extract(p, '^(\\d)-(\\w+)', 2) || ' at ' || left(p, 1), 'level', k = '10' FROM o
+ UNION ALL SELECT k, 'record', 'role', 'urgent', 'urgent', fixed FROM o WHERE urgent
+ UNION ALL SELECT k, 'record', 'role', 'fixed by hand', 'record ' || k, false FROM o WHERE fixed
+ UNION ALL SELECT k, 'record', 'form', 'none', 'record 10', false FROM o WHERE k = '10'
+ UNION ALL SELECT k || '|OHT', 'child', 'dose', '1000', 'treated', urgent OR p LIKE '%LOW%' FROM o WHERE s = 'F'
+ UNION ALL SELECT k || '|DMSO', 'child', 'dose', '0', 'open', urgent FROM o WHERE s <> 'F'
+ UNION ALL SELECT k || '|E2', 'child', 'dose', left(p, 1) || '0', 'level', urgent FROM o
+ UNION ALL SELECT k || '|ICI', 'child', 'dose', '5', 'urgent', false FROM o WHERE urgent
+ UNION ALL SELECT k || '|OHT', 'child', 'dose', '7', 'again', false FROM o WHERE p LIKE '%LOW%' AND s = 'F')"""
+WRITES = ("entity", "kind", "field", "value", "rule", "superseded")
+
+
+def write_log(spark, d):
+    return B.provenance(labelled(spark, d), PROGRAM, "o_orderkey", "o_orderkey")
 
 
 @query("B13_provenance", PROV + " SELECT * FROM w")
 def _(spark, d):
-    return B.provenance(labelled(spark, d), PROGRAM, "o_orderkey").select("entity", "field", "value", "rule", "superseded")
+    return write_log(spark, d).select(*WRITES)
+
+
+@query("B13b_table_from_log", f"SELECT CAST(o_orderkey AS VARCHAR) AS entity, {ROLE} AS role, {FORM} AS form FROM orders")
+def _(spark, d):
+    return B.current_values(write_log(spark, d), ["role", "form"])
+
+
+NUMBERED = {"defaults": {"replicate": {}}, "rules": [{"name": "urgent", "when": {"priority": "URGENT"}, "set": {"replicate": "9"}, "source": "orders", "location": "o_orderpriority"}]}
+
+
+@query("B13c_replicate_writes", """WITH a AS (SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS VARCHAR) AS value FROM orders WHERE o_orderpriority NOT LIKE '%URGENT%')
+ SELECT CAST(o_orderkey AS VARCHAR) AS entity, NULL AS value, 'default' AS rule, NULL AS location, true AS superseded FROM orders
+ UNION ALL SELECT CAST(o_orderkey AS VARCHAR), '9', 'urgent', 'o_orderpriority', false FROM orders WHERE o_orderpriority LIKE '%URGENT%'
+ UNION ALL SELECT CAST(o_orderkey AS VARCHAR), value, 'assigned', NULL, false FROM a""")
+def _(spark, d):
+    rows = labelled(spark, d)
+    numbers = B.apply_rules(rows, NUMBERED, "o_orderkey").withColumns({"replicate": F.col("replicate").cast("int"), "status": F.col("labels")["status"]})
+    numbers = B.assign_replicates(numbers, ["status"], "o_orderkey")
+    return B.provenance(rows, NUMBERED, "o_orderkey", "o_orderkey", numbers).select("entity", "value", "rule", "location", "superseded")
 
 
 @query("B14_parse_quantity", "SELECT p_partkey, CAST(p_size AS DOUBLE) AS amount, CASE p_size % 3 WHEN 0 THEN 'nM' WHEN 1 THEN 'uM' ELSE 'mM' END AS unit, CAST(p_size * (CASE p_size % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 1000000 END) AS DOUBLE) AS value FROM part")
@@ -177,9 +230,11 @@ def _(spark, d):
 
 
 def _fp(table: str, cols: list[str]) -> str:
-    text = " || chr(31) || ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in sorted(cols))
-    fine = f"SELECT substr(h, 1, 6) AS p, md5(string_agg(h, '' ORDER BY h)) AS g FROM (SELECT md5({text}) AS h FROM {table}) GROUP BY 1"
-    return f"(SELECT md5(string_agg(g, '' ORDER BY g)) FROM (SELECT md5(string_agg(g, '' ORDER BY g)) AS g FROM ({fine}) GROUP BY substr(p, 1, 3)))"
+    """Each lane of four hex digits of the row digests, added."""
+    names = "".join(f"{len(c)}:{c}" for c in sorted(cols)) + ";"
+    values = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in sorted(cols))
+    lanes = " || ".join(f"printf('%08x', CAST(sum(('0x' || substr(h, {1 + 4 * k}, 4))::BIGINT) % 4294967296 AS BIGINT))" for k in range(8))
+    return f"(SELECT {lanes} FROM (SELECT md5('{names}' || {values}) AS h FROM {table}))"
 
 
 FP = {"nation": ["n_nationkey", "n_name", "n_regionkey"], "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]}
@@ -204,15 +259,28 @@ def _(spark, d):
     return D.fingerprint_diff(fingerprints(spark, d), fingerprints(spark, d, {"part": "p_size < 50"}))
 
 
+PARTS = [("p_size >= 50", 1), ("p_size < 10", 1), ("p_size < 20", -1)]  # what is added to the parts below 50, and taken away
+
+
+@query("D08b_fingerprint_update", f"SELECT {_fp('(SELECT * FROM part WHERE p_size >= 10 AND p_size NOT BETWEEN 10 AND 19)', FP['part'])} AS fingerprint, CAST(count(*) AS BIGINT) AS n_rows FROM part WHERE p_size >= 20")
+def _(spark, d):
+    part = t(spark, d, "part").select(*FP["part"])
+    parts = D.content_lanes(part.where("p_size between 10 and 49")).withColumn("sign", F.lit(1))
+    for where, sign in PARTS:
+        parts = parts.unionByName(D.content_lanes(part.where(where)).withColumn("sign", F.lit(sign)))
+    return D.combined_lanes(parts, sign="sign").select(D.lanes_text(F.col("lanes")).alias("fingerprint"), "n_rows")
+
+
 @query("D09_surrogate_id", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS BIGINT) AS id, CAST(row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS BIGINT) AS by_text FROM orders")
 def _(spark, d):
     o = D.surrogate_id(t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), ["o_totalprice", "o_orderkey"])
     return D.surrogate_id(o, ["o_orderpriority", "o_orderkey"], "by_text").select("o_orderkey", "id", "by_text")
 
 
-@query("D10_explain_value", PROV + " SELECT * FROM w WHERE entity = 77")
+@query("D10_explain_value", PROV + " SELECT * FROM w WHERE split_part(entity, '|', 1) IN ('7', '10')")
 def _(spark, d):
-    return D.explain_value(B.provenance(labelled(spark, d), PROGRAM, "o_orderkey"), "77").select("entity", "field", "value", "rule", "superseded")
+    log = write_log(spark, d)
+    return D.explain_value(log, "7").unionByName(D.explain_value(log, "10")).select(*WRITES)
 
 
 CITED = """WITH c AS (SELECT DISTINCT l_orderkey + (CASE WHEN l_quantity = 50 THEN 100000000 ELSE 0 END) AS o_orderkey FROM lineitem WHERE l_quantity >= 49)"""
@@ -225,7 +293,7 @@ def cited(spark, d):
     got = li.select(F.col("l_orderkey").alias("o_orderkey"), F.concat_ws(" ", "l_returnflag", F.col("l_linenumber").cast("string")).alias("treatment"))
     files = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
     issues = t(spark, d, "orders").where("o_orderstatus = 'P'").select(F.substring("o_orderpriority", 1, 1).alias("inventory_id"), F.col("o_orderkey").alias("record_id"), F.lit("minor").alias("impact"), F.lit("flagged").alias("resolution"))
-    prov = B.provenance(labelled(spark, d), PROGRAM, "o_orderkey")
+    prov = write_log(spark, d)
     wanted = spark.createDataFrame([(" 1",), ("3",), ("9",)], "inventory_id string")
     return D.resolve_citations(ids, "o_orderkey", o, got, prov, [], files, "o_custkey", issues, wanted)
 
@@ -251,6 +319,6 @@ def _(spark, d):
     return cited(spark, d)["issues"]
 
 
-@query("D11e_provenance", PROV + ", " + CITED.removeprefix("WITH ") + " SELECT w.* FROM w WHERE entity IN (SELECT o_orderkey FROM c)")
+@query("D11e_provenance", PROV + ", " + CITED.removeprefix("WITH ") + " SELECT w.* FROM w WHERE CAST(split_part(entity, '|', 1) AS BIGINT) IN (SELECT o_orderkey FROM c)")
 def _(spark, d):
-    return cited(spark, d)["provenance"].select("entity", "field", "value", "rule", "superseded")
+    return cited(spark, d)["provenance"].select(*WRITES)

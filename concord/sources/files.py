@@ -1,22 +1,23 @@
 """Sources and sinks: sectioned text, bundles, multi-header tables, manifests, reports and run records.
 
-Files that can't be split (gz, tar, sectioned text) are decoded by one task each, many files in parallel.
+Text is read as lines by Spark's reader, whatever the size of a file and wherever it is kept; a plain file is split among
+tasks, a gz file is streamed by one. The members of a bundle are listed first and decoded apart, each from its own range.
 """
 
 from __future__ import annotations
 
 import csv
-import gzip
-import io
-import tarfile
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from concord.operators.identity import bounded
+from concord.sources.bundles import BundleMembers, decoded
+
 MAX_FILE = 1 << 30
 BEGIN, END = "_table_begin", "_table_end"
+#: One cell behind a tab: quoted, with doubled quotes inside, or plain.
+CELL = r'\t("[^"]*+(?:""[^"]*+)*+"(?=\t|$)|[^\t]*+)'
 
 
 def contents(spark: SparkSession, glob: str, limit: int = MAX_FILE) -> DataFrame:
@@ -26,41 +27,50 @@ def contents(spark: SparkSession, glob: str, limit: int = MAX_FILE) -> DataFrame
     return files.where(F.col("length") <= limit).select("path", "content").unionByName(large)
 
 
-def _plain(data: bytes) -> str:
-    return (gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).decode("utf-8", "replace")
-
-
-def _sections(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in files:
-        for path, data in zip(pdf["path"], pdf["content"], strict=True):
-            rows, inside, header, n = [], False, None, 0
-            for line in _plain(bytes(data)).split("\n"):  # other line separators may stand inside a value
-                line = line.removesuffix("\r")
-                if not line.strip():
-                    continue
-                n += 1
-                cells = next(csv.reader([line], delimiter="\t"))
-                if cells[0].startswith("!"):
-                    name = cells[0][1:]
-                    if name.endswith(BEGIN):
-                        inside, header = True, None
-                    elif name.endswith(END):
-                        inside = False
-                    else:
-                        kind, _, field = name.partition("_")
-                        rows += [(path, "sample" if kind == "Sample" else "series", n, field, k, v) for k, v in enumerate(cells[1:])]
-                elif inside and header is None:
-                    header = cells
-                elif inside:
-                    rows += [(path, "table", n, cells[0], k, v) for k, v in enumerate(cells[1:])]
-            if header:
-                rows += [(path, "header", 0, header[0], k, v) for k, v in enumerate(header[1:])]
-            yield pd.DataFrame(rows, columns=["path", "section", "line", "field", "column", "value"])
-
-
-def read_sectioned(files: DataFrame) -> DataFrame:
-    """Sectioned text (path, content) -> path, section ('series', 'sample', 'header', 'table'), line, field, column, value."""
-    return files.mapInPandas(_sections, "path string, section string, line long, field string, column int, value string")
+def numbered_lines(spark: SparkSession, glob: str) -> DataFrame:
+    """path, line (1, 2, ... in each file), value (without its line end) of text files of any size.
+
+    Spark reads blocks of a file in different tasks; a line's number is its number in the block plus the lines of the
+    file's earlier blocks, which are counted first (a row for each block)."""
+    text = spark.read.option("lineSep", "\n").text(glob)
+    at = {"path": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id()}
+    lines = text.select("value", *(c.alias(n) for n, c in at.items()))
+    blocks = lines.groupBy("path", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(F.col("path").alias("_p"), F.col("_block").alias("_b"), (before - F.col("_first")).alias("_shift"))
+    joined = lines.join(bounded(blocks), (F.col("path") == F.col("_p")) & (F.col("_block") == F.col("_b")))
+    return joined.select("path", (F.col("_id") + F.col("_shift") + 1).alias("line"), F.regexp_replace("value", r"\r$", "").alias("value"))
+
+
+def cells(line: Column) -> Column:
+    """The cells of a tab-separated line; quotes around a cell are taken off."""
+    each = F.regexp_extract_all(F.concat(F.lit("\t"), line), F.lit(CELL), F.lit(1))
+    quoted = lambda x: x.startswith('"') & x.endswith('"') & (F.length(x) > 1)
+    return F.transform(each, lambda x: F.when(quoted(x), F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+
+
+def read_sectioned(spark: SparkSession, glob: str) -> DataFrame:
+    """Sectioned text files -> path, section ('series', 'sample', 'header', 'table'), line, field, column, value.
+
+    Lines that begin with '!' are fields of the series or of samples, or mark where a table begins and ends; blank lines
+    count for nothing. The first other line in a table is its header. Which lines stand in a table is a matter of line
+    numbers, so it takes a small join with the marks and not one task for a file."""
+    lines = numbered_lines(spark, glob).where(F.trim("value") != "")
+    bang = F.col("value").startswith("!")
+    name = F.substr(F.element_at(cells(F.col("value")), 1), F.lit(2))
+    marks = lines.where(bang & F.col("value").rlike(rf'^"?![^\t]*({BEGIN}|{END})"?(\t|$)')).select("path", "line", name.endswith(BEGIN).alias("begins"))
+    marks = marks.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", "begins"))).alias("marks")).select(F.col("path").alias("_p"), "marks")  # some a file
+    last = F.element_at(F.filter("marks", lambda m: m["line"] < F.col("line")), -1)
+    plain = lines.where(~bang).join(bounded(marks), F.col("path") == F.col("_p")).withColumn("_m", F.when(F.size(F.filter("marks", lambda m: m["line"] < F.col("line"))) > 0, last)).where("_m.begins")
+    plain = plain.select("path", "line", "value", F.col("_m.line").alias("_table"))
+    heads = plain.groupBy("path", "_table").agg(F.min("line").alias("_head"))
+    table = plain.join(bounded(heads.select(F.col("path").alias("_p"), F.col("_table").alias("_t"), "_head")), (F.col("path") == F.col("_p")) & (F.col("_table") == F.col("_t")))
+    table = table.select("path", F.when(F.col("line") == F.col("_head"), "header").otherwise("table").alias("section"), "line", cells(F.col("value")).alias("c"))
+    table = table.select("path", "section", "line", F.element_at("c", 1).alias("field"), F.slice("c", 2, 1 << 30).alias("c"))
+    told = lines.where(bang).select("path", "line", name.alias("_name"), F.slice(cells(F.col("value")), 2, 1 << 30).alias("c")).where(~F.col("_name").endswith(BEGIN) & ~F.col("_name").endswith(END))
+    kind = F.when(F.col("_name").startswith("Sample_"), "sample").otherwise("series")
+    told = told.select("path", kind.alias("section"), "line", F.when(F.locate("_", "_name") > 0, F.substr("_name", F.locate("_", F.col("_name")) + 1)).otherwise("").alias("field"), "c")
+    return told.unionByName(table).select("path", "section", "line", "field", F.posexplode("c").alias("column", "value"))
 
 
 def bind_samples(rows: DataFrame, id_field: str = "geo_accession") -> tuple[DataFrame, DataFrame]:
@@ -85,29 +95,28 @@ def number_repeated(df: DataFrame, keys: list[str], name: str, order: list[str],
     return df.withColumn("_n", n).withColumn(name, F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(name, F.lit("#"), (F.col("_n") - 1).cast("string")))).drop("_n")
 
 
-def _members(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in files:
-        for path, data in zip(pdf["path"], pdf["content"], strict=True):
-            with tarfile.open(fileobj=io.BytesIO(bytes(data))) as tar:
-                for m in tar:
-                    if not m.isfile():
-                        continue
-                    lines = list(csv.reader(io.StringIO(_plain(tar.extractfile(m).read())), delimiter="\t"))
-                    head = lines[0]
-                    rows = [(path, m.name, r[0], h, v) for r in lines[1:] for h, v in zip(head[1:], r[1:], strict=True)]
-                    yield pd.DataFrame(rows, columns=["path", "member", "row_key", "field", "value"])
-
-
-def read_bundle(files: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tar files of per-sample tables. Returns the rows of members whose id (the name up to '_' or '.') is in ``keep``
-    (sample_id), the members skipped, and members whose row keys differ from the bundle's most common ones."""
-    rows = files.mapInPandas(_members, "path string, member string, row_key string, field string, value string").withColumn("sample_id", F.regexp_extract("member", r"([^/_.]+)[^/]*$", 1))
-    kept = rows.join(keep.select("sample_id"), "sample_id", "left_semi")
-    skipped = rows.join(keep.select("sample_id"), "sample_id", "left_anti").select("path", "member").distinct()
-    keys = kept.select("path", "member", "row_key").distinct().groupBy("path", "member").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("row_key").cast("decimal(38,0)")).alias("h"))
-    usual = keys.groupBy("path", "n", "h").agg(F.count(F.lit(1)).alias("c")).groupBy("path").agg(F.max_by(F.struct("n", "h"), F.struct("c", "n")).alias("u"))
-    odd = keys.join(usual, "path").where((F.col("n") != F.col("u.n")) | (F.col("h") != F.col("u.h"))).select("path", "member")
-    return kept, skipped, odd
+def read_bundle(spark: SparkSession, path: str, keep: DataFrame) -> dict[str, DataFrame]:
+    """Tar files (a file, a folder or a pattern) of per-sample tables, of any size; see bundles.
+
+    rows: path, member, sample_id, row (from 1), row_key, field, value of the members whose sample_id (the name up to '_'
+    or '.') is in ``keep`` (sample_id). skipped: other members; they are listed and never decoded. missing: kept samples
+    without a member. empty: members without rows. odd: members whose columns, or row keys in their order, differ from the
+    most common ones of their bundle (path, member, what)."""
+    spark.dataSource.register(BundleMembers)
+    members = spark.read.format("bundle_members").load(path).withColumn("sample_id", F.regexp_extract("member", r"([^/_.]+)[^/]*$", 1))
+    wanted = bounded(keep.select("sample_id").distinct())
+    kept = members.join(wanted, "sample_id", "left_semi")
+    own = ["path", "member", "sample_id"]
+    rows = kept.repartition("path", "member").mapInArrow(decoded, "path string, member string, sample_id string, row long, row_key string, field string, value string")
+    order = F.sum(F.xxhash64("row", "row_key").cast("decimal(38,0)"))
+    each = rows.groupBy("path", "member", "row").agg(F.first("row_key").alias("row_key"), F.array_sort(F.collect_list("field")).alias("fields"))
+    keys = each.groupBy("path", "member").agg(F.count(F.lit(1)).alias("n"), order.alias("h"), F.sort_array(F.collect_set("fields")).alias("columns"))
+    usual = keys.groupBy("path", "n", "h").agg(F.count(F.lit(1)).alias("c")).groupBy("path").agg(F.max_by(F.struct("n", "h"), F.struct("c", "n", "h")).alias("u"))
+    heads = keys.groupBy("path", "columns").agg(F.count(F.lit(1)).alias("c")).groupBy("path").agg(F.max_by("columns", F.struct("c", "columns")).alias("uc"))
+    unlike = F.array_compact(F.array(F.when((F.col("n") != F.col("u.n")) | (F.col("h") != F.col("u.h")), "row keys"), F.when(F.col("columns") != F.col("uc"), "columns")))
+    odd = keys.join(usual, "path").join(heads, "path").select("path", "member", F.explode(unlike).alias("what"))
+    return {"rows": rows, "skipped": members.join(wanted, "sample_id", "left_anti").select("path", "member"), "missing": keep.select("sample_id").distinct().join(members, "sample_id", "left_anti"),
+            "empty": kept.select(*own).join(rows.select("path", "member").distinct(), ["path", "member"], "left_anti"), "odd": odd}
 
 
 def read_multi_header(spark: SparkSession, path: str, n_labels: int, n_annotation: int, sep: str = ",") -> tuple[DataFrame, DataFrame]:

@@ -98,6 +98,59 @@ def test_fingerprint_ignores_row_order_and_partitions(spark):
     assert constraints.fingerprint(df.where("id <> 5")).first() != one
 
 
+def test_fingerprints_tell_separators_and_nulls_apart(spark):
+    schema = "a string, b string"
+    tables = [[("x\x1fy", "z")], [("x", "y\x1fz")], [(None, "z")], [("\x00", "z")], [("-", "z")], [("", "z")], [("xz", "")], [("x", "z")], [("z", "x")], [("x", "z")] * 2, []]
+    got = [constraints.fingerprint(spark.createDataFrame(t, schema)).first().fingerprint for t in tables]
+    assert len(set(got)) == len(tables)
+    assert constraints.fingerprint(spark.createDataFrame([("x", "z")], "a string, c string")).first().fingerprint not in got
+    nested = [constraints.fingerprint(spark.createDataFrame([(x,)], "a array<string>")).first().fingerprint for x in (["a, b"], ["a", "b"], [None], ["null"], None)]
+    assert len(set(nested)) == 5
+
+
+def test_fingerprints_of_parts_add_up(spark):
+    df = spark.range(500).selectExpr("id % 40 as a", "cast(id % 7 as string) as b")
+    lanes = lambda where, sign: constraints.content_lanes(df.where(where)).withColumn("sign", F.lit(sign))
+    parts = lanes("a < 30", 1).unionByName(lanes("a >= 20", 1)).unionByName(lanes("a between 20 and 29", -1)).unionByName(lanes("a < 0", 1))
+    assert constraints.combined_lanes(parts, sign="sign").first() == constraints.content_lanes(df).first()
+
+
+def test_write_log_of_records_children_and_replicates(spark):
+    program = {
+        "defaults": {"role": {"value": "unknown", "location": "methods"}, "replicate": {}},
+        "names": {"child": {"oht": "OHT", "4-OHT": "OHT"}, "line": {"mcf7": "MCF-7"}},
+        "rules": [
+            {"name": "treated", "when": {"title": "OHT"}, "set": {"role": "treated", "line": "mcf7"}, "location": "title", "children": [{"key": "oht", "dose": "1"}]},
+            {"name": "again", "when": {"title": "twice"}, "set": {"line": "mcf8"}, "children": [{"key": "4-OHT", "dose": "2"}]},
+            {"name": "none", "when": {"title": "washed"}, "set": {"role": None}, "clear_children": True, "children": [{"key": "lost", "dose": "3"}]},
+        ],
+        "records": {"2": {"role": "fixed"}, "3": {"name": "by hand", "location": "letter", "set": {"replicate": "7"}, "clear_children": True, "children": [{"key": "oht", "dose": "9"}], "note": "asked"}},
+    }
+    rows = [(1, "OHT"), (2, "OHT twice"), (3, "OHT"), (4, "OHT washed"), (5, "plain")]
+    df = spark.createDataFrame([(i, {"title": t}) for i, t in rows], "id int, labels map<string,string>")
+    table = rules.apply_rules(df, program, "id")
+    assert {r.id: (r.role, r.line, r.replicate, r.note) for r in table.collect()} == {1: ("treated", "MCF-7", None, None), 2: ("fixed", None, None, None), 3: ("treated", "MCF-7", "7", "asked"), 4: (None, "MCF-7", None, None), 5: ("unknown", None, None, None)}
+    assert {(r.id, r.child, r.pos, r.dose) for r in rules.emit_children(df, program, "id", "id").collect()} == {(1, "OHT", 0, "1"), (2, "OHT", 1, "2"), (3, "OHT", 4, "9")}
+    assert {(r.id, r.field, r.spelling, r.rule) for r in rules.unresolved_names(df, program, "id", "id").collect()} == {(2, "line", "mcf8", "again"), (4, "child", "lost", "none")}
+    numbered = rules.assign_replicates(table.withColumn("replicate", F.col("replicate").cast("int")), ["role"], "id")
+    log = rules.provenance(df, program, "id", "id", numbered).collect()
+    stands = {(r.entity, r.field): (r.value, r.rule, r.location) for r in log if not r.superseded}
+    assert len(stands) == sum(not r.superseded for r in log)
+    assert stands[("2", "role")] == ("fixed", "record 2", None) and stands[("4", "role")] == (None, "none", None) and stands[("1", "replicate")] == ("1", "assigned", None) and stands[("3", "replicate")] == ("7", "by hand", "letter")
+    assert stands[("2|OHT", "dose")] == ("2", "again", None) and stands[("3|OHT", "dose")] == ("9", "by hand", "letter") and ("4|OHT", "dose") not in stands and stands[("5", "role")] == ("unknown", "default", "methods")
+    assert {(r.entity, r.rule, r.spelling) for r in log if r.superseded and r.kind == "child"} == {("2|OHT", "treated", "oht"), ("3|OHT", "treated", "oht"), ("4|OHT", "treated", "oht")}
+    again = rules.current_values(spark.createDataFrame(log, rules.provenance(df, program, "id", "id", numbered).schema), ["role", "line", "replicate"])
+    assert {r.entity: (r.role, r.line) for r in again.collect()} == {str(r.id): (r.role, r.line) for r in table.collect()}
+    assert {r.rule for r in constraints.explain_value(rules.provenance(df, program, "id", "id"), "3").collect()} == {"default", "treated", "by hand"}
+
+
+def test_programs_without_rules_or_children(spark):
+    df = spark.createDataFrame([(1, {"t": "x"})], "id int, labels map<string,string>")
+    for program in ({"rules": []}, {"rules": [{"name": "a", "when": {"t": "x"}, "set": {"f": "1"}}]}, {}):
+        assert rules.emit_children(df, program, "id").count() == 0 and rules.unresolved_names(df, program, "id").count() == 0
+        assert rules.provenance(df, program, "id").count() == len(program.get("rules", [])) and rules.apply_rules(df, program).count() == 1
+
+
 def test_surrogate_ids_do_not_depend_on_partitions(spark):
     df = spark.range(500).selectExpr("id % 50 as a", "id as b")
     want = [(r.a, r.b) for r in df.orderBy("a", "b").collect()]
@@ -125,16 +178,53 @@ def test_answers_become_items(spark):
     assert {(r.part, r.item) for r in grading.answer_items(df, ["id"], none, parts=parts).collect()} == {("d.GSE1", "2"), ("a.x", "u"), ("a.x", "v")}
 
 
+KEY = "question string, part string, kind string, expected array<string>, tolerance double"
+
+
+def grades(spark, key, answers, **more):
+    """id -> (correct, n_passed) of the answers to question q."""
+    none = spark.createDataFrame([], "alias string, name string")
+    ans = spark.createDataFrame([(i, "q", a) for i, a in answers.items()], "id int, question string, answer string")
+    return {r.id: (r.correct, r.n_passed) for r in grading.grade(ans, spark.createDataFrame([("q", *k) for k in key], KEY), ["id"], none, **more).collect()}
+
+
 def test_zeros_count_only_if_expected(spark):
-    key = spark.createDataFrame([("q", "p", "exact_list", ["a: 1", "b: 0"], 0.0)], "question string, part string, kind string, expected array<string>, tolerance double")
-    ans = spark.createDataFrame([(1, "q", "p", ["a: 1", "b: 0", "c: 0"]), (2, "q", "p", ["a: 1"]), (3, "q", "p", ["a: 1", "b: 0", "c: 2"])], "id int, question string, part string, items array<string>")
-    assert {r.id: r.correct for r in grading.grade(ans, key, ["id"]).collect()} == {1: True, 2: False, 3: False}
+    key = [("p", "exact_list", ["a: 1", "b: 0"], 0.0)]
+    got = grades(spark, key, {1: '{"p": ["a: 1", "b: 0", "c: 0"]}', 2: '{"p": ["a: 1"]}', 3: '{"p": {"a": 1, "b": 0, "c": 2}}'})
+    assert got == {1: (True, 1), 2: (False, 0), 3: (False, 0)}
 
 
 def test_a_missing_part_fails(spark):
-    key = spark.createDataFrame([("q", "p", "exact_number", ["1"], 0.0), ("q", "r", "exact_list", ["a", "b"], 0.0)], "question string, part string, kind string, expected array<string>, tolerance double")
-    ans = spark.createDataFrame([(1, "q", "p", ["1.0"]), (1, "q", "r", ["b", "a"]), (2, "q", "p", ["1"])], "id int, question string, part string, items array<string>")
-    assert {r.id: r.correct for r in grading.grade(ans, key, ["id"]).collect()} == {1: True, 2: False}
+    key = [("p", "exact_number", ["1"], 0.0), ("r", "exact_list", ["a", "b"], 0.0)]
+    assert grades(spark, key, {1: '{"p": "1.0", "r": ["b", "a"]}', 2: '{"p": 1}'}) == {1: (True, 2), 2: (False, 1)}
+
+
+def test_answers_that_say_nothing_fail(spark):
+    key = [("v", "exact_list", ["a"], 0.0), ("n.x", "exact_number", ["5"], 0.0)]
+    bad = {1: None, 2: "", 3: "not json", 4: "{}", 5: "[]", 6: '"a"', 7: '{"v": []}', 8: '{"v": "[odd"}', 9: '{"v": null, "n": {"x": null}}', 10: '{"n": 5}', 11: "null", 12: '{"v": {}}'}
+    assert grades(spark, key, bad) == {i: (False, 0) for i in bad}
+    assert grades(spark, [("v", "exact_list", [], 0.0)], {1: '{"v": []}', 2: "{}", 3: '{"v": ["x: 0"]}'}) == {1: (True, 1), 2: (False, 0), 3: (True, 1)}
+    assert grades(spark, [("v", "exact_list", ["[odd"], 0.0)], {1: '{"v": "[odd"}', 2: '{"v": ["[odd"]}'}) == {1: (True, 1), 2: (True, 1)}
+
+
+def test_numbers_are_compared_as_they_are(spark):
+    exact = [("v", "exact_number", ["12"], 0.0)]
+    forms = {'"12 h"': False, '"12"': True, "12": True, "12.0": True, "1.2e1": True, '" 12 "': True, '"1,2"': True, '"twelve"': False, "true": False, "[12]": False, '{"a": 12}': False, "12.00001": False, '""': False}
+    assert grades(spark, exact, {i: f'{{"v": {x}}}' for i, x in enumerate(forms)}) == {i: (ok, int(ok)) for i, ok in enumerate(forms.values())}
+    assert grades(spark, [("v", "tolerance", ["0.00003"], 0.00002)], {1: '{"v": 0.00004}', 2: '{"v": 0.00006}'}) == {1: (True, 1), 2: (False, 0)}
+    assert grades(spark, [("v", "exact_number", ["1.2346"], 0.0)], {1: '{"v": 1.23456}', 2: '{"v": "1.2346"}'}) == {1: (False, 0), 2: (True, 1)}
+
+
+def test_texts_with_a_given_beginning_are_no_pairs(spark):
+    key = [("v", "exact_list", ["not stated:x"], 0.0)]
+    answer = {1: '{"v": ["Not stated:x"]}'}
+    assert grades(spark, key, answer, whole=["not stated:"]) == {1: (True, 1)} and grades(spark, key, answer) == {1: (False, 0)}
+
+
+def test_questions_without_a_key_have_no_grade(spark):
+    none = spark.createDataFrame([], "alias string, name string")
+    ans = spark.createDataFrame([(1, "other", "{}")], "id int, question string, answer string")
+    assert grading.grade(ans, spark.createDataFrame([("q", "v", "exact_number", ["1"], 0.0)], KEY), ["id"], none).count() == 0
 
 
 def test_cpm_adds_up_and_empty_samples_are_null(spark):
@@ -144,10 +234,12 @@ def test_cpm_adds_up_and_empty_samples_are_null(spark):
     assert abs(scaling.cpm_closure(m.where("value is not null")).first().least - 1e6) < 1e-3
 
 
-def test_sections_keep_odd_separators_and_bind_samples(spark):
+def test_sections_keep_odd_separators_and_bind_samples(spark, tmp_path):
     text = '!Series_title\t"a\x0bb\u2028c\x85d"\r\n!Sample_geo_accession\t"S2"\t"S1"\n!Sample_note\t"two"\t"one"\n!series_matrix_table_begin\nID_REF\tS1\tS2\nf\t1\t2\n!series_matrix_table_end\n'
     odd = text.replace("ID_REF\tS1\tS2", "ID_REF\tS1\tS3")
-    rows = files.read_sectioned(spark.createDataFrame([("a", bytearray(text.encode())), ("b", bytearray(odd.encode()))], "path string, content binary"))
+    for name, x in (("a", text), ("b", odd)):
+        (tmp_path / name).write_text(x, newline="")
+    rows = files.read_sectioned(spark, str(tmp_path)).withColumn("path", F.substring("path", -1, 1))
     assert [r.value for r in rows.where("path = 'a' and section = 'series'").collect()] == ["a\x0bb\u2028c\x85d"]
     bound, misfits = files.bind_samples(rows)
     assert {(r.field, r.sample_id, r.value) for r in bound.where("path = 'a' and field <> 'geo_accession'").collect()} == {("note", "S1", "one"), ("note", "S2", "two"), ("f", "S1", "1"), ("f", "S2", "2")}
@@ -175,19 +267,54 @@ def test_unpivot_drops_or_keeps_nulls(spark):
     assert files.unpivot_matrix(df, ["id"], ["a", "b"], keep_nulls=True).count() == 2
 
 
-def test_bundle_skips_foreign_members_and_reports_odd_keys(spark):
+def test_sections_of_a_file_that_many_tasks_read(spark, tmp_path):
+    """Split into blocks of a few lines or gzipped in one piece, a file reads alike."""
+    import gzip
+
+    head = '!Series_title\t"a ""b"" c"\n\n!Sample_geo_accession\t"S1"\t"S2"\n!Sample_note\t"x\ty"\t\n!Sample_note\t"p"\t"q"\n!series_matrix_table_begin\n"ID_REF"\t"S1"\t"S2"\n'
+    text = head + "".join(f"f{i}\t{i}\t{-i}\n\n" for i in range(3000)) + "!series_matrix_table_end\nnot in a table\n!Series_note\tlast\n"
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain" / "x.txt").write_text(text)
+    (tmp_path / "x.txt.gz").write_bytes(gzip.compress(text.encode()))
+    want = [("series", 1, "title", 0, 'a "b" c'), ("sample", 3, "geo_accession", 0, "S1"), ("sample", 3, "geo_accession", 1, "S2"), ("sample", 4, "note", 0, "x\ty"), ("sample", 4, "note", 1, ""), ("sample", 5, "note", 0, "p"), ("sample", 5, "note", 1, "q")]
+    want += [("header", 7, "ID_REF", 0, "S1"), ("header", 7, "ID_REF", 1, "S2"), *(("table", 8 + 2 * i, f"f{i}", k, str(i * (1 - 2 * k))) for i in range(3000) for k in (0, 1)), ("series", 6010, "note", 0, "last")]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+        assert spark.read.text(f"{tmp_path}/plain").rdd.getNumPartitions() > 5
+        for at in ("plain", "x.txt.gz"):
+            got = sorted((r.section, r.line, r.field, r.column, r.value) for r in files.read_sectioned(spark, f"{tmp_path}/{at}").collect())
+            assert got == sorted(want)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_bundles_skip_foreign_members_and_report_gaps(spark, tmp_path, monkeypatch):
+    import gzip
     import io
     import tarfile
 
-    data = io.BytesIO()
-    with tarfile.open(fileobj=data, mode="w") as tar:
-        for name, text in {"S1_x.txt": "id\tn\nk1\t1\nk2\t2\n", "S2_x.txt": "id\tn\nk1\t1\nk2\t3\n", "S3_x.txt": "id\tn\nk9\t1\n", "S4_x.txt": "id\tn\nk1\t1\n"}.items():
+    members = {"S1_x.txt": "id\tn\tm\nk1\t1\t\nk2\t2\t\n", "S2_x.txt": "id\tn\tm\nk1\t1\t\nk2\t3\t\n", "S3_x.txt": "id\tn\tm\nk2\t1\t\nk1\t9\t\n", "S4_x.txt": b"\x1f\x8bbroken", "d/S5_x.txt.gz": gzip.compress(b'id\tn\nk1\t"a\nb"\nk2\t1\t2\t3\n'), "S6.txt": "", "S7.txt": "id\tn\tm\n"}
+    with tarfile.open(tmp_path / "b.tar", mode="w") as tar:
+        for name, text in members.items():
+            body = text if isinstance(text, bytes) else text.encode()
             info = tarfile.TarInfo(name)
-            info.size = len(text)
-            tar.addfile(info, io.BytesIO(text.encode()))
-    df = spark.createDataFrame([("b.tar", bytearray(data.getvalue()))], "path string, content binary")
-    kept, skipped, odd = files.read_bundle(df, spark.createDataFrame([("S1",), ("S2",), ("S3",)], "sample_id string"))
-    assert kept.count() == 5 and [r.member for r in skipped.collect()] == ["S4_x.txt"] and [r.member for r in odd.collect()] == ["S3_x.txt"]
+            info.size = len(body)
+            tar.addfile(info, io.BytesIO(body))
+        tar.addfile(tarfile.TarInfo("S9_dir"))
+    with tarfile.open(tmp_path / "none.tar", mode="w"):
+        pass
+    (tmp_path / "other.txt").write_text("x")
+    keep = spark.createDataFrame([(f"S{i}",) for i in (1, 2, 3, 5, 6, 7, 8)], "sample_id string")
+    got = files.read_bundle(spark, str(tmp_path), keep)
+    assert {(r.sample_id, r.row, r.row_key, r.field, r.value) for r in got["rows"].where("sample_id in ('S1', 'S5')").collect()} == {
+        ("S1", 1, "k1", "n", "1"), ("S1", 1, "k1", "m", ""), ("S1", 2, "k2", "n", "2"), ("S1", 2, "k2", "m", ""), ("S5", 1, "k1", "n", "a\nb"), ("S5", 2, "k2", "n", "1"), ("S5", 2, "k2", "#2", "2"), ("S5", 2, "k2", "#3", "3")}
+    assert {r.member for r in got["skipped"].collect()} == {"S4_x.txt", "S9_dir"} and [r.sample_id for r in got["missing"].collect()] == ["S8"]
+    assert {r.member for r in got["empty"].collect()} == {"S6.txt", "S7.txt"}
+    assert {(r.member, r.what) for r in got["odd"].collect()} == {("S3_x.txt", "row keys"), ("d/S5_x.txt.gz", "columns")}
+    assert files.read_bundle(spark, str(tmp_path / "none.tar"), keep)["missing"].count() == 7
 
 
 def test_manifest_of_large_files(spark, tmp_path):
