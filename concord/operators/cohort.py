@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from concord.operators.identity import bounded
+
 
 def same(a: str, b: str, keys: list[str]) -> Column:
     """Null-safe equality of keys; Spark hashes it like an ordinary equi-join."""
@@ -67,6 +69,32 @@ def effect_by_entity(effects: DataFrame, entity: str, comparison: str, names: li
     return effects.groupBy(entity).pivot(comparison, names).agg(F.round(F.avg("effect"), 4))
 
 
+def compared_sets(values: DataFrame, members: DataFrame, sample: str, entity: str, value: str, names: list[str]) -> DataFrame:
+    """Entity x comparison table: mean of the treated samples less mean of the control samples of named comparisons.
+
+    members: comparison, side ('treated' or 'control'), sample; a sample may stand in any number of comparisons and on both
+    sides. Values meet their memberships once and all comparisons come out of one aggregation; an entity without values on
+    both sides of a comparison has null there."""
+    own = members.select("comparison", "side", F.col(sample).alias("_s")).distinct()
+    met = values.join(bounded(own), F.col(sample) == F.col("_s"))
+    each = met.groupBy(entity)
+
+    def mean(name: str, side: str) -> Column:
+        return F.avg(F.when((F.col("comparison") == name) & (F.col("side") == side), F.col(value)))
+
+    return each.agg(*(F.round(mean(n, "treated") - mean(n, "control"), 4).alias(n) for n in names))
+
+
+def comparison_members(members: DataFrame, sample: str) -> DataFrame:
+    """What stands behind each comparison: the numbers and sorted ids of its two sides, either of which may be empty."""
+
+    def ids(side: str) -> Column:
+        return F.array_sort(F.collect_set(F.when(F.col("side") == side, F.col(sample))))
+
+    g = members.groupBy("comparison").agg(ids("treated").alias("treated_ids"), ids("control").alias("control_ids"))
+    return g.select("comparison", F.size("treated_ids").cast("long").alias("n_treated"), F.size("control_ids").cast("long").alias("n_control"), "treated_ids", "control_ids")
+
+
 def filter_population(effects: DataFrame, population: DataFrame, keys: list[str]) -> DataFrame:
     return effects.alias("e").join(population.select(*keys).distinct().alias("p"), same("e", "p", keys), "left_semi")
 

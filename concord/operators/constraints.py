@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StructType
 
-SAMPLED = 100  # sampled rows for each range of a surrogate id
+from concord.operators.identity import bounded
+from concord.shared import kept
+
+RANGE_ROWS = 1_000_000  # rows in a range of surrogate ids, about
 
 
 def check_not_null(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -100,29 +103,29 @@ def fingerprint_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.withColumn("same", F.col("before").eqNullSafe(F.col("after")))
 
 
-def surrogate_id(df: DataFrame, order: list[str], name: str = "id", parts: int = 64) -> DataFrame:
-    """1, 2, 3 ... in a total order, without a global window: rows are numbered inside ranges of all order columns together
-    (cut at the quantiles of a sample) and each range gets the count of those before it. Order columns may be of any
-    ordered type; nulls come first."""
-    key = F.struct(*(F.col(c) for c in order))
-    few = df.select(*order).orderBy(F.xxhash64(*order)).limit(parts * SAMPLED)  # a bounded sample, the same whatever the partitions
-    few = sorted_rows(few, order)
-    cuts = [few[len(few) * k // parts] for k in range(1, parts)] if few else []
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    after = [key > F.struct(*(F.lit(r[c]).cast(kinds[c]).alias(c) for c in order)) for r in dict.fromkeys(cuts)]
-    at = sum((F.when(a, 1).otherwise(0) for a in after), F.lit(0))
-    cut = df.withColumn("_range", at)
-    sizes = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_range", before.alias("_before"))  # a row for each range
-    number = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    out = cut.withColumn("_k", number).join(F.broadcast(offsets), "_range")
-    return out.withColumn(name, (F.col("_k") + F.col("_before")).cast("bigint")).drop("_range", "_k", "_before")
-
-
-def sorted_rows(few: DataFrame, order: list[str]) -> list:
-    """The rows of a bounded sample in Spark's order."""
-    return few.coalesce(1).sortWithinPartitions(*order).collect()
+def surrogate_id(df: DataFrame, order: list[str], name: str = "id", rows: int = RANGE_ROWS) -> DataFrame:
+    """1, 2, 3 ... in the order of ``order`` (any ordered types; nulls come first), without a global window.
+
+    Spark sorts the rows into ranges, as many as keep a range at about ``rows`` rows, and they are written with their
+    place in the range; each range then gets the number of rows before it, from counts added in two levels. Rows that tie
+    in all order columns are numbered by a hash of all columns, so equal numbers of the same rows come out whatever the
+    partitions; rows that are equal in all columns are dealt among ranges by their place in the input, so no range grows
+    with a repeated row."""
+    n = df.count()
+    all_columns = F.xxhash64(*(F.to_json(F.struct(c)) if isinstance(df.schema[c].dataType, (ArrayType, MapType, StructType)) else F.col(c) for c in df.columns))
+    tied = df.withColumn("_tie", all_columns).withColumn("_same", F.xxhash64(F.monotonically_increasing_id()))
+    by = [*(F.asc_nulls_first(c) for c in order), "_tie", "_same"]
+    placed = tied.repartitionByRange(max(1, -(-n // rows)), *by).sortWithinPartitions(*by)
+    at = F.monotonically_increasing_id()
+    placed = kept(placed.select(*df.columns, F.shiftright(at, 33).cast("int").alias("_range"), at.bitwiseAND((1 << 33) - 1).alias("_k")), "ids")
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_block", F.shiftright("_range", 10))
+    blocks = sizes.groupBy("_block").agg(F.sum("_n").alias("_b"))
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("_block", earlier("_b", Window.orderBy("_block")).alias("_before_block"))  # a row for 1,024 ranges
+    offsets = sizes.withColumn("_before", earlier("_n", Window.partitionBy("_block").orderBy("_range"))).join(blocks, "_block")
+    offsets = offsets.select("_range", (F.col("_before") + F.col("_before_block")).alias("_before"))
+    out = placed.join(bounded(offsets), "_range")
+    return out.select(*df.columns, (F.col("_k") + F.col("_before") + 1).cast("bigint").alias(name))
 
 
 def explain_value(prov: DataFrame, entity: str) -> DataFrame:

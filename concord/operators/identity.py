@@ -84,18 +84,48 @@ def classify(text: Column, special: dict[str, Column] | None = None) -> Column:
     return c
 
 
-def map_entities(features: DataFrame, ladder: list[tuple[str, str, DataFrame]], status: Column | None = None) -> DataFrame:
+def stacked_lookup(ladder: list[tuple[str, str, DataFrame]], scope: str | None = None) -> DataFrame:
+    """_scope, _rung, _key, _id of all rungs. A lookup may have the column ``scope``; its rows then hold for that study only."""
+    parts = []
+    for i, (_, _, lookup) in enumerate(ladder):
+        own = F.col(scope).cast("string") if scope and scope in lookup.columns else F.lit(None).cast("string")
+        parts.append(lookup.select(own.alias("_scope"), F.lit(i).alias("_rung"), F.col("key").cast("string").alias("_key"), F.col("id").alias("_id")))
+    return reduce(DataFrame.unionByName, parts).where("_key is not null and _id is not null").distinct()
+
+
+def repeated_keys(ladder: list[tuple[str, str, DataFrame]], scope: str | None = None) -> DataFrame:
+    """Keys of a rung that have more than one id: method, key, n_ids. map_entities leaves them out."""
+    names = F.array(*(F.lit(m) for m, _, _ in ladder))
+    n = stacked_lookup(ladder, scope).groupBy("_scope", "_rung", "_key").agg(F.count(F.lit(1)).alias("n_ids")).where("n_ids > 1")
+    return n.select(F.get(names, "_rung").alias("method"), F.col("_key").alias("key"), "n_ids")
+
+
+def map_entities(features: DataFrame, ladder: list[tuple[str, str, DataFrame]], status: Column | None = None, study: str | None = None, forbidden: dict[str, list[str]] | None = None) -> DataFrame:
     """First rung that knows the feature wins. ladder: (method, feature column, lookup key -> id). Adds id, method, status.
 
-    A row with a ``status`` (see classify) is not looked up. Lookups of bounded size are broadcast, one join a rung.
-    """
-    df = features.withColumn("_s", status if status is not None else F.lit(None).cast("string"))
-    for i, (_, col, lookup) in enumerate(ladder):
-        side = bounded(lookup.select(F.col("key").alias(f"_k{i}"), F.col("id").alias(f"_id{i}")))
-        df = df.join(side, (F.col(col) == F.col(f"_k{i}")) & F.col("_s").isNull(), "left")
-    ids = [F.col(f"_id{i}") for i in range(len(ladder))]
-    method = reduce(lambda c, x: c.when(x[0].isNotNull(), x[1]), zip(ids, [m for m, _, _ in ladder], strict=True), F.when(F.lit(False), ""))
-    return df.select(*features.columns, F.coalesce(*ids).alias("id"), method.alias("method"), F.coalesce("_s", F.when(F.coalesce(*ids).isNull(), "unmapped").otherwise("mapped")).alias("status"))
+    A row with a ``status`` (see classify) is not looked up, and the rungs that ``forbidden`` names for its study aren't
+    asked. The lookups are stacked into one keyed by study, rung and key; a feature's keys are put into an array and
+    exploded once, and the lowest rung that answers is taken, so there is one join whatever the number of rungs. A key
+    with more than one id tells nothing and is left out (see repeated_keys), so no feature is doubled."""
+    methods = F.array(*(F.lit(m) for m, _, _ in ladder))
+    own = F.struct(*features.columns)
+    barred = F.create_map(*(x for k, v in forbidden.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>")))) if forbidden and study else None
+
+    def candidate(i: int, method: str, col: str) -> Column:
+        asked = F.col(col).isNotNull()
+        if barred is not None:
+            asked = asked & ~F.coalesce(F.array_contains(F.try_element_at(barred, F.col(study).cast("string")), method), F.lit(False))
+        return F.when(asked, F.struct(F.lit(i).alias("rung"), F.col(col).cast("string").alias("key")))
+
+    df = features.select(own.alias("_f"), (status if status is not None else F.lit(None).cast("string")).alias("_s"), F.array_compact(F.array(*(candidate(i, m, c) for i, (m, c, _) in enumerate(ladder)))).alias("_c"))
+    df = df.withColumn("_row", F.monotonically_increasing_id())
+    side = stacked_lookup(ladder, study).groupBy("_scope", "_rung", "_key").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+    each = df.select("_row", "_f", "_s", F.explode_outer(F.when(F.col("_s").isNull(), F.col("_c"))).alias("_x"))
+    on = (F.col("_x.rung") == F.col("_rung")) & (F.col("_x.key") == F.col("_key"))
+    if study:
+        on = on & (F.col("_scope").isNull() | (F.col("_scope") == F.col(f"_f.{study}").cast("string")))
+    found = each.join(bounded(side), on, "left").groupBy("_row").agg(F.first("_f").alias("_f"), F.first("_s").alias("_s"), F.min_by(F.struct("_rung", "_id"), F.when(F.col("_id").isNotNull(), F.col("_rung"))).alias("_m"))
+    return found.select("_f.*", F.col("_m._id").alias("id"), F.get(methods, "_m._rung").alias("method"), F.coalesce("_s", F.when(F.col("_m").isNull(), "unmapped").otherwise("mapped")).alias("status"))
 
 
 def symbol_from_text(text: Column) -> Column:

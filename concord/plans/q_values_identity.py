@@ -59,6 +59,20 @@ def _(spark, d):
     return I.map_entities(f, [("by_id", "part", by_id), ("by_name", "name", by_name)])
 
 
+@query("C05b_ladder_by_study", """WITH f AS (SELECT DISTINCT l_returnflag AS study, l_partkey AS part FROM lineitem), x AS (SELECT study, part, p_name AS name, part % 2 = 0 AND study <> 'R' AS a, p_name LIKE 'red%' OR p_name LIKE 'blue%' AND study = 'N' AS b FROM f JOIN part ON part = p_partkey)
+ SELECT study, part, CASE WHEN a THEN 'id' || part WHEN b THEN 'n' || name END AS id, CASE WHEN a THEN 'by_id' WHEN b THEN 'by_name' END AS method, CASE WHEN a OR b THEN 'mapped' ELSE 'unmapped' END AS status FROM x""")
+def _(spark, d):
+    """Study R may not use ids, blue names hold for study N only, and odd parts have two ids each."""
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_name").alias("name"))
+    f = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("study"), F.col("l_partkey").alias("part")).distinct().join(p, "part")
+    by_id = p.where("part % 2 = 0").select(F.col("part").alias("key"), F.concat(F.lit("id"), F.col("part").cast("string")).alias("id"))
+    twice = p.where("part % 2 = 1").select(F.col("part").alias("key"), F.explode(F.array(F.lit("one"), F.lit("two"))).alias("id"))  # tells nothing
+    named = p.select(F.col("name").alias("key"), F.concat(F.lit("n"), "name").alias("id")).distinct()
+    by_name = named.where("key like 'red%'").withColumn("study", F.lit(None).cast("string")).unionByName(named.where("key like 'blue%'").withColumn("study", F.lit("N")))
+    got = I.map_entities(f, [("by_id", "part", by_id.unionByName(twice)), ("by_name", "name", by_name)], study="study", forbidden={"R": ["by_id"]})
+    return got.select("study", "part", "id", "method", "status")
+
+
 CLASS_SQL = """SELECT coalesce(status, 'open') AS status, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN p_type = 'PROMO' THEN 'control_probe' WHEN p_type = 'SMALL' THEN 'multiple_genes'
  WHEN p_size = 7 THEN 'corrupt_annotation' WHEN p_brand = 'Brand#3' THEN 'retired' END AS status FROM part) GROUP BY ALL"""
 

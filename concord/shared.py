@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,3 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         current = context.getCheckpointDir()
     return current
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, whatever reads it and whichever executors are lost."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
