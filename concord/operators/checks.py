@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import calendar
+import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from concord.functions.patterns import MOLAR, parse_quantity
+from concord.functions.patterns import MOLAR
 from concord.operators.cohort import same
 from concord.operators.identity import bounded
 
-NAMED = r"(?=.{0,40}?\b(?:%s)\b)"
+REACH = 40  # characters behind a quantity in which a name makes it a dose
 
 
 def as_issues(df: DataFrame, check: str, study: Column, record: Column, observed: Column, expected: Column, resolution: str = "flagged", inventory: DataFrame | None = None) -> DataFrame:
@@ -26,12 +27,32 @@ def as_issues(df: DataFrame, check: str, study: Column, record: Column, observed
     return out.withColumn("impact", F.coalesce("_i", F.lit("minor"))).select(*(c for c in out.columns if c not in ("_i", "inventory_id")), "impact", "inventory_id")
 
 
-def dose_above_limit(df: DataFrame, by: list[str], text: str, limit: float, names: list[str]) -> DataFrame:
-    """Every quantity above the limit (in nM) that one of the names follows within 40 characters, once for each text field
-    (``by``), number and unit, with what follows it."""
-    found = F.filter(parse_quantity(F.col(text), MOLAR, NAMED % "|".join(names)), lambda q: q["value"] > limit)
-    hit = df.select(*by, F.explode(F.array_distinct(found)).alias("q"))
-    return hit.select(*by, "q.amount", "q.unit", "q.value").dropDuplicates([*by, "amount", "unit"])
+def spelled_pattern(name: Column) -> Column:
+    """A pattern for the spelling as a whole word; spellings of three letters or more are found in any case."""
+    text = F.regexp_replace(name, r"([^\p{L}\p{N}\s_])", r"\\$1")
+    return F.concat(F.when(F.length(name) >= 3, F.lit("(?iu:")).otherwise(F.lit("(?:")), F.lit(r"(?<![\w-])"), text, F.lit(r"(?![\w-]))"))
+
+
+def dose_above_limit(df: DataFrame, by: list[str], text: str, limit: float, names: DataFrame, study: str | None = None, reach: int = REACH) -> DataFrame:
+    """Every quantity above the limit (in nM) that one of the study's names follows within ``reach`` characters, over line
+    breaks too: ``by``, amount, unit, value, and the first such name; once for each text field (``by``), number and unit.
+
+    names: name, and ``study`` where names hold for one study only. Quantities are found with the text behind them and
+    reduced to those above the limit first; only they meet the names, by study."""
+    after = rf"(?=(?s:(.{{0,{reach}}})))"
+    units = "|".join(sorted(map(re.escape, MOLAR), key=len, reverse=True))
+    quantity = F.lit(rf"(?<![\p{{L}}\p{{N}}.])(\d+(?:\.\d+)?)\s*({units})(?![\p{{L}}\p{{N}}]){after}")
+    scale = F.create_map(*(F.lit(x) for kv in MOLAR.items() for x in kv))
+    parts = [F.regexp_extract_all(text, quantity, F.lit(i)) for i in (1, 2, 3)]
+    found = F.transform(F.arrays_zip(*(p.alias(n) for p, n in zip(parts, ("n", "unit", "after"), strict=True))), lambda q: F.struct(q["n"].cast("double").alias("amount"), q["unit"].alias("unit"), (q["n"].cast("double") * F.element_at(scale, q["unit"])).alias("value"), q["after"].alias("after")))
+    scope = [study] if study else []
+    hit = df.select(*dict.fromkeys([*by, *scope]), F.explode(F.filter(found, lambda q: q["value"] > limit)).alias("q"))
+    known = names.where("name is not null and name <> ''").select(*(F.col(c).alias("_study") for c in scope), "name", spelled_pattern(F.col("name")).alias("_p")).distinct()
+    known = known.groupBy(*(["_study"] if study else [])).agg(F.sort_array(F.collect_list(F.struct("name", "_p"))).alias("_names"))  # the spellings of a study
+    met = hit.join(bounded(known), F.col(study) == F.col("_study")) if study else hit.crossJoin(F.broadcast(known))  # one row
+    first = F.try_element_at(F.filter("_names", lambda x: F.regexp_like(F.col("q.after"), x["_p"])), F.lit(1))["name"]
+    got = met.select(*by, "q.amount", "q.unit", "q.value", first.alias("name")).where("name is not null")
+    return got.groupBy(*by, "amount", "unit").agg(F.first("value").alias("value"), F.min("name").alias("name"))
 
 
 def stored_above_limit(treatments: DataFrame, keys: list[str], dose: str, limit: float) -> DataFrame:
@@ -74,6 +95,20 @@ def duplicate_titles(df: DataFrame, study: str, record: str, title: str, batch:
     return g.where("n > 1").withColumn("kind", F.when(F.col("n_batches") > 1, "across batches").otherwise("within batch"))
 
 
+def duplicate_title_records(df: DataFrame, study: str, record: str, title: str, batch: str, code: str, named: int = 10) -> DataFrame:
+    """One row for each record of a repeated title: study, record, title, kind ('within batch' or 'across batches'),
+    n_others, and others: the first ``named`` of the other records, in order. The records of a title meet only as counts
+    and as the few that are named, however many share it."""
+    rows = df.withColumn("_core", F.trim(F.regexp_replace(title, code, "")))
+    repeated = duplicate_titles(df, study, record, title, batch, code).select(F.col(study).alias("_st"), F.col("core").alias("_c"), "n", "kind")
+    hit = rows.join(repeated, F.col(study).eqNullSafe(F.col("_st")) & (F.col("_core") == F.col("_c")))
+    place = F.row_number().over(Window.partitionBy("_st", "_core").orderBy(record))
+    few = hit.withColumn("_k", place).where(F.col("_k") <= named + 1).groupBy(F.col("_st").alias("_s2"), F.col("_core").alias("_c2")).agg(F.array_sort(F.collect_list(record)).alias("_first"))
+    met = hit.join(few, F.col("_st").eqNullSafe(F.col("_s2")) & (F.col("_core") == F.col("_c2")))
+    others = F.slice(F.filter("_first", lambda x: x != F.col(record)), 1, named)
+    return met.select(study, record, title, "kind", (F.col("n") - 1).alias("n_others"), others.alias("others"))
+
+
 def no_control_in_batch(samples: DataFrame, keys: list[str], treated: Column, control: Column, line: str, parent: str | None = None) -> DataFrame:
     """Treated records without a control that has the same keys (nulls equal) and the same line or its parent."""
     s, c = samples.where(treated).alias("s"), samples.where(control).select(*keys, line).distinct().alias("c")
@@ -195,6 +230,13 @@ def coverage(inventory: DataFrame, issues: DataFrame, tags: DataFrame, built_in:
     return j.select("id", "check", state.alias("state"), F.coalesce("n_issues", F.lit(0).cast("bigint")).alias("n_issues"))
 
 
+def program_tags(spark: SparkSession, programs: dict[str, dict]) -> DataFrame:
+    """id, fixed_by: the inventory rows that rules and named records of rule programs name ('program: rule'; programs are
+    small, hand-written mappings)."""
+    rows = [(b["inventory"], f"{name}: {b.get('name')}") for name, p in programs.items() for b in [*p.get("rules", []), *p.get("records", {}).values()] if isinstance(b, dict) and b.get("inventory")]
+    return spark.createDataFrame(rows, "id string, fixed_by string")
+
+
 def require_covered(covered: DataFrame) -> DataFrame:
     """The gate: raises if any inventory row is not covered."""
     lost = [r["id"] for r in covered.where("state = 'not covered'").limit(20).collect()]

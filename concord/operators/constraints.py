@@ -139,9 +139,10 @@ def resolve_citations(ids: DataFrame, key: str, records: DataFrame, treatments:
     """What stands behind cited ids (``ids``: one column ``key``; blanks and repeats don't count).
 
     records: the rows of the ids that exist, with their treatments (key, treatment) as one text. not_found: the other ids.
-    provenance: rows (entity, field, ...) of those records or their child keys (id|child), of ``fields`` only if given.
+    provenance: rows (entity, field, value, rule, source, location, raw ...) of those records or their child keys
+    (id|child), of ``fields`` only if given.
     files: the files that the records name in ``file_key``. issues: of the cited ``inventory`` ids (inventory_id) the
-    number of records, and the first impact, resolution and record.
+    number of records, and the first record with its impact, resolution and message.
     """
     cited = ids.select(key).where(F.trim(F.col(key).cast("string")) != "").distinct()
     found = records.join(cited, key, "left_semi")
@@ -157,6 +158,6 @@ def resolve_citations(ids: DataFrame, key: str, records: DataFrame, treatments:
         out["files"] = files.join(found.select(file_key).distinct(), file_key, "left_semi")
     if issues is not None and inventory is not None:
         told = issues.join(inventory.select(F.upper(F.trim("inventory_id")).alias("inventory_id")).distinct(), "inventory_id", "left_semi")
-        first = F.min(F.struct("record_id", "impact", "resolution")).alias("f")
+        first = F.min(F.struct("record_id", *(c for c in ("impact", "resolution", "message") if c in told.columns))).alias("f")
         out["issues"] = told.groupBy("inventory_id").agg(F.count(F.lit(1)).alias("n_records"), first).select("inventory_id", "n_records", "f.*")
     return out

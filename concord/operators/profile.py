@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concord.operators.cohort import same
+from concord.operators.identity import bounded
+
 
 def distinct_counts(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
@@ -24,14 +29,74 @@ def disagreement(df: DataFrame, a: str, b: str, norm: dict[str, str]) -> DataFra
     return df.where(~n(a).eqNullSafe(n(b)))
 
 
-def sample_correlation(meas: DataFrame, sample: str, feature: str, value: str, floor: float, within: list[str] = ()) -> DataFrame:
-    """Pearson correlation of each pair of samples of one group over features that both express above ``floor``.
-
-    Quadratic in the samples of a group by nature: ``within`` (study, batch) bounds it."""
-    m = meas.where(F.col(value) > floor).select(*within, sample, feature, value)
-    a = m.select(*within, feature, F.col(sample).alias("a"), F.col(value).alias("va"))
-    b = m.select(*within, feature, F.col(sample).alias("b"), F.col(value).alias("vb"))
-    return a.join(b, [*within, feature]).where("a < b").groupBy(*within, "a", "b").agg(F.corr("va", "vb").alias("r"), F.count(F.lit(1)).alias("n_features"))
+TILE, BLOCK = 128, 4096  # samples in a tile and features in a block of the matrix, about
+SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+
+def sample_correlation(meas: DataFrame, sample: str, feature: str, value: str, floor: float, within: list[str] = (), tile: int = TILE, block: int = BLOCK) -> DataFrame:
+    """Pearson correlation r of each pair of samples of one group over the n_features that both express above ``floor``;
+    null where one of them has no spread there.
+
+    The matrix of a group (``within``) is cut into tiles of samples and blocks of features by hash. Two tiles meet in one
+    block in one task, which multiplies them as matrices, with masks for what one of them lacks, and returns six sums for
+    each pair; the sums of the blocks are added. So the rows that are sent are the values times the tiles of their group,
+    and pairs times blocks, not pairs times features. The pairs themselves are quadratic in the samples of a group by
+    nature. Values are taken less their sample's mean, so sums don't lose digits."""
+    own = list(within)
+    m = meas.where((F.col(value) > floor) & F.col(sample).isNotNull() & F.col(feature).isNotNull()).select(*own, F.col(sample).alias("_s"), F.col(feature).alias("_f"), F.col(value).cast("double").alias("_v"))
+    means = m.groupBy(*own, "_s").agg(F.avg("_v").alias("_mean"))
+    if own:
+        sizes = m.groupBy(*own).agg(F.count_distinct("_s").alias("_ns"), F.count_distinct("_f").alias("_nf"))
+        dealt = m.alias("m").join(bounded(means).alias("k"), same("m", "k", [*own, "_s"])).join(bounded(sizes).alias("z"), same("m", "z", own)).select("m.*", "_mean", "_ns", "_nf")
+    else:
+        sizes = m.agg(F.count_distinct("_s").alias("_ns"), F.count_distinct("_f").alias("_nf"))  # one row
+        dealt = m.alias("m").join(bounded(means).alias("k"), same("m", "k", ["_s"])).select("m.*", "_mean").crossJoin(F.broadcast(sizes))
+    tiles = F.ceil(F.col("_ns") / tile).cast("int")
+    at = dealt.select(*own, "_s", (F.col("_v") - F.col("_mean")).alias("_v"), F.xxhash64("_f").alias("_f"), F.pmod(F.xxhash64("_f"), F.ceil(F.col("_nf") / block)).alias("_block"), F.pmod(F.xxhash64("_s"), tiles).cast("int").alias("_t"), tiles.alias("_n"))
+    at = at.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    at = at.select(*own, "_s", "_f", "_v", "_block", "_t", F.least("_t", "_other").alias("_x"), F.greatest("_t", "_other").alias("_y"))
+    kinds = {f.name: f.dataType.simpleString() for f in at.schema}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in own), f"a {kinds['_s']}, b {kinds['_s']}", *(f"{c} double" for c in SUMS)])
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        columns = pdf["_f"].unique()
+
+        def matrix(t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            part = pdf[pdf["_t"] == t]
+            ids, row = np.unique(part["_s"].to_numpy(), return_inverse=True)
+            v, has = np.zeros((len(ids), len(columns))), np.zeros((len(ids), len(columns)))
+            col = pd.Index(columns).get_indexer(part["_f"])
+            v[row, col], has[row, col] = part["_v"], 1.0
+            return ids, v, has
+
+        (ia, va, ha), (ib, vb, hb) = matrix(first["_x"]), matrix(first["_y"])
+        found = dict(zip(SUMS, (ha @ hb.T, va @ hb.T, ha @ vb.T, (va**2) @ hb.T, ha @ (vb**2).T, va @ vb.T), strict=True))
+        pick = found["n"] > 0
+        if first["_x"] == first["_y"]:
+            pick &= np.triu(np.ones_like(pick), 1)
+        i, j = pick.nonzero()
+        swap = ia[i] > ib[j]  # pairs come with the smaller id first
+        out = {"a": np.where(swap, ib[j], ia[i]), "b": np.where(swap, ia[i], ib[j])} | {c: x[i, j] for c, x in found.items()}
+        for p, q in (("sx", "sy"), ("sxx", "syy")):
+            out[p], out[q] = np.where(swap, out[q], out[p]), np.where(swap, out[p], out[q])
+        return pd.DataFrame({c: first[c] for c in own} | out, index=range(len(i)))[[*own, "a", "b", *SUMS]]
+
+    parts = at.groupBy(*own, "_x", "_y", "_block").applyInPandas(products, schema)
+    g = parts.groupBy(*own, "a", "b").agg(*(F.sum(c).alias(c) for c in SUMS))
+    spread = (F.col("n") * F.col("sxx") - F.col("sx") ** 2) * (F.col("n") * F.col("syy") - F.col("sy") ** 2)
+    r = F.when(spread > 0, (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(spread))
+    return g.select(*own, "a", "b", r.alias("r"), F.col("n").cast("long").alias("n_features"))
+
+
+def correlation_of_groups(pairs: DataFrame, groups: DataFrame, sample: str, within: list[str] = ()) -> DataFrame:
+    """Mean correlation between groups of samples and inside them: ``within``, group_a, group_b (in order), mean_r, n_pairs.
+
+    pairs: what sample_correlation returned. groups: group and sample, of which a sample may have several."""
+    a = groups.select(F.col(sample).alias("a"), F.col("group").alias("_ga")).distinct()
+    b = groups.select(F.col(sample).alias("b"), F.col("group").alias("_gb")).distinct()
+    met = pairs.where("r is not null").join(bounded(a), "a").join(bounded(b), "b")
+    return met.groupBy(*within, F.least("_ga", "_gb").alias("group_a"), F.greatest("_ga", "_gb").alias("group_b")).agg(F.avg("r").alias("mean_r"), F.count(F.lit(1)).alias("n_pairs"))
 
 
 def label_crosscheck(a: DataFrame, b: DataFrame, key: str, cols: list[str]) -> DataFrame:

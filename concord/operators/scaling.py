@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from concord.operators.cohort import same
 from concord.operators.identity import bounded
+from concord.shared import kept
 
 
 def library_size(values: DataFrame, sample: str = "sample_id", value: str = "raw_value") -> DataFrame:
@@ -40,17 +41,57 @@ def expect_dense(meas: DataFrame, entity: str = "entity") -> DataFrame:
     return n.withColumn("dense", F.col("n_rows") == F.col("n_samples") * F.col("n_entities"))
 
 
+#: The parts of a double: 52 bits of fraction, exponents from -1022 on.
+FRACTION, LEAST = 1 << 52, -1022
+
+
+def ordered_bits(x: Column) -> Column:
+    """A long for each double, in the same order: exponent and fraction as they are stored, with the sign. Divisions by
+    powers of two lose nothing, so double_of gives the double back. -0 is 0, NaN comes after infinity."""
+    size = F.abs(x)
+    guess = F.floor(F.log2(size)).cast("int")  # off by one next to a power of two
+    power = lambda e: F.pow(F.lit(2.0), e)
+    exponent = F.greatest(guess - (power(guess) > size).cast("int") + (power(guess + 1) <= size).cast("int"), F.lit(LEAST))
+    normal = (exponent.cast("long") - LEAST + 1) * FRACTION + ((size / power(exponent) - 1) * float(FRACTION)).cast("long")
+    small = (size * 2.0**537 * 2.0**537).cast("long")
+    infinite = F.lit(2047 * FRACTION)
+    bits = F.when(F.isnan(x), infinite + 1).when(size == float("inf"), infinite).when(size < 2.0**LEAST, small).otherwise(normal)
+    return F.when((x < 0) & ~F.isnan(x), -bits).otherwise(bits)
+
+
+def double_of(bits: Column) -> Column:
+    size = F.abs(bits)
+    exponent, fraction = F.shiftright(size, 52), size.bitwiseAND(FRACTION - 1).cast("double")
+    value = F.when(exponent == 0, fraction * 2.0**-537 * 2.0**-537).otherwise((1 + fraction / float(FRACTION)) * F.pow(F.lit(2.0), exponent + (LEAST - 1)))
+    value = F.when(size > 2047 * FRACTION, float("nan")).when(size == 2047 * FRACTION, float("inf")).otherwise(value)
+    return F.when(bits < 0, -value).otherwise(value)
+
+
 def group_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by, median: exact, in two passes. Approximate percentiles bracket the middle of each group (0.2 % of its rows, with
-    room for the approximation's error); rows below are only counted, and only the distinct values inside meet in one task."""
-    v = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    ends = v.groupBy(*by).agg(F.percentile_approx("_v", [0.499, 0.501], 10_000).alias("_q"), F.count(F.lit(1)).alias("_n")).alias("e")
-    low = v.alias("v").join(bounded(ends), same("v", "e", by)).where("_v <= _q[1]").select(*(f"v.{c}" for c in by), "_v", "_n", (F.col("_v") < F.col("_q")[0]).alias("_below"))
-    counts = low.groupBy(*by, "_n", "_below", F.when(~F.col("_below"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy(F.desc("_below"), "_v"))
-    ranked = counts.withColumn("_upto", upto).where("not _below")
-    middle = [F.min(F.when(F.col("_upto") >= r, F.col("_v"))) for r in (F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2))]
-    return ranked.groupBy(*by).agg(((middle[0] + middle[1]) / 2).alias("median"))
+    """by, median: exact, for all groups at once, whatever their sizes and however often a value repeats.
+
+    Values are longs in order (ordered_bits), written once, and the middle ranks are found by digits of 16 bits from the
+    top: a round counts the values of each digit among those that share the digits found so far and takes the digit in
+    which the rank falls. After four rounds the value is known. A task never holds the values of a group, only 65,536
+    counts for each of its two middles at most."""
+    own = list(by) or ["_all"]
+    rows = df if by else df.withColumn("_all", F.lit(0))
+    v = kept(rows.where(F.col(value).isNotNull()).select(*own, ordered_bits(F.col(value).cast("double")).alias("_v")), "median")
+    n = v.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"))
+    ranks = F.explode(F.array(F.struct(F.lit(0).alias("which"), F.floor((F.col("_n") - 1) / 2).alias("rank")), F.struct(F.lit(1).alias("which"), F.floor(F.col("_n") / 2).alias("rank")))).alias("x")
+    found = n.select(*own, ranks).select(*own, F.col("x.which").alias("_which"), F.col("x.rank").alias("_rank"), F.lit(0).cast("long").alias("_prefix"))
+    for shift in (48, 32, 16, 0):
+        found = kept(found, "middle")
+        prefixes = found.select(*own, "_prefix").distinct()
+        known = F.shiftright("_v", shift + 16) if shift < 48 else F.lit(0).cast("long")
+        digits = v.withColumn("_prefix", known).alias("v").join(bounded(prefixes).alias("p"), same("v", "p", [*own, "_prefix"]), "left_semi")
+        counts = digits.groupBy(*own, "_prefix", F.shiftright("_v", shift).alias("_digit")).agg(F.count(F.lit(1)).alias("_c"))
+        upto = F.sum("_c").over(Window.partitionBy(*own, "_prefix").orderBy("_digit"))
+        ranges = counts.withColumn("_upto", upto)
+        met = found.alias("f").join(ranges.alias("r"), same("f", "r", [*own, "_prefix"])).where("_rank < _upto and _rank >= _upto - _c")
+        found = met.select(*(f"f.{c}" for c in own), "_which", (F.col("_rank") - (F.col("_upto") - F.col("_c"))).alias("_rank"), F.col("_digit").alias("_prefix"))
+    middle = [F.max(F.when(F.col("_which") == k, double_of(F.col("_prefix")))) for k in (0, 1)]
+    return found.groupBy(*own).agg(((middle[0] + middle[1]) / 2).alias("median")).select(*by, "median")
 
 
 def value_summary(df: DataFrame, by: list[str], value: str, exact: bool = True) -> DataFrame:

@@ -11,20 +11,26 @@ from concord.operators import checks as C
 from concord.operators import profile as P
 from concord.plans.base import FX_FEATURE_MAP, FX_MEASUREMENT, FX_SAMPLE, FX_TREATMENT, fx_feature_map, fx_measurement, fx_sample, fx_treatment, query, r4, t
 from concord.plans.q_cohort import REGIONS
+from concord.plans.q_rules_constraints import PROGRAM
 from concord.plans.q_values_identity import rows
 
 NAMES = "bolt|ring|anvil|widget|gear|nut"
 
 
 def dose(spark, d):
-    """Two doses of a part in one text; the second name is out of reach of the first dose."""
+    """Two doses of a part in one text over several lines, with the part's name far behind the second; names hold for
+    one study each: even parts know no rings, odd ones no bolts."""
     far = F.lit(" and, much later in the same protocol, another dose of ")
-    text = F.concat(F.col("p_size").cast("string"), F.lit(" uM "), "p_name", far, (F.col("p_size") + 5).cast("string"), F.lit("uM "), "p_name")
-    return C.dose_above_limit(t(spark, d, "part").select("p_partkey", text.alias("text")), ["p_partkey"], "text", 40000, NAMES.split("|"))
+    p = t(spark, d, "part").select("p_partkey", "p_name", "p_size", (F.col("p_partkey") % 2).alias("study"))
+    size, more = F.col("p_size").cast("string"), (F.col("p_size") + 5).cast("string")
+    text = F.concat(size, F.lit(" uM\n of "), "p_name", far, F.lit("\n"), more, F.lit("uM "), F.upper("p_name"), F.lit("; "), more, F.lit(" mM, as usual, of nothing but water and salts "), "p_name")
+    names = [(s, n) for s in (0, 1) for n in NAMES.split("|") if n != ("ring", "bolt")[s]]
+    return C.dose_above_limit(p.withColumn("text", text), ["p_partkey"], "text", 40000, rows(spark, names, "study long, name string"), "study")
 
 
-@query("F01_dose_above_limit", f"""SELECT p_partkey, CAST(n AS DOUBLE) AS amount, 'uM' AS unit, n * 1000.0::DOUBLE AS value
- FROM (SELECT p_partkey, p_name, unnest([p_size, p_size + 5]) AS n FROM part) WHERE n > 40 AND regexp_matches(p_name, '\\b({NAMES})\\b')""")
+@query("F01_dose_above_limit", f"""SELECT p_partkey, CAST(n AS DOUBLE) AS amount, 'uM' AS unit, n * 1000.0::DOUBLE AS value, regexp_extract(p_name, '\\b({NAMES})\\b', 1) AS name
+ FROM (SELECT p_partkey, p_name, unnest([p_size, p_size + 5]) AS n FROM part) WHERE n > 40 AND regexp_matches(p_name, '\\b({NAMES})\\b')
+ AND regexp_extract(p_name, '\\b({NAMES})\\b', 1) <> CASE p_partkey % 2 WHEN 0 THEN 'ring' ELSE 'bolt' END""")
 def _(spark, d):
     return dose(spark, d)
 
@@ -53,8 +59,18 @@ def _(spark, d):
 @query("F03_duplicate_titles", """SELECT lang, md5(text) AS core, CAST(count(*) AS BIGINT) AS n, count(DISTINCT source) AS n_batches, min(doc_id) AS first_record,
  CASE WHEN count(DISTINCT source) > 1 THEN 'across batches' ELSE 'within batch' END AS kind FROM documents GROUP BY lang, text HAVING count(*) > 1""")
 def _(spark, d):
-    title = F.concat(F.md5(F.encode("text", "utf-8")), F.lit("  (MD"), F.col("doc_id").cast("string"), F.lit(") "))
-    return C.duplicate_titles(t(spark, d, "documents").withColumn("title", title), "lang", "doc_id", "title", "source", r"\s*\(MD\d+\)\s*$")
+    title = F.concat(F.md5(F.encode("text", "utf-8")), F.lit("  [run "), F.col("doc_id").cast("string"), F.lit("] "))
+    return C.duplicate_titles(t(spark, d, "documents").withColumn("title", title), "lang", "doc_id", "title", "source", r"\s*\[run \d+\]\s*$")
+
+
+@query("F03b_records_of_titles", """WITH d AS (SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY doc_id) AS k, count(DISTINCT source) OVER w AS b FROM documents WINDOW w AS (PARTITION BY lang, text)),
+ f AS (SELECT lang, text, list(doc_id ORDER BY doc_id) AS ids FROM d WHERE k <= 4 GROUP BY ALL)
+ SELECT lang, doc_id, CASE WHEN b > 1 THEN 'across batches' ELSE 'within batch' END AS kind, CAST(n - 1 AS BIGINT) AS n_others,
+ array_to_string(CASE WHEN k <= 4 THEN list_filter(ids, lambda x: x <> doc_id) ELSE ids[1:3] END, ',') AS others FROM d JOIN f USING (lang, text) WHERE n > 1""")
+def _(spark, d):
+    title = F.concat(F.md5(F.encode("text", "utf-8")), F.lit(" [run "), F.col("doc_id").cast("string"), F.lit("]"))
+    got = C.duplicate_title_records(t(spark, d, "documents").withColumn("title", title), "lang", "doc_id", "title", "source", r"\s*\[run \d+\]$", 3)
+    return got.select("lang", "doc_id", "kind", "n_others", F.array_join(F.col("others").cast("array<string>"), ",").alias("others"))
 
 
 @query("F04_no_control_in_batch", f"WITH {FX_SAMPLE} SELECT sample_id, study_id, batch, line FROM fx_sample s WHERE role = 'treated' AND NOT EXISTS (SELECT 1 FROM fx_sample c WHERE c.role = 'vehicle_control' AND c.study_id IS NOT DISTINCT FROM s.study_id AND c.batch IS NOT DISTINCT FROM s.batch AND (c.line = s.line OR (s.line = 'FURNITURE' AND c.line = 'MACHINERY')))")
@@ -177,10 +193,10 @@ def _(spark, d):
     return C.issue_summary(issues(spark, d))
 
 
-@query("F21_coverage", ISS + ", i(id, \"check\") AS (VALUES ('I1', 'no_control'), ('I2', 'fewer_replicates'), ('I3', 'other'), ('I4', 'none')), f AS (SELECT \"check\", count(*) AS n FROM iss WHERE resolution = 'flagged' GROUP BY 1) SELECT id, i.\"check\", CASE WHEN n > 0 THEN 'flagged' WHEN id IN ('I2', 'I3') THEN 'fixed' ELSE 'not covered' END AS state, CAST(coalesce(n, 0) AS BIGINT) AS n_issues FROM i LEFT JOIN f ON f.\"check\" = i.\"check\"")
+@query("F21_coverage", ISS + ", i(id, \"check\") AS (VALUES ('I1', 'no_control'), ('I2', 'fewer_replicates'), ('I3', 'other'), ('I4', 'none')), f AS (SELECT \"check\", count(*) AS n FROM iss WHERE resolution = 'flagged' GROUP BY 1) SELECT id, i.\"check\", CASE WHEN n > 0 THEN 'flagged' WHEN id IN ('I1', 'I2', 'I3') THEN 'fixed' ELSE 'not covered' END AS state, CAST(coalesce(n, 0) AS BIGINT) AS n_issues FROM i LEFT JOIN f ON f.\"check\" = i.\"check\"")
 def _(spark, d):
     inv = rows(spark, [("I1", "no_control"), ("I2", "fewer_replicates"), ("I3", "other"), ("I4", "none")], "id string, check string")
-    return C.coverage(inv, issues(spark, d), rows(spark, [("I2",)], "id string"), rows(spark, [("I3",)], "id string"))
+    return C.coverage(inv, issues(spark, d), C.program_tags(spark, {"orders": PROGRAM}), rows(spark, [("I3",)], "id string"))
 
 
 @query("F22_load_summary", f"WITH {FX_FEATURE_MAP}, {FX_TREATMENT} SELECT s.study_id, CAST(count(*) AS BIGINT) AS n_samples, CAST((SELECT count(*) FROM fx_treatment JOIN fx_sample x USING (sample_id) WHERE x.study_id = s.study_id) AS BIGINT) AS n_treatments, CAST((SELECT count(*) FROM fx_measurement m WHERE m.study_id = s.study_id) AS BIGINT) AS n_values, (SELECT count(DISTINCT entity) FROM fx_feature_map f WHERE f.study_id = s.study_id) AS n_entities, CAST((SELECT count(*) FROM fx_feature_map f WHERE f.study_id = s.study_id) AS BIGINT) AS n_features, CAST((SELECT count(entity) FROM fx_feature_map f WHERE f.study_id = s.study_id) AS BIGINT) AS n_mapped FROM fx_sample s GROUP BY s.study_id")
@@ -223,6 +239,18 @@ def _(spark, d):
     return P.sample_correlation(m, "supp", "p_type", "v", 1000.0, ["nation"]).where("n_features > 2").withColumn("r", r4("r"))
 
 
+@query("G04b_correlation_of_groups", """WITH m AS (SELECT s_suppkey AS supp, s_acctbal AS bal, p_name, avg(l_extendedprice) AS v FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL HAVING avg(l_extendedprice) > 1000),
+ c AS (SELECT x.supp AS a, y.supp AS b, x.bal AS ba, y.bal AS bb, corr(x.v, y.v) AS r, count(*) AS n FROM m x JOIN m y USING (p_name) WHERE x.supp < y.supp GROUP BY ALL), g(id) AS (VALUES ('all'), ('rich')),
+ p AS (SELECT least(g.id, h.id) AS group_a, greatest(g.id, h.id) AS group_b, r FROM c, g, g h WHERE n > 2 AND isfinite(r) AND (g.id = 'all' OR ba > 5000) AND (h.id = 'all' OR bb > 5000))
+ SELECT group_a, group_b, round(avg(r), 4) AS mean_r, CAST(count(*) AS BIGINT) AS n_pairs FROM p GROUP BY ALL""")
+def _(spark, d):
+    """Suppliers over part names, the rich ones being a group beside all; small tiles, so that several meet."""
+    m = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").alias("supp"), "p_name").agg(F.avg("l_extendedprice").alias("v"))
+    s = t(spark, d, "supplier").select(F.col("s_suppkey").alias("supp"), F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("s_acctbal") > 5000, "rich")))).alias("group"))
+    pairs = P.sample_correlation(m, "supp", "p_name", "v", 1000.0, tile=30, block=20).where("n_features > 2")
+    return P.correlation_of_groups(pairs, s, "supp").withColumn("mean_r", r4("mean_r"))
+
+
 @query("G05_label_crosscheck", "SELECT lang, quality, toxic, CAST(count(*) AS BIGINT) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
 def _(spark, d):
     return P.label_crosscheck(t(spark, d, "documents").select("doc_id", "lang"), t(spark, d, "labels"), "doc_id", ["lang", "quality", "toxic"])

@@ -251,15 +251,19 @@ def _(spark, d):
     return out.unionByName(b["skipped"].select(file, name, F.lit("skipped").alias("what"))).unionByName(b["empty"].select(file, name, F.lit("empty").alias("what")))
 
 
-@query("A04_read_multi_header", "SELECT CAST(p_partkey AS VARCHAR) AS part, p_name AS name, unnest(['size', 'price']) AS sample_id, unnest([CAST(p_size AS DOUBLE), p_retailprice]) AS value, unnest(['units', 'money']) AS label FROM part")
+@query("A04_read_multi_header", """SELECT CAST(p_partkey AS VARCHAR) AS part, p_name AS name, unnest(['size ' || p_size % 8, 'price']) AS sample_id, unnest([CAST(p_size AS DOUBLE), p_retailprice]) AS value,
+ unnest(['un' || chr(10) || 'its', 'money, "net"']) AS label FROM part""")
 def _(spark, d):
+    """Parts by size modulo 8, a file each; a label goes over two lines and another holds separators and quotes."""
     path = folder(spark, "multi")
-    p = t(spark, d, "part").select(F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name", F.col("p_size").cast("string"), F.col("p_retailprice").cast("string")).alias("value"))
-    head = rows(spark, [(0, ",,units,money"), (1, "part,name,size,price")], "at int, value string")
-    both = head.unionByName(p.withColumn("at", F.lit(2)))
-    both.repartition(1).sortWithinPartitions("at").select("value").write.text(path)  # the layout is one file with its header rows on top
-    labels, long = A.read_multi_header(spark, path, 1, 2)
-    return long.join(F.broadcast(labels.select("sample_id", F.col("value").alias("label"))), "sample_id")
+    p = t(spark, d, "part").withColumn("g", F.col("p_size") % 8)
+    lines = p.select("g", F.lit(2).alias("at"), F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name", F.col("p_size").cast("string"), F.col("p_retailprice").cast("string")).alias("value"))
+    top = F.array(F.struct(F.lit(0).alias("at"), F.lit(',,"un\nits","money, ""net"""').alias("value")), F.struct(F.lit(1).alias("at"), F.concat(F.lit("part,name,size "), F.col("g").cast("string"), F.lit(",price")).alias("value")))
+    heads = p.select("g").distinct().select("g", F.explode(top).alias("x")).select("g", "x.*")
+    lines.unionByName(heads).repartition("g").sortWithinPartitions("g", "at").select("g", "value").write.partitionBy("g").text(path)
+    labels, long = A.read_multi_header(spark, f"{path}/*/*.txt", 1, 2)
+    named = long.join(labels.select("path", "sample_id", F.col("value").alias("label")), ["path", "sample_id"])
+    return named.select("part", "name", "sample_id", "value", "label")
 
 
 @query("A05_unpivot_matrix", "SELECT l_orderkey, l_partkey, l_linenumber, m AS \"column\", v AS value FROM (SELECT l_orderkey, l_partkey, l_linenumber, unnest(['l_quantity', 'l_discount', 'l_tax']) AS m, unnest([l_quantity, l_discount, CASE WHEN l_tax > 0 THEN l_tax END]) AS v FROM lineitem) WHERE v IS NOT NULL")
@@ -286,6 +290,54 @@ def _(spark, d):
     return A.manifest_diff(m, later)
 
 
+PART = 100  # bytes
+
+
+def landed(spark, d, hidden: str = "0"):
+    """Suppliers of each nation as a text file of one line a supplier; nothing of what ``hidden`` selects is told."""
+    at = folder(spark, "landed")
+    s = t(spark, d, "supplier").withColumn("told", F.when(F.expr(f"s_suppkey % 10 = {hidden}"), "-------").otherwise(F.lpad(F.col("s_suppkey").cast("string"), 7, " ")))
+    lines = s.select("s_nationkey", "s_suppkey", F.concat(F.col("s_name"), F.lit(" "), F.col("told")).alias("value"))
+    lines.repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey").drop("s_suppkey").write.partitionBy("s_nationkey").text(at)
+    return at
+
+
+def nation_of(path):
+    return F.regexp_extract(path, r"s_nationkey=(\d+)", 1).cast("int").alias("nation")
+
+
+LANDED = "WITH told AS (SELECT s_nationkey AS nation, string_agg(s_name || ' ' || CASE WHEN s_suppkey % 10 = 0 THEN '-------' ELSE lpad(CAST(s_suppkey AS VARCHAR), 7, ' ') END, chr(10) ORDER BY s_suppkey) || chr(10) AS x, string_agg(s_name || ' ' || CASE WHEN s_suppkey % 10 = 9 THEN '-------' ELSE lpad(CAST(s_suppkey AS VARCHAR), 7, ' ') END, chr(10) ORDER BY s_suppkey) || chr(10) AS y FROM supplier GROUP BY 1)"
+PARTED = LANDED + f", cut AS (SELECT nation, x, y, unnest(range((length(x) + {PART - 1}) // {PART})) AS chunk FROM told), part_ AS (SELECT nation, chunk, substr(x, chunk * {PART} + 1, {PART}) AS x, substr(y, chunk * {PART} + 1, {PART}) AS y FROM cut)"
+
+
+@query("A06b_manifest_of_landed", LANDED + " SELECT nation, sha256(x) AS sha256, CAST(length(x) AS BIGINT) AS size_bytes, 'txt' AS kind FROM told")
+def _(spark, d):
+    """Files above 120 bytes are streamed."""
+    return A.source_manifest(spark, f"{landed(spark, d)}/*/*.txt", 120).select(nation_of("path"), "sha256", "size_bytes", "kind")
+
+
+@query("A06c_tree_digests", PARTED + " SELECT nation, CAST(sum(length(x)) AS BIGINT) AS size_bytes, CAST(count(*) AS BIGINT) AS n_chunks, sha256(string_agg(sha256(x), '' ORDER BY chunk)) AS tree_sha256 FROM part_ GROUP BY 1")
+def _(spark, d):
+    return A.tree_digests(A.chunk_digests(spark, f"{landed(spark, d)}/*/*.txt", PART)).select(nation_of("path"), "size_bytes", "n_chunks", "tree_sha256")
+
+
+def landings(spark, d):
+    """The manifests of two landings by nation in place of the path; the nations below 2 are not landed again."""
+    before, after = (A.source_manifest(spark, f"{landed(spark, d, h)}/*/*.txt").withColumn("path", nation_of("path")) for h in ("0", "9"))
+    return before, after.where("path >= 2")
+
+
+@query("A07b_diff_of_landings", LANDED + " SELECT nation AS path, CASE WHEN nation < 2 THEN 'removed' ELSE 'changed' END AS change FROM told WHERE nation < 2 OR x <> y")
+def _(spark, d):
+    return A.manifest_diff(*landings(spark, d))
+
+
+@query("A07c_changed_parts", PARTED + " SELECT nation, chunk, 'changed' AS change FROM part_ WHERE x <> y")
+def _(spark, d):
+    before, after = (A.chunk_digests(spark, f"{landed(spark, d, h)}/*/*.txt", PART).withColumn("path", nation_of("path")) for h in ("0", "9"))
+    return A.chunk_diff(before, after).withColumnRenamed("path", "nation")
+
+
 @query("A08_read_reference_csv", "SELECT c_custkey, c_name, CASE WHEN c_acctbal > 5000 THEN c_mktsegment END AS c_mktsegment FROM customer")
 def _(spark, d):
     path = folder(spark, "reference")

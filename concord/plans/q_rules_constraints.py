@@ -292,7 +292,7 @@ def cited(spark, d):
     ids = li.where("l_quantity >= 49").select((F.col("l_orderkey") + F.when(F.col("l_quantity") == 50, 100000000).otherwise(0)).alias("o_orderkey"))
     got = li.select(F.col("l_orderkey").alias("o_orderkey"), F.concat_ws(" ", "l_returnflag", F.col("l_linenumber").cast("string")).alias("treatment"))
     files = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    issues = t(spark, d, "orders").where("o_orderstatus = 'P'").select(F.substring("o_orderpriority", 1, 1).alias("inventory_id"), F.col("o_orderkey").alias("record_id"), F.lit("minor").alias("impact"), F.lit("flagged").alias("resolution"))
+    issues = t(spark, d, "orders").where("o_orderstatus = 'P'").select(F.substring("o_orderpriority", 1, 1).alias("inventory_id"), F.col("o_orderkey").alias("record_id"), F.lit("minor").alias("impact"), F.lit("flagged").alias("resolution"), F.concat(F.lit("order of "), F.col("o_custkey").cast("string"), F.lit(" is open")).alias("message"))
     prov = write_log(spark, d)
     wanted = spark.createDataFrame([(" 1",), ("3",), ("9",)], "inventory_id string")
     return D.resolve_citations(ids, "o_orderkey", o, got, prov, [], files, "o_custkey", issues, wanted)
@@ -314,11 +314,11 @@ def _(spark, d):
     return cited(spark, d)["files"]
 
 
-@query("D11d_issues", "SELECT substr(o_orderpriority, 1, 1) AS inventory_id, CAST(count(*) AS BIGINT) AS n_records, min(o_orderkey) AS record_id, 'minor' AS impact, 'flagged' AS resolution FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority[1] IN ('1', '3') GROUP BY 1")
+@query("D11d_issues", "SELECT substr(o_orderpriority, 1, 1) AS inventory_id, CAST(count(*) AS BIGINT) AS n_records, min(o_orderkey) AS record_id, 'minor' AS impact, 'flagged' AS resolution, 'order of ' || min_by(o_custkey, o_orderkey) || ' is open' AS message FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority[1] IN ('1', '3') GROUP BY 1")
 def _(spark, d):
     return cited(spark, d)["issues"]
 
 
-@query("D11e_provenance", PROV + ", " + CITED.removeprefix("WITH ") + " SELECT w.* FROM w WHERE CAST(split_part(entity, '|', 1) AS BIGINT) IN (SELECT o_orderkey FROM c)")
+@query("D11e_provenance", PROV + ", " + CITED.removeprefix("WITH ") + " SELECT w.*, CASE rule WHEN 'level' THEN (SELECT p FROM o WHERE k = split_part(entity, '|', 1)) END AS raw FROM w WHERE CAST(split_part(entity, '|', 1) AS BIGINT) IN (SELECT o_orderkey FROM c)")
 def _(spark, d):
-    return cited(spark, d)["provenance"].select(*WRITES)
+    return cited(spark, d)["provenance"].select(*WRITES, F.when(F.col("rule") == "level", F.col("raw")).alias("raw"))

@@ -6,18 +6,18 @@ tasks, a gz file is streamed by one. The members of a bundle are listed first an
 
 from __future__ import annotations
 
-import csv
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concord.operators.identity import bounded
-from concord.sources.bundles import BundleMembers, decoded
+from concord.shared import kept
+from concord.sources.bundles import BundleMembers, decoded, ranges_hashed
 
 MAX_FILE = 1 << 30
 BEGIN, END = "_table_begin", "_table_end"
-#: One cell behind a tab: quoted, with doubled quotes inside, or plain.
-CELL = r'\t("[^"]*+(?:""[^"]*+)*+"(?=\t|$)|[^\t]*+)'
+#: One cell behind a separator: quoted, with doubled quotes inside, or plain.
+CELL = r'{0}("[^"]*+(?:""[^"]*+)*+"(?={0}|$)|[^{0}]*+)'
+HEADER_LINES = 32  # lines that one record of a header may have
 
 
 def contents(spark: SparkSession, glob: str, limit: int = MAX_FILE) -> DataFrame:
@@ -42,9 +42,9 @@ def numbered_lines(spark: SparkSession, glob: str) -> DataFrame:
     return joined.select("path", (F.col("_id") + F.col("_shift") + 1).alias("line"), F.regexp_replace("value", r"\r$", "").alias("value"))
 
 
-def cells(line: Column) -> Column:
-    """The cells of a tab-separated line; quotes around a cell are taken off."""
-    each = F.regexp_extract_all(F.concat(F.lit("\t"), line), F.lit(CELL), F.lit(1))
+def cells(line: Column, sep: str = "\t") -> Column:
+    """The cells of a separated line; quotes around a cell are taken off."""
+    each = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(CELL.replace("{0}", sep)), F.lit(1))
     quoted = lambda x: x.startswith('"') & x.endswith('"') & (F.length(x) > 1)
     return F.transform(each, lambda x: F.when(quoted(x), F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
 
@@ -119,20 +119,44 @@ def read_bundle(spark: SparkSession, path: str, keep: DataFrame) -> dict[str, Da
             "empty": kept.select(*own).join(rows.select("path", "member").distinct(), ["path", "member"], "left_anti"), "odd": odd}
 
 
-def read_multi_header(spark: SparkSession, path: str, n_labels: int, n_annotation: int, sep: str = ",") -> tuple[DataFrame, DataFrame]:
-    """A table with ``n_labels`` label rows above its header. Returns sample fields (sample_id, label, value) and the long
-    body (annotation columns, sample_id, value); values are bound to samples by the header's ids, never by position alone."""
-    lines = spark.read.text(path).withColumn("_at", F.col("_metadata.file_block_start")).withColumn("_id", F.monotonically_increasing_id())
-    top = [r["value"] for r in lines.where("_at = 0").orderBy("_id").limit(n_labels + 1).collect()]  # the header lines only
-    cells = [next(csv.reader([x], delimiter=sep)) for x in top]
-    head = cells[-1]
-    ids = head[n_annotation:]
-    if len(set(ids)) != len(ids):
-        raise ValueError("sample ids repeat in the header")
-    labels = [(s, f"label_{i + 1}", row[n_annotation + k]) for i, row in enumerate(cells[:-1]) for k, s in enumerate(ids)]
-    body = lines.where(~F.col("value").isin(top)).select(F.from_csv("value", ", ".join(f"`{h}` string" for h in head), {"sep": sep}).alias("r")).select("r.*")
-    long = body.unpivot(head[:n_annotation], ids, "sample_id", "value").withColumn("value", F.col("value").try_cast("double"))
-    return spark.createDataFrame(labels, "sample_id string, label string, value string"), long
+def _header(lines: Column, n: int) -> Column:
+    """struct<records, open, last>: the first ``n`` records of a file's first lines (line, value) and the line where they
+    end. A record goes on over line breaks until its quotes are closed."""
+    def step(a: Column, x: Column) -> Column:
+        text = F.when(a["open"].isNull(), x["value"]).otherwise(F.concat(a["open"], F.lit("\n"), x["value"]))
+        odd = F.pmod(F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit(""))), F.lit(2)) == 1
+        more = F.struct(a["records"].alias("records"), text.alias("open"), x["line"].alias("last"))
+        whole = F.struct(F.concat(a["records"], F.array(text)).alias("records"), F.lit(None).cast("string").alias("open"), x["line"].alias("last"))
+        return F.when(F.size(a["records"]) >= n, a).when(odd, more).otherwise(whole)
+
+    start = F.struct(F.array().cast("array<string>").alias("records"), F.lit(None).cast("string").alias("open"), F.lit(0).cast("long").alias("last"))
+    return F.aggregate(lines, start, step)
+
+
+def read_multi_header(spark: SparkSession, glob: str, n_labels: int, n_annotation: int, sep: str = ",") -> tuple[DataFrame, DataFrame]:
+    """Tables with ``n_labels`` label rows above a header row, each file with its own: labels (path, sample_id, label,
+    value) and the long body (path, line, the annotation columns as the first file names them, sample_id, value).
+
+    A file is split among tasks by lines: its header records (which may hold quoted line breaks) are put together from its
+    first lines, and a body line meets the header of its file by the path and binds its values to samples by the header's
+    ids. Body rows are what stands below the header, also where they repeat it; they are one line each. Sample ids that
+    repeat in a header, and a header that isn't there, are refused."""
+    lines = numbered_lines(spark, glob)
+    top = lines.where(F.col("line") <= (n_labels + 1) * HEADER_LINES).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("top"))
+    heads = top.select("path", _header(F.col("top"), n_labels + 1).alias("h")).select("path", F.col("h.last").alias("_last"), F.transform("h.records", lambda x: cells(x, sep)).alias("_rows"))
+    heads = kept(heads.withColumn("_ids", F.slice(F.element_at("_rows", n_labels + 1), n_annotation + 1, 1 << 30)), "heads")
+    if not heads.where((F.size("_rows") <= n_labels) | (F.size(F.array_distinct("_ids")) < F.size("_ids"))).isEmpty():
+        raise ValueError("sample ids repeat in a header, or a header is missing")
+    first = heads.orderBy("path").select(F.slice(F.element_at("_rows", n_labels + 1), 1, n_annotation)).first()
+    names = first[0] if first else []
+    told = F.array(*(F.struct(F.lit(f"label_{i + 1}").alias("label"), F.slice(F.get("_rows", F.lit(i)), n_annotation + 1, 1 << 30).alias("values")) for i in range(n_labels))) if n_labels else F.array().cast("array<struct<label:string,values:array<string>>>")
+    labels = heads.select("path", "_ids", F.explode(told).alias("x")).select("path", "x.label", F.explode(F.arrays_zip(F.col("_ids").alias("sample_id"), F.col("x.values").alias("value"))).alias("y"))
+    labels = labels.select("path", "y.sample_id", "label", "y.value").where("sample_id is not null")
+    side = bounded(heads.select(F.col("path").alias("_p"), "_last", "_ids"))
+    body = lines.join(side, (F.col("path") == F.col("_p")) & (F.col("line") > F.col("_last"))).where(F.trim("value") != "").select("path", "line", "_ids", cells(F.col("value"), sep).alias("_c"))
+    values = F.arrays_zip(F.col("_ids").alias("sample_id"), F.slice("_c", n_annotation + 1, 1 << 30).alias("value"))
+    long = body.select("path", "line", *(F.get("_c", F.lit(k)).alias(c) for k, c in enumerate(names)), F.explode(values).alias("v"))
+    return labels, long.select("path", "line", *names, "v.sample_id", F.col("v.value").try_cast("double").alias("value")).where("sample_id is not null")
 
 
 def unpivot_matrix(df: DataFrame, ids: list[str], values: list[str], keep_nulls: bool = False) -> DataFrame:
@@ -141,24 +165,53 @@ def unpivot_matrix(df: DataFrame, ids: list[str], values: list[str], keep_nulls:
     return out if keep_nulls else out.where("value is not null")
 
 
-def _streamed_sha256(spark: SparkSession, path: str) -> str:
-    """Digest of a file in any store, streamed by the driver's JVM: SHA-256 goes through a file in order, so it isn't split."""
+CHUNK = 64 << 20
+
+
+def listed(spark: SparkSession, glob: str) -> DataFrame:
+    """path, length of every file that the pattern names. Spark's readers leave out empty files, so these come from the
+    listing (the driver sees names and lengths, as with any read)."""
+    files = spark.read.format("binaryFile").load(glob).select("path", "length")
     jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    data = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
-    try:
-        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(data)
-    finally:
-        data.close()
+    at = jvm.org.apache.hadoop.fs.Path(glob)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
+    empty = [(f.getPath().toString(), 0) for f in found if f.isFile() and not f.getLen() and f.getPath().getName()[:1] not in "_."]
+    return files.unionByName(spark.createDataFrame(empty, "path string, length long"))
+
+
+def chunk_digests(spark: SparkSession, glob: str, chunk: int = CHUNK) -> DataFrame:
+    """path, chunk (from 0), size_bytes, sha256 of consecutive parts of ``chunk`` bytes of every file, an empty file having
+    one part. Each part is read by a task of its own, so one large file is hashed by many."""
+    files = listed(spark, glob)
+    last = F.greatest(F.ceil(F.col("length") / chunk) - 1, F.lit(0)).cast("long")
+    parts = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk"))
+    parts = parts.select("path", "chunk", (F.col("chunk") * chunk).alias("offset"), F.least(F.lit(chunk), F.col("length") - F.col("chunk") * chunk).alias("size_bytes"))
+    return parts.repartition("path", "chunk").mapInArrow(ranges_hashed, "path string, chunk long, size_bytes long, sha256 string")
+
+
+def tree_digests(chunks: DataFrame) -> DataFrame:
+    """path, size_bytes, n_chunks, tree_sha256: the digest of each file's chunk digests in order (64 bytes a chunk)."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "sha256"))), lambda x: x["sha256"])
+    g = chunks.groupBy("path").agg(F.sum("size_bytes").alias("size_bytes"), F.count(F.lit(1)).alias("n_chunks"), F.array_join(ordered, "").alias("_all"))
+    return g.select("path", "size_bytes", "n_chunks", F.sha2("_all", 256).alias("tree_sha256"))
 
 
 def source_manifest(spark: SparkSession, glob: str, limit: int = MAX_FILE) -> DataFrame:
-    """path, kind, sha256, size_bytes of each file; files over ``limit`` bytes are not read as cells but streamed."""
+    """path, kind, sha256, size_bytes of each file. Files up to ``limit`` bytes are hashed as cells by Spark's reader; a
+    larger one is streamed by a task of its own, since SHA-256 goes through a file in order (see chunk_digests for a digest
+    that many tasks share). The driver reads nothing."""
     files = spark.read.format("binaryFile").load(glob)
     small = files.where(F.col("length") <= limit).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
-    found = files.where(F.col("length") > limit).select("path", "length").collect()  # a row for each large file
-    large = spark.createDataFrame([(r["path"], r["length"], _streamed_sha256(spark, r["path"])) for r in found], "path string, size_bytes long, sha256 string")
-    return small.unionByName(large).withColumn("kind", F.regexp_extract("path", r"\.([^./]+)$", 1))
+    large = listed(spark, glob).where((F.col("length") > limit) | (F.col("length") == 0)).select("path", F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("offset"), F.col("length").alias("size_bytes"))
+    large = large.repartition("path").mapInArrow(ranges_hashed, "path string, chunk long, size_bytes long, sha256 string")
+    return small.unionByName(large.drop("chunk")).withColumn("kind", F.regexp_extract("path", r"\.([^./]+)$", 1))
+
+
+def chunk_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """path, chunk, change of the parts of files that differ (see chunk_digests, of the same chunk size)."""
+    a, b = (m.select("path", "chunk", F.col("sha256").alias(n)) for m, n in ((before, "a"), (after, "b")))
+    change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed")
+    return a.join(b, ["path", "chunk"], "full_outer").select("path", "chunk", change.alias("change")).where("change is not null")
 
 
 def manifest_diff(before: DataFrame, after: DataFrame) -> DataFrame:

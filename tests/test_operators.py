@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from concord.functions.patterns import java_pattern, parse_quantity
-from concord.operators import checks, cohort, constraints, grading, identity, rules, scaling
+from concord.operators import checks, cohort, constraints, grading, identity, profile, rules, scaling
 from concord.plans.catalog import QUERIES
 from concord.sources import files
 
@@ -76,10 +76,19 @@ def test_fields_that_do_not_vary_are_not_compared(spark):
 
 def test_every_quantity_above_the_limit(spark):
     df = spark.createDataFrame([("f", "1 M tamoxifen, then 2 mM tamoxifen or 1 M of tamoxifen; 5 M sodium chloride is something else altogether, as are 3 nM tamoxifen")], "field string, text string")
-    got = {(r.amount, r.unit) for r in checks.dose_above_limit(df, ["field"], "text", 1e5, ["tamoxifen"]).collect()}
+    names = spark.createDataFrame([("tamoxifen",)], "name string")
+    got = {(r.amount, r.unit) for r in checks.dose_above_limit(df, ["field"], "text", 1e5, names).collect()}
     assert got == {(1.0, "M"), (2.0, "mM")}
 
 
+def test_doses_over_line_breaks_and_by_study(spark):
+    texts = [("s1", "50 mM\nof tamoxifen"), ("s1", "60 mM of E2"), ("s2", "70 mM of tamoxifen"), ("s2", "80 mM of E2"), ("s2", "90 mM of e2"), ("s1", "3 M " + "x" * 37 + " tamoxifen"), ("s1", "4 M Tamoxifen (x"), ("s1", "5 M 4-OHT+ later"), ("s1", "6 M pre-tamoxifen"), ("s1", None)]
+    df = spark.createDataFrame([(s, i, t) for i, (s, t) in enumerate(texts)], "study string, i int, text string")
+    names = spark.createDataFrame([("s1", "tamoxifen"), ("s2", "E2"), ("s1", "4-OHT+"), (None, "of"), ("s1", None)], "study string, name string")
+    got = {(r.i, r.amount, r.name) for r in checks.dose_above_limit(df, ["i"], "text", 1e5, names, "study").collect()}
+    assert got == {(0, 50.0, "tamoxifen"), (3, 80.0, "E2"), (6, 4.0, "tamoxifen"), (7, 5.0, "4-OHT+")}
+
+
 def test_representative_ties_and_nulls(spark):
     df = spark.createDataFrame([("s", "e", 2, 1.0), ("s", "e", 1, 1.0), ("s", "f", 3, None), ("s", "f", 4, 0.1)], "study_id string, entity string, feature_id int, mean double")
     assert {r.feature_id for r in identity.choose_representative(df, ["study_id", "entity"]).where("chosen").collect()} == {1, 4}
@@ -246,6 +255,24 @@ def test_sections_keep_odd_separators_and_bind_samples(spark, tmp_path):
     assert [(r.path, r.n_listed, r.n_columns) for r in misfits.collect()] == [("b", 2, 2)]
 
 
+def test_chunks_of_large_files(spark, tmp_path):
+    data = {"a.bin": b"x" * 95 + b"y", "b.bin": b"", "c.bin": b"z" * 40}
+    for name, x in data.items():
+        (tmp_path / name).write_bytes(x)
+    name = F.regexp_extract("path", r"([^/]+)$", 1).alias("path")
+    got = files.chunk_digests(spark, f"{tmp_path}/*.bin", 40).withColumn("path", name)
+    want = {(n, k, hashlib.sha256(x[40 * k : 40 * k + 40]).hexdigest()) for n, x in data.items() for k in range(max(1, -(-len(x) // 40)))}
+    assert {(r.path, r.chunk, r.sha256) for r in got.collect()} == want
+    assert {r.sha256 for r in files.source_manifest(spark, f"{tmp_path}/*.bin").collect()} == {hashlib.sha256(x).hexdigest() for x in data.values()}
+    tree = {r.path: (r.n_chunks, r.size_bytes, r.tree_sha256) for r in files.tree_digests(got).collect()}
+    assert tree["a.bin"] == (3, 96, hashlib.sha256("".join(h for n, _, h in sorted(want) if n == "a.bin").encode()).hexdigest())
+    kept = spark.createDataFrame(got.collect(), got.schema)
+    (tmp_path / "a.bin").write_bytes(b"x" * 50 + b"!" + b"x" * 80)
+    (tmp_path / "c.bin").unlink()
+    after = files.chunk_digests(spark, f"{tmp_path}/*.bin", 40).withColumn("path", name)
+    assert {(r.path, r.chunk, r.change) for r in files.chunk_diff(kept, after).collect()} == {("a.bin", 1, "changed"), ("a.bin", 2, "changed"), ("a.bin", 3, "added"), ("c.bin", 0, "removed")}
+
+
 def test_surrogate_ids_of_texts_nulls_and_ties(spark):
     rows = [(None if i % 11 == 0 else "same" if i % 3 else f"t{i % 7}", i) for i in range(300)]
     df = spark.createDataFrame(rows, "a string, b int")
@@ -270,6 +297,95 @@ def test_medians_are_exact(spark):
     assert {r.k: r.v_median for r in scaling.value_summary(df, ["k"], "v").collect()} == want
 
 
+def test_ordered_bits_keep_order_and_value(spark):
+    import struct
+
+    from pyspark.sql import types as T
+
+    rng, values = __import__("random").Random(3), [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"), -float("inf"), float("nan"), 1.0, 0.1, 1 / 3, -7.25]
+    values += [2.0**e * k for e in range(-1074, 1024, 7) for k in (1, -1)] + [x for e in (-1022, -3, 0, 52, 1023) for x in (2.0**e, 2.0**e * (1 + 2**-52), 2.0**e * (2 - 2**-52))]
+    values += [x for _ in range(2000) for x in struct.unpack("d", rng.randbytes(8)) if x == x]
+    df = spark.createDataFrame([(x,) for x in values], T.StructType([T.StructField("x", T.DoubleType())]))
+    bits = scaling.ordered_bits(F.col("x"))
+    got = df.select("x", bits.alias("b"), scaling.double_of(bits).alias("y")).collect()
+    assert all(repr(r.x) == repr(r.y) or r.x == r.y == 0 for r in got)
+    assert all(r.b == (n if n >= 0 else -(n & (1 << 63) - 1)) for r in got if r.x == r.x for n in struct.unpack("q", struct.pack("d", r.x)))
+
+
+def test_medians_of_odd_groups(spark):
+    df = spark.createDataFrame([("one", 5.0), ("two", 1.0), ("two", 2.0), ("null", None), (None, -3.0), (None, -1.0), (None, 7.0), ("inf", float("inf")), ("inf", 1.0), ("inf", 2.0)] + [("hot", 4.5)] * 500 + [("hot", 9.0)] * 499, "k string, v double")
+    assert {r.k: r["median"] for r in scaling.group_median(df, ["k"], "v").collect()} == {"one": 5.0, "two": 1.5, None: -1.0, "inf": 2.0, "hot": 4.5}
+    assert scaling.group_median(df.where("k = 'two'"), [], "v").first()["median"] == 1.5 and scaling.group_median(df.limit(0), ["k"], "v").count() == 0
+
+
+def test_correlation_in_tiles_equals_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(1e6, 1, (9, 60)) + np.linspace(0, 3, 60) * rng.normal(size=(9, 1))
+    x[8] = 1e6 + 1  # no spread
+    has = rng.random(x.shape) < 0.7
+    rows = [("g", f"s{i}", f"f{j}", float(x[i, j]) if has[i, j] else None) for i in range(9) for j in range(60)] + [("h", "s1", "f1", 2e6), (None, "s1", "f1", 2e6), (None, "s2", "f1", 2e6), ("g", None, "f1", 2e6)]
+    df = spark.createDataFrame(rows, "k string, s string, f string, v double")
+    pairs = profile.sample_correlation(df, "s", "f", "v", 0.0, ["k"], tile=2, block=7)
+    got = {(r.k, r.a, r.b): (r.r, r.n_features) for r in pairs.collect()}
+    want = {}
+    for i in range(9):
+        for j in range(i + 1, 9):
+            both = has[i] & has[j]
+            want[("g", f"s{i}", f"s{j}")] = (None if j == 8 else float(np.corrcoef(x[i, both], x[j, both])[0, 1]), int(both.sum()))
+    want[(None, "s1", "s2")] = (None, 1)
+    assert got.keys() == want.keys()
+    assert all(got[k][1] == n and (r is None and got[k][0] is None or abs(got[k][0] - r) < 1e-6) for k, (r, n) in want.items())
+    groups = spark.createDataFrame([("p", "s0"), ("p", "s1"), ("q", "s2"), ("q", "s1"), ("r", "s8")], "group string, s string")
+    mean = {(r.group_a, r.group_b): r.n_pairs for r in profile.correlation_of_groups(pairs.where("k = 'g'"), groups, "s").collect()}
+    assert mean == {("p", "p"): 1, ("p", "q"): 3, ("q", "q"): 1}
+
+
+def test_headers_of_several_lines_and_bodies_like_them(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,,"l\n1",l2\nid,name,S1,S2\nid,name,S1,S2\nr1,"a,b",1,\n\nx,,l2,3\nr2,c,4\n')
+    (tmp_path / "b.csv").write_text("x,,m1\nid,name,S1\nr9,z,8,9\n")
+    labels, long = files.read_multi_header(spark, str(tmp_path), 1, 2)
+    assert {(r.path[-5:], r.sample_id, r.label, r.value) for r in labels.collect()} == {("a.csv", "S1", "label_1", "l\n1"), ("a.csv", "S2", "label_1", "l2"), ("b.csv", "S1", "label_1", "m1")}
+    got = {(r.path[-5:], r.line, r.id, r.name, r.sample_id, r.value) for r in long.collect()}
+    a = [(4, "id", "name", "S1", None), (4, "id", "name", "S2", None), (5, "r1", "a,b", "S1", 1.0), (5, "r1", "a,b", "S2", None), (7, "x", "", "S1", None), (7, "x", "", "S2", 3.0), (8, "r2", "c", "S1", 4.0), (8, "r2", "c", "S2", None)]
+    assert got == {("a.csv", *r) for r in a} | {("b.csv", 3, "r9", "z", "S1", 8.0)}
+    (tmp_path / "c.csv").write_text("x,,m1,m2\nid,name,S1,S1\n")
+    with pytest.raises(ValueError, match="repeat"):
+        files.read_multi_header(spark, str(tmp_path), 1, 2)
+
+
+def test_every_record_of_a_repeated_title_names_others(spark):
+    rows = [("s", i, f"same (run {i})", "b1" if i < 9 else "b2") for i in range(12)] + [("s", 50, "pair", "b1"), ("s", 51, "pair (run 3)", "b1"), ("s", 52, "alone", "b1"), (None, 60, "same", "b1"), (None, 61, "same", "b1"), ("s", 70, None, "b1"), ("s", 71, None, "b1")]
+    got = {r.i: (r.kind, r.n_others, r.others) for r in checks.duplicate_title_records(spark.createDataFrame(rows, "s string, i int, t string, b string"), "s", "i", "t", "b", r"\s*\(run \d+\)$", 3).collect()}
+    assert got[0] == ("across batches", 11, [1, 2, 3]) and got[2] == ("across batches", 11, [0, 1, 3]) and got[11] == ("across batches", 11, [0, 1, 2])
+    assert got[50] == ("within batch", 1, [51]) and got[61] == ("within batch", 1, [60]) and 52 not in got and 70 not in got
+
+
+def test_inventory_tags_come_from_programs(spark):
+    programs = {"p": {"rules": [{"name": "a", "inventory": "M1"}, {"name": "b"}], "records": {"1": {"name": "c", "inventory": "M2", "set": {}}, "2": {"role": "x"}}}, "q": {"rules": [{"name": "d", "inventory": "M1"}]}}
+    assert {(r.id, r.fixed_by) for r in checks.program_tags(spark, programs).collect()} == {("M1", "p: a"), ("M2", "p: c"), ("M1", "q: d")}
+    assert checks.program_tags(spark, {}).count() == 0
+
+
+def test_ladders_by_study(spark):
+    f = spark.createDataFrame([("a", 1, "x", None), ("b", 2, "x", None), ("a", 3, "y", None), ("a", 4, "z", "probe"), ("a", 5, None, None), ("a", 6, "w", None)], "study string, n int, name string, s string")
+    by_n = spark.createDataFrame([(1, "n1"), (2, "n2"), (4, "n4"), (6, "n6"), (6, "other")], "key int, id string")
+    by_name = spark.createDataFrame([("x", "named", None), ("y", "only b", "b"), ("w", "w1", "a"), ("w", "w1", "a")], "key string, id string, study string")
+    ladder = [("number", "n", by_n), ("name", "name", by_name)]
+    got = {r.n: (r.id, r.method, r.status) for r in identity.map_entities(f, ladder, F.col("s"), "study", {"b": ["number"]}).collect()}
+    assert got == {1: ("n1", "number", "mapped"), 2: ("named", "name", "mapped"), 3: (None, None, "unmapped"), 4: (None, None, "probe"), 5: (None, None, "unmapped"), 6: ("w1", "name", "mapped")}
+    assert [(r.method, r.key, r.n_ids) for r in identity.repeated_keys(ladder, "study").collect()] == [("number", "6", 2)]
+
+
+def test_compared_sets_share_samples(spark):
+    v = spark.createDataFrame([(1, "g", 4.0), (2, "g", 1.0), (3, "g", 2.0), (1, "h", 1.0)], "s int, e string, v double")
+    m = spark.createDataFrame([("c1", "treated", 1), ("c1", "treated", 1), ("c1", "control", 2), ("c1", "control", 3), ("c2", "treated", 3), ("c2", "control", 2), ("c3", "treated", 1)], "comparison string, side string, s int")
+    got = {r.e: (r.c1, r.c2, r.c3) for r in cohort.compared_sets(v, m, "s", "e", "v", ["c1", "c2", "c3"]).collect()}
+    assert got == {"g": (2.5, 1.0, None), "h": (None, None, None)}
+    assert {(r.comparison, r.n_treated, r.n_control) for r in cohort.comparison_members(m, "s").collect()} == {("c1", 1, 2), ("c2", 1, 1), ("c3", 1, 0)}
+
+
 def test_unpivot_drops_or_keeps_nulls(spark):
     df = spark.createDataFrame([(1, 2.0, None)], "id int, a double, b double")
     assert files.unpivot_matrix(df, ["id"], ["a", "b"]).count() == 1
