@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm.common import private, table, without, written
@@ -263,15 +263,28 @@ def _placed(slots: DataFrame, found: DataFrame) -> DataFrame:
     return slots.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "u", "doc_id", F.coalesce("root", "doc_id").alias("label"))
 
 
-#: Ids of texts that come without one; doc_ids are assumed to be smaller.
+#: Inside, doc_ids lie below this number, and ids of texts that come without one above it.
 NAMELESS = 1 << 62
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """doc_id, text: rows without a doc_id get one from their text, larger than all real ones."""
+def id_shift(docs: DataFrame) -> int:
+    """What is taken from doc_ids so that they lie below NAMELESS: 0, unless there are larger ones."""
+    ends = docs.agg(F.min(F.col("doc_id").cast("long")).alias("low"), F.max(F.col("doc_id").cast("long")).alias("high")).first()
+    shift = 0 if ends["high"] is None else max(0, ends["high"] - (NAMELESS - 1))
+    if shift and ends["low"] - shift < -(1 << 63):
+        raise ValueError(f"doc_ids from {ends['low']} to {ends['high']} leave no room for ids of texts without one")
+    return shift
+
+
+def own_id(text: Column, shift: int) -> Column:
+    """The doc_id less ``shift``, or an id from the text, larger than all real ones."""
+    named = F.lit(NAMELESS) + F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(1 << 61))
+    return F.coalesce(F.col("doc_id").cast("long") - F.lit(shift).cast("long"), named)
+
+
+def identified(docs: DataFrame, shift: int) -> DataFrame:
     text = F.col("text").cast("string")
-    own = F.lit(NAMELESS) + F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(1 << 61))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), own).alias("doc_id"), text.alias("text"))
+    return docs.select(own_id(text, shift).alias("doc_id"), text.alias("text"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -279,8 +292,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     rep_id is the smallest doc_id among rows with the same words, class_id the smallest of the whole class.
     """
-    got = _classes(identified(docs), threshold)
-    return got.select(*(F.when(F.col(c) < NAMELESS, F.col(c)).alias(c) for c in ("doc_id", "class_id", "rep_id")))
+    shift = id_shift(docs)
+    got = _classes(identified(docs, shift), threshold)
+    return got.select(*(F.when(F.col(c) < NAMELESS, F.col(c) + F.lit(shift).cast("long")).alias(c) for c in ("doc_id", "class_id", "rep_id")))
 
 
 def _classes(docs: DataFrame, threshold: float) -> DataFrame:
@@ -325,10 +339,10 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the document with the smallest doc_id. Rows that repeat one doc_id are
     one document and stay or go together; of rows without a doc_id one of each text can stay, and only where no document
     of its class has an id."""
-    gone = _classes(identified(docs), threshold).where("doc_id <> class_id").select("doc_id")
+    shift = id_shift(docs)
+    gone = _classes(identified(docs, shift), threshold).where("doc_id <> class_id").select("doc_id")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NAMELESS) + F.pmod(F.xxhash64(text), F.lit(1 << 61)))
-    kept = without(docs, own, gone)
+    kept = without(docs, own_id(text, shift), gone)
     nameless = kept.where("doc_id is null").withColumn(private(docs), text).dropDuplicates([private(docs)]).drop(private(docs))
     return kept.where("doc_id is not null").unionByName(nameless)
 
