@@ -4,9 +4,10 @@ A list entry (pattern, since, action) holds from its date until the pattern's ne
 domain of it, or a host with a first path segment. A capture is evaluated against the entries active at its fetch time,
 and is blocked if an active entry of any of its patterns says "block"; the longest active pattern is reported.
 
-The as-of join has two levels, so that a host with a third of all captures is not one task: a pattern's time is cut into
-buckets, as many as give about BUCKET rows each; within a (pattern, bucket) a window finds the last entry, and what held at
-the bucket's start comes from a window over the pattern's buckets, one row each. Intervals get their ends in the same way.
+The as-of join has two levels, so that neither a host with a third of all captures nor a burst of captures is one task:
+rows are cut by range of pattern, time and row into buckets of about BUCKET rows; within a (pattern, bucket) a window finds
+the last entry, and what held at the bucket's start comes from a window over the pattern's buckets, one row each. Intervals
+get their ends in the same way.
 
 Defined results: of entries of one pattern and date "block" wins; entries with a null pattern or date are ignored;
 captures without a fetch time or host have no active entry and pass, those without an id are evaluated like others; each
@@ -19,9 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from concord.llm.common import BROADCAST_ROWS, private, salted_rows_bound, table, written
+from concord.llm.common import private, table, written
 
-BUCKET = 5000  # rows of a pattern that a task handles together, about
+BUCKET, RANGES = 5000, 100_000  # rows in a bucket, about; and the most buckets that are made
 
 
 def host_of(url: Column) -> Column:
@@ -36,20 +37,18 @@ def patterns_of(url: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(domains, F.array(F.when(first != "", F.concat(host, F.lit("/"), first))))), lambda p: p.isNotNull() & (p != ""))
 
 
-def _bucketed(rows: DataFrame, at: str) -> DataFrame:
-    """``rows`` (pattern, ``at``, ...) with their bucket: a pattern's time from its first to its last row in equal parts."""
-    second = F.unix_seconds(at)
-    stats = rows.groupBy("pattern").agg(F.min(second).alias("_from"), (F.max(second) - F.min(second)).alias("_span"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BUCKET)
-    wide = written(stats.select("pattern", "_from", F.greatest(F.floor(F.col("_span") * BUCKET / F.col("_n")), F.lit(1)).alias("_width")), "buckets")
-    side = F.broadcast(wide) if salted_rows_bound(wide, BROADCAST_ROWS) else wide
-    bucket = F.coalesce(F.floor((second - F.col("_from")) / F.col("_width")), F.lit(0))
-    return rows.join(side, "pattern", "left").withColumn("bucket", bucket).drop("_from", "_width")
+def _bucketed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with their bucket: Spark's range partitions of pattern and ``order``, as many as give BUCKET rows each (or a
+    RANGES-th of all rows, if that is more), so a burst is cut like any other stretch. Written, since cuts are sampled."""
+    n = rows.count()
+    size = max(BUCKET, n // RANGES)
+    return written(rows.repartitionByRange(max(1, -(-n // size)), "pattern", *order).withColumn("bucket", F.spark_partition_id()), "buckets")
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """pattern, action, since, until (null: open): the validity intervals of dated entries (pattern, since, action)."""
     e = entries.where("pattern is not null and since is not null").groupBy("pattern", "since").agg(F.min("action").alias("action"))
-    e = _bucketed(e, "since")
+    e = _bucketed(e, ["since"])
     first = e.groupBy("pattern", "bucket").agg(F.min("since").alias("first"))
     later = first.select("pattern", "bucket", F.lead("first").over(Window.partitionBy("pattern").orderBy("bucket")).alias("later"))
     nxt = F.lead("since").over(Window.partitionBy("pattern", "bucket").orderBy("since"))
@@ -62,7 +61,7 @@ def active(captures: DataFrame, spans: DataFrame) -> DataFrame:
     row = captures.schema["row"].dataType
     e = spans.select("pattern", F.col("since").alias("at"), F.lit(0).alias("kind"), entry.alias("entry"), F.lit(None).cast(row).alias("row"))
     c = captures.select("pattern", "at", F.lit(1).alias("kind"), F.lit(None).cast("struct<since:timestamp,action:string,until:timestamp>").alias("entry"), "row")
-    both = _bucketed(c.unionByName(e.select(*c.columns)), "at")
+    both = _bucketed(c.unionByName(e.select(*c.columns)), ["at", "kind", "row"])
     ends = both.groupBy("pattern", "bucket").agg(F.max("entry").alias("ends"))
     before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     held = ends.select("pattern", "bucket", F.last("ends", ignorenulls=True).over(before).alias("held"))
