@@ -1,7 +1,8 @@
 """Benchmark decontamination (operator 7): template windows, hash join and slot consistency, all in DataFrame functions.
 
 Canonical form: a text's tokens are its runs of letters and its numbers. Numbers become one placeholder, unit words
-after a number another, capitalised words inside a sentence a third; the rest is lower-cased. Windows of WINDOW tokens of every
+behind a number (with or without a space) another, capitalised words a third, also where they begin a sentence, since a
+name may stand there; the rest is lower-cased. Windows of WINDOW tokens of every
 document are hash-joined with those of the benchmark items (an item with fewer tokens is one window of that length).
 A window is joined by its placeholders only if most of its tokens are words (at most two placeholders of five tokens,
 one of three or four, none of one or two); every window that holds a placeholder is joined by its literal tokens as well,
@@ -38,9 +39,9 @@ def _tokens(text: Column) -> Column:
 
 def _template(text: Column) -> Column:
     """Same number of tokens as the text, with placeholders; lower case."""
-    named = F.regexp_replace(text, r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+(?![\p{L}\p{M}])", NAME)
-    united = F.regexp_replace(named, rf"(?i)(?<=\p{{N}}[ ])(?:{UNITS})(?![\p{{L}}\p{{M}}])", UNIT)
-    return F.lower(F.regexp_replace(united, r"\p{N}+(?:[.,]\p{N}+)*", f" {NUM} "))
+    united = F.regexp_replace(text, rf"(?i)(?<=\p{{N}}\s{{0,2}})(?:{UNITS})(?![\p{{L}}\p{{M}}])", UNIT)
+    named = F.regexp_replace(united, r"(?<![\p{L}\p{M}])\p{Lu}(?=[\p{L}\p{M}]*\p{Ll})[\p{L}\p{M}]+", NAME)
+    return F.lower(F.regexp_replace(named, r"\p{N}+(?:[.,]\p{N}+)*", f" {NUM} "))
 
 
 def _windows(text: Column, sizes: list[int], exact: bool) -> Column:

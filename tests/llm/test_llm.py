@@ -4,6 +4,7 @@ import random
 from array import array
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from concord.llm import ann, bpe, components, decontaminate, html_text, licenses, minhash, token_counts, toxicity, url_filters, warc
@@ -249,12 +250,17 @@ def plain_matches(docs, items):
     def tokens(text):
         """(placeholder or lower-cased word, value or None) of each token."""
         text = text or ""
-        name = {m.span() for m in regex.finditer(r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+(?![\p{L}\p{M}])", text)}
-        unit = {m.span() for m in regex.finditer(rf"(?i)(?<=\p{{N}}[ ])(?:{decontaminate.UNITS})(?![\p{{L}}\p{{M}}])", text)}
-        out = []
+        units, out, last = set(decontaminate.UNITS.split("|")), [], None
         for m in token.finditer(text):
-            kind = "<num>" if number.fullmatch(m[0]) else "<name>" if m.span() in name else "<unit>" if m.span() in unit else None
-            out.append((kind or m[0].lower(), m[0].lower() if kind else None))
+            word, gap = m[0], text[last.end() : m.start()] if last else ""
+            if number.fullmatch(word):
+                kind = "<num>"
+            elif last and number.fullmatch(last[0]) and word.lower() in units and len(gap) <= 2 and not gap.strip():
+                kind = "<unit>"
+            else:
+                kind = "<name>" if word[0].isupper() and any(c.islower() for c in word[1:]) else None
+            out.append((kind or word.lower(), word.lower() if kind else None))
+            last = m
         return out
 
     def contaminated(doc, item):
@@ -290,7 +296,7 @@ def plain_matches(docs, items):
 
 def test_decontamination_equals_a_plain_version(spark):
     rnd = random.Random(11)
-    words = "the a of red blue train car runs buys gives adds then and to for with Anna Bob Carl 7 12 3.5 1,000 kg km hours =".split()
+    words = "the a of red blue train car runs buys gives adds then and to for with Anna Bob McDonald The. Then 7 12 3.5 1,000 5kg 9Km kg km hours USA =".split()
     sentence = lambda n: " ".join(rnd.choice(words) for _ in range(n))
     items = [(i, sentence(rnd.choice([1, 2, 3, 4, 5, 6, 9, 20]))) for i in range(40)]
     docs = []
@@ -315,6 +321,32 @@ def test_decontamination_of_rows_without_or_with_repeated_ids(spark):
     assert decontaminate.clean(docs.limit(0), items).count() == 0
 
 
+def test_decontamination_of_units_and_names_anywhere(spark):
+    """Units stand right behind a number or after a space, and names may begin a sentence."""
+    items = spark.createDataFrame([(1, "A crate weighs 5 kg and holds 12 kg of sand."), (2, "Tom has 7 apples. Tom eats 3 apples. How many remain?"), (3, "McDonald sells 8 cows to his brother at noon")], "item_id long, text string")
+    docs = frame(spark, ["A crate weighs 7kg and holds 15kg of sand.", "Anna has 9 apples. Anna eats 4 apples. How many remain?", "so MacBeth sells 3 cows to his brother at noon", "Anna has 9 apples. Berta eats 4 apples. How few stay here?", "the 5 kgs of sand"])
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()) == [(0, 1), (1, 2), (2, 3)]
+
+
+def test_near_duplicates_with_very_large_ids(spark):
+    top = 2**63 - 1
+    rows = [(top, "one two three four five six seven"), (top - 1, "one two three four five six seven"), (2**62, "another text of some seven plain words"), (None, "one two three four five six seven"), (None, "nameless text of some seven plain words"), (5, "small id with some seven plain words")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, i int")
+    got = sorted(((r.doc_id, r.class_id, r.rep_id) for r in minhash.classes(docs).collect()), key=repr)
+    assert got == sorted([(top, top - 1, top - 1), (top - 1, top - 1, top - 1), (2**62, 2**62, 2**62), (None, top - 1, top - 1), (None, None, None), (5, 5, 5)], key=repr)
+    assert sorted(r.i for r in minhash.keep_one(docs).collect()) == [1, 2, 4, 5]
+    with pytest.raises(ValueError, match="no room"):
+        minhash.classes(spark.createDataFrame([(top, "a"), (-top, "b")], "doc_id long, text string"))
+
+
+def test_url_filters_cut_bursts(spark, monkeypatch):
+    """A burst within a second is dealt into buckets like any other stretch."""
+    monkeypatch.setattr(url_filters, "BUCKET", 500)
+    rows = spark.range(6000).select(F.lit("a.org").alias("pattern"), F.timestamp_seconds(F.when(F.col("id") == 0, 0).otherwise(10**9 + F.col("id") % 2)).alias("at"), F.lit(1).alias("kind"), F.col("id").alias("row"))
+    sizes = [r["count"] for r in url_filters._bucketed(rows, ["at", "kind", "row"]).groupBy("pattern", "bucket").count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) < 1500
+
+
 def test_decontamination_counts_windows_that_matched_ones_span(spark):
     items = spark.createDataFrame([(1, "we add up 1 2 3 to get all of it")], "item_id long, text string")
     docs = frame(spark, ["we add up 4 5 6 to get all of it", "they say we add up 4 5 here"])
