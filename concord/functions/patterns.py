@@ -25,7 +25,8 @@ def parse_quantity(text: Column, units: dict[str, float] = MOLAR, extra: str = "
     pattern = rf"(?<![\p{{L}}\p{{N}}.])(\d+(?:\.\d+)?)\s*({names})(?![\p{{L}}\p{{N}}]){extra}"
     table = F.create_map(*(F.lit(x) for kv in units.items() for x in kv))
     numbers, found = (F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (1, 2))
-    return F.zip_with(numbers, found, lambda n, u: F.struct(n.cast("double").alias("amount"), u.alias("unit"), (n.cast("double") * F.element_at(table, u)).alias("value")))
+    return F.zip_with(numbers, found, lambda n, u: F.struct(n.cast("double").alias("amount"), u.alias("unit"),
+        (n.cast("double") * F.element_at(table, u)).alias("value")))
 
 
 def all_of(conditions: list[Column]) -> Column:

@@ -15,16 +15,19 @@ from concord.operators.identity import bounded
 REACH = 40  # characters behind a quantity in which a name makes it a dose
 
 
-def as_issues(df: DataFrame, check: str, study: Column, record: Column, observed: Column, expected: Column, resolution: str = "flagged", inventory: DataFrame | None = None) -> DataFrame:
+def as_issues(df: DataFrame, check: str, study: Column, record: Column, observed: Column, expected: Column, resolution: str = "flagged",
+        inventory: DataFrame | None = None) -> DataFrame:
     """check, study_id, record_id, observed and expected (500 characters at most), resolution, impact and inventory_id
     ('minor' and null unless the inventory of (check, impact, id) says otherwise)."""
-    text = {"study_id": study, "record_id": record, "observed": F.substring(observed.cast("string"), 1, 500), "expected": F.substring(expected.cast("string"), 1, 500)}
+    text = {"study_id": study, "record_id": record, "observed": F.substring(observed.cast("string"), 1, 500),
+        "expected": F.substring(expected.cast("string"), 1, 500)}
     out = df.select(F.lit(check).alias("check"), *(c.cast("string").alias(n) for n, c in text.items()), F.lit(resolution).alias("resolution"))
     if inventory is None:
         return out.withColumn("impact", F.lit("minor")).withColumn("inventory_id", F.lit(None).cast("string"))
     known = inventory.where(F.col("check") == check).groupBy("check").agg(F.min("impact").alias("_i"), F.min("id").alias("inventory_id"))
     out = out.join(F.broadcast(known), "check", "left")  # known: one row
-    return out.withColumn("impact", F.coalesce("_i", F.lit("minor"))).select(*(c for c in out.columns if c not in ("_i", "inventory_id")), "impact", "inventory_id")
+    return out.withColumn("impact", F.coalesce("_i", F.lit("minor"))).select(*(c for c in out.columns if c not in ("_i", "inventory_id")),
+        "impact", "inventory_id")
 
 
 def spelled_pattern(name: Column) -> Column:
@@ -33,7 +36,8 @@ def spelled_pattern(name: Column) -> Column:
     return F.concat(F.when(F.length(name) >= 3, F.lit("(?iu:")).otherwise(F.lit("(?:")), F.lit(r"(?<![\w-])"), text, F.lit(r"(?![\w-]))"))
 
 
-def dose_above_limit(df: DataFrame, by: list[str], text: str, limit: float, names: DataFrame, study: str | None = None, reach: int = REACH) -> DataFrame:
+def dose_above_limit(df: DataFrame, by: list[str], text: str, limit: float, names: DataFrame, study: str | None = None,
+        reach: int = REACH) -> DataFrame:
     """Every quantity above the limit (in nM) that one of the study's names follows within ``reach`` characters, over line
     breaks too: ``by``, amount, unit, value, and the first such name; once for each text field (``by``), number and unit.
 
@@ -44,11 +48,15 @@ def dose_above_limit(df: DataFrame, by: list[str], text: str, limit: float, name
     quantity = F.lit(rf"(?<![\p{{L}}\p{{N}}.])(\d+(?:\.\d+)?)\s*({units})(?![\p{{L}}\p{{N}}]){after}")
     scale = F.create_map(*(F.lit(x) for kv in MOLAR.items() for x in kv))
     parts = [F.regexp_extract_all(text, quantity, F.lit(i)) for i in (1, 2, 3)]
-    found = F.transform(F.arrays_zip(*(p.alias(n) for p, n in zip(parts, ("n", "unit", "after"), strict=True))), lambda q: F.struct(q["n"].cast("double").alias("amount"), q["unit"].alias("unit"), (q["n"].cast("double") * F.element_at(scale, q["unit"])).alias("value"), q["after"].alias("after")))
+    found = F.transform(F.arrays_zip(*(p.alias(n) for p, n in zip(parts, ("n", "unit", "after"), strict=True))),
+        lambda q: F.struct(q["n"].cast("double").alias("amount"), q["unit"].alias("unit"),
+            (q["n"].cast("double") * F.element_at(scale, q["unit"])).alias("value"), q["after"].alias("after")))
     scope = [study] if study else []
     hit = df.select(*dict.fromkeys([*by, *scope]), F.explode(F.filter(found, lambda q: q["value"] > limit)).alias("q"))
-    known = names.where("name is not null and name <> ''").select(*(F.col(c).alias("_study") for c in scope), "name", spelled_pattern(F.col("name")).alias("_p")).distinct()
-    known = known.groupBy(*(["_study"] if study else [])).agg(F.sort_array(F.collect_list(F.struct("name", "_p"))).alias("_names"))  # the spellings of a study
+    known = names.where("name is not null and name <> ''").select(*(F.col(c).alias("_study") for c in scope), "name",
+        spelled_pattern(F.col("name")).alias("_p")).distinct()
+    known = known.groupBy(*(["_study"] if study else [])).agg(F.sort_array(F.collect_list(F.struct("name", "_p")))
+        .alias("_names"))  # the spellings of a study
     met = hit.join(bounded(known), F.col(study) == F.col("_study")) if study else hit.crossJoin(F.broadcast(known))  # one row
     first = F.try_element_at(F.filter("_names", lambda x: F.regexp_like(F.col("q.after"), x["_p"])), F.lit(1))["name"]
     got = met.select(*by, "q.amount", "q.unit", "q.value", first.alias("name")).where("name is not null")
@@ -70,7 +78,8 @@ def fields_contradict(views: DataFrame, study: str, record: str, field: str, val
     """
     sets = views.groupBy(study, record, field).agg(F.array_sort(F.collect_set(value)).alias("set"))
     size = views.groupBy(study).agg(F.count_distinct(record).alias("_records"))
-    spread = sets.groupBy(study, field).agg(F.count_distinct("set").alias("_sets"), F.count(F.lit(1)).alias("_n"), F.max(F.size("set")).alias("_most"))
+    spread = sets.groupBy(study, field).agg(F.count_distinct("set").alias("_sets"), F.count(F.lit(1)).alias("_n"),
+        F.max(F.size("set")).alias("_most"))
     varies = (F.col("_sets") > 1) | (F.col("_n") < F.col("_records")) & (F.col("_most") > 0)
     used = spread.join(size, study).where(varies).select(study, field)
     used = used.withColumn("_used", F.count(F.lit(1)).over(Window.partitionBy(study))).where("_used > 1").drop("_used")
@@ -80,7 +89,8 @@ def fields_contradict(views: DataFrame, study: str, record: str, field: str, val
     told = grid.join(sets, [study, record, field], "left").groupBy(study, record, "_view")
     told = told.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(F.col("set").cast("array<string>"), none))))).alias("set"))
     g = told.groupBy(study, record).agg(F.array_sort(F.collect_list(F.struct(F.col("_view").alias("view"), "set"))).alias("views"))
-    g = g.withColumn("n_views", F.size("views")).withColumn("n_sets", F.size(F.array_distinct(F.transform("views", lambda x: x["set"])))).where("n_sets > 1")
+    g = g.withColumn("n_views", F.size("views")).withColumn("n_sets",
+        F.size(F.array_distinct(F.transform("views", lambda x: x["set"])))).where("n_sets > 1")
     alone = F.filter("views", lambda x: F.size(F.filter("views", lambda y: y["set"] == x["set"])) == 1)
     odd = F.when((F.col("n_views") > 2) & (F.size(alone) > 0), F.array_join(F.transform(alone, lambda x: x["view"]), ","))
     return g.select(study, record, "n_views", "n_sets", odd.alias("odd_ones"))
@@ -103,7 +113,8 @@ def duplicate_title_records(df: DataFrame, study: str, record: str, title: str,
     repeated = duplicate_titles(df, study, record, title, batch, code).select(F.col(study).alias("_st"), F.col("core").alias("_c"), "n", "kind")
     hit = rows.join(repeated, F.col(study).eqNullSafe(F.col("_st")) & (F.col("_core") == F.col("_c")))
     place = F.row_number().over(Window.partitionBy("_st", "_core").orderBy(record))
-    few = hit.withColumn("_k", place).where(F.col("_k") <= named + 1).groupBy(F.col("_st").alias("_s2"), F.col("_core").alias("_c2")).agg(F.array_sort(F.collect_list(record)).alias("_first"))
+    few = hit.withColumn("_k", place).where(F.col("_k") <= named + 1).groupBy(F.col("_st").alias("_s2"),
+        F.col("_core").alias("_c2")).agg(F.array_sort(F.collect_list(record)).alias("_first"))
     met = hit.join(few, F.col("_st").eqNullSafe(F.col("_s2")) & (F.col("_core") == F.col("_c2")))
     others = F.slice(F.filter("_first", lambda x: x != F.col(record)), 1, named)
     return met.select(study, record, title, "kind", (F.col("n") - 1).alias("n_others"), others.alias("others"))
@@ -120,8 +131,10 @@ def no_control_in_batch(samples: DataFrame, keys: list[str], treated: Column, co
 
 def value_scale_mismatch(values: DataFrame, by: str, value: str, notes: DataFrame, note: str) -> DataFrame:
     """Values that contradict the stated processing: 'counts' that aren't whole or are negative, 'log2' beyond 40."""
-    g = values.groupBy(by).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.count_if(F.col(value) != F.round(value)).alias("n_fraction")).join(notes, by)
-    why = F.when(F.col(note).rlike("(?i)count") & ((F.col("n_fraction") > 0) | (F.col("least") < 0)), "not counts").when(F.col(note).rlike("(?i)log2") & (F.col("most") > 40), "not log2")
+    g = values.groupBy(by).agg(F.min(value).alias("least"), F.max(value).alias("most"),
+        F.count_if(F.col(value) != F.round(value)).alias("n_fraction")).join(notes, by)
+    why = F.when(F.col(note).rlike("(?i)count") & ((F.col("n_fraction") > 0) | (F.col("least") < 0)),
+        "not counts").when(F.col(note).rlike("(?i)log2") & (F.col("most") > 40), "not log2")
     return g.select(by, "least", "most", "n_fraction", why.alias("problem")).where("problem is not null")
 
 
@@ -143,7 +156,8 @@ def duplicate_record_id(df: DataFrame, record: str, source: str) -> DataFrame:
 
 def nested_series(df: DataFrame, study: str, relation: str, prefix: str) -> DataFrame:
     """Sources whose relation text names another source: what follows the last colon."""
-    return df.where(F.startswith(F.col(relation), F.lit(prefix))).select(study, F.trim(F.element_at(F.split(F.col(relation), ":"), -1)).alias("part_of")).distinct()
+    return df.where(F.startswith(F.col(relation), F.lit(prefix))).select(study,
+        F.trim(F.element_at(F.split(F.col(relation), ":"), -1)).alias("part_of")).distinct()
 
 
 def out_of_scope(df: DataFrame, by: str, foreign: Column) -> DataFrame:
@@ -215,7 +229,8 @@ def issue_summary(issues: DataFrame) -> DataFrame:
     def listed(c):
         return F.array_join(F.array_sort(F.collect_set(c)), ", ")
 
-    return issues.groupBy("check", "resolution").agg(F.count(F.lit(1)).alias("n"), listed("study_id").alias("studies"), listed("inventory_id").alias("inventory"))
+    return issues.groupBy("check", "resolution").agg(F.count(F.lit(1)).alias("n"), listed("study_id").alias("studies"),
+        listed("inventory_id").alias("inventory"))
 
 
 def coverage(inventory: DataFrame, issues: DataFrame, tags: DataFrame, built_in: DataFrame) -> DataFrame:
@@ -233,7 +248,8 @@ def coverage(inventory: DataFrame, issues: DataFrame, tags: DataFrame, built_in:
 def program_tags(spark: SparkSession, programs: dict[str, dict]) -> DataFrame:
     """id, fixed_by: the inventory rows that rules and named records of rule programs name ('program: rule'; programs are
     small, hand-written mappings)."""
-    rows = [(b["inventory"], f"{name}: {b.get('name')}") for name, p in programs.items() for b in [*p.get("rules", []), *p.get("records", {}).values()] if isinstance(b, dict) and b.get("inventory")]
+    rows = [(b["inventory"], f"{name}: {b.get('name')}") for name, p in programs
+        .items() for b in [*p.get("rules", []), *p.get("records", {}).values()] if isinstance(b, dict) and b.get("inventory")]
     return spark.createDataFrame(rows, "id string, fixed_by string")
 
 
@@ -250,13 +266,15 @@ def load_summary(samples: DataFrame, treatments: DataFrame, meas: DataFrame, fea
     s = samples.groupBy("study_id").agg(F.count(F.lit(1)).alias("n_samples"))
     tr = treatments.join(samples.select("sample_id", "study_id"), "sample_id").groupBy("study_id").agg(F.count(F.lit(1)).alias("n_treatments"))
     m = meas.groupBy("study_id").agg(F.count(F.lit(1)).alias("n_values"))
-    f = features.groupBy("study_id").agg(F.count_distinct("entity").alias("n_entities"), F.count(F.lit(1)).alias("n_features"), F.count("entity").alias("n_mapped"))
+    f = features.groupBy("study_id").agg(F.count_distinct("entity").alias("n_entities"), F.count(F.lit(1)).alias("n_features"),
+        F.count("entity").alias("n_mapped"))
     return s.join(tr, "study_id", "left").join(m, "study_id", "left").join(f, "study_id", "left")
 
 
 def issues_by_study(issues: DataFrame) -> DataFrame:
     g = issues.groupBy("study_id")
-    return g.agg(F.count_if(F.col("impact") == "major").alias("major"), F.count_if(F.col("impact") == "minor").alias("minor"), F.count_if(F.col("resolution") == "flagged").alias("flagged"), F.count_if(F.col("resolution") == "fixed").alias("fixed"))
+    return g.agg(F.count_if(F.col("impact") == "major").alias("major"), F.count_if(F.col("impact") == "minor").alias("minor"),
+        F.count_if(F.col("resolution") == "flagged").alias("flagged"), F.count_if(F.col("resolution") == "fixed").alias("fixed"))
 
 
 def issues_for_record(issues: DataFrame, record: str, study: str) -> DataFrame:

@@ -53,7 +53,8 @@ def matched_effect(meas: DataFrame, samples: DataFrame, sig: DataFrame, keys: li
     return g.where("_t").drop("_t").withColumn("effect", F.col("treated_mean") - F.col("control_mean"))
 
 
-def effect_ids(samples: DataFrame, sig: DataFrame, keys: list[str], sample: str = "sample_id", treated: Column | None = None, control: Column | None = None) -> DataFrame:
+def effect_ids(samples: DataFrame, sig: DataFrame, keys: list[str], sample: str = "sample_id", treated: Column | None = None,
+        control: Column | None = None) -> DataFrame:
     """The sorted sample ids behind every treated group (keys and signature) and its controls."""
     is_t, is_c = _roles(treated, control)
     ids = F.array_sort(F.collect_list(sample))
@@ -92,7 +93,8 @@ def comparison_members(members: DataFrame, sample: str) -> DataFrame:
         return F.array_sort(F.collect_set(F.when(F.col("side") == side, F.col(sample))))
 
     g = members.groupBy("comparison").agg(ids("treated").alias("treated_ids"), ids("control").alias("control_ids"))
-    return g.select("comparison", F.size("treated_ids").cast("long").alias("n_treated"), F.size("control_ids").cast("long").alias("n_control"), "treated_ids", "control_ids")
+    return g.select("comparison", F.size("treated_ids").cast("long").alias("n_treated"),
+        F.size("control_ids").cast("long").alias("n_control"), "treated_ids", "control_ids")
 
 
 def filter_population(effects: DataFrame, population: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,7 +104,8 @@ def filter_population(effects: DataFrame, population: DataFrame, keys: list[str]
 def consistent_direction(effects: DataFrame, entity: str, by: str) -> DataFrame:
     """Entities whose mean effect has one sign in every source."""
     m = effects.groupBy(entity, by).agg(F.avg("effect").alias("m"))
-    return m.groupBy(entity).agg(F.bool_and(F.col("m") > 0).alias("all_up"), F.bool_and(F.col("m") < 0).alias("all_down"), F.count(F.lit(1)).alias("n_sources"))
+    return m.groupBy(entity).agg(F.bool_and(F.col("m") > 0).alias("all_up"), F.bool_and(F.col("m") < 0).alias("all_down"),
+        F.count(F.lit(1)).alias("n_sources"))
 
 
 def up_in_every(effects: DataFrame, treatment: list[str], line: str, universe: DataFrame) -> DataFrame:
@@ -157,13 +160,15 @@ def pooled_effect(effects: DataFrame, entity: str, by: str) -> DataFrame:
     """Mean of per-source means, each source weighing the same, and the sources spelled out."""
     m = effects.where("effect is not null").groupBy(entity, by).agg(F.avg("effect").alias("m"))
     text = F.concat_ws("=", by, F.format_string("%.2f", F.round("m", 2)))
-    return m.groupBy(entity).agg(F.avg("m").alias("pooled"), F.array_join(F.array_sort(F.collect_list(text)), ", ").alias("by_source"), F.count(F.lit(1)).alias("n_sources"))
+    return m.groupBy(entity).agg(F.avg("m").alias("pooled"), F.array_join(F.array_sort(F.collect_list(text)), ", ").alias("by_source"),
+        F.count(F.lit(1)).alias("n_sources"))
 
 
 def paired_difference(df: DataFrame, node: str, parent: str, value: str) -> DataFrame:
     """Each derived node's value minus its parent's, with the rank of the difference (largest first, ties by name)."""
     c, p = df.alias("c"), df.alias("p")
-    j = c.join(p, F.col(f"c.{parent}") == F.col(f"p.{node}")).select(F.col(f"c.{node}").alias(node), F.col(f"c.{parent}").alias(parent), (F.col(f"c.{value}") - F.col(f"p.{value}")).alias("difference"))
+    j = c.join(p, F.col(f"c.{parent}") == F.col(f"p.{node}")).select(F.col(f"c.{node}").alias(node), F.col(f"c.{parent}").alias(parent),
+        (F.col(f"c.{value}") - F.col(f"p.{value}")).alias("difference"))
     return j.withColumn("rank", F.row_number().over(Window.partitionBy(parent).orderBy(F.desc("difference"), node)))
 
 
@@ -192,18 +197,21 @@ def never_treated(samples: DataFrame, children: DataFrame, key: str) -> DataFram
 def dose_by_source(df: DataFrame, study: str, dose: str) -> DataFrame:
     """Per study its doses in numeric order as text; 'not stated' where all are null."""
     g = df.groupBy(study).agg(F.array_sort(F.collect_set(dose)).alias("d"), F.count_if(F.col(dose).isNull()).alias("n_unstated"))
-    return g.select(study, F.when(F.size("d") == 0, "not stated").otherwise(F.array_join(F.transform("d", lambda x: x.cast("bigint").cast("string")), ", ")).alias("doses"), "n_unstated")
+    return g.select(study, F.when(F.size("d") == 0, "not stated").otherwise(F
+        .array_join(F.transform("d", lambda x: x.cast("bigint").cast("string")), ", ")).alias("doses"), "n_unstated")
 
 
 def exposure_by_source(df: DataFrame, study: str, hours: str, chronic: Column) -> DataFrame:
     g = df.groupBy(study).agg(F.bool_and(chronic).alias("c"), F.count(hours).alias("n"), F.array_sort(F.collect_set(hours)).alias("h"))
-    return g.select(study, F.when(F.col("c"), "chronic").when(F.col("n") == 0, "not stated").otherwise(F.array_join(F.col("h").cast("array<string>"), ", ")).alias("exposure"))
+    return g.select(study, F.when(F.col("c"), "chronic").when(F.col("n") == 0, "not stated")
+        .otherwise(F.array_join(F.col("h").cast("array<string>"), ", ")).alias("exposure"))
 
 
 def fold_label(effect: Column, little: float = 0.15) -> Column:
     """log2 effect in words."""
     fold = F.format_string("%.1f", F.round(F.pow(F.lit(2.0), F.abs(effect)), 1))
-    return F.when(effect.isNull(), None).when(F.abs(effect) < little, "little change").when(effect > 0, F.concat(fold, F.lit("x higher"))).otherwise(F.concat(fold, F.lit("x lower")))
+    return F.when(effect.isNull(), None).when(F.abs(effect) < little, "little change").when(effect > 0,
+        F.concat(fold, F.lit("x higher"))).otherwise(F.concat(fold, F.lit("x lower")))
 
 
 def sample_view(samples: DataFrame, treatments: DataFrame, issues: DataFrame) -> DataFrame:
@@ -212,7 +220,8 @@ def sample_view(samples: DataFrame, treatments: DataFrame, issues: DataFrame) ->
     spelled = treatments.groupBy("sample_id").agg(F.array_join(F.array_sort(F.collect_list(text)), " + ").alias("treatment"))
     counts = issues.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_issues"), F.count_if(F.col("resolution") == "flagged").alias("n_open"))
     zero = F.lit(0).cast("bigint")
-    return samples.join(spelled, "sample_id", "left").join(counts, "sample_id", "left").withColumn("n_issues", F.coalesce("n_issues", zero)).withColumn("n_open", F.coalesce("n_open", zero))
+    return samples.join(spelled, "sample_id", "left").join(counts, "sample_id", "left").withColumn("n_issues",
+        F.coalesce("n_issues", zero)).withColumn("n_open", F.coalesce("n_open", zero))
 
 
 def expression_view(meas: DataFrame, samples: DataFrame, excluded: Column) -> DataFrame:
@@ -244,9 +253,11 @@ def line_dashboard(samples: DataFrame, line: str, study: str) -> DataFrame:
 
 def treatment_dashboard(treatments: DataFrame, samples: DataFrame, study: str, sample: str = "sample_id") -> DataFrame:
     """Per compound and time ("chronic", "not stated" or hours): samples, mean dose, and the studies that used it."""
-    time = F.when(F.col("exposure_type") == "chronic", "chronic").when(F.col("exposure_h").isNull(), "not stated").otherwise(F.col("exposure_h").cast("bigint").cast("string"))
+    time = F.when(F.col("exposure_type") == "chronic", "chronic").when(F.col("exposure_h").isNull(),
+        "not stated").otherwise(F.col("exposure_h").cast("bigint").cast("string"))
     rows = treatments.join(samples.select(sample, study), sample).withColumn("time", time)
-    return rows.groupBy("compound_id", "time").agg(F.count_distinct(sample).alias("n"), F.avg("dose").alias("mean_dose"), _listed(study).alias("studies"))
+    return rows.groupBy("compound_id", "time").agg(F.count_distinct(sample).alias("n"), F.avg("dose").alias("mean_dose"),
+        _listed(study).alias("studies"))
 
 
 def issue_dashboard(issues: DataFrame, study: str) -> DataFrame:

@@ -35,7 +35,8 @@ def check_vocabulary(df: DataFrame, col: str, vocabulary: list[str]) -> DataFram
 def vocabulary_drift(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
     """Values that only one of two lists has."""
     j = a.select(F.col(col).alias("a")).distinct().join(b.select(F.col(col).alias("b")).distinct(), F.col("a") == F.col("b"), "full_outer")
-    return j.where("a is null or b is null").select(F.coalesce("a", "b").alias("value"), F.when(F.col("a").isNull(), "second").otherwise("first").alias("only_in"))
+    return j.where("a is null or b is null").select(F.coalesce("a", "b").alias("value"),
+        F.when(F.col("a").isNull(), "second").otherwise("first").alias("only_in"))
 
 
 def check_predicate(df: DataFrame, condition: Column) -> DataFrame:
@@ -112,7 +113,8 @@ def surrogate_id(df: DataFrame, order: list[str], name: str = "id", rows: int =
     partitions; rows that are equal in all columns are dealt among ranges by their place in the input, so no range grows
     with a repeated row."""
     n = df.count()
-    all_columns = F.xxhash64(*(F.to_json(F.struct(c)) if isinstance(df.schema[c].dataType, (ArrayType, MapType, StructType)) else F.col(c) for c in df.columns))
+    all_columns = F.xxhash64(*(F.to_json(F.struct(c)) if isinstance(df.schema[c].dataType, (ArrayType, MapType, StructType)) else F
+        .col(c) for c in df.columns))
     tied = df.withColumn("_tie", all_columns).withColumn("_same", F.xxhash64(F.monotonically_increasing_id()))
     by = [*(F.asc_nulls_first(c) for c in order), "_tie", "_same"]
     placed = tied.repartitionByRange(max(1, -(-n // rows)), *by).sortWithinPartitions(*by)
@@ -148,7 +150,8 @@ def resolve_citations(ids: DataFrame, key: str, records: DataFrame, treatments:
     found = records.join(cited, key, "left_semi")
     out = {"not_found": cited.join(records.select(key), key, "left_anti"), "records": found}
     if treatments is not None:
-        spelled = treatments.join(cited, key, "left_semi").groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("treatment")), ", ").alias("treatment"))
+        spelled = treatments.join(cited, key, "left_semi").groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("treatment")), ", ")
+            .alias("treatment"))
         out["records"] = found.join(spelled, key, "left")
     if provenance is not None:
         own = provenance.withColumn("_k", F.split_part(F.col("entity").cast("string"), F.lit("|"), F.lit(1)))

@@ -75,7 +75,8 @@ def entries_of(v: Column, whole: list[str] = ()) -> Column:
         t = _text(x)
         kept = reduce(Column.__or__, [F.lower(t).startswith(w.lower()) for w in whole], F.lit(False))
         pair = F.struct(F.trim(F.substring_index(t, ":", 1)).alias("label"), F.trim(F.substr(t, F.locate(":", t) + 1)).alias("value"))
-        return F.when(_is(x, "STRING") & (F.locate(":", t) > 0) & ~kept, pair).otherwise(F.struct(F.lit(None).cast("string").alias("label"), t.alias("value")))
+        return F.when(_is(x, "STRING") & (F.locate(":", t) > 0) & ~kept,
+            pair).otherwise(F.struct(F.lit(None).cast("string").alias("label"), t.alias("value")))
 
     fields = F.flatten(F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: each(e["key"], e["value"])))
     items = F.transform(F.try_variant_get(v, "$", "array<variant>"), told)
@@ -91,7 +92,8 @@ def _with_items(df: DataFrame, entries: str, aliases: DataFrame) -> DataFrame:
     return rows.select(*kept, F.when(F.col("_value").isNotNull(), F.concat_ws(": ", "_l", "_v")).alias("item"))
 
 
-def answer_items(answers: DataFrame, keys: list[str], aliases: DataFrame, col: str = "answer", parts: DataFrame | None = None, whole: list[str] = ()) -> DataFrame:
+def answer_items(answers: DataFrame, keys: list[str], aliases: DataFrame, col: str = "answer", parts: DataFrame | None = None,
+        whole: list[str] = ()) -> DataFrame:
     """JSON object answers -> rows (keys, part, item), items normalized and distinct, see entries_of.
 
     ``parts`` (question, part): the fields to read, "a.b" being the value of b in the object a; by default all fields of the
@@ -101,7 +103,8 @@ def answer_items(answers: DataFrame, keys: list[str], aliases: DataFrame, col: s
         each = F.explode(F.map_entries(F.try_variant_get("_v", "$", "map<string,variant>"))).alias("e")
         got = v.select(*keys, each).select(*keys, F.col("e.key").alias("part"), F.col("e.value").alias("_v")).where(~F.is_variant_null("_v"))
     else:
-        got = v.join(bounded(parts.select("question", "part").distinct()), "question").select(*keys, "part", value_at(F.col("_v"), F.col("part")).alias("_v"))
+        got = v.join(bounded(parts.select("question", "part").distinct()), "question").select(*keys, "part",
+            value_at(F.col("_v"), F.col("part")).alias("_v"))
     return _with_items(got.select(*keys, "part", entries_of(F.col("_v"), whole).alias("_e")), "_e", aliases).where("item is not null").distinct()
 
 
@@ -115,9 +118,12 @@ def number_of(v: Column) -> Column:
 def normalized_key(key: DataFrame, aliases: DataFrame) -> DataFrame:
     """question, part, kind, want (number), tolerance and expected (set of items) of a key as it is written: question, part,
     kind, expected (array<string>, 'name: value' being a pair), tolerance."""
-    pair = lambda x: F.when(F.locate(": ", x) > 0, F.struct(F.substring_index(x, ": ", 1).alias("label"), F.substr(x, F.locate(": ", x) + 2).alias("value"))).otherwise(F.struct(F.lit(None).cast("string").alias("label"), x.alias("value")))
+    pair = lambda x: F.when(F.locate(": ", x) > 0, F.struct(F.substring_index(x, ": ", 1).alias("label"),
+        F.substr(x, F.locate(": ", x) + 2).alias("value"))).otherwise(F
+            .struct(F.lit(None).cast("string").alias("label"), x.alias("value")))
     want = F.replace(F.try_element_at("expected", F.lit(1)), F.lit(","), F.lit("")).try_cast("double")
-    own = key.select("question", "part", "kind", want.alias("want"), F.col("tolerance").cast("double").alias("tolerance"), F.transform("expected", pair).alias("_e"))
+    own = key.select("question", "part", "kind", want.alias("want"), F.col("tolerance").cast("double").alias("tolerance"),
+        F.transform("expected", pair).alias("_e"))
     items = _with_items(own, "_e", aliases)
     return items.groupBy("question", "part", "kind", "want", "tolerance").agg(F.collect_set("item").alias("expected"))
 
@@ -132,10 +138,13 @@ def grade_parts(records: DataFrame, key: DataFrame, keys: list[str], aliases: Da
     asked = records.select(*own, F.try_parse_json(F.col(col).cast("string")).alias("_v")).join(bounded(normalized_key(key, aliases)), "question")
     asked = asked.withColumn("_v", value_at(F.col("_v"), F.col("part")))
     number = number_of(F.col("_v"))
-    right = F.when(F.col("kind") == "exact_number", number == F.col("want")).when(F.col("kind") == "tolerance", F.abs(number - F.col("want")) <= F.col("tolerance"))
+    right = F.when(F.col("kind") == "exact_number", number == F.col("want")).when(F.col("kind") == "tolerance",
+        F.abs(number - F.col("want")) <= F.col("tolerance"))
     entries = F.when(F.col("kind") == "exact_list", entries_of(F.col("_v"), whole))
-    rows = asked.select(*own, "part", "kind", "expected", F.coalesce(right, F.lit(False)).alias("_right"), F.col("_v").cast("string").alias("got"), entries.alias("_e"))
-    items = _with_items(rows, "_e", aliases).groupBy(*own, "part").agg(*(F.first(c).alias(c) for c in ("kind", "expected", "_right", "got")), F.collect_set("item").alias("_items"))
+    rows = asked.select(*own, "part", "kind", "expected", F.coalesce(right, F.lit(False)).alias("_right"),
+        F.col("_v").cast("string").alias("got"), entries.alias("_e"))
+    items = _with_items(rows, "_e", aliases).groupBy(*own, "part").agg(*(F.first(c)
+        .alias(c) for c in ("kind", "expected", "_right", "got")), F.collect_set("item").alias("_items"))
     extra = F.filter(F.array_except("_items", "expected"), lambda x: ~x.endswith(": 0"))
     same = F.col("got").isNotNull() & (F.size(extra) == 0) & (F.size(F.array_except("expected", "_items")) == 0)
     return items.select(*own, "part", F.when(F.col("kind") == "exact_list", same).otherwise(F.col("_right")).alias("ok"), "got")
@@ -144,7 +153,8 @@ def grade_parts(records: DataFrame, key: DataFrame, keys: list[str], aliases: Da
 def grade(records: DataFrame, key: DataFrame, keys: list[str], aliases: DataFrame, col: str = "answer", whole: list[str] = ()) -> DataFrame:
     """Per record whether all parts of its question pass, see grade_parts."""
     parts = grade_parts(records, key, keys, aliases, col, whole)
-    return parts.groupBy(*keys, "question").agg(F.bool_and("ok").alias("correct"), F.count_if("ok").alias("n_passed"), F.count(F.lit(1)).alias("n_parts"))
+    return parts.groupBy(*keys, "question").agg(F.bool_and("ok").alias("correct"), F.count_if("ok").alias("n_passed"),
+        F.count(F.lit(1)).alias("n_parts"))
 
 
 def grader_selftest(grades: DataFrame, expected: str) -> DataFrame:
@@ -168,8 +178,10 @@ def run_summary(records: DataFrame, excluded: list[str], conditions: tuple[str,
         return F.avg(F.when(F.col("condition") == c, what))
 
     right = F.col("correct").cast("int")
-    out = r.groupBy("model").agg(*(f.alias(f"{n}_{c}") for c in conditions for n, f in (("accuracy", 100 * mean(right, c)), ("cost", mean(F.col("cost"), c)), ("seconds", mean(F.col("seconds"), c)))))
-    return out.withColumn("points", F.col(f"accuracy_{after}") - F.col(f"accuracy_{before}")).withColumn("cost_ratio", F.try_divide(f"cost_{before}", f"cost_{after}"))
+    out = r.groupBy("model").agg(*(f.alias(f"{n}_{c}") for c in conditions for n,
+        f in (("accuracy", 100 * mean(right, c)), ("cost", mean(F.col("cost"), c)), ("seconds", mean(F.col("seconds"), c)))))
+    return out.withColumn("points", F.col(f"accuracy_{after}") - F.col(f"accuracy_{before}")).withColumn("cost_ratio",
+        F.try_divide(f"cost_{before}", f"cost_{after}"))
 
 
 def question_grid(records: DataFrame, columns: list[str]) -> DataFrame:
@@ -192,4 +204,5 @@ def regrade_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def run_cost(records: DataFrame, prices: DataFrame) -> DataFrame:
     """Tokens times price per million; prices: model, input_price, output_price."""
-    return records.join(bounded(prices), "model").withColumn("cost", (F.col("input_tokens") * F.col("input_price") + F.col("output_tokens") * F.col("output_price")) / 1e6)
+    return records.join(bounded(prices), "model").withColumn("cost",
+        (F.col("input_tokens") * F.col("input_price") + F.col("output_tokens") * F.col("output_price")) / 1e6)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from concord.operators.cohort import same
 from concord.operators.identity import bounded
+from concord.shared import kept
 
 
 def distinct_counts(df: DataFrame, col: str) -> DataFrame:
@@ -33,7 +34,8 @@ TILE, BLOCK = 128, 4096  # samples in a tile and features in a block of the matr
 SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
 
-def sample_correlation(meas: DataFrame, sample: str, feature: str, value: str, floor: float, within: list[str] = (), tile: int = TILE, block: int = BLOCK) -> DataFrame:
+def sample_correlation(meas: DataFrame, sample: str, feature: str, value: str, floor: float, within: list[str] = (), tile: int = TILE,
+        block: int = BLOCK) -> DataFrame:
     """Pearson correlation r of each pair of samples of one group over the n_features that both express above ``floor``;
     null where one of them has no spread there.
 
@@ -43,16 +45,21 @@ def sample_correlation(meas: DataFrame, sample: str, feature: str, value: str, f
     and pairs times blocks, not pairs times features. The pairs themselves are quadratic in the samples of a group by
     nature. Values are taken less their sample's mean, so sums don't lose digits."""
     own = list(within)
-    m = meas.where((F.col(value) > floor) & F.col(sample).isNotNull() & F.col(feature).isNotNull()).select(*own, F.col(sample).alias("_s"), F.col(feature).alias("_f"), F.col(value).cast("double").alias("_v"))
+    m = meas.where((F.col(value) > floor) & F.col(sample).isNotNull() & F.col(feature).isNotNull())
+    m = m.select(*own, F.col(sample).alias("_s"), F.col(feature).alias("_f"), F.col(value).cast("double").alias("_v"))
+    m = kept(m, "expressed")  # counted, averaged and dealt
     means = m.groupBy(*own, "_s").agg(F.avg("_v").alias("_mean"))
     if own:
         sizes = m.groupBy(*own).agg(F.count_distinct("_s").alias("_ns"), F.count_distinct("_f").alias("_nf"))
-        dealt = m.alias("m").join(bounded(means).alias("k"), same("m", "k", [*own, "_s"])).join(bounded(sizes).alias("z"), same("m", "z", own)).select("m.*", "_mean", "_ns", "_nf")
+        dealt = m.alias("m").join(bounded(means).alias("k"), same("m", "k", [*own, "_s"])).join(bounded(sizes).alias("z"),
+            same("m", "z", own)).select("m.*", "_mean", "_ns", "_nf")
     else:
         sizes = m.agg(F.count_distinct("_s").alias("_ns"), F.count_distinct("_f").alias("_nf"))  # one row
         dealt = m.alias("m").join(bounded(means).alias("k"), same("m", "k", ["_s"])).select("m.*", "_mean").crossJoin(F.broadcast(sizes))
     tiles = F.ceil(F.col("_ns") / tile).cast("int")
-    at = dealt.select(*own, "_s", (F.col("_v") - F.col("_mean")).alias("_v"), F.xxhash64("_f").alias("_f"), F.pmod(F.xxhash64("_f"), F.ceil(F.col("_nf") / block)).alias("_block"), F.pmod(F.xxhash64("_s"), tiles).cast("int").alias("_t"), tiles.alias("_n"))
+    at = dealt.select(*own, "_s", (F.col("_v") - F.col("_mean")).alias("_v"), F.xxhash64("_f").alias("_f"),
+        F.pmod(F.xxhash64("_f"), F.ceil(F.col("_nf") / block)).alias("_block"), F.pmod(F.xxhash64("_s"), tiles).cast("int").alias("_t"),
+            tiles.alias("_n"))
     at = at.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     at = at.select(*own, "_s", "_f", "_v", "_block", "_t", F.least("_t", "_other").alias("_x"), F.greatest("_t", "_other").alias("_y"))
     kinds = {f.name: f.dataType.simpleString() for f in at.schema}
@@ -96,7 +103,8 @@ def correlation_of_groups(pairs: DataFrame, groups: DataFrame, sample: str, with
     a = groups.select(F.col(sample).alias("a"), F.col("group").alias("_ga")).distinct()
     b = groups.select(F.col(sample).alias("b"), F.col("group").alias("_gb")).distinct()
     met = pairs.where("r is not null").join(bounded(a), "a").join(bounded(b), "b")
-    return met.groupBy(*within, F.least("_ga", "_gb").alias("group_a"), F.greatest("_ga", "_gb").alias("group_b")).agg(F.avg("r").alias("mean_r"), F.count(F.lit(1)).alias("n_pairs"))
+    return met.groupBy(*within, F.least("_ga", "_gb").alias("group_a"),
+        F.greatest("_ga", "_gb").alias("group_b")).agg(F.avg("r").alias("mean_r"), F.count(F.lit(1)).alias("n_pairs"))
 
 
 def label_crosscheck(a: DataFrame, b: DataFrame, key: str, cols: list[str]) -> DataFrame:
@@ -107,7 +115,9 @@ def duplicate_names(df: DataFrame, col: str) -> DataFrame:
     """Blank names, names that occur more than once, and their rows: one row."""
     g = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     blank = F.col(col).isNull() | (F.trim(col) == "")
-    return g.agg(F.coalesce(F.sum(F.when(blank, F.col("n"))), F.lit(0)).alias("blank"), F.count_if(~blank & (F.col("n") > 1)).alias("repeated_names"), F.coalesce(F.sum(F.when(~blank & (F.col("n") > 1), F.col("n"))), F.lit(0)).alias("repeated_rows"))
+    return g.agg(F.coalesce(F.sum(F.when(blank, F.col("n"))), F.lit(0)).alias("blank"),
+        F.count_if(~blank & (F.col("n") > 1)).alias("repeated_names"),
+            F.coalesce(F.sum(F.when(~blank & (F.col("n") > 1), F.col("n"))), F.lit(0)).alias("repeated_rows"))
 
 
 def library_depth(values: DataFrame, sample: str, value: str, labels: DataFrame) -> DataFrame:

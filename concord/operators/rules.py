@@ -92,7 +92,8 @@ def _blocks(program: dict, ids: str | None) -> list[Block]:
         out.append(Block(F.col(f"_f{i}"), r, r.get("name"), F.concat_ws(" ; ", *(label("labels", f) for f in r.get("when", {})))))
     for k, entry in program.get("records", {}).items() if ids else ():
         body = _record_block(entry)
-        out.append(Block(F.coalesce(F.col(ids).cast("string") == k, F.lit(False)), body, body.get("name") or f"record {k}", F.lit(None).cast("string")))
+        out.append(Block(F.coalesce(F.col(ids).cast("string") == k, F.lit(False)), body, body.get("name") or f"record {k}",
+            F.lit(None).cast("string")))
     return out
 
 
@@ -138,7 +139,8 @@ def apply_rules(df: DataFrame, program: dict, ids: str | None = None) -> DataFra
 def override_records(df: DataFrame, fixes: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Named records fixed after the rules: a table (key, fields...) whose non-null values win."""
     f = fixes.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in fields))
-    return df.join(f, F.col(key) == F.col("_key"), "left").withColumns({c: F.coalesce(f"_{c}", c) for c in fields}).drop("_key", *(f"_{c}" for c in fields))
+    return df.join(f, F.col(key) == F.col("_key"), "left").withColumns({c: F.coalesce(f"_{c}", c) for c in fields}).drop("_key",
+        *(f"_{c}" for c in fields))
 
 
 @dataclass(frozen=True)
@@ -178,7 +180,8 @@ def emit_children(df: DataFrame, program: dict, key: str, ids: str | None = None
     rows = []
     for k, c in enumerate(children):
         attrs = [capture(c.block.body, c.attributes.get(a)).cast("string").alias(a) for a in names]
-        rows.append(F.when(c.block.fired & c.name.isNotNull() & ~_gone(children, blocks, k), F.struct(F.lit(c.pos).alias("pos"), c.name.alias("child"), *attrs)))
+        rows.append(F.when(c.block.fired & c.name.isNotNull() & ~_gone(children, blocks, k),
+            F.struct(F.lit(c.pos).alias("pos"), c.name.alias("child"), *attrs)))
     if not rows:
         return df.where(F.lit(False)).select(key, F.lit(0).alias("pos"), F.lit("").alias("child"))
     return _fired(df, program).select(key, F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("_c")).select(key, "_c.*")
@@ -189,7 +192,8 @@ def unresolved_names(df: DataFrame, program: dict, key: str, ids: str | None = N
     blocks, rows = _blocks(program, ids), []
 
     def lost(fired: Column, field: str, spelled: Column, name: Column, rule: str | None) -> None:
-        rows.append(F.when(fired & spelled.isNotNull() & name.isNull(), F.struct(F.lit(field).alias("field"), spelled.alias("spelling"), F.lit(rule).cast("string").alias("rule"))))
+        rows.append(F.when(fired & spelled.isNotNull() & name.isNull(),
+            F.struct(F.lit(field).alias("field"), spelled.alias("spelling"), F.lit(rule).cast("string").alias("rule"))))
 
     for field in program.get("names", {}).keys() - {"child"}:
         if field in program.get("defaults", {}):
@@ -209,7 +213,8 @@ def cast_numeric(df: DataFrame, cols: dict[str, str]) -> tuple[DataFrame, DataFr
     def blank(c):
         return F.nullif(F.trim(c), F.lit(""))
 
-    bad = [F.when(blank(c).isNotNull() & blank(c).try_cast(kind).isNull(), F.struct(F.lit(c).alias("column"), F.col(c).alias("value"))) for c, kind in cols.items()]
+    bad = [F.when(blank(c).isNotNull() & blank(c).try_cast(kind).isNull(),
+        F.struct(F.lit(c).alias("column"), F.col(c).alias("value"))) for c, kind in cols.items()]
     violations = df.select(F.explode(F.filter(F.array(*bad), lambda x: x.isNotNull())).alias("v")).select("v.*")
     return df.withColumns({c: blank(c).try_cast(kind) for c, kind in cols.items()}), violations
 
@@ -252,8 +257,10 @@ def provenance(df: DataFrame, program: dict, key: str, ids: str | None = None, r
     numbered = replicates is not None
     entity = F.col(key).cast("string")
 
-    def put(fired: Column, who: Column, kind: str, pos: int, field: str, value: Column, spelled: Column, rule: str | None, told: dict, raw: Column, later: Column) -> None:
-        given = {"entity": who, "kind": F.lit(kind), "pos": F.lit(pos), "field": F.lit(field), "value": value, "spelling": spelled, "rule": F.lit(rule).cast("string"),
+    def put(fired: Column, who: Column, kind: str, pos: int, field: str, value: Column, spelled: Column, rule: str | None, told: dict,
+            raw: Column, later: Column) -> None:
+        given = {"entity": who, "kind": F.lit(kind), "pos": F.lit(pos), "field": F.lit(field), "value": value, "spelling": spelled,
+            "rule": F.lit(rule).cast("string"),
                  **{k: F.lit(told.get(k)).cast("string") for k in ("source", "location", "inventory")}, "raw": raw, "superseded": later}
         rows.append(F.when(fired, F.struct(*(c.alias(k) for k, c in given.items()))))
 
@@ -263,23 +270,29 @@ def provenance(df: DataFrame, program: dict, key: str, ids: str | None = None, r
 
     for field, spec in program.get("defaults", {}).items():
         value = _default(program, field)
-        put(F.lit(True), entity, "record", -1, field, value, F.lit(spec.get("value")).cast("string"), "default", spec, F.lit(spec.get("raw")).cast("string"), field_later(field, -1, value))
+        put(F.lit(True), entity, "record", -1, field, value, F.lit(spec.get("value")).cast("string"), "default", spec,
+            F.lit(spec.get("raw")).cast("string"), field_later(field, -1, value))
     for pos, b in enumerate(blocks):
         for field, template in b.body.get("set", {}).items():
             value = _written(program, b.body, field)
-            put(b.fired, entity, "record", pos, field, value, capture(b.body, template).cast("string"), b.rule, b.body, b.raw, field_later(field, pos, value))
+            put(b.fired, entity, "record", pos, field, value, capture(b.body, template).cast("string"), b.rule, b.body, b.raw,
+                field_later(field, pos, value))
     children = _children(program, blocks)
     for k, c in enumerate(children):
         who, gone = F.concat_ws("|", entity, c.name), _gone(children, blocks, k)
         for field, template in c.attributes.items():
-            put(c.block.fired & c.name.isNotNull(), who, "child", c.pos, field, capture(c.block.body, template).cast("string"), c.spelled, c.block.rule, c.block.body, c.block.raw, gone)
+            put(c.block.fired & c.name.isNotNull(), who, "child", c.pos, field, capture(c.block.body, template).cast("string"), c.spelled,
+                c.block.rule, c.block.body, c.block.raw, gone)
     if not rows:
         put(F.lit(False), entity, "record", 0, "", F.lit(""), F.lit(""), None, {}, F.lit(""), F.lit(False))
     out = _fired(df, program).select(F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("w")).select("w.*")
     if not numbered:
         return out
-    number = replicates.where("replicate_basis = 'assigned'").select(F.col(key).cast("string").alias("entity"), F.lit("record").alias("kind"), F.lit(len(blocks)).alias("pos"), F.lit("replicate").alias("field"),
-                                                                    F.col("replicate").cast("string").alias("value"), F.lit("assigned").alias("rule"), F.lit(False).alias("superseded"))
+    number = replicates.where("replicate_basis = 'assigned'").select(F.col(key).cast("string").alias("entity"),
+        F.lit("record").alias("kind"), F.lit(len(blocks)).alias("pos"), F.lit("replicate").alias("field"),
+                                                                    F.col("replicate").cast("string").alias("value"),
+                                                                        F.lit("assigned").alias("rule"),
+                                                                            F.lit(False).alias("superseded"))
     return out.unionByName(number, allowMissingColumns=True)
 
 

@@ -31,13 +31,15 @@ def build_measurement(values: DataFrame, feature_map: DataFrame, scale_spec: Dat
 
     feature_map: study_id, feature_id, entity, chosen. scale_spec: study_id, scale ('linear', 'log2').
     """
-    chosen = feature_map.where("chosen").select("study_id", "feature_id", "entity")
-    return values.join(chosen, ["study_id", "feature_id"]).join(scale_spec, "study_id").select("study_id", "sample_id", "entity", "feature_id", log_signal(F.col("raw_value"), F.col("scale")).alias("value"), "raw_value", "scale")
+    chosen = kept(feature_map.where("chosen").select("study_id", "feature_id", "entity"), "chosen")  # a row for each entity of a study
+    return values.join(bounded(chosen), ["study_id", "feature_id"]).join(bounded(scale_spec), "study_id").select("study_id", "sample_id", "entity",
+        "feature_id", log_signal(F.col("raw_value"), F.col("scale")).alias("value"), "raw_value", "scale")
 
 
 def expect_dense(meas: DataFrame, entity: str = "entity") -> DataFrame:
     """Per study: rows, samples, entities, and whether rows = samples x entities."""
-    n = meas.groupBy("study_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("sample_id").alias("n_samples"), F.count_distinct(entity).alias("n_entities"))
+    n = meas.groupBy("study_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("sample_id").alias("n_samples"),
+        F.count_distinct(entity).alias("n_entities"))
     return n.withColumn("dense", F.col("n_rows") == F.col("n_samples") * F.col("n_entities"))
 
 
@@ -62,7 +64,8 @@ def ordered_bits(x: Column) -> Column:
 def double_of(bits: Column) -> Column:
     size = F.abs(bits)
     exponent, fraction = F.shiftright(size, 52), size.bitwiseAND(FRACTION - 1).cast("double")
-    value = F.when(exponent == 0, fraction * 2.0**-537 * 2.0**-537).otherwise((1 + fraction / float(FRACTION)) * F.pow(F.lit(2.0), exponent + (LEAST - 1)))
+    value = F.when(exponent == 0, fraction * 2.0**-537 * 2.0**-537).otherwise((1 + fraction / float(FRACTION)) * F
+        .pow(F.lit(2.0), exponent + (LEAST - 1)))
     value = F.when(size > 2047 * FRACTION, float("nan")).when(size == 2047 * FRACTION, float("inf")).otherwise(value)
     return F.when(bits < 0, -value).otherwise(value)
 
@@ -78,8 +81,10 @@ def group_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
     rows = df if by else df.withColumn("_all", F.lit(0))
     v = kept(rows.where(F.col(value).isNotNull()).select(*own, ordered_bits(F.col(value).cast("double")).alias("_v")), "median")
     n = v.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"))
-    ranks = F.explode(F.array(F.struct(F.lit(0).alias("which"), F.floor((F.col("_n") - 1) / 2).alias("rank")), F.struct(F.lit(1).alias("which"), F.floor(F.col("_n") / 2).alias("rank")))).alias("x")
-    found = n.select(*own, ranks).select(*own, F.col("x.which").alias("_which"), F.col("x.rank").alias("_rank"), F.lit(0).cast("long").alias("_prefix"))
+    ranks = F.explode(F.array(F.struct(F.lit(0).alias("which"), F.floor((F.col("_n") - 1) / 2).alias("rank")),
+        F.struct(F.lit(1).alias("which"), F.floor(F.col("_n") / 2).alias("rank")))).alias("x")
+    found = n.select(*own, ranks).select(*own, F.col("x.which").alias("_which"), F.col("x.rank").alias("_rank"),
+        F.lit(0).cast("long").alias("_prefix"))
     for shift in (48, 32, 16, 0):
         found = kept(found, "middle")
         prefixes = found.select(*own, "_prefix").distinct()
@@ -89,7 +94,8 @@ def group_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
         upto = F.sum("_c").over(Window.partitionBy(*own, "_prefix").orderBy("_digit"))
         ranges = counts.withColumn("_upto", upto)
         met = found.alias("f").join(ranges.alias("r"), same("f", "r", [*own, "_prefix"])).where("_rank < _upto and _rank >= _upto - _c")
-        found = met.select(*(f"f.{c}" for c in own), "_which", (F.col("_rank") - (F.col("_upto") - F.col("_c"))).alias("_rank"), F.col("_digit").alias("_prefix"))
+        found = met.select(*(f"f.{c}" for c in own), "_which", (F.col("_rank") - (F.col("_upto") - F.col("_c"))).alias("_rank"),
+            F.col("_digit").alias("_prefix"))
     middle = [F.max(F.when(F.col("_which") == k, double_of(F.col("_prefix")))) for k in (0, 1)]
     return found.groupBy(*own).agg(((middle[0] + middle[1]) / 2).alias("median")).select(*by, "median")
 
@@ -98,7 +104,8 @@ def value_summary(df: DataFrame, by: list[str], value: str, exact: bool = True)
     """Min, median, max, zeros, blanks and count; ``exact=False`` takes an approximate median, which needs one pass only."""
     v = F.col(value)
     more = [] if exact else [F.percentile_approx(value, 0.5).alias("v_median")]
-    g = df.groupBy(*by).agg(F.min(value).alias("v_min"), F.max(value).alias("v_max"), F.count_if(v == 0).alias("zeros"), F.count_if(v.isNull()).alias("blanks"), F.count(F.lit(1)).alias("n"), *more)
+    g = df.groupBy(*by).agg(F.min(value).alias("v_min"), F.max(value).alias("v_max"), F.count_if(v == 0).alias("zeros"),
+        F.count_if(v.isNull()).alias("blanks"), F.count(F.lit(1)).alias("n"), *more)
     if not exact:
         return g
     m = group_median(df, by, value).withColumnRenamed("median", "v_median").alias("m")
@@ -118,5 +125,6 @@ def cpm_closure(meas: DataFrame, sample: str = "sample_id", value: str = "value"
 
 def target_check(meas: DataFrame, entity: str, treated: Column, control: Column) -> DataFrame:
     """A known responder's mean in treated and control samples of each study, and whether it goes up."""
-    m = meas.where(F.col("entity") == entity).groupBy("study_id").agg(F.avg(F.when(treated, F.col("value"))).alias("treated_mean"), F.avg(F.when(control, F.col("value"))).alias("control_mean"), F.bool_or(treated).alias("has_treated"))
+    m = meas.where(F.col("entity") == entity).groupBy("study_id").agg(F.avg(F.when(treated, F.col("value"))).alias("treated_mean"),
+        F.avg(F.when(control, F.col("value"))).alias("control_mean"), F.bool_or(treated).alias("has_treated"))
     return m.withColumn("up", F.col("treated_mean") > F.col("control_mean"))

@@ -27,8 +27,10 @@ def folder(spark, name: str) -> str:
 ALIASES = [("Machinery", "machines"), ("x1", "AUTOMOBILE")]
 
 
-@query("J01_normalize_item", """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN CASE c_mktsegment WHEN 'MACHINERY' THEN 'machines' ELSE 'AUTOMOBILE' END WHEN 1 THEN CAST(c_nationkey AS VARCHAR)
- WHEN 2 THEN 'GSM' || c_custkey WHEN 3 THEN regexp_replace(regexp_replace(CAST(CAST(c_acctbal AS DECIMAL(18, 2)) AS VARCHAR), '0+$', ''), '\\.$', '')
+@query("J01_normalize_item", """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN CASE c_mktsegment WHEN 'MACHINERY' THEN 'machines'
+    ELSE 'AUTOMOBILE' END WHEN 1 THEN CAST(c_nationkey AS VARCHAR)
+ WHEN 2 THEN 'GSM' || c_custkey WHEN 3 THEN regexp_replace(regexp_replace(CAST(CAST(c_acctbal AS DECIMAL(18, 2)) AS VARCHAR), '0+$', ''),
+    '\\.$', '')
  ELSE CASE WHEN c_mktsegment = 'MACHINERY' THEN 'machines' ELSE lower(c_mktsegment) || '7' END END AS item FROM customer""")
 def _(spark, d):
     n, seg = F.col("c_custkey") % 5, F.col("c_mktsegment")
@@ -44,7 +46,8 @@ def aliases(spark):
 
 def per_region(spark, d):
     s = fx_sample(spark, d).groupBy("study_id")
-    return s.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("line")).alias("lines"), F.count_if(F.col("prio") == "1-URGENT").alias("urgent"), F.count_if(F.col("role") == "none").alias("none"))
+    return s.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("line")).alias("lines"),
+        F.count_if(F.col("prio") == "1-URGENT").alias("urgent"), F.count_if(F.col("role") == "none").alias("none"))
 
 
 def answers(spark, d):
@@ -66,12 +69,14 @@ def answers(spark, d):
     return s.select("study_id", each).select(F.concat("study_id", "x.form").alias("study_id"), F.lit("Q1").alias("question"), "x.answer")
 
 
-ANSWERS = f"""WITH {FX_SAMPLE}, g AS (SELECT study_id, count(*) AS n, count(*) FILTER (WHERE prio = '1-URGENT') AS u, list_sort(list_distinct(list(line))) AS l FROM fx_sample GROUP BY 1),
+ANSWERS = f"""WITH {FX_SAMPLE}, g AS (SELECT study_id, count(*) AS n, count(*) FILTER (WHERE prio = '1-URGENT') AS u,
+    list_sort(list_distinct(list(line))) AS l FROM fx_sample GROUP BY 1),
 al AS (SELECT DISTINCT study_id, line, CASE line WHEN 'MACHINERY' THEN 'machines' ELSE lower(line) END AS item FROM fx_sample),
 f AS (SELECT unnest(['', ' hours']) AS form)"""
 
 
-@query("J02_answer_items", ANSWERS + """ SELECT study_id || form AS study_id, 'n' AS part, CAST(n AS VARCHAR) AS item FROM g, f UNION ALL SELECT study_id || form, 'counts', 'urgent: ' || u FROM g, f
+@query("J02_answer_items", ANSWERS + """ SELECT study_id || form AS study_id, 'n' AS part, CAST(n AS VARCHAR) AS item FROM g, f UNION ALL
+    SELECT study_id || form, 'counts', 'urgent: ' || u FROM g, f
  UNION ALL SELECT study_id || form, 'counts', 'none: 0' FROM g, f UNION ALL SELECT study_id || form, 'lines', item FROM al, f
  UNION ALL SELECT study_id || form, 'first', 'lines: ' || item FROM al JOIN g USING (study_id), f WHERE list_contains(l[1:2], line)
  UNION ALL SELECT study_id || form, 'pairs', 'orders: ' || n FROM g, f UNION ALL SELECT study_id || ' empty', 'first', '[odd' FROM g""")
@@ -84,8 +89,10 @@ def answer_key(spark, d, tolerance=0.0):
     s = per_region(spark, d).where("study_id = 'AFRICA'")
     n = F.col("n").cast("string")
     urgent = F.col("urgent").cast("string")
-    parts = {"n": ("tolerance", F.array(n)), "lines": ("exact_list", F.col("lines")), "counts": ("exact_list", F.array(F.concat(F.lit("URGENT: "), urgent))), "counts.Urgent": ("exact_number", F.array(urgent)),
-             "first": ("exact_list", F.transform(F.slice("lines", 1, 2), lambda x: F.concat(F.lit("lines: "), x))), "pairs": ("exact_list", F.array(F.concat(F.lit("orders: "), n)))}
+    parts = {"n": ("tolerance", F.array(n)), "lines": ("exact_list", F.col("lines")),
+        "counts": ("exact_list", F.array(F.concat(F.lit("URGENT: "), urgent))), "counts.Urgent": ("exact_number", F.array(urgent)),
+             "first": ("exact_list", F.transform(F.slice("lines", 1, 2), lambda x: F.concat(F.lit("lines: "), x))),
+                 "pairs": ("exact_list", F.array(F.concat(F.lit("orders: "), n)))}
     rows_ = F.array(*(F.struct(F.lit(p).alias("part"), F.lit(k).alias("kind"), e.alias("expected")) for p, (k, e) in parts.items()))
     return s.select(F.lit("Q1").alias("question"), F.explode(rows_).alias("x")).select("question", "x.*", F.lit(float(tolerance)).alias("tolerance"))
 
@@ -96,7 +103,9 @@ def graded(spark, d, tolerance=0.0):
 
 
 def grade_sql(tolerance: float) -> str:
-    return ANSWERS + f""", k AS (SELECT * FROM g WHERE study_id = 'AFRICA'), p AS (SELECT g.study_id, abs(g.n - k.n) <= {tolerance} AS a, g.l = k.l AS b, g.u = k.u AS c, g.l[1:2] = k.l[1:2] AS e, g.n = k.n AS f FROM g, k),
+    return ANSWERS + f""", k AS (SELECT * FROM g
+    WHERE study_id = 'AFRICA'), p AS (SELECT g.study_id, abs(g.n - k.n) <= {tolerance} AS a, g.l = k.l AS b, g.u = k.u AS c, g.l[1:2] =
+    k.l[1:2] AS e, g.n = k.n AS f FROM g, k),
 r AS (SELECT study_id, a, b, c, c AS x, e, f FROM p UNION ALL SELECT study_id || ' hours', false, b, c, false, e, f FROM p
  UNION ALL SELECT study_id || unnest([' empty', ' cut', ' none']), false, false, false, false, false, false FROM p)"""
 
@@ -104,22 +113,27 @@ r AS (SELECT study_id, a, b, c, c AS x, e, f FROM p UNION ALL SELECT study_id ||
 OK = "a AND b AND c AND x AND e AND f"
 
 
-@query("J03_grade", grade_sql(0) + f" SELECT study_id, 'Q1' AS question, {OK} AS correct, CAST({' + '.join(f'CAST({c} AS INTEGER)' for c in 'abcxef')} AS BIGINT) AS n_passed, 6::BIGINT AS n_parts FROM r")
+@query("J03_grade", grade_sql(0) + f""" SELECT study_id, 'Q1' AS question, {OK} AS correct,
+    CAST({' + '.join(f'CAST({c} AS INTEGER)' for c in 'abcxef')} AS BIGINT) AS n_passed, 6::BIGINT AS n_parts FROM r""")
 def _(spark, d):
     return graded(spark, d)
 
 
-@query("J03b_grade_parts", grade_sql(0) + (" SELECT study_id, unnest(['n', 'lines', 'counts', 'counts.Urgent', 'first', 'pairs']) AS part, unnest([a, b, c, x, e, f]) AS ok FROM r"))
+@query("J03b_grade_parts", grade_sql(0) + (""" SELECT study_id, unnest(['n', 'lines', 'counts', 'counts.Urgent', 'first', 'pairs']) AS part,
+    unnest([a, b, c, x, e, f]) AS ok FROM r"""))
 def _(spark, d):
     return J.grade_parts(answers(spark, d), answer_key(spark, d), ["study_id"], aliases(spark)).select("study_id", "part", "ok")
 
 
-@query("J04_grader_selftest", grade_sql(0) + f" SELECT study_id = 'AFRICA' AS should_pass, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE ({OK}) = (study_id = 'AFRICA')) AS BIGINT) AS n_as_expected FROM r GROUP BY 1")
+@query("J04_grader_selftest", grade_sql(0) + f""" SELECT study_id = 'AFRICA' AS should_pass, CAST(count(*) AS BIGINT) AS n, CAST(count(*)
+    FILTER (WHERE ({OK}) = (study_id = 'AFRICA')) AS BIGINT) AS n_as_expected FROM r GROUP BY 1""")
 def _(spark, d):
     return J.grader_selftest(graded(spark, d).withColumn("should_pass", F.col("study_id") == "AFRICA"), "should_pass")
 
 
-@query("J05_reconcile", "SELECT user_id AS sample_id, round(sum(value), 4) AS first, CASE WHEN user_id % 10 = 0 THEN NULL ELSE round(sum(value) + (user_id % 7) * 0.01, 4) END AS second, user_id % 10 <> 0 AND (user_id % 7) * 0.01 <= 0.021 AS agree FROM events GROUP BY 1")
+@query("J05_reconcile", """SELECT user_id AS sample_id, round(sum(value), 4) AS first, CASE WHEN user_id % 10 = 0 THEN NULL
+    ELSE round(sum(value) + (user_id % 7) * 0.01, 4) END AS second, user_id % 10 <> 0 AND (user_id % 7) * 0.01 <= 0.021 AS agree FROM events
+    GROUP BY 1""")
 def _(spark, d):
     a = S.library_size(ev(spark, d))
     b = a.where("sample_id % 10 <> 0").withColumn("lib", F.col("lib") + F.col("sample_id") % 7 * 0.01)
@@ -129,14 +143,27 @@ def _(spark, d):
 def records(spark, d):
     """Orders as run records: status F or O is the condition, priority the model, the market segment the question."""
     o = t(spark, d, "orders").where("o_orderstatus in ('F', 'O')").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return o.select(F.col("o_orderpriority").alias("model"), F.when(F.col("o_orderstatus") == "F", "before").otherwise("after").alias("condition"), F.col("c_mktsegment").alias("question"), F.col("o_orderkey").alias("run"), (F.col("o_orderkey") % 3 != 0).alias("correct"),
-                    (F.col("o_totalprice") / 1000).alias("cost"), (F.col("o_orderkey") % 60).cast("double").alias("seconds"), F.col("o_orderkey").alias("input_tokens"), F.col("o_custkey").alias("output_tokens"))
+    return o.select(F.col("o_orderpriority").alias("model"), F.when(F.col("o_orderstatus") == "F", "before").otherwise("after")
+        .alias("condition"), F.col("c_mktsegment").alias("question"), F.col("o_orderkey").alias("run"),
+            (F.col("o_orderkey") % 3 != 0).alias("correct"),
+                    (F.col("o_totalprice") / 1000).alias("cost"), (F.col("o_orderkey") % 60).cast("double").alias("seconds"),
+                        F.col("o_orderkey").alias("input_tokens"), F.col("o_custkey").alias("output_tokens"))
 
 
-REC = "rec AS (SELECT o_orderpriority AS model, CASE o_orderstatus WHEN 'F' THEN 'before' ELSE 'after' END AS condition, c_mktsegment AS question, o_orderkey AS run, o_orderkey % 3 <> 0 AS correct, o_totalprice / 1000 AS cost, CAST(o_orderkey % 60 AS DOUBLE) AS seconds, o_orderkey AS input_tokens, o_custkey AS output_tokens FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IN ('F', 'O'))"
+REC = """rec AS (SELECT o_orderpriority AS model, CASE o_orderstatus WHEN 'F' THEN 'before'
+    ELSE 'after' END AS condition, c_mktsegment AS question, o_orderkey AS run, o_orderkey % 3 <> 0 AS correct, o_totalprice / 1000 AS cost,
+    CAST(o_orderkey % 60 AS DOUBLE) AS seconds, o_orderkey AS input_tokens, o_custkey AS output_tokens FROM orders
+    JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IN ('F', 'O'))"""
 
 
-@query("J06_run_summary", f"WITH {REC}, s AS (SELECT model, " + ", ".join(f"avg({e}) FILTER (WHERE condition = '{c}') AS {n}_{c}" for c in ("before", "after") for n, e in (("accuracy", "100 * CAST(correct AS INTEGER)"), ("cost", "cost"), ("seconds", "seconds"))) + " FROM rec WHERE question <> 'FURNITURE' GROUP BY 1) SELECT model, " + ", ".join(f"round({n}_{c}, 4) AS {n}_{c}" for c in ("before", "after") for n in ("accuracy", "cost", "seconds")) + ", round(accuracy_after - accuracy_before, 4) AS points, round(cost_before / cost_after, 4) AS cost_ratio FROM s")
+BOTH = ("before", "after")
+MEANS = {"accuracy": "100 * CAST(correct AS INTEGER)", "cost": "cost", "seconds": "seconds"}
+SUMMARY = ", ".join(f"avg({e}) FILTER (WHERE condition = '{c}') AS {n}_{c}" for c in BOTH for n, e in MEANS.items())
+ROUNDED = ", ".join(f"round({n}_{c}, 4) AS {n}_{c}" for c in BOTH for n in MEANS)
+
+
+@query("J06_run_summary", f"""WITH {REC}, s AS (SELECT model, {SUMMARY} FROM rec WHERE question <> 'FURNITURE' GROUP BY 1)
+    SELECT model, {ROUNDED}, round(accuracy_after - accuracy_before, 4) AS points, round(cost_before / cost_after, 4) AS cost_ratio FROM s""")
 def _(spark, d):
     s = J.run_summary(records(spark, d), ["FURNITURE"])
     return s.select("model", *(r4(c).alias(c) for c in s.columns if c != "model"))
@@ -145,8 +172,10 @@ def _(spark, d):
 GRID = ["before/1-URGENT", "after/1-URGENT", "before/5-LOW", "after/9-NONE"]
 
 
-@query("J07_question_grid", f"WITH {REC}, easy AS (SELECT question, condition || '/' || model AS c, CASE WHEN question = 'MACHINERY' AND condition = 'before' THEN true ELSE correct END AS correct FROM rec) SELECT question, " + ", ".join(
-    f"CASE WHEN count(*) FILTER (WHERE c = '{c}') = 0 THEN '-' ELSE CAST(count(*) FILTER (WHERE correct AND c = '{c}') AS VARCHAR) END AS \"{c}\"" for c in GRID) + ", false AS right_everywhere FROM easy GROUP BY 1")
+@query("J07_question_grid", f"""WITH {REC}, easy AS (SELECT question, condition || '/' || model AS c, CASE WHEN question = 'MACHINERY'
+    AND condition = 'before' THEN true ELSE correct END AS correct FROM rec) SELECT question, """ + ", ".join(
+    f"""CASE WHEN count(*) FILTER (WHERE c = '{c}') = 0 THEN '-' ELSE CAST(count(*) FILTER (WHERE correct
+    AND c = '{c}') AS VARCHAR) END AS \"{c}\"""" for c in GRID) + ", false AS right_everywhere FROM easy GROUP BY 1")
 def _(spark, d):
     return J.question_grid(easy(spark, d), GRID)
 
@@ -160,25 +189,31 @@ def easy(spark, d):
     return records(spark, d).withColumn("correct", F.when(known, True).otherwise(F.col("correct")))
 
 
-@query("J07b_right_everywhere", f"""WITH {REC} SELECT question, question = 'MACHINERY' OR bool_and(correct) AS right_everywhere FROM rec WHERE condition = 'before' AND model IN ('1-URGENT', '5-LOW') GROUP BY 1""")
+@query("J07b_right_everywhere", f"""WITH {REC} SELECT question, question = 'MACHINERY' OR bool_and(correct) AS right_everywhere FROM rec
+    WHERE condition = 'before' AND model IN ('1-URGENT', '5-LOW') GROUP BY 1""")
 def _(spark, d):
     return J.question_grid(easy(spark, d), EASY).select("question", "right_everywhere")
 
 
-@query("J08_regrade_diff", ANSWERS + """ SELECT study_id, 'Q1' AS question, n = (SELECT n FROM g WHERE study_id = 'AFRICA') AS was, abs(n - (SELECT n FROM g WHERE study_id = 'AFRICA')) <= 100000 AS now FROM g WHERE was <> now""")
+@query("J08_regrade_diff", ANSWERS + """ SELECT study_id, 'Q1' AS question, n = (SELECT n FROM g
+    WHERE study_id = 'AFRICA') AS was, abs(n - (SELECT n FROM g WHERE study_id = 'AFRICA')) <= 100000 AS now FROM g WHERE was <> now""")
 def _(spark, d):
     """Only the part n, so that a wider tolerance turns wrong grades into right ones; answers that are no number stay wrong."""
     a, b = (J.grade(answers(spark, d), answer_key(spark, d, x).where("part = 'n'"), ["study_id"], aliases(spark)) for x in (0.0, 100000.0))
     return J.regrade_diff(a, b, ["study_id", "question"])
 
 
-@query("J09_run_cost", f"WITH {REC} SELECT run, model, round((input_tokens * 5.0 + output_tokens * 25.0) / 1e6, 6) AS cost FROM rec WHERE model IN ('1-URGENT', '5-LOW')")
+@query("J09_run_cost", f"""WITH {REC} SELECT run, model, round((input_tokens * 5.0 + output_tokens * 25.0) / 1e6, 6) AS cost FROM rec
+    WHERE model IN ('1-URGENT', '5-LOW')""")
 def _(spark, d):
     prices = rows(spark, [("1-URGENT", 5.0, 25.0), ("5-LOW", 5.0, 25.0)], "model string, input_price double, output_price double")
     return J.run_cost(records(spark, d).drop("cost"), prices).select("run", "model", F.round("cost", 6).alias("cost"))
 
 
-@query("A01_read_sectioned", "SELECT n_name AS study, s_name AS sample, 'geo_accession' AS field, s_name AS value FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT n_name, s_name, 'balance', CAST(s_acctbal AS VARCHAR) AS value FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT n_name, s_name, CAST(s_suppkey AS VARCHAR), CAST(s_suppkey * 2 AS VARCHAR) FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+@query("A01_read_sectioned", """SELECT n_name AS study, s_name AS sample, 'geo_accession' AS field, s_name AS value FROM supplier
+    JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT n_name, s_name, 'balance', CAST(s_acctbal AS VARCHAR) AS value FROM supplier
+    JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT n_name, s_name, CAST(s_suppkey AS VARCHAR), CAST(s_suppkey * 2 AS VARCHAR)
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def _(spark, d):
     s = t(spark, d, "supplier").join(t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     tab = F.lit("\t")
@@ -186,16 +221,23 @@ def _(spark, d):
     def line(at, *parts):  # one sample a file section: header, fields, table
         return F.struct(F.lit(at).alias("at"), F.concat(*parts).alias("value"))
 
-    lines = F.array(line(0, F.lit("!Series_title"), tab, "s_name"), line(1, F.lit("!Sample_geo_accession"), tab, "s_name"), line(1, F.lit("!Sample_balance"), tab, F.lit('"'), F.col("s_acctbal").cast("string"), F.lit('"')), line(2, F.lit("!series_matrix_table_begin")), line(3, F.lit("ID_REF"), tab, "s_name"),
-                    line(4, F.col("s_suppkey").cast("string"), tab, (F.col("s_suppkey") * 2).cast("string")), line(5, F.lit("!series_matrix_table_end")))
+    lines = F.array(line(0, F.lit("!Series_title"), tab, "s_name"), line(1, F.lit("!Sample_geo_accession"), tab, "s_name"),
+        line(1, F.lit("!Sample_balance"), tab, F.lit('"'), F.col("s_acctbal").cast("string"), F.lit('"')),
+            line(2, F.lit("!series_matrix_table_begin")), line(3, F.lit("ID_REF"), tab, "s_name"),
+                    line(4, F.col("s_suppkey").cast("string"), tab, (F.col("s_suppkey") * 2).cast("string")),
+                        line(5, F.lit("!series_matrix_table_end")))
     path = folder(spark, "sectioned")
     out = s.select(F.col("n_name").alias("study"), F.col("s_suppkey").alias("file"), F.explode(lines).alias("l")).select("study", "file", "l.*")
-    out.repartition("study", "file").sortWithinPartitions("study", "file", "at").select("study", "file", "value").write.partitionBy("study", "file").option("compression", "gzip").text(path)
+    out.repartition("study", "file").sortWithinPartitions("study", "file", "at").select("study", "file", "value").write.partitionBy("study",
+        "file").option("compression", "gzip").text(path)
     bound, _ = A.bind_samples(A.read_sectioned(spark, f"{path}/*/*/*.txt.gz"))
     return bound.select(F.regexp_extract("path", "study=([^/]+)", 1).alias("study"), F.col("sample_id").alias("sample"), "field", "value")
 
 
-@query("A02_number_repeated", "SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice, CASE WHEN r = 1 THEN l_returnflag ELSE l_returnflag || '#' || (r - 1) END AS l_returnflag, CAST(r AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_extendedprice) AS r FROM lineitem)")
+@query("A02_number_repeated", """SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice, CASE WHEN r = 1 THEN l_returnflag
+    ELSE l_returnflag || '#' || (r - 1) END AS l_returnflag, CAST(r AS INTEGER) AS n
+    FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_extendedprice) AS r
+    FROM lineitem)""")
 def _(spark, d):
     li = t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_returnflag")
     order = ["l_linenumber", "l_partkey", "l_extendedprice"]
@@ -226,39 +268,50 @@ def _packed(folder_: str):
 
 def bundles(spark, d):
     """Line counts of suppliers by type of part, packed; suppliers with a good balance are kept, and one that isn't there."""
-    n = t(spark, d, "lineitem").join(t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("s_nationkey", "s_name", "p_type").agg(F.count(F.lit(1)).alias("n"))
+    n = t(spark, d, "lineitem").join(t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t(spark, d, "part"),
+        F.col("l_partkey") == F.col("p_partkey")).groupBy("s_nationkey", "s_name", "p_type").agg(F.count(F.lit(1)).alias("n"))
     at = folder(spark, "bundles")
     n.groupBy("s_nationkey").applyInPandas(_packed(at), "path string").write.format("noop").mode("overwrite").save()
     keep = t(spark, d, "supplier").where("s_acctbal > 1000").select(F.replace("s_name", F.lit("#"), F.lit("")).alias("sample_id"))
     return A.read_bundle(spark, at, keep)
 
 
-PACKED = "WITH p AS (SELECT 'bundle-' || s_nationkey || '.tar' AS path, replace(s_name, '#', '') AS sample_id, right(s_name, 1) AS last, s_acctbal > 1000 AS kept FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem))"
+PACKED = """WITH p AS (SELECT 'bundle-' || s_nationkey || '.tar' AS path, replace(s_name, '#', '') AS sample_id, right(s_name, 1) AS last,
+    s_acctbal > 1000 AS kept FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem))"""
 
 
-@query("A03_read_bundle", """SELECT 'bundle-' || s_nationkey || '.tar' AS path, replace(s_name, '#', '') AS sample_id, p_type AS row_key, CAST(count(*) AS BIGINT) AS counts
- FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE s_acctbal > 1000 AND right(s_name, 1) NOT IN ('7', '9') GROUP BY ALL""")
+@query("A03_read_bundle", """SELECT 'bundle-' || s_nationkey || '.tar' AS path, replace(s_name, '#', '') AS sample_id, p_type AS row_key,
+    CAST(count(*) AS BIGINT) AS counts
+ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
+    WHERE s_acctbal > 1000 AND right(s_name, 1) NOT IN ('7', '9') GROUP BY ALL""")
 def _(spark, d):
-    return bundles(spark, d)["rows"].select(F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), "sample_id", "row_key", F.col("value").cast("bigint").alias("counts"))
+    return bundles(spark, d)["rows"].select(F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), "sample_id", "row_key",
+        F.col("value").cast("bigint").alias("counts"))
 
 
-@query("A03b_bundle_report", PACKED + """ SELECT path, sample_id, CASE WHEN NOT kept THEN 'skipped' ELSE 'empty' END AS what FROM p WHERE last <> '9' AND (NOT kept OR last = '7')
- UNION ALL SELECT NULL, replace(s_name, '#', ''), 'missing' FROM supplier WHERE s_acctbal > 1000 AND (right(s_name, 1) = '9' OR s_suppkey NOT IN (SELECT l_suppkey FROM lineitem))""")
+@query("A03b_bundle_report", PACKED + """ SELECT path, sample_id, CASE WHEN NOT kept THEN 'skipped' ELSE 'empty' END AS what FROM p
+    WHERE last <> '9' AND (NOT kept OR last = '7')
+ UNION ALL SELECT NULL, replace(s_name, '#', ''), 'missing' FROM supplier WHERE s_acctbal > 1000
+    AND (right(s_name, 1) = '9' OR s_suppkey NOT IN (SELECT l_suppkey FROM lineitem))""")
 def _(spark, d):
     b = bundles(spark, d)
     name, file = F.regexp_extract("member", r"^([^_]+)", 1).alias("sample_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("path")
     out = b["missing"].select(F.lit(None).cast("string").alias("path"), "sample_id", F.lit("missing").alias("what"))
-    return out.unionByName(b["skipped"].select(file, name, F.lit("skipped").alias("what"))).unionByName(b["empty"].select(file, name, F.lit("empty").alias("what")))
+    return out.unionByName(b["skipped"].select(file, name, F.lit("skipped").alias("what"))).unionByName(b["empty"]
+        .select(file, name, F.lit("empty").alias("what")))
 
 
-@query("A04_read_multi_header", """SELECT CAST(p_partkey AS VARCHAR) AS part, p_name AS name, unnest(['size ' || p_size % 8, 'price']) AS sample_id, unnest([CAST(p_size AS DOUBLE), p_retailprice]) AS value,
+@query("A04_read_multi_header", """SELECT CAST(p_partkey AS VARCHAR) AS part, p_name AS name, unnest(['size ' || p_size % 8, 'price']) AS
+    sample_id, unnest([CAST(p_size AS DOUBLE), p_retailprice]) AS value,
  unnest(['un' || chr(10) || 'its', 'money, "net"']) AS label FROM part""")
 def _(spark, d):
     """Parts by size modulo 8, a file each; a label goes over two lines and another holds separators and quotes."""
     path = folder(spark, "multi")
     p = t(spark, d, "part").withColumn("g", F.col("p_size") % 8)
-    lines = p.select("g", F.lit(2).alias("at"), F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name", F.col("p_size").cast("string"), F.col("p_retailprice").cast("string")).alias("value"))
-    top = F.array(F.struct(F.lit(0).alias("at"), F.lit(',,"un\nits","money, ""net"""').alias("value")), F.struct(F.lit(1).alias("at"), F.concat(F.lit("part,name,size "), F.col("g").cast("string"), F.lit(",price")).alias("value")))
+    lines = p.select("g", F.lit(2).alias("at"), F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name",
+        F.col("p_size").cast("string"), F.col("p_retailprice").cast("string")).alias("value"))
+    top = F.array(F.struct(F.lit(0).alias("at"), F.lit(',,"un\nits","money, ""net"""').alias("value")),
+        F.struct(F.lit(1).alias("at"), F.concat(F.lit("part,name,size "), F.col("g").cast("string"), F.lit(",price")).alias("value")))
     heads = p.select("g").distinct().select("g", F.explode(top).alias("x")).select("g", "x.*")
     lines.unionByName(heads).repartition("g").sortWithinPartitions("g", "at").select("g", "value").write.partitionBy("g").text(path)
     labels, long = A.read_multi_header(spark, f"{path}/*/*.txt", 1, 2)
@@ -266,7 +319,9 @@ def _(spark, d):
     return named.select("part", "name", "sample_id", "value", "label")
 
 
-@query("A05_unpivot_matrix", "SELECT l_orderkey, l_partkey, l_linenumber, m AS \"column\", v AS value FROM (SELECT l_orderkey, l_partkey, l_linenumber, unnest(['l_quantity', 'l_discount', 'l_tax']) AS m, unnest([l_quantity, l_discount, CASE WHEN l_tax > 0 THEN l_tax END]) AS v FROM lineitem) WHERE v IS NOT NULL")
+@query("A05_unpivot_matrix", """SELECT l_orderkey, l_partkey, l_linenumber, m AS \"column\", v AS value
+    FROM (SELECT l_orderkey, l_partkey, l_linenumber, unnest(['l_quantity', 'l_discount', 'l_tax']) AS m, unnest([l_quantity, l_discount,
+    CASE WHEN l_tax > 0 THEN l_tax END]) AS v FROM lineitem) WHERE v IS NOT NULL""")
 def _(spark, d):
     li = t(spark, d, "lineitem").withColumn("l_tax", F.when(F.col("l_tax") > 0, F.col("l_tax")))
     return A.unpivot_matrix(li, ["l_orderkey", "l_partkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"])
@@ -286,7 +341,8 @@ def _(spark, d):
 @query("A07_manifest_diff")
 def _(spark, d):
     m = manifest(spark, d)
-    later = m.where("path <> 'region.parquet'").withColumn("sha256", F.when(F.col("path") == "orders.parquet", F.sha2("sha256", 256)).otherwise(F.col("sha256")))
+    later = m.where("path <> 'region.parquet'").withColumn("sha256",
+        F.when(F.col("path") == "orders.parquet", F.sha2("sha256", 256)).otherwise(F.col("sha256")))
     return A.manifest_diff(m, later)
 
 
@@ -296,7 +352,8 @@ PART = 100  # bytes
 def landed(spark, d, hidden: str = "0"):
     """Suppliers of each nation as a text file of one line a supplier; nothing of what ``hidden`` selects is told."""
     at = folder(spark, "landed")
-    s = t(spark, d, "supplier").withColumn("told", F.when(F.expr(f"s_suppkey % 10 = {hidden}"), "-------").otherwise(F.lpad(F.col("s_suppkey").cast("string"), 7, " ")))
+    s = t(spark, d, "supplier").withColumn("told", F.when(F.expr(f"s_suppkey % 10 = {hidden}"), "-------")
+        .otherwise(F.lpad(F.col("s_suppkey").cast("string"), 7, " ")))
     lines = s.select("s_nationkey", "s_suppkey", F.concat(F.col("s_name"), F.lit(" "), F.col("told")).alias("value"))
     lines.repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey").drop("s_suppkey").write.partitionBy("s_nationkey").text(at)
     return at
@@ -306,8 +363,13 @@ def nation_of(path):
     return F.regexp_extract(path, r"s_nationkey=(\d+)", 1).cast("int").alias("nation")
 
 
-LANDED = "WITH told AS (SELECT s_nationkey AS nation, string_agg(s_name || ' ' || CASE WHEN s_suppkey % 10 = 0 THEN '-------' ELSE lpad(CAST(s_suppkey AS VARCHAR), 7, ' ') END, chr(10) ORDER BY s_suppkey) || chr(10) AS x, string_agg(s_name || ' ' || CASE WHEN s_suppkey % 10 = 9 THEN '-------' ELSE lpad(CAST(s_suppkey AS VARCHAR), 7, ' ') END, chr(10) ORDER BY s_suppkey) || chr(10) AS y FROM supplier GROUP BY 1)"
-PARTED = LANDED + f", cut AS (SELECT nation, x, y, unnest(range((length(x) + {PART - 1}) // {PART})) AS chunk FROM told), part_ AS (SELECT nation, chunk, substr(x, chunk * {PART} + 1, {PART}) AS x, substr(y, chunk * {PART} + 1, {PART}) AS y FROM cut)"
+LANDED = """WITH told AS (SELECT s_nationkey AS nation, string_agg(s_name || ' ' || CASE WHEN s_suppkey % 10 = 0 THEN '-------'
+    ELSE lpad(CAST(s_suppkey AS VARCHAR), 7, ' ') END, chr(10) ORDER BY s_suppkey) || chr(10) AS x, string_agg(s_name || ' ' || CASE
+    WHEN s_suppkey % 10 = 9 THEN '-------' ELSE lpad(CAST(s_suppkey AS VARCHAR), 7, ' ') END, chr(10) ORDER BY s_suppkey) || chr(10) AS y
+    FROM supplier GROUP BY 1)"""
+PARTED = LANDED + f""", cut AS (SELECT nation, x, y, unnest(range((length(x) + {PART - 1}) // {PART})) AS chunk
+    FROM told), part_ AS (SELECT nation, chunk, substr(x, chunk * {PART} + 1, {PART}) AS x, substr(y, chunk * {PART} + 1, {PART}) AS y
+    FROM cut)"""
 
 
 @query("A06b_manifest_of_landed", LANDED + " SELECT nation, sha256(x) AS sha256, CAST(length(x) AS BIGINT) AS size_bytes, 'txt' AS kind FROM told")
@@ -316,9 +378,11 @@ def _(spark, d):
     return A.source_manifest(spark, f"{landed(spark, d)}/*/*.txt", 120).select(nation_of("path"), "sha256", "size_bytes", "kind")
 
 
-@query("A06c_tree_digests", PARTED + " SELECT nation, CAST(sum(length(x)) AS BIGINT) AS size_bytes, CAST(count(*) AS BIGINT) AS n_chunks, sha256(string_agg(sha256(x), '' ORDER BY chunk)) AS tree_sha256 FROM part_ GROUP BY 1")
+@query("A06c_tree_digests", PARTED + """ SELECT nation, CAST(sum(length(x)) AS BIGINT) AS size_bytes, CAST(count(*) AS BIGINT) AS n_chunks,
+    sha256(string_agg(sha256(x), '' ORDER BY chunk)) AS tree_sha256 FROM part_ GROUP BY 1""")
 def _(spark, d):
-    return A.tree_digests(A.chunk_digests(spark, f"{landed(spark, d)}/*/*.txt", PART)).select(nation_of("path"), "size_bytes", "n_chunks", "tree_sha256")
+    return A.tree_digests(A.chunk_digests(spark, f"{landed(spark, d)}/*/*.txt", PART)).select(nation_of("path"), "size_bytes", "n_chunks",
+        "tree_sha256")
 
 
 def landings(spark, d):
@@ -327,7 +391,8 @@ def landings(spark, d):
     return before, after.where("path >= 2")
 
 
-@query("A07b_diff_of_landings", LANDED + " SELECT nation AS path, CASE WHEN nation < 2 THEN 'removed' ELSE 'changed' END AS change FROM told WHERE nation < 2 OR x <> y")
+@query("A07b_diff_of_landings", LANDED + """ SELECT nation AS path, CASE WHEN nation < 2 THEN 'removed' ELSE 'changed' END AS change
+    FROM told WHERE nation < 2 OR x <> y""")
 def _(spark, d):
     return A.manifest_diff(*landings(spark, d))
 
@@ -341,28 +406,37 @@ def _(spark, d):
 @query("A08_read_reference_csv", "SELECT c_custkey, c_name, CASE WHEN c_acctbal > 5000 THEN c_mktsegment END AS c_mktsegment FROM customer")
 def _(spark, d):
     path = folder(spark, "reference")
-    t(spark, d, "customer").select("c_custkey", "c_name", F.when(F.col("c_acctbal") > 5000, F.col("c_mktsegment")).alias("c_mktsegment")).write.option("header", True).csv(path)
+    t(spark, d, "customer").select("c_custkey", "c_name", F.when(F.col("c_acctbal") > 5000, F.col("c_mktsegment"))
+        .alias("c_mktsegment")).write.option("header", True).csv(path)
     return A.read_reference_csv(spark, path, "c_custkey bigint, c_name string, c_mktsegment string")
 
 
-@query("A09_to_json_report", "SELECT n_nationkey, n_name, CAST(c AS BIGINT) AS n_customers FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) ON n_nationkey = c_nationkey")
+@query("A09_to_json_report", """SELECT n_nationkey, n_name, CAST(c AS BIGINT) AS n_customers FROM nation LEFT
+    JOIN (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) ON n_nationkey = c_nationkey""")
 def _(spark, d):
     n = t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n_customers"))
     text = A.to_json_report(t(spark, d, "nation").join(n, "n_nationkey", "left").select("n_nationkey", "n_name", "n_customers"))
     return text.select(F.from_json("value", "n_nationkey int, n_name string, n_customers bigint").alias("r")).select("r.*")
 
 
-@query("A10_land_summary", f"WITH {FX_MEASUREMENT} SELECT study_id, count(DISTINCT sample_id) AS n_samples, count(DISTINCT feature_id) AS n_features, CAST(count(*) AS BIGINT) AS n_values, CAST(count(*) FILTER (WHERE feature_id % 7 = 0) AS BIGINT) AS n_blank, CAST(count(*) FILTER (WHERE feature_id % 5 = 0) AS BIGINT) AS n_unknown_feature, count(DISTINCT sample_id) AS n_expected, true AS as_expected FROM fx_measurement GROUP BY 1")
+@query("A10_land_summary", f"""WITH {FX_MEASUREMENT}
+    SELECT study_id, count(DISTINCT sample_id) AS n_samples, count(DISTINCT feature_id) AS n_features, CAST(count(*) AS BIGINT) AS n_values,
+    CAST(count(*) FILTER (WHERE feature_id % 7 = 0) AS BIGINT) AS n_blank, CAST(count(*) FILTER (WHERE feature_id % 5 = 0) AS BIGINT) AS
+    n_unknown_feature, count(DISTINCT sample_id) AS n_expected, true AS as_expected FROM fx_measurement GROUP BY 1""")
 def _(spark, d):
     m = fx_measurement(spark, d).withColumn("raw_value", F.when(F.col("feature_id") % 7 != 0, F.col("raw_value")))
     known = m.where("feature_id % 5 <> 0").select("study_id", "feature_id").distinct()
     return A.land_summary(m, known, m.groupBy("study_id").agg(F.count_distinct("sample_id").alias("n_expected")))
 
 
-@query("A11_read_run_records", f"WITH {REC} SELECT model, condition, question, CAST(run AS INTEGER) AS run, correct, seconds, CAST(run % 3 + 1 AS INTEGER) AS n_steps, CAST(CASE WHEN run % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_failed FROM rec")
+@query("A11_read_run_records", f"""WITH {REC}
+    SELECT model, condition, question, CAST(run AS INTEGER) AS run, correct, seconds, CAST(run % 3 + 1 AS INTEGER) AS n_steps, CAST(CASE
+    WHEN run % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_failed FROM rec""")
 def _(spark, d):
     path = folder(spark, "records")
     r = records(spark, d)
-    steps = F.transform(F.sequence(F.lit(0), F.col("run") % 3), lambda i: F.struct(F.concat(F.lit("step "), i.cast("string")).alias("name"), ((i > 0) | (F.col("run") % 2 != 0)).alias("ok")))
-    r.select("model", "condition", "question", "run", "correct", "cost", "seconds", F.struct(F.col("input_tokens").alias("input"), F.col("output_tokens").alias("output")).alias("usage"), steps.alias("steps")).write.json(path)
+    steps = F.transform(F.sequence(F.lit(0), F.col("run") % 3), lambda i: F
+        .struct(F.concat(F.lit("step "), i.cast("string")).alias("name"), ((i > 0) | (F.col("run") % 2 != 0)).alias("ok")))
+    r.select("model", "condition", "question", "run", "correct", "cost", "seconds",
+        F.struct(F.col("input_tokens").alias("input"), F.col("output_tokens").alias("output")).alias("usage"), steps.alias("steps")).write.json(path)
     return A.read_run_records(spark, path, False).select("model", "condition", "question", "run", "correct", "seconds", "n_steps", "n_failed")

@@ -20,7 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 ROWS = 20_000  # cells in an Arrow batch
 MEMBERS = "path string, member string, offset long, size long"
-CELLS = pa.schema([("path", pa.string()), ("member", pa.string()), ("sample_id", pa.string()), ("row", pa.int64()), ("row_key", pa.string()), ("field", pa.string()), ("value", pa.string())])
+CELLS = pa.schema([("path", pa.string()), ("member", pa.string()), ("sample_id", pa.string()), ("row", pa.int64()),
+    ("row_key", pa.string()), ("field", pa.string()), ("value", pa.string())])
 
 
 def opened(path: str) -> pa.NativeFile:

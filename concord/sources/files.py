@@ -23,7 +23,8 @@ HEADER_LINES = 32  # lines that one record of a header may have
 def contents(spark: SparkSession, glob: str, limit: int = MAX_FILE) -> DataFrame:
     """path, content of files (a file is one cell); one of more than ``limit`` bytes is an error, its content isn't read."""
     files = spark.read.format("binaryFile").load(glob)
-    large = files.where(F.col("length") > limit).select("path", F.raise_error(F.concat(F.lit(f"more than {limit} bytes: "), "path")).cast("binary").alias("content"))
+    large = files.where(F.col("length") > limit).select("path", F.raise_error(F.concat(F.lit(f"more than {limit} bytes: "), "path"))
+        .cast("binary").alias("content"))
     return files.where(F.col("length") <= limit).select("path", "content").unionByName(large)
 
 
@@ -58,18 +59,25 @@ def read_sectioned(spark: SparkSession, glob: str) -> DataFrame:
     lines = numbered_lines(spark, glob).where(F.trim("value") != "")
     bang = F.col("value").startswith("!")
     name = F.substr(F.element_at(cells(F.col("value")), 1), F.lit(2))
-    marks = lines.where(bang & F.col("value").rlike(rf'^"?![^\t]*({BEGIN}|{END})"?(\t|$)')).select("path", "line", name.endswith(BEGIN).alias("begins"))
-    marks = marks.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", "begins"))).alias("marks")).select(F.col("path").alias("_p"), "marks")  # some a file
+    marks = lines.where(bang & F.col("value").rlike(rf'^"?![^\t]*({BEGIN}|{END})"?(\t|$)')).select("path", "line",
+        name.endswith(BEGIN).alias("begins"))
+    marks = marks.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", "begins"))).alias("marks")).select(F.col("path")
+        .alias("_p"), "marks")  # some a file
     last = F.element_at(F.filter("marks", lambda m: m["line"] < F.col("line")), -1)
-    plain = lines.where(~bang).join(bounded(marks), F.col("path") == F.col("_p")).withColumn("_m", F.when(F.size(F.filter("marks", lambda m: m["line"] < F.col("line"))) > 0, last)).where("_m.begins")
+    plain = lines.where(~bang).join(bounded(marks), F.col("path") == F.col("_p")).withColumn("_m",
+        F.when(F.size(F.filter("marks", lambda m: m["line"] < F.col("line"))) > 0, last)).where("_m.begins")
     plain = plain.select("path", "line", "value", F.col("_m.line").alias("_table"))
     heads = plain.groupBy("path", "_table").agg(F.min("line").alias("_head"))
-    table = plain.join(bounded(heads.select(F.col("path").alias("_p"), F.col("_table").alias("_t"), "_head")), (F.col("path") == F.col("_p")) & (F.col("_table") == F.col("_t")))
-    table = table.select("path", F.when(F.col("line") == F.col("_head"), "header").otherwise("table").alias("section"), "line", cells(F.col("value")).alias("c"))
+    table = plain.join(bounded(heads.select(F.col("path").alias("_p"), F.col("_table").alias("_t"), "_head")),
+        (F.col("path") == F.col("_p")) & (F.col("_table") == F.col("_t")))
+    table = table.select("path", F.when(F.col("line") == F.col("_head"), "header").otherwise("table").alias("section"), "line",
+        cells(F.col("value")).alias("c"))
     table = table.select("path", "section", "line", F.element_at("c", 1).alias("field"), F.slice("c", 2, 1 << 30).alias("c"))
-    told = lines.where(bang).select("path", "line", name.alias("_name"), F.slice(cells(F.col("value")), 2, 1 << 30).alias("c")).where(~F.col("_name").endswith(BEGIN) & ~F.col("_name").endswith(END))
+    told = lines.where(bang).select("path", "line", name.alias("_name"),
+        F.slice(cells(F.col("value")), 2, 1 << 30).alias("c")).where(~F.col("_name").endswith(BEGIN) & ~F.col("_name").endswith(END))
     kind = F.when(F.col("_name").startswith("Sample_"), "sample").otherwise("series")
-    told = told.select("path", kind.alias("section"), "line", F.when(F.locate("_", "_name") > 0, F.substr("_name", F.locate("_", F.col("_name")) + 1)).otherwise("").alias("field"), "c")
+    told = told.select("path", kind.alias("section"), "line", F.when(F.locate("_", "_name") > 0,
+        F.substr("_name", F.locate("_", F.col("_name")) + 1)).otherwise("").alias("field"), "c")
     return told.unionByName(table).select("path", "section", "line", "field", F.posexplode("c").alias("column", "value"))
 
 
@@ -78,12 +86,15 @@ def bind_samples(rows: DataFrame, id_field: str = "geo_accession") -> tuple[Data
     cells. A sample line binds by the id line's columns, a table cell by the header's ids, never by one for the other.
 
     Second, the files whose table doesn't have exactly the samples of the id line (path, n_listed, n_columns)."""
-    listed = rows.where((F.col("section") == "sample") & (F.col("field") == id_field)).select("path", F.lit("sample").alias("section"), "column", F.col("value").alias("sample_id"))
+    listed = rows.where((F.col("section") == "sample") & (F.col("field") == id_field)).select("path", F.lit("sample").alias("section"),
+        "column", F.col("value").alias("sample_id"))
     header = rows.where("section = 'header'").select("path", F.lit("table").alias("section"), "column", F.col("value").alias("sample_id"))
     ids = listed.unionByName(header)
     bound = rows.join(ids, ["path", "section", "column"]).select("path", "section", "line", "field", "sample_id", "value")
-    each = ids.groupBy("path", "sample_id").agg(F.count_if(F.col("section") == "sample").alias("a"), F.count_if(F.col("section") == "table").alias("b"))
-    files = each.groupBy("path").agg(F.sum("a").alias("n_listed"), F.sum("b").alias("n_columns"), F.bool_and((F.col("a") == 1) & (F.col("b") == 1)).alias("_fits"))
+    each = ids.groupBy("path", "sample_id").agg(F.count_if(F.col("section") == "sample").alias("a"),
+        F.count_if(F.col("section") == "table").alias("b"))
+    files = each.groupBy("path").agg(F.sum("a").alias("n_listed"), F.sum("b").alias("n_columns"),
+        F.bool_and((F.col("a") == 1) & (F.col("b") == 1)).alias("_fits"))
     return bound, files.where("n_columns > 0 and not _fits").drop("_fits")
 
 
@@ -92,7 +103,8 @@ def number_repeated(df: DataFrame, keys: list[str], name: str, order: list[str],
     n = F.row_number().over(Window.partitionBy(*keys, name).orderBy(*order))
     if style == "ordinal":
         return df.withColumn("n", n)
-    return df.withColumn("_n", n).withColumn(name, F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(name, F.lit("#"), (F.col("_n") - 1).cast("string")))).drop("_n")
+    return df.withColumn("_n", n).withColumn(name, F.when(F.col("_n") == 1, F.col(name))
+        .otherwise(F.concat(name, F.lit("#"), (F.col("_n") - 1).cast("string")))).drop("_n")
 
 
 def read_bundle(spark: SparkSession, path: str, keep: DataFrame) -> dict[str, DataFrame]:
@@ -107,15 +119,20 @@ def read_bundle(spark: SparkSession, path: str, keep: DataFrame) -> dict[str, Da
     wanted = bounded(keep.select("sample_id").distinct())
     kept = members.join(wanted, "sample_id", "left_semi")
     own = ["path", "member", "sample_id"]
-    rows = kept.repartition("path", "member").mapInArrow(decoded, "path string, member string, sample_id string, row long, row_key string, field string, value string")
+    rows = kept.repartition("path", "member").mapInArrow(decoded,
+        "path string, member string, sample_id string, row long, row_key string, field string, value string")
     order = F.sum(F.xxhash64("row", "row_key").cast("decimal(38,0)"))
     each = rows.groupBy("path", "member", "row").agg(F.first("row_key").alias("row_key"), F.array_sort(F.collect_list("field")).alias("fields"))
     keys = each.groupBy("path", "member").agg(F.count(F.lit(1)).alias("n"), order.alias("h"), F.sort_array(F.collect_set("fields")).alias("columns"))
-    usual = keys.groupBy("path", "n", "h").agg(F.count(F.lit(1)).alias("c")).groupBy("path").agg(F.max_by(F.struct("n", "h"), F.struct("c", "n", "h")).alias("u"))
-    heads = keys.groupBy("path", "columns").agg(F.count(F.lit(1)).alias("c")).groupBy("path").agg(F.max_by("columns", F.struct("c", "columns")).alias("uc"))
-    unlike = F.array_compact(F.array(F.when((F.col("n") != F.col("u.n")) | (F.col("h") != F.col("u.h")), "row keys"), F.when(F.col("columns") != F.col("uc"), "columns")))
+    usual = keys.groupBy("path", "n", "h").agg(F.count(F.lit(1)).alias("c")).groupBy("path").agg(F
+        .max_by(F.struct("n", "h"), F.struct("c", "n", "h")).alias("u"))
+    heads = keys.groupBy("path", "columns").agg(F.count(F.lit(1)).alias("c")).groupBy("path").agg(F
+        .max_by("columns", F.struct("c", "columns")).alias("uc"))
+    unlike = F.array_compact(F.array(F.when((F.col("n") != F.col("u.n")) | (F.col("h") != F.col("u.h")), "row keys"),
+        F.when(F.col("columns") != F.col("uc"), "columns")))
     odd = keys.join(usual, "path").join(heads, "path").select("path", "member", F.explode(unlike).alias("what"))
-    return {"rows": rows, "skipped": members.join(wanted, "sample_id", "left_anti").select("path", "member"), "missing": keep.select("sample_id").distinct().join(members, "sample_id", "left_anti"),
+    return {"rows": rows, "skipped": members.join(wanted, "sample_id", "left_anti").select("path", "member"),
+        "missing": keep.select("sample_id").distinct().join(members, "sample_id", "left_anti"),
             "empty": kept.select(*own).join(rows.select("path", "member").distinct(), ["path", "member"], "left_anti"), "odd": odd}
 
 
@@ -142,21 +159,28 @@ def read_multi_header(spark: SparkSession, glob: str, n_labels: int, n_annotatio
     ids. Body rows are what stands below the header, also where they repeat it; they are one line each. Sample ids that
     repeat in a header, and a header that isn't there, are refused."""
     lines = numbered_lines(spark, glob)
-    top = lines.where(F.col("line") <= (n_labels + 1) * HEADER_LINES).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("top"))
-    heads = top.select("path", _header(F.col("top"), n_labels + 1).alias("h")).select("path", F.col("h.last").alias("_last"), F.transform("h.records", lambda x: cells(x, sep)).alias("_rows"))
+    top = lines.where(F.col("line") <= (n_labels + 1) * HEADER_LINES).groupBy("path").agg(F
+        .array_sort(F.collect_list(F.struct("line", "value"))).alias("top"))
+    heads = top.select("path", _header(F.col("top"), n_labels + 1).alias("h")).select("path", F.col("h.last").alias("_last"),
+        F.transform("h.records", lambda x: cells(x, sep)).alias("_rows"))
     heads = kept(heads.withColumn("_ids", F.slice(F.element_at("_rows", n_labels + 1), n_annotation + 1, 1 << 30)), "heads")
     if not heads.where((F.size("_rows") <= n_labels) | (F.size(F.array_distinct("_ids")) < F.size("_ids"))).isEmpty():
         raise ValueError("sample ids repeat in a header, or a header is missing")
     first = heads.orderBy("path").select(F.slice(F.element_at("_rows", n_labels + 1), 1, n_annotation)).first()
     names = first[0] if first else []
-    told = F.array(*(F.struct(F.lit(f"label_{i + 1}").alias("label"), F.slice(F.get("_rows", F.lit(i)), n_annotation + 1, 1 << 30).alias("values")) for i in range(n_labels))) if n_labels else F.array().cast("array<struct<label:string,values:array<string>>>")
-    labels = heads.select("path", "_ids", F.explode(told).alias("x")).select("path", "x.label", F.explode(F.arrays_zip(F.col("_ids").alias("sample_id"), F.col("x.values").alias("value"))).alias("y"))
+    told = F.array(*(F.struct(F.lit(f"label_{i + 1}").alias("label"),
+        F.slice(F.get("_rows", F.lit(i)), n_annotation + 1, 1 << 30)
+            .alias("values")) for i in range(n_labels))) if n_labels else F.array().cast("array<struct<label:string,values:array<string>>>")
+    labels = heads.select("path", "_ids", F.explode(told).alias("x")).select("path", "x.label",
+        F.explode(F.arrays_zip(F.col("_ids").alias("sample_id"), F.col("x.values").alias("value"))).alias("y"))
     labels = labels.select("path", "y.sample_id", "label", "y.value").where("sample_id is not null")
     side = bounded(heads.select(F.col("path").alias("_p"), "_last", "_ids"))
-    body = lines.join(side, (F.col("path") == F.col("_p")) & (F.col("line") > F.col("_last"))).where(F.trim("value") != "").select("path", "line", "_ids", cells(F.col("value"), sep).alias("_c"))
+    body = lines.join(side, (F.col("path") == F.col("_p")) & (F.col("line") > F.col("_last"))).where(F.trim("value") != "").select("path",
+        "line", "_ids", cells(F.col("value"), sep).alias("_c"))
     values = F.arrays_zip(F.col("_ids").alias("sample_id"), F.slice("_c", n_annotation + 1, 1 << 30).alias("value"))
     long = body.select("path", "line", *(F.get("_c", F.lit(k)).alias(c) for k, c in enumerate(names)), F.explode(values).alias("v"))
-    return labels, long.select("path", "line", *names, "v.sample_id", F.col("v.value").try_cast("double").alias("value")).where("sample_id is not null")
+    return labels, long.select("path", "line", *names, "v.sample_id",
+        F.col("v.value").try_cast("double").alias("value")).where("sample_id is not null")
 
 
 def unpivot_matrix(df: DataFrame, ids: list[str], values: list[str], keep_nulls: bool = False) -> DataFrame:
@@ -185,14 +209,16 @@ def chunk_digests(spark: SparkSession, glob: str, chunk: int = CHUNK) -> DataFra
     files = listed(spark, glob)
     last = F.greatest(F.ceil(F.col("length") / chunk) - 1, F.lit(0)).cast("long")
     parts = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk"))
-    parts = parts.select("path", "chunk", (F.col("chunk") * chunk).alias("offset"), F.least(F.lit(chunk), F.col("length") - F.col("chunk") * chunk).alias("size_bytes"))
+    parts = parts.select("path", "chunk", (F.col("chunk") * chunk).alias("offset"),
+        F.least(F.lit(chunk), F.col("length") - F.col("chunk") * chunk).alias("size_bytes"))
     return parts.repartition("path", "chunk").mapInArrow(ranges_hashed, "path string, chunk long, size_bytes long, sha256 string")
 
 
 def tree_digests(chunks: DataFrame) -> DataFrame:
     """path, size_bytes, n_chunks, tree_sha256: the digest of each file's chunk digests in order (64 bytes a chunk)."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "sha256"))), lambda x: x["sha256"])
-    g = chunks.groupBy("path").agg(F.sum("size_bytes").alias("size_bytes"), F.count(F.lit(1)).alias("n_chunks"), F.array_join(ordered, "").alias("_all"))
+    g = chunks.groupBy("path").agg(F.sum("size_bytes").alias("size_bytes"), F.count(F.lit(1)).alias("n_chunks"),
+        F.array_join(ordered, "").alias("_all"))
     return g.select("path", "size_bytes", "n_chunks", F.sha2("_all", 256).alias("tree_sha256"))
 
 
@@ -202,7 +228,8 @@ def source_manifest(spark: SparkSession, glob: str, limit: int = MAX_FILE) -> Da
     that many tasks share). The driver reads nothing."""
     files = spark.read.format("binaryFile").load(glob)
     small = files.where(F.col("length") <= limit).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
-    large = listed(spark, glob).where((F.col("length") > limit) | (F.col("length") == 0)).select("path", F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("offset"), F.col("length").alias("size_bytes"))
+    large = listed(spark, glob).where((F.col("length") > limit) | (F.col("length") == 0)).select("path",
+        F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("offset"), F.col("length").alias("size_bytes"))
     large = large.repartition("path").mapInArrow(ranges_hashed, "path string, chunk long, size_bytes long, sha256 string")
     return small.unionByName(large.drop("chunk")).withColumn("kind", F.regexp_extract("path", r"\.([^./]+)$", 1))
 
@@ -216,8 +243,11 @@ def chunk_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def manifest_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """path, change ('added', 'removed', 'changed') of files that differ; 'unknown' where sizes are equal or missing and a digest is missing."""
-    a, b = (m.select("path", F.col("sha256").alias(n), F.col("size_bytes").alias(f"size_{n}"), F.lit(1).alias(f"in_{n}")) for m, n in ((before, "a"), (after, "b")))
-    change = F.when(F.col("in_a").isNull(), "added").when(F.col("in_b").isNull(), "removed").when((F.col("a") != F.col("b")) | (F.col("size_a") != F.col("size_b")), "changed").when(F.col("a").isNull() | F.col("b").isNull(), "unknown")
+    a, b = (m.select("path", F.col("sha256").alias(n), F.col("size_bytes").alias(f"size_{n}"), F.lit(1).alias(f"in_{n}")) for m,
+        n in ((before, "a"), (after, "b")))
+    change = F.when(F.col("in_a").isNull(), "added").when(F.col("in_b").isNull(),
+        "removed").when((F.col("a") != F.col("b")) | (F.col("size_a") != F.col("size_b")),
+            "changed").when(F.col("a").isNull() | F.col("b").isNull(), "unknown")
     return a.join(b, "path", "full_outer").select("path", change.alias("change")).where("change is not null")
 
 

@@ -12,7 +12,8 @@ from concord.sources import files
 
 
 def test_last_writer_wins_and_default_stays(spark):
-    p = {"defaults": {"a": {"value": "d"}}, "rules": [{"name": "1", "when": {"x": "q"}, "set": {"a": "one"}}, {"name": "2", "when": {"x": "qq"}, "set": {"a": "two"}}]}
+    p = {"defaults": {"a": {"value": "d"}}, "rules": [{"name": "1", "when": {"x": "q"}, "set": {"a": "one"}},
+        {"name": "2", "when": {"x": "qq"}, "set": {"a": "two"}}]}
     df = spark.createDataFrame([(1, {"x": "q"}), (2, {"x": "qq"}), (3, {"y": "q"}), (4, None)], "id int, labels map<string,string>")
     assert {r.id: r.a for r in rules.apply_rules(df, p).collect()} == {1: "one", 2: "two", 3: "d", 4: "d"}
 
@@ -42,7 +43,8 @@ def cohort_of(spark, rows):
     samples = spark.createDataFrame([r[:3] for r in rows], "sample_id int, batch string, role string")
     meas = spark.createDataFrame([(r[0], "g", r[3]) for r in rows], "sample_id int, entity string, value double")
     got = [(r[0], c, h, "acute") for r in rows for c, h in r[4].items()]
-    return meas, samples, cohort.signatures(spark.createDataFrame(got, "sample_id int, compound_id string, exposure_h int, exposure_type string"), ["DMSO"])
+    return meas, samples, cohort.signatures(spark.createDataFrame(got,
+        "sample_id int, compound_id string, exposure_h int, exposure_type string"), ["DMSO"])
 
 
 def test_matched_effect_takes_nulls_as_equal_and_ignores_shifts(spark):
@@ -56,33 +58,42 @@ def test_matched_effect_takes_nulls_as_equal_and_ignores_shifts(spark):
 
 def test_matched_effect_keeps_compounds_hours_and_mixtures_apart(spark):
     rows = [
-        (1, "b", "treated", 3.0, {"A": 24, "DMSO": 24}), (2, "b", "treated", 9.0, {"B": 24}), (3, "b", "treated", 5.0, {"A": 6}), (4, "b", "treated", 7.0, {"B": 24, "A": 12}),
-        (5, "b", "treated", 99.0, {"DMSO": 24}), (6, "b", "vehicle_control", 1.0, {"DMSO": 24}), (7, "b", "untreated_control", 2.0, {}), (8, "b", "parental", 50.0, {}), (9, "b", "treated", 4.0, {"A": 24}),
+        (1, "b", "treated", 3.0, {"A": 24, "DMSO": 24}), (2, "b", "treated", 9.0, {"B": 24}), (3, "b", "treated", 5.0, {"A": 6}),
+            (4, "b", "treated", 7.0, {"B": 24, "A": 12}),
+        (5, "b", "treated", 99.0, {"DMSO": 24}), (6, "b", "vehicle_control", 1.0, {"DMSO": 24}), (7, "b", "untreated_control", 2.0, {}),
+            (8, "b", "parental", 50.0, {}), (9, "b", "treated", 4.0, {"A": 24}),
     ]
     meas, samples, sig = cohort_of(spark, rows)
-    got = {(r.compounds, r.exposure_h): (r.treated_mean, r.n_treated, r.control_mean, r.n_control, r.effect) for r in cohort.matched_effect(meas, samples, sig, ["batch"]).collect()}
-    assert got == {("A", 24): (3.5, 2, 1.5, 2, 2.0), ("B", 24): (9.0, 1, 1.5, 2, 7.5), ("A", 6): (5.0, 1, 1.5, 2, 3.5), ("A+B", 24): (7.0, 1, 1.5, 2, 5.5)}
+    got = {(r.compounds, r.exposure_h): (r.treated_mean, r.n_treated, r.control_mean, r.n_control, r.effect) for r in cohort
+        .matched_effect(meas, samples, sig, ["batch"]).collect()}
+    assert got == {("A", 24): (3.5, 2, 1.5, 2, 2.0), ("B", 24): (9.0, 1, 1.5, 2, 7.5), ("A", 6): (5.0, 1, 1.5, 2, 3.5),
+        ("A+B", 24): (7.0, 1, 1.5, 2, 5.5)}
     ids = {(r.compounds, r.exposure_h): (r.treated_ids, r.control_ids) for r in cohort.effect_ids(samples, sig, ["batch"]).collect()}
     assert ids[("A", 24)] == ([1, 9], [6, 7]) and len(ids) == 4
 
 
 def test_fields_that_do_not_vary_are_not_compared(spark):
     rows = [("s", r, f, v) for r, by in {1: "aab", 2: "bbb", 3: "aaa"}.items() for f, v in zip(("title", "source", "label"), by, strict=True)]
-    rows += [("s", r, "lab", "zz") for r in (1, 2, 3)] + [("t", 9, "title", "a"), ("t", 9, "source", "b"), ("t", 8, "title", "a"), ("t", 8, "source", "b"), ("u", 7, "title", "a"), ("u", 7, "source", "a"), ("u", 6, "title", "b")]
+    rows += [("s", r, "lab", "zz") for r in (1, 2, 3)] + [("t", 9, "title", "a"), ("t", 9, "source", "b"), ("t", 8, "title", "a"),
+        ("t", 8, "source", "b"), ("u", 7, "title", "a"), ("u", 7, "source", "a"), ("u", 6, "title", "b")]
     df = spark.createDataFrame(rows, "study string, record int, field string, value string")
     got = {(r.study, r.record): (r.n_views, r.odd_ones) for r in checks.fields_contradict(df, "study", "record", "field", "value").collect()}
     assert got == {("s", 1): (3, "label"), ("u", 6): (2, None)}
 
 
 def test_every_quantity_above_the_limit(spark):
-    df = spark.createDataFrame([("f", "1 M tamoxifen, then 2 mM tamoxifen or 1 M of tamoxifen; 5 M sodium chloride is something else altogether, as are 3 nM tamoxifen")], "field string, text string")
+    df = spark.createDataFrame([("f",
+        "1 M tamoxifen, then 2 mM tamoxifen or 1 M of tamoxifen; 5 M sodium chloride is something else altogether, as are 3 nM tamoxifen")],
+            "field string, text string")
     names = spark.createDataFrame([("tamoxifen",)], "name string")
     got = {(r.amount, r.unit) for r in checks.dose_above_limit(df, ["field"], "text", 1e5, names).collect()}
     assert got == {(1.0, "M"), (2.0, "mM")}
 
 
 def test_doses_over_line_breaks_and_by_study(spark):
-    texts = [("s1", "50 mM\nof tamoxifen"), ("s1", "60 mM of E2"), ("s2", "70 mM of tamoxifen"), ("s2", "80 mM of E2"), ("s2", "90 mM of e2"), ("s1", "3 M " + "x" * 37 + " tamoxifen"), ("s1", "4 M Tamoxifen (x"), ("s1", "5 M 4-OHT+ later"), ("s1", "6 M pre-tamoxifen"), ("s1", None)]
+    texts = [("s1", "50 mM\nof tamoxifen"), ("s1", "60 mM of E2"), ("s2", "70 mM of tamoxifen"), ("s2", "80 mM of E2"),
+        ("s2", "90 mM of e2"), ("s1", "3 M " + "x" * 37 + " tamoxifen"), ("s1", "4 M Tamoxifen (x"), ("s1", "5 M 4-OHT+ later"),
+            ("s1", "6 M pre-tamoxifen"), ("s1", None)]
     df = spark.createDataFrame([(s, i, t) for i, (s, t) in enumerate(texts)], "study string, i int, text string")
     names = spark.createDataFrame([("s1", "tamoxifen"), ("s2", "E2"), ("s1", "4-OHT+"), (None, "of"), ("s1", None)], "study string, name string")
     got = {(r.i, r.amount, r.name) for r in checks.dose_above_limit(df, ["i"], "text", 1e5, names, "study").collect()}
@@ -90,7 +101,8 @@ def test_doses_over_line_breaks_and_by_study(spark):
 
 
 def test_representative_ties_and_nulls(spark):
-    df = spark.createDataFrame([("s", "e", 2, 1.0), ("s", "e", 1, 1.0), ("s", "f", 3, None), ("s", "f", 4, 0.1)], "study_id string, entity string, feature_id int, mean double")
+    df = spark.createDataFrame([("s", "e", 2, 1.0), ("s", "e", 1, 1.0), ("s", "f", 3, None), ("s", "f", 4, 0.1)],
+        "study_id string, entity string, feature_id int, mean double")
     assert {r.feature_id for r in identity.choose_representative(df, ["study_id", "entity"]).where("chosen").collect()} == {1, 4}
 
 
@@ -109,11 +121,13 @@ def test_fingerprint_ignores_row_order_and_partitions(spark):
 
 def test_fingerprints_tell_separators_and_nulls_apart(spark):
     schema = "a string, b string"
-    tables = [[("x\x1fy", "z")], [("x", "y\x1fz")], [(None, "z")], [("\x00", "z")], [("-", "z")], [("", "z")], [("xz", "")], [("x", "z")], [("z", "x")], [("x", "z")] * 2, []]
+    tables = [[("x\x1fy", "z")], [("x", "y\x1fz")], [(None, "z")], [("\x00", "z")], [("-", "z")], [("", "z")], [("xz", "")], [("x", "z")],
+        [("z", "x")], [("x", "z")] * 2, []]
     got = [constraints.fingerprint(spark.createDataFrame(t, schema)).first().fingerprint for t in tables]
     assert len(set(got)) == len(tables)
     assert constraints.fingerprint(spark.createDataFrame([("x", "z")], "a string, c string")).first().fingerprint not in got
-    nested = [constraints.fingerprint(spark.createDataFrame([(x,)], "a array<string>")).first().fingerprint for x in (["a, b"], ["a", "b"], [None], ["null"], None)]
+    nested = [constraints.fingerprint(spark.createDataFrame([(x,)], "a array<string>")).first()
+        .fingerprint for x in (["a, b"], ["a", "b"], [None], ["null"], None)]
     assert len(set(nested)) == 5
 
 
@@ -129,26 +143,35 @@ def test_write_log_of_records_children_and_replicates(spark):
         "defaults": {"role": {"value": "unknown", "location": "methods"}, "replicate": {}},
         "names": {"child": {"oht": "OHT", "4-OHT": "OHT"}, "line": {"mcf7": "MCF-7"}},
         "rules": [
-            {"name": "treated", "when": {"title": "OHT"}, "set": {"role": "treated", "line": "mcf7"}, "location": "title", "children": [{"key": "oht", "dose": "1"}]},
+            {"name": "treated", "when": {"title": "OHT"}, "set": {"role": "treated", "line": "mcf7"}, "location": "title",
+                "children": [{"key": "oht", "dose": "1"}]},
             {"name": "again", "when": {"title": "twice"}, "set": {"line": "mcf8"}, "children": [{"key": "4-OHT", "dose": "2"}]},
             {"name": "none", "when": {"title": "washed"}, "set": {"role": None}, "clear_children": True, "children": [{"key": "lost", "dose": "3"}]},
         ],
-        "records": {"2": {"role": "fixed"}, "3": {"name": "by hand", "location": "letter", "set": {"replicate": "7"}, "clear_children": True, "children": [{"key": "oht", "dose": "9"}], "note": "asked"}},
+        "records": {"2": {"role": "fixed"}, "3": {"name": "by hand", "location": "letter", "set": {"replicate": "7"},
+            "clear_children": True, "children": [{"key": "oht", "dose": "9"}], "note": "asked"}},
     }
     rows = [(1, "OHT"), (2, "OHT twice"), (3, "OHT"), (4, "OHT washed"), (5, "plain")]
     df = spark.createDataFrame([(i, {"title": t}) for i, t in rows], "id int, labels map<string,string>")
     table = rules.apply_rules(df, program, "id")
-    assert {r.id: (r.role, r.line, r.replicate, r.note) for r in table.collect()} == {1: ("treated", "MCF-7", None, None), 2: ("fixed", None, None, None), 3: ("treated", "MCF-7", "7", "asked"), 4: (None, "MCF-7", None, None), 5: ("unknown", None, None, None)}
-    assert {(r.id, r.child, r.pos, r.dose) for r in rules.emit_children(df, program, "id", "id").collect()} == {(1, "OHT", 0, "1"), (2, "OHT", 1, "2"), (3, "OHT", 4, "9")}
-    assert {(r.id, r.field, r.spelling, r.rule) for r in rules.unresolved_names(df, program, "id", "id").collect()} == {(2, "line", "mcf8", "again"), (4, "child", "lost", "none")}
+    assert {r.id: (r.role, r.line, r.replicate, r.note) for r in table.collect()} == {1: ("treated", "MCF-7", None, None),
+        2: ("fixed", None, None, None), 3: ("treated", "MCF-7", "7", "asked"), 4: (None, "MCF-7", None, None), 5: ("unknown", None, None, None)}
+    assert {(r.id, r.child, r.pos, r.dose) for r in rules.emit_children(df, program, "id", "id").collect()} == {(1, "OHT", 0, "1"),
+        (2, "OHT", 1, "2"), (3, "OHT", 4, "9")}
+    assert {(r.id, r.field, r.spelling, r.rule) for r in rules.unresolved_names(df, program, "id", "id")
+        .collect()} == {(2, "line", "mcf8", "again"), (4, "child", "lost", "none")}
     numbered = rules.assign_replicates(table.withColumn("replicate", F.col("replicate").cast("int")), ["role"], "id")
     log = rules.provenance(df, program, "id", "id", numbered).collect()
     stands = {(r.entity, r.field): (r.value, r.rule, r.location) for r in log if not r.superseded}
     assert len(stands) == sum(not r.superseded for r in log)
-    assert stands[("2", "role")] == ("fixed", "record 2", None) and stands[("4", "role")] == (None, "none", None) and stands[("1", "replicate")] == ("1", "assigned", None) and stands[("3", "replicate")] == ("7", "by hand", "letter")
-    assert stands[("2|OHT", "dose")] == ("2", "again", None) and stands[("3|OHT", "dose")] == ("9", "by hand", "letter") and ("4|OHT", "dose") not in stands and stands[("5", "role")] == ("unknown", "default", "methods")
-    assert {(r.entity, r.rule, r.spelling) for r in log if r.superseded and r.kind == "child"} == {("2|OHT", "treated", "oht"), ("3|OHT", "treated", "oht"), ("4|OHT", "treated", "oht")}
-    again = rules.current_values(spark.createDataFrame(log, rules.provenance(df, program, "id", "id", numbered).schema), ["role", "line", "replicate"])
+    assert stands[("2", "role")] == ("fixed", "record 2", None) and stands[("4", "role")] == (None, "none",
+        None) and stands[("1", "replicate")] == ("1", "assigned", None) and stands[("3", "replicate")] == ("7", "by hand", "letter")
+    assert stands[("2|OHT", "dose")] == ("2", "again", None) and stands[("3|OHT", "dose")] == ("9", "by hand", "letter") and ("4|OHT",
+        "dose") not in stands and stands[("5", "role")] == ("unknown", "default", "methods")
+    assert {(r.entity, r.rule, r.spelling) for r in log if r.superseded and r.kind == "child"} == {("2|OHT", "treated", "oht"),
+        ("3|OHT", "treated", "oht"), ("4|OHT", "treated", "oht")}
+    again = rules.current_values(spark.createDataFrame(log, rules.provenance(df, program, "id", "id", numbered).schema),
+        ["role", "line", "replicate"])
     assert {r.entity: (r.role, r.line) for r in again.collect()} == {str(r.id): (r.role, r.line) for r in table.collect()}
     assert {r.rule for r in constraints.explain_value(rules.provenance(df, program, "id", "id"), "3").collect()} == {"default", "treated", "by hand"}
 
@@ -169,8 +192,10 @@ def test_surrogate_ids_do_not_depend_on_partitions(spark):
 
 
 def test_items_are_normalized(spark):
-    want = {"growth": "growth", " 24 h": "24", "gsm12": "GSM12", "3.0": "3", "1,000": "1000", "1,234.56789 nM": "1234.5679", "0.00012": "0.0001", "-2.50": "-2.5", "5 %": "5 %", "MCF7": "mcf7", "10 uM": "10 um",
-            "17beta-estradiol (E2)": "estradiol", "E2 (anything)": "estradiol", "Name (code)": "name (code)", "e2": "estradiol", "1e3": "1000"}
+    want = {"growth": "growth", " 24 h": "24", "gsm12": "GSM12", "3.0": "3", "1,000": "1000", "1,234.56789 nM": "1234.5679",
+        "0.00012": "0.0001", "-2.50": "-2.5", "5 %": "5 %", "MCF7": "mcf7", "10 uM": "10 um",
+            "17beta-estradiol (E2)": "estradiol", "E2 (anything)": "estradiol", "Name (code)": "name (code)", "e2": "estradiol",
+                "1e3": "1000"}
     aliases = spark.createDataFrame([("E2", "estradiol"), ("estradiol", "estradiol")], "alias string, name string")
     df = spark.createDataFrame([(x, "kept") for x in [*want, None]], "x string, item string")
     got = {r.x: r.new for r in grading.normalized(df, "x", aliases, "new").collect()}
@@ -194,7 +219,8 @@ def grades(spark, key, answers, **more):
     """id -> (correct, n_passed) of the answers to question q."""
     none = spark.createDataFrame([], "alias string, name string")
     ans = spark.createDataFrame([(i, "q", a) for i, a in answers.items()], "id int, question string, answer string")
-    return {r.id: (r.correct, r.n_passed) for r in grading.grade(ans, spark.createDataFrame([("q", *k) for k in key], KEY), ["id"], none, **more).collect()}
+    return {r.id: (r.correct, r.n_passed) for r in grading.grade(ans, spark.createDataFrame([("q", *k) for k in key], KEY), ["id"], none,
+        **more).collect()}
 
 
 def test_zeros_count_only_if_expected(spark):
@@ -210,15 +236,18 @@ def test_a_missing_part_fails(spark):
 
 def test_answers_that_say_nothing_fail(spark):
     key = [("v", "exact_list", ["a"], 0.0), ("n.x", "exact_number", ["5"], 0.0)]
-    bad = {1: None, 2: "", 3: "not json", 4: "{}", 5: "[]", 6: '"a"', 7: '{"v": []}', 8: '{"v": "[odd"}', 9: '{"v": null, "n": {"x": null}}', 10: '{"n": 5}', 11: "null", 12: '{"v": {}}'}
+    bad = {1: None, 2: "", 3: "not json", 4: "{}", 5: "[]", 6: '"a"', 7: '{"v": []}', 8: '{"v": "[odd"}',
+        9: '{"v": null, "n": {"x": null}}', 10: '{"n": 5}', 11: "null", 12: '{"v": {}}'}
     assert grades(spark, key, bad) == {i: (False, 0) for i in bad}
-    assert grades(spark, [("v", "exact_list", [], 0.0)], {1: '{"v": []}', 2: "{}", 3: '{"v": ["x: 0"]}'}) == {1: (True, 1), 2: (False, 0), 3: (True, 1)}
+    assert grades(spark, [("v", "exact_list", [], 0.0)], {1: '{"v": []}', 2: "{}", 3: '{"v": ["x: 0"]}'}) == {1: (True, 1), 2: (False, 0),
+        3: (True, 1)}
     assert grades(spark, [("v", "exact_list", ["[odd"], 0.0)], {1: '{"v": "[odd"}', 2: '{"v": ["[odd"]}'}) == {1: (True, 1), 2: (True, 1)}
 
 
 def test_numbers_are_compared_as_they_are(spark):
     exact = [("v", "exact_number", ["12"], 0.0)]
-    forms = {'"12 h"': False, '"12"': True, "12": True, "12.0": True, "1.2e1": True, '" 12 "': True, '"1,2"': True, '"twelve"': False, "true": False, "[12]": False, '{"a": 12}': False, "12.00001": False, '""': False}
+    forms = {'"12 h"': False, '"12"': True, "12": True, "12.0": True, "1.2e1": True, '" 12 "': True, '"1,2"': True, '"twelve"': False,
+        "true": False, "[12]": False, '{"a": 12}': False, "12.00001": False, '""': False}
     assert grades(spark, exact, {i: f'{{"v": {x}}}' for i, x in enumerate(forms)}) == {i: (ok, int(ok)) for i, ok in enumerate(forms.values())}
     assert grades(spark, [("v", "tolerance", ["0.00003"], 0.00002)], {1: '{"v": 0.00004}', 2: '{"v": 0.00006}'}) == {1: (True, 1), 2: (False, 0)}
     assert grades(spark, [("v", "exact_number", ["1.2346"], 0.0)], {1: '{"v": 1.23456}', 2: '{"v": "1.2346"}'}) == {1: (False, 0), 2: (True, 1)}
@@ -251,7 +280,8 @@ def test_sections_keep_odd_separators_and_bind_samples(spark, tmp_path):
     rows = files.read_sectioned(spark, str(tmp_path)).withColumn("path", F.substring("path", -1, 1))
     assert [r.value for r in rows.where("path = 'a' and section = 'series'").collect()] == ["a\x0bb\u2028c\x85d"]
     bound, misfits = files.bind_samples(rows)
-    assert {(r.field, r.sample_id, r.value) for r in bound.where("path = 'a' and field <> 'geo_accession'").collect()} == {("note", "S1", "one"), ("note", "S2", "two"), ("f", "S1", "1"), ("f", "S2", "2")}
+    assert {(r.field, r.sample_id, r.value) for r in bound.where("path = 'a' and field <> 'geo_accession'")
+        .collect()} == {("note", "S1", "one"), ("note", "S2", "two"), ("f", "S1", "1"), ("f", "S2", "2")}
     assert [(r.path, r.n_listed, r.n_columns) for r in misfits.collect()] == [("b", 2, 2)]
 
 
@@ -270,7 +300,8 @@ def test_chunks_of_large_files(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"x" * 50 + b"!" + b"x" * 80)
     (tmp_path / "c.bin").unlink()
     after = files.chunk_digests(spark, f"{tmp_path}/*.bin", 40).withColumn("path", name)
-    assert {(r.path, r.chunk, r.change) for r in files.chunk_diff(kept, after).collect()} == {("a.bin", 1, "changed"), ("a.bin", 2, "changed"), ("a.bin", 3, "added"), ("c.bin", 0, "removed")}
+    assert {(r.path, r.chunk, r.change) for r in files.chunk_diff(kept, after).collect()} == {("a.bin", 1, "changed"),
+        ("a.bin", 2, "changed"), ("a.bin", 3, "added"), ("c.bin", 0, "removed")}
 
 
 def test_surrogate_ids_of_texts_nulls_and_ties(spark):
@@ -288,11 +319,13 @@ def test_surrogate_ids_of_repeated_rows(spark):
     one, two = (constraints.surrogate_id(df.repartition(n), ["a"], rows=100) for n in (1, 9))
     rows = sorted(map(str, one.collect()))
     assert rows == sorted(map(str, two.collect())) and sorted(r.id for r in one.collect()) == list(range(1, 4001))
-    assert one.groupBy("a").agg(F.max("id").alias("last"), F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("last - first + 1 <> n").count() == 0
+    assert one.groupBy("a").agg(F.max("id").alias("last"), F.min("id").alias("first"),
+        F.count(F.lit(1)).alias("n")).where("last - first + 1 <> n").count() == 0
 
 
 def test_medians_are_exact(spark):
-    df = spark.range(40_000).selectExpr("nullif(id % 4, 0) as k", "case when id % 4 = 1 then 7 when id % 4 = 2 then pmod(hash(id), 1000) / 8 when id % 4 = 3 and id < 8 then id when id % 4 = 0 then hash(id) end as v")
+    df = spark.range(40_000).selectExpr("nullif(id % 4, 0) as k",
+        "case when id % 4 = 1 then 7 when id % 4 = 2 then pmod(hash(id), 1000) / 8 when id % 4 = 3 and id < 8 then id when id % 4 = 0 then hash(id) end as v")
     want = {r.k: r.m for r in df.groupBy("k").agg(F.median("v").alias("m")).collect()}
     assert {r.k: r.v_median for r in scaling.value_summary(df, ["k"], "v").collect()} == want
 
@@ -302,8 +335,10 @@ def test_ordered_bits_keep_order_and_value(spark):
 
     from pyspark.sql import types as T
 
-    rng, values = __import__("random").Random(3), [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"), -float("inf"), float("nan"), 1.0, 0.1, 1 / 3, -7.25]
-    values += [2.0**e * k for e in range(-1074, 1024, 7) for k in (1, -1)] + [x for e in (-1022, -3, 0, 52, 1023) for x in (2.0**e, 2.0**e * (1 + 2**-52), 2.0**e * (2 - 2**-52))]
+    rng, values = __import__("random").Random(3), [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308,
+        1.7976931348623157e308, float("inf"), -float("inf"), float("nan"), 1.0, 0.1, 1 / 3, -7.25]
+    values += [2.0**e * k for e in range(-1074, 1024, 7) for k in (1, -1)] + [x for e in (-1022, -3, 0, 52, 1023) for x in (2.0**e,
+        2.0**e * (1 + 2**-52), 2.0**e * (2 - 2**-52))]
     values += [x for _ in range(2000) for x in struct.unpack("d", rng.randbytes(8)) if x == x]
     df = spark.createDataFrame([(x,) for x in values], T.StructType([T.StructField("x", T.DoubleType())]))
     bits = scaling.ordered_bits(F.col("x"))
@@ -313,9 +348,11 @@ def test_ordered_bits_keep_order_and_value(spark):
 
 
 def test_medians_of_odd_groups(spark):
-    df = spark.createDataFrame([("one", 5.0), ("two", 1.0), ("two", 2.0), ("null", None), (None, -3.0), (None, -1.0), (None, 7.0), ("inf", float("inf")), ("inf", 1.0), ("inf", 2.0)] + [("hot", 4.5)] * 500 + [("hot", 9.0)] * 499, "k string, v double")
+    df = spark.createDataFrame([("one", 5.0), ("two", 1.0), ("two", 2.0), ("null", None), (None, -3.0), (None, -1.0), (None, 7.0),
+        ("inf", float("inf")), ("inf", 1.0), ("inf", 2.0)] + [("hot", 4.5)] * 500 + [("hot", 9.0)] * 499, "k string, v double")
     assert {r.k: r["median"] for r in scaling.group_median(df, ["k"], "v").collect()} == {"one": 5.0, "two": 1.5, None: -1.0, "inf": 2.0, "hot": 4.5}
-    assert scaling.group_median(df.where("k = 'two'"), [], "v").first()["median"] == 1.5 and scaling.group_median(df.limit(0), ["k"], "v").count() == 0
+    assert scaling.group_median(df.where("k = 'two'"), [], "v").first()["median"] == 1.5 and scaling.group_median(df.limit(0), ["k"],
+        "v").count() == 0
 
 
 def test_correlation_in_tiles_equals_numpy(spark):
@@ -325,7 +362,8 @@ def test_correlation_in_tiles_equals_numpy(spark):
     x = rng.normal(1e6, 1, (9, 60)) + np.linspace(0, 3, 60) * rng.normal(size=(9, 1))
     x[8] = 1e6 + 1  # no spread
     has = rng.random(x.shape) < 0.7
-    rows = [("g", f"s{i}", f"f{j}", float(x[i, j]) if has[i, j] else None) for i in range(9) for j in range(60)] + [("h", "s1", "f1", 2e6), (None, "s1", "f1", 2e6), (None, "s2", "f1", 2e6), ("g", None, "f1", 2e6)]
+    rows = [("g", f"s{i}", f"f{j}", float(x[i, j]) if has[i, j] else None) for i in range(9) for j in range(60)] + [("h", "s1", "f1", 2e6),
+        (None, "s1", "f1", 2e6), (None, "s2", "f1", 2e6), ("g", None, "f1", 2e6)]
     df = spark.createDataFrame(rows, "k string, s string, f string, v double")
     pairs = profile.sample_correlation(df, "s", "f", "v", 0.0, ["k"], tile=2, block=7)
     got = {(r.k, r.a, r.b): (r.r, r.n_features) for r in pairs.collect()}
@@ -346,9 +384,11 @@ def test_headers_of_several_lines_and_bodies_like_them(spark, tmp_path):
     (tmp_path / "a.csv").write_text('x,,"l\n1",l2\nid,name,S1,S2\nid,name,S1,S2\nr1,"a,b",1,\n\nx,,l2,3\nr2,c,4\n')
     (tmp_path / "b.csv").write_text("x,,m1\nid,name,S1\nr9,z,8,9\n")
     labels, long = files.read_multi_header(spark, str(tmp_path), 1, 2)
-    assert {(r.path[-5:], r.sample_id, r.label, r.value) for r in labels.collect()} == {("a.csv", "S1", "label_1", "l\n1"), ("a.csv", "S2", "label_1", "l2"), ("b.csv", "S1", "label_1", "m1")}
+    assert {(r.path[-5:], r.sample_id, r.label, r.value) for r in labels.collect()} == {("a.csv", "S1", "label_1", "l\n1"),
+        ("a.csv", "S2", "label_1", "l2"), ("b.csv", "S1", "label_1", "m1")}
     got = {(r.path[-5:], r.line, r.id, r.name, r.sample_id, r.value) for r in long.collect()}
-    a = [(4, "id", "name", "S1", None), (4, "id", "name", "S2", None), (5, "r1", "a,b", "S1", 1.0), (5, "r1", "a,b", "S2", None), (7, "x", "", "S1", None), (7, "x", "", "S2", 3.0), (8, "r2", "c", "S1", 4.0), (8, "r2", "c", "S2", None)]
+    a = [(4, "id", "name", "S1", None), (4, "id", "name", "S2", None), (5, "r1", "a,b", "S1", 1.0), (5, "r1", "a,b", "S2", None),
+        (7, "x", "", "S1", None), (7, "x", "", "S2", 3.0), (8, "r2", "c", "S1", 4.0), (8, "r2", "c", "S2", None)]
     assert got == {("a.csv", *r) for r in a} | {("b.csv", 3, "r9", "z", "S1", 8.0)}
     (tmp_path / "c.csv").write_text("x,,m1,m2\nid,name,S1,S1\n")
     with pytest.raises(ValueError, match="repeat"):
@@ -356,34 +396,44 @@ def test_headers_of_several_lines_and_bodies_like_them(spark, tmp_path):
 
 
 def test_every_record_of_a_repeated_title_names_others(spark):
-    rows = [("s", i, f"same (run {i})", "b1" if i < 9 else "b2") for i in range(12)] + [("s", 50, "pair", "b1"), ("s", 51, "pair (run 3)", "b1"), ("s", 52, "alone", "b1"), (None, 60, "same", "b1"), (None, 61, "same", "b1"), ("s", 70, None, "b1"), ("s", 71, None, "b1")]
-    got = {r.i: (r.kind, r.n_others, r.others) for r in checks.duplicate_title_records(spark.createDataFrame(rows, "s string, i int, t string, b string"), "s", "i", "t", "b", r"\s*\(run \d+\)$", 3).collect()}
-    assert got[0] == ("across batches", 11, [1, 2, 3]) and got[2] == ("across batches", 11, [0, 1, 3]) and got[11] == ("across batches", 11, [0, 1, 2])
+    rows = [("s", i, f"same (run {i})", "b1" if i < 9 else "b2") for i in range(12)] + [("s", 50, "pair", "b1"),
+        ("s", 51, "pair (run 3)", "b1"), ("s", 52, "alone", "b1"), (None, 60, "same", "b1"), (None, 61, "same", "b1"),
+            ("s", 70, None, "b1"), ("s", 71, None, "b1")]
+    got = {r.i: (r.kind, r.n_others, r.others) for r in checks.duplicate_title_records(spark
+        .createDataFrame(rows, "s string, i int, t string, b string"), "s", "i", "t", "b", r"\s*\(run \d+\)$", 3).collect()}
+    assert got[0] == ("across batches", 11, [1, 2, 3]) and got[2] == ("across batches", 11, [0, 1, 3]) and got[11] == ("across batches",
+        11, [0, 1, 2])
     assert got[50] == ("within batch", 1, [51]) and got[61] == ("within batch", 1, [60]) and 52 not in got and 70 not in got
 
 
 def test_inventory_tags_come_from_programs(spark):
-    programs = {"p": {"rules": [{"name": "a", "inventory": "M1"}, {"name": "b"}], "records": {"1": {"name": "c", "inventory": "M2", "set": {}}, "2": {"role": "x"}}}, "q": {"rules": [{"name": "d", "inventory": "M1"}]}}
+    programs = {"p": {"rules": [{"name": "a", "inventory": "M1"}, {"name": "b"}],
+        "records": {"1": {"name": "c", "inventory": "M2", "set": {}}, "2": {"role": "x"}}}, "q": {"rules": [{"name": "d", "inventory": "M1"}]}}
     assert {(r.id, r.fixed_by) for r in checks.program_tags(spark, programs).collect()} == {("M1", "p: a"), ("M2", "p: c"), ("M1", "q: d")}
     assert checks.program_tags(spark, {}).count() == 0
 
 
 def test_ladders_by_study(spark):
-    f = spark.createDataFrame([("a", 1, "x", None), ("b", 2, "x", None), ("a", 3, "y", None), ("a", 4, "z", "probe"), ("a", 5, None, None), ("a", 6, "w", None)], "study string, n int, name string, s string")
+    f = spark.createDataFrame([("a", 1, "x", None), ("b", 2, "x", None), ("a", 3, "y", None), ("a", 4, "z", "probe"), ("a", 5, None, None),
+        ("a", 6, "w", None), ("a", 6, "w", None)], "study string, n int, name string, s string")
     by_n = spark.createDataFrame([(1, "n1"), (2, "n2"), (4, "n4"), (6, "n6"), (6, "other")], "key int, id string")
-    by_name = spark.createDataFrame([("x", "named", None), ("y", "only b", "b"), ("w", "w1", "a"), ("w", "w1", "a")], "key string, id string, study string")
+    by_name = spark.createDataFrame([("x", "named", None), ("y", "only b", "b"), ("w", "w1", "a"), ("w", "w1", "a")],
+        "key string, id string, study string")
     ladder = [("number", "n", by_n), ("name", "name", by_name)]
     got = {r.n: (r.id, r.method, r.status) for r in identity.map_entities(f, ladder, F.col("s"), "study", {"b": ["number"]}).collect()}
-    assert got == {1: ("n1", "number", "mapped"), 2: ("named", "name", "mapped"), 3: (None, None, "unmapped"), 4: (None, None, "probe"), 5: (None, None, "unmapped"), 6: ("w1", "name", "mapped")}
+    assert got == {1: ("n1", "number", "mapped"), 2: ("named", "name", "mapped"), 3: (None, None, "unmapped"), 4: (None, None, "probe"),
+        5: (None, None, "unmapped"), 6: ("w1", "name", "mapped")}
     assert [(r.method, r.key, r.n_ids) for r in identity.repeated_keys(ladder, "study").collect()] == [("number", "6", 2)]
 
 
 def test_compared_sets_share_samples(spark):
     v = spark.createDataFrame([(1, "g", 4.0), (2, "g", 1.0), (3, "g", 2.0), (1, "h", 1.0)], "s int, e string, v double")
-    m = spark.createDataFrame([("c1", "treated", 1), ("c1", "treated", 1), ("c1", "control", 2), ("c1", "control", 3), ("c2", "treated", 3), ("c2", "control", 2), ("c3", "treated", 1)], "comparison string, side string, s int")
+    m = spark.createDataFrame([("c1", "treated", 1), ("c1", "treated", 1), ("c1", "control", 2), ("c1", "control", 3), ("c2", "treated", 3),
+        ("c2", "control", 2), ("c3", "treated", 1)], "comparison string, side string, s int")
     got = {r.e: (r.c1, r.c2, r.c3) for r in cohort.compared_sets(v, m, "s", "e", "v", ["c1", "c2", "c3"]).collect()}
     assert got == {"g": (2.5, 1.0, None), "h": (None, None, None)}
-    assert {(r.comparison, r.n_treated, r.n_control) for r in cohort.comparison_members(m, "s").collect()} == {("c1", 1, 2), ("c2", 1, 1), ("c3", 1, 0)}
+    assert {(r.comparison, r.n_treated, r.n_control) for r in cohort.comparison_members(m, "s").collect()} == {("c1", 1, 2), ("c2", 1, 1),
+        ("c3", 1, 0)}
 
 
 def test_unpivot_drops_or_keeps_nulls(spark):
@@ -401,8 +451,10 @@ def test_sections_of_a_file_that_many_tasks_read(spark, tmp_path):
     (tmp_path / "plain").mkdir()
     (tmp_path / "plain" / "x.txt").write_text(text)
     (tmp_path / "x.txt.gz").write_bytes(gzip.compress(text.encode()))
-    want = [("series", 1, "title", 0, 'a "b" c'), ("sample", 3, "geo_accession", 0, "S1"), ("sample", 3, "geo_accession", 1, "S2"), ("sample", 4, "note", 0, "x\ty"), ("sample", 4, "note", 1, ""), ("sample", 5, "note", 0, "p"), ("sample", 5, "note", 1, "q")]
-    want += [("header", 7, "ID_REF", 0, "S1"), ("header", 7, "ID_REF", 1, "S2"), *(("table", 8 + 2 * i, f"f{i}", k, str(i * (1 - 2 * k))) for i in range(3000) for k in (0, 1)), ("series", 6010, "note", 0, "last")]
+    want = [("series", 1, "title", 0, 'a "b" c'), ("sample", 3, "geo_accession", 0, "S1"), ("sample", 3, "geo_accession", 1, "S2"),
+        ("sample", 4, "note", 0, "x\ty"), ("sample", 4, "note", 1, ""), ("sample", 5, "note", 0, "p"), ("sample", 5, "note", 1, "q")]
+    want += [("header", 7, "ID_REF", 0, "S1"), ("header", 7, "ID_REF", 1, "S2"),
+        *(("table", 8 + 2 * i, f"f{i}", k, str(i * (1 - 2 * k))) for i in range(3000) for k in (0, 1)), ("series", 6010, "note", 0, "last")]
     before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     try:
         spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
@@ -421,7 +473,9 @@ def test_bundles_skip_foreign_members_and_report_gaps(spark, tmp_path, monkeypat
     import io
     import tarfile
 
-    members = {"S1_x.txt": "id\tn\tm\nk1\t1\t\nk2\t2\t\n", "S2_x.txt": "id\tn\tm\nk1\t1\t\nk2\t3\t\n", "S3_x.txt": "id\tn\tm\nk2\t1\t\nk1\t9\t\n", "S4_x.txt": b"\x1f\x8bbroken", "d/S5_x.txt.gz": gzip.compress(b'id\tn\nk1\t"a\nb"\nk2\t1\t2\t3\n'), "S6.txt": "", "S7.txt": "id\tn\tm\n"}
+    members = {"S1_x.txt": "id\tn\tm\nk1\t1\t\nk2\t2\t\n", "S2_x.txt": "id\tn\tm\nk1\t1\t\nk2\t3\t\n",
+        "S3_x.txt": "id\tn\tm\nk2\t1\t\nk1\t9\t\n", "S4_x.txt": b"\x1f\x8bbroken",
+            "d/S5_x.txt.gz": gzip.compress(b'id\tn\nk1\t"a\nb"\nk2\t1\t2\t3\n'), "S6.txt": "", "S7.txt": "id\tn\tm\n"}
     with tarfile.open(tmp_path / "b.tar", mode="w") as tar:
         for name, text in members.items():
             body = text if isinstance(text, bytes) else text.encode()
@@ -435,7 +489,8 @@ def test_bundles_skip_foreign_members_and_report_gaps(spark, tmp_path, monkeypat
     keep = spark.createDataFrame([(f"S{i}",) for i in (1, 2, 3, 5, 6, 7, 8)], "sample_id string")
     got = files.read_bundle(spark, str(tmp_path), keep)
     assert {(r.sample_id, r.row, r.row_key, r.field, r.value) for r in got["rows"].where("sample_id in ('S1', 'S5')").collect()} == {
-        ("S1", 1, "k1", "n", "1"), ("S1", 1, "k1", "m", ""), ("S1", 2, "k2", "n", "2"), ("S1", 2, "k2", "m", ""), ("S5", 1, "k1", "n", "a\nb"), ("S5", 2, "k2", "n", "1"), ("S5", 2, "k2", "#2", "2"), ("S5", 2, "k2", "#3", "3")}
+        ("S1", 1, "k1", "n", "1"), ("S1", 1, "k1", "m", ""), ("S1", 2, "k2", "n", "2"), ("S1", 2, "k2", "m", ""),
+            ("S5", 1, "k1", "n", "a\nb"), ("S5", 2, "k2", "n", "1"), ("S5", 2, "k2", "#2", "2"), ("S5", 2, "k2", "#3", "3")}
     assert {r.member for r in got["skipped"].collect()} == {"S4_x.txt", "S9_dir"} and [r.sample_id for r in got["missing"].collect()] == ["S8"]
     assert {r.member for r in got["empty"].collect()} == {"S6.txt", "S7.txt"}
     assert {(r.member, r.what) for r in got["odd"].collect()} == {("S3_x.txt", "row keys"), ("d/S5_x.txt.gz", "columns")}
@@ -447,7 +502,8 @@ def test_manifest_of_large_files(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     before = files.source_manifest(spark, f"{tmp_path}/*.bin", 10)
     got = {r.path.rsplit("/", 1)[1]: (r.sha256, r.size_bytes, r.kind) for r in before.collect()}
-    assert got == {n: (hashlib.sha256((tmp_path / n).read_bytes()).hexdigest(), (tmp_path / n).stat().st_size, "bin") for n in ("a.bin", "b.bin", "c.bin")}
+    assert got == {n: (hashlib.sha256((tmp_path / n).read_bytes()).hexdigest(), (tmp_path / n).stat().st_size, "bin") for n in ("a.bin",
+        "b.bin", "c.bin")}
     kept = spark.createDataFrame(before.collect(), before.schema)
     (tmp_path / "b.bin").write_bytes(b"Y" * 50)
     after = files.source_manifest(spark, f"{tmp_path}/*.bin", 10)
@@ -466,8 +522,10 @@ def test_manifest_has_every_table(spark):
 
 
 def test_alias_seen_as_a_whole_and_in_its_study(spark):
-    texts = spark.createDataFrame([("S1", "with 4-OH tamoxifen, MCF7+E2 and OH-Tam."), ("S2", "tamoxifen 4 OH; the E2 dose (ICI 182,780)"), ("S3", None), ("S3", "")], "study string, text string")
-    rows = [("S1", "4-OH tamoxifen"), ("S1", "OH-Tam"), ("S2", "OH-Tam"), ("S1", "+E2"), ("S2", "+E2"), ("S2", "ICI 182,780"), ("S2", "(ICI 182,780)"), ("S2", "4-OH"), ("S2", "ICI 182"), ("S1", "amoxifen"), ("S1", "e2"), ("S3", "e2"), ("S1", "+"), ("S2", "+")]
+    texts = spark.createDataFrame([("S1", "with 4-OH tamoxifen, MCF7+E2 and OH-Tam."), ("S2", "tamoxifen 4 OH; the E2 dose (ICI 182,780)"),
+        ("S3", None), ("S3", "")], "study string, text string")
+    rows = [("S1", "4-OH tamoxifen"), ("S1", "OH-Tam"), ("S2", "OH-Tam"), ("S1", "+E2"), ("S2", "+E2"), ("S2", "ICI 182,780"),
+        ("S2", "(ICI 182,780)"), ("S2", "4-OH"), ("S2", "ICI 182"), ("S1", "amoxifen"), ("S1", "e2"), ("S3", "e2"), ("S1", "+"), ("S2", "+")]
     aliases = spark.createDataFrame(rows, "study string, alias string")
     got = {(r.study, r.alias) for r in identity.alias_seen(aliases, texts, study="study").collect()}
     assert got == {("S2", "OH-Tam"), ("S2", "+E2"), ("S2", "4-OH"), ("S1", "amoxifen"), ("S3", "e2"), ("S2", "+")}
