@@ -83,7 +83,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[pa.RecordBatch]:
         for lang, n in total.items():
             at = n.nonzero()[0]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()),
+                pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
         total.clear()
 
     for batch in batches:
@@ -99,7 +100,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame) -> Model | None:
     """From all rows of ``docs`` (text, lang) with a lang and a letter."""
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string")
+        .alias("lang")).where("text is not null and lang is not null")
     counts = written(rows.mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "language")
     languages = [r["lang"] for r in counts.where(F.col("bucket") == BUCKETS).select("lang").orderBy("lang").limit(MAX_LANGS + 1).collect()]
     if len(languages) > MAX_LANGS:
@@ -134,7 +136,8 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
                 best = total.argmax(1)
                 names[some] = np.array(model.languages, object)[best]
                 scores[some] = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores)],
+                [*keep, "lang_pred", "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
     return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")

@@ -53,9 +53,11 @@ def coordinate(term: Column, bits: int) -> Column:
 def index(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """doc_id, digest of the text, n (its terms) and sketch of every document. A sketch entry is a long: coordinate * 2^40 +
     largest count, ascending. No filter on the terms stands here or below, since Spark would push it down and tokenize twice."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("digest"), terms(F.col("text")).alias("t"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("digest"),
+        terms(F.col("text")).alias("t"))
     d = d.withColumn("h", F.sort_array(F.transform("t", lambda x: F.xxhash64(x)))).withColumn("n", F.size("h"))
-    last = F.filter(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0))), lambda i: ~F.get("h", i).eqNullSafe(F.get("h", i + 1)))  # of equal hashes
+    last = F.filter(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0))),
+        lambda i: ~F.get("h", i).eqNullSafe(F.get("h", i + 1)))  # of equal hashes
 
     def entry(end: Column, k: Column) -> Column:
         count = end - F.coalesce(F.get("last", k - 1), F.lit(-1))
@@ -84,14 +86,16 @@ def statistics(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def _weighted(asked: DataFrame, stats: DataFrame, n_docs: int, bits: int) -> DataFrame:
     weight = F.floor(F.lit(1000.0) * F.log(F.lit(2.0 * n_docs + 2) / (2 * F.col("df") + 1)))
-    return asked.join(bounded(stats), "term").select("_item", "item_id", "term", coordinate(F.col("term"), bits).alias("b"), (F.col("repeats") * weight).cast("long").alias("weight"))
+    return asked.join(bounded(stats), "term").select("_item", "item_id", "term", coordinate(F.col("term"), bits).alias("b"),
+        (F.col("repeats") * weight).cast("long").alias("weight"))
 
 
 def bounds(sketches: DataFrame, coords: DataFrame, length: str) -> DataFrame:
     """_item, doc, doc_id, digest, bound of every document and item that share a coordinate."""
     dealt = sketches.repartition("doc")
     each = dealt.select("doc", "doc_id", "digest", F.expr(length).alias("m"), F.explode("sketch").alias("_e"))
-    each = each.select("doc", "doc_id", "digest", "m", F.shiftright("_e", COUNT_BITS).alias("b"), F.col("_e").bitwiseAND((1 << COUNT_BITS) - 1).alias("tf"))
+    each = each.select("doc", "doc_id", "digest", "m", F.shiftright("_e", COUNT_BITS).alias("b"),
+        F.col("_e").bitwiseAND((1 << COUNT_BITS) - 1).alias("tf"))
     met = each.join(bounded(coords), "b").select("_item", "doc", "doc_id", "digest", (F.col("weight") * impact("tf", "m")).alias("part"))
     return met.groupBy("_item", "doc", "doc_id", "digest").agg(F.sum("part").alias("bound"))
 
@@ -101,14 +105,18 @@ def rescored(docs: DataFrame, pairs: DataFrame, profile: DataFrame, length: str)
     repeat in all (doc_id and text) are scored once and returned as often as they stand there."""
     own = ["_id", "digest"]
     pairs = pairs.select("_item", F.struct("doc_id").alias("_id"), "digest").distinct()
-    d = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("digest"), F.col("text").cast("string").alias("text"))
+    d = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("_id"),
+        F.xxhash64(F.col("text").cast("string")).alias("digest"), F.col("text").cast("string").alias("text"))
     d = d.join(bounded(pairs.select(*own).distinct()), own, "left_semi")
     d = d.groupBy(*own).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    d = d.select(*own, "copies", terms(F.col("text")).alias("t")).select(*own, "copies", F.size("t").cast("long").alias("n"), F.explode_outer("t").alias("term"))
-    counts = d.join(bounded(profile.select("term").distinct()), "term", "left_semi").groupBy(*own, "copies", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    d = d.select(*own, "copies", terms(F.col("text")).alias("t")).select(*own, "copies", F.size("t").cast("long").alias("n"),
+        F.explode_outer("t").alias("term"))
+    counts = d.join(bounded(profile.select("term").distinct()), "term", "left_semi").groupBy(*own, "copies", "n",
+        "term").agg(F.count(F.lit(1)).alias("tf"))
     each = counts.withColumn("m", F.expr(length)).join(bounded(pairs), own).join(bounded(profile.drop("b")), ["_item", "term"])
     got = each.groupBy("_item", "item_id", *own, "copies").agg(F.sum(F.col("weight") * impact("tf", "m")).alias("score")).where("score > 0")
-    return got.select("_item", "item_id", F.col("_id.doc_id").alias("doc_id"), "score", F.explode(F.sequence(F.lit(1), F.least(F.col("copies").cast("int"), F.lit(TOP)))).alias("_copy")).drop("_copy")
+    return got.select("_item", "item_id", F.col("_id.doc_id").alias("doc_id"), "score",
+        F.explode(F.sequence(F.lit(1), F.least(F.col("copies").cast("int"), F.lit(TOP)))).alias("_copy")).drop("_copy")
 
 
 def _ranked(scores: DataFrame, top: int) -> DataFrame:

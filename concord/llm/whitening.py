@@ -56,7 +56,8 @@ class Fit:
 def whole(vectors: DataFrame) -> DataFrame:
     """vec_id and x (array of long) of the rows that take part."""
     fine = F.forall("v", lambda c: F.coalesce(F.abs(c) < LARGEST, F.lit(False)) & ~F.isnan(c))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(F.size("v") > 0).where(fine)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"),
+        F.col("embedding").cast("array<double>").alias("v")).where(F.size("v") > 0).where(fine)
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     d = lengths["d"] if lengths else 0
     if d > MAX_DIM:
@@ -167,9 +168,11 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
     each = written(whitened(distinct, model), "whitening")
     error = float(np.abs(covariance(each, "z", "w") - np.eye(len(model.explained))).max())
     hashed = F.xxhash64("x").alias("h")
-    back = rows.select("vec_id", hashed, "x").join(each.select(hashed, "x", "deviation", "z"), ["h", "x"]).select("vec_id", "deviation", F.posexplode("z").alias("k", "whitened"))
+    back = rows.select("vec_id", hashed, "x").join(each.select(hashed, "x", "deviation", "z"), ["h", "x"]).select("vec_id", "deviation",
+        F.posexplode("z").alias("k", "whitened"))
     share = F.array(*map(F.lit, model.explained))
-    return back.select("vec_id", (F.col("k") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.get(share, "k").alias("explained"), F.lit(error).alias("identity_error"))
+    return back.select("vec_id", (F.col("k") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(share, "k").alias("explained"), F.lit(error).alias("identity_error"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,8 @@ def plain_search(docs, items, top=20):
         want, found = Counter(plain_terms(text)), []
         for i, c, n in held:
             m = 75 + 25 * n * n_docs // n_terms
-            score = sum(k * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[w] + 1))) * (1000000000 * c[w] // (1000 * c[w] + 12 * m)) for w, k in want.items() if c[w])
+            score = sum(k * math.floor(1000 * math
+                .log((2 * n_docs + 2) / (2 * df[w] + 1))) * (1000000000 * c[w] // (1000 * c[w] + 12 * m)) for w, k in want.items() if c[w])
             if score > 0:
                 found.append((-score, i is None, i or 0, i))
         out += [(item, k, i, -s) for k, (s, _, _, i) in enumerate(sorted(found)[:top], 1)]
@@ -41,8 +42,10 @@ def test_search_equals_scoring_all_documents(spark, first, bits):
     rnd = random.Random(4)
     words = [*(f"w{int(rnd.paretovariate(0.7))}" for _ in range(60)), "ÉTÉ", "été", "Straße", "İx", "ΣΑΣ", "x\x00y", "漢字", "A_b", "\U0001f600z"]
     docs = [(i, " ".join(rnd.choice(words) for _ in range(rnd.choice([1, 5, 30, 300])))) for i in range(120)]
-    docs += [(None, "w1 w2"), (None, None), (500, ""), (501, "..."), (502, None), (9, docs[9][1]), (503, docs[9][1]), (504, docs[9][1]), (None, docs[9][1]), (505, " ".join(f"z{i}" for i in range(30000)) + " w3")]
-    items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 20)))) for i in range(25)] + [(3, "w1 W1 w2"), (3, "w1 W1 w2"), (None, "w2 w3"), (40, None), (41, ""), (42, "nowhere"), (43, docs[9][1])]
+    docs += [(None, "w1 w2"), (None, None), (500, ""), (501, "..."), (502, None), (9, docs[9][1]), (503, docs[9][1]), (504, docs[9][1]),
+        (None, docs[9][1]), (505, " ".join(f"z{i}" for i in range(30000)) + " w3")]
+    items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 20)))) for i in range(25)] + [(3, "w1 W1 w2"), (3, "w1 W1 w2"),
+        (None, "w2 w3"), (40, None), (41, ""), (42, "nowhere"), (43, docs[9][1])]
     d = spark.createDataFrame([(*x, "z", [1]) for x in docs], "doc_id long, text string, doc string, term array<int>")
     q = spark.createDataFrame([(*x, 7) for x in items], "item_id long, text string, score int")
     got = sorted(((r.item_id, r.rank, r.doc_id, r.score) for r in lexical.search(d, q, first=first, bits=bits).collect()), key=repr)
@@ -63,14 +66,16 @@ def test_bounds_are_above_the_scores(spark):
 
 def test_search_of_nothing(spark):
     d, q = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a")], "item_id long, text string")
-    assert lexical.search(d.limit(0), q).count() == 0 and lexical.search(d, q.limit(0)).count() == 0 and lexical.search(d.select("doc_id", F.lit("").alias("text")), q).count() == 0
+    assert lexical.search(d.limit(0), q).count() == 0 and lexical.search(d,
+        q.limit(0)).count() == 0 and lexical.search(d.select("doc_id", F.lit("").alias("text")), q).count() == 0
 
 
 VECTORS = "vec_id long, embedding array<float>, n int, h string"
 
 
 def plain_whitening(rows, k=32):
-    ok = [(i, [math.floor(64 * float(np.float32(c))) + 1000000 for c in v]) for i, v in rows if v and len(v) == len(rows[0][1]) and all(c is not None and math.isfinite(c) and abs(c) < 2.0**46 for c in v)]
+    ok = [(i, [math.floor(64 * float(np.float32(c))) + 1000000 for c in v]) for i,
+        v in rows if v and len(v) == len(rows[0][1]) and all(c is not None and math.isfinite(c) and abs(c) < 2.0**46 for c in v)]
     x, n = np.array([v for _, v in ok]), len(ok)
     sums = [sum(v[j] for _, v in ok) for j in range(x.shape[1])]
     c = x - np.array(sums) / n
@@ -78,17 +83,20 @@ def plain_whitening(rows, k=32):
     e, u = e[::-1], u[:, ::-1]
     keep = [j for j in range(min(k, len(e))) if e[j] > 1e-9 * e[0] > 0]
     z = c @ u[:, keep] / np.sqrt(e[keep])
-    return [(i, j + 1, n, sum((n * a - s) ** 2 for a, s in zip(v, sums)), abs(float(z[r, j])), float(e[j] / e.sum())) for r, (i, v) in enumerate(ok) for j in keep]
+    return [(i, j + 1, n, sum((n * a - s) ** 2 for a, s in zip(v, sums)), abs(float(z[r, j])), float(e[j] / e.sum())) for r,
+        (i, v) in enumerate(ok) for j in keep]
 
 
 def test_whitening_equals_the_whole_matrix(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(c) for c in rng.normal(size=40) * np.linspace(0.2, 3, 40)]) for i in range(200)]
-    rows += [(1000 + i, rows[0][1]) for i in range(90)] + [(rows[5][0], rows[5][1]), (None, rows[6][1]), (300, None), (301, []), (302, [1.0] * 39), (303, [1.0] * 39 + [None]), (304, [1.0] * 39 + [math.nan]), (305, [1.0] * 39 + [-math.inf]), (306, [1e30] * 40)]
+    rows += [(1000 + i, rows[0][1]) for i in range(90)] + [(rows[5][0], rows[5][1]), (None, rows[6][1]), (300, None), (301, []),
+        (302, [1.0] * 39), (303, [1.0] * 39 + [None]), (304, [1.0] * 39 + [math.nan]), (305, [1.0] * 39 + [-math.inf]), (306, [1e30] * 40)]
     got = whitening.whiten(spark.createDataFrame([(*r, 1, "h") for r in rows], VECTORS)).collect()
     assert got and all(r.identity_error <= 1e-8 for r in got)
     order = lambda r: (repr(r[0]), r[1], r[3], r[4])
-    mine, want = sorted(((r.vec_id, r.component, r.n, r.deviation, abs(r.whitened), r.explained) for r in got), key=order), sorted(plain_whitening(rows), key=order)
+    mine, want = sorted(((r.vec_id, r.component, r.n, r.deviation, abs(r.whitened), r.explained) for r in got),
+        key=order), sorted(plain_whitening(rows), key=order)
     assert [r[:4] for r in mine] == [r[:4] for r in want]
     np.testing.assert_allclose([r[4:] for r in mine], [r[4:] for r in want], rtol=1e-7, atol=1e-9)
 
@@ -118,7 +126,8 @@ def plain_counts(text):
 
 def test_every_run_of_a_text_counts(monkeypatch):
     rnd = random.Random(1)
-    texts = [None, "", "a", " ", "é", "ab", "12 a-b", "\U00020000漢 x", *("".join(rnd.choice("abcé ,1漢") for _ in range(rnd.randint(1, 90))) for _ in range(60))]
+    texts = [None, "", "a", " ", "é", "ab", "12 a-b", "\U00020000漢 x",
+        *("".join(rnd.choice("abcé ,1漢") for _ in range(rnd.randint(1, 90))) for _ in range(60))]
     for t in texts:
         whole = language.counts_of(t)
         assert whole.sum() == (plain_counts(t) if any(c.isalpha() for c in t or "") else 0)
@@ -147,7 +156,8 @@ def plain_bayes(rows):
             log = {}
             for lang in sorted(docs):
                 size = sum(counts[lang].values()) + language.SMOOTHING * language.BUCKETS
-                log[lang] = math.log(docs[lang] / sum(docs.values())) + sum(int(c[b]) * math.log((counts[lang][int(b)] + language.SMOOTHING) / size) for b in c.nonzero()[0])
+                log[lang] = math.log(docs[lang] / sum(docs.values())) + sum(int(c[b]) * math
+                    .log((counts[lang][int(b)] + language.SMOOTHING) / size) for b in c.nonzero()[0])
             top = max(log.values())
             name = next(x for x in log if log[x] == top)
             best = (name, 1 / sum(math.exp(v - top) for v in log.values()))
@@ -158,8 +168,10 @@ def plain_bayes(rows):
 def test_language_equals_plain_bayes(spark):
     rnd = random.Random(8)
     speak = {"en": "the of and tion ing er", "fr": "le de et eau é ment", "de": "der ung sch ü ein ß", "": "qq ww zz"}
-    rows = [(i, " ".join(rnd.choice(speak[x].split()) for _ in range(rnd.choice([1, 3, 40]))), x) for i in range(80) for x in [rnd.choice(list(speak))]]
-    rows += [(100, None, "en"), (101, "", "en"), (102, "123 ...", "fr"), (103, "the", None), (None, "le eau", "xx"), (None, "der", None), (104, rows[0][1], rows[0][2]), (rows[1][0], rows[1][1], rows[1][2]), (105, "ment eau " * 40000, "fr")]
+    rows = [(i, " ".join(rnd.choice(speak[x].split()) for _ in range(rnd.choice([1, 3, 40]))),
+        x) for i in range(80) for x in [rnd.choice(list(speak))]]
+    rows += [(100, None, "en"), (101, "", "en"), (102, "123 ...", "fr"), (103, "the", None), (None, "le eau", "xx"), (None, "der", None),
+        (104, rows[0][1], rows[0][2]), (rows[1][0], rows[1][1], rows[1][2]), (105, "ment eau " * 40000, "fr")]
     d = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, lang string, score int, bucket string")
     got = sorted(((r.doc_id, r.held_out, r.lang_pred, round(r.score, 6)) for r in language.identified(d).collect()), key=repr)
     assert got == plain_bayes(rows)
