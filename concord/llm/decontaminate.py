@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm.common import let, salted_rows_bound, table, text_digest, without, written
+from concord.llm.common import bounded, let, salted_rows_bound, table, text_digest, without, written
 
 WINDOW, COVER, QUOTE = 5, 0.5, 13
 BROADCAST_ROWS = 500_000  # windows of the benchmark; beyond it the join shuffles both sides
@@ -104,17 +104,56 @@ def _quoted(at: Column) -> Column:
 
 
 DOC, ITEM = ["doc_id", "doc_text"], ["item_id", "item_text"]
+NUMBER, SOME = r"\p{N}+(?:[.,]\p{N}+)*", "0"
+#: What stands between tokens once numbers are written as SOME.
+GAP = r"[^\p{L}\p{M}0]+\p{M}*|^\p{M}+"
+
+
+def _coarse(rows: DataFrame, keep: list[str], sizes: list[int], exact: bool) -> DataFrame:
+    """``keep`` and h: a hash of each window of ``text`` in a coarser form than templates and literal windows, so windows
+    that match in either way have a hash in common. Numbers are all alike; a window comes once in lower case and, where
+    that differs, once with all unit words and capitalised words alike, whatever stands before them.
+
+    Tokens are cut by one split, hashed once, and windows combine the hashes; no filter stands on top, since Spark would
+    push it down and cut the tokens twice."""
+    raw = F.array_remove(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), NUMBER, f" {SOME} "), GAP), "")
+    rows = rows.select(*keep, raw.alias("raw"))
+    rows = rows.select(*keep, "raw", F.transform("raw", F.lower).alias("low"))
+    first = lambda r: F.substring(r, 1, 1)
+    alike = lambda r, x: x.isin(UNITS.split("|")) | ((r != x) & (r != F.upper(r)) & (first(r) != F.lower(first(r))))
+    typed = F.zip_with("raw", "low", lambda r, x: F.when(alike(r, x), F.lit(1).cast("long")).otherwise(F.xxhash64(x)))
+    rows = rows.select(*keep, typed.alias("typed"), F.transform("low", lambda x: F.xxhash64(x)).alias("plain"))
+
+    def of(hashes: str, size: int) -> Column:
+        n = F.size(hashes)
+        fits = (n == size) if exact and size < WINDOW else (n >= size)
+        window = lambda i: F.xxhash64(F.lit(size), *(F.get(hashes, i + k) for k in range(size)))
+        return F.when(fits, F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))), window)).otherwise(F.array().cast("array<bigint>"))
+
+    rows = rows.select(*keep, *(of(c, s).alias(f"{c}{s}") for c in ("typed", "plain") for s in sizes))
+    both = [F.concat(f"plain{s}", F.array_compact(F.zip_with(f"plain{s}", f"typed{s}", lambda p, q: F.when(p != q, q)))) for s in sizes]
+    return rows.select(*keep, F.explode_outer(F.concat(*both)).alias("h"))
+
+
+def suspects(docs: DataFrame, benchmark: DataFrame, sizes: list[int]) -> DataFrame:
+    """The documents (doc_id, doc_text) that share a coarse window with an item: all that can match, and few others."""
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("text").cast("string").alias("text")).distinct()
+    asked = written(_coarse(items, [], sizes, True).where("h is not null").distinct(), "coarse")
+    return _coarse(docs, DOC, sizes, False).join(bounded(asked, BROADCAST_ROWS), "h", "left_semi").select(*DOC).distinct()
 
 
 def found(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """doc_id, doc_text (see text_digest), item_id, matched (windows), n_windows, coverage, reparameterised (some slot differs).
 
-    Document windows are hash-joined with the items' windows, which are broadcast only up to BROADCAST_ROWS; beyond that
-    both sides shuffle, and Spark splits the partitions of common windows (a plain join, so its skew handling applies)."""
+    Documents are first reduced to those that share a coarse window with an item (see suspects). Their windows are
+    hash-joined with the items' windows, which are broadcast only up to BROADCAST_ROWS; beyond that both sides shuffle, and
+    Spark splits the partitions of common windows (a plain join, so its skew handling applies)."""
     items = written(item_windows(benchmark), "items")
     lengths = benchmark.select(F.size(_tokens(F.col("text").cast("string"))).alias("n")).where("n >= 1")
     sizes = sorted(r[0] for r in lengths.select(F.least("n", F.lit(WINDOW))).distinct().collect()) or [WINDOW]  # WINDOW values at most
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("doc_text"), F.col("text").cast("string").alias("text"))
+    some = written(suspects(text, benchmark, sizes), "suspects").toDF("_id", "_text")
+    text = text.join(bounded(some), text["doc_id"].eqNullSafe(some["_id"]) & (text["doc_text"] == some["_text"]), "left_semi")
     seen = text.select(*DOC, F.explode(_windows(F.col("text"), sizes, False)).alias("w"))
     seen = seen.select(*DOC, F.col("w.h").alias("h"), F.col("w.at").alias("doc_at"), F.col("w.slots").alias("doc_slots"))
     side = items.withColumnRenamed("slots", "item_slots")
