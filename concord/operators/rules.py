@@ -68,9 +68,6 @@ class Block:
     rule: str | None
     raw: Column
 
-    def told(self, what: str) -> Column:
-        return F.lit(self.body.get(what)).cast("string")
-
 
 #: Keys that make an entry of ``records`` a block; other entries are plain {field: value}.
 BLOCK = {"name", "set", "note", "source", "location", "inventory", "children", "clear_children"}
@@ -259,9 +256,9 @@ def provenance(df: DataFrame, program: dict, key: str, ids: str | None = None, r
 
     def put(fired: Column, who: Column, kind: str, pos: int, field: str, value: Column, spelled: Column, rule: str | None, told: dict,
             raw: Column, later: Column) -> None:
-        given = {"entity": who, "kind": F.lit(kind), "pos": F.lit(pos), "field": F.lit(field), "value": value, "spelling": spelled,
-            "rule": F.lit(rule).cast("string"),
-                 **{k: F.lit(told.get(k)).cast("string") for k in ("source", "location", "inventory")}, "raw": raw, "superseded": later}
+        given = {"entity": who, "kind": F.lit(kind), "pos": F.lit(pos), "field": F.lit(field), "value": value, "spelling": spelled}
+        given |= {"rule": F.lit(rule).cast("string")} | {k: F.lit(told.get(k)).cast("string") for k in ("source", "location", "inventory")}
+        given |= {"raw": raw, "superseded": later}
         rows.append(F.when(fired, F.struct(*(c.alias(k) for k, c in given.items()))))
 
     def field_later(field: str, pos: int, value: Column) -> Column:
@@ -288,11 +285,9 @@ def provenance(df: DataFrame, program: dict, key: str, ids: str | None = None, r
     out = _fired(df, program).select(F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("w")).select("w.*")
     if not numbered:
         return out
-    number = replicates.where("replicate_basis = 'assigned'").select(F.col(key).cast("string").alias("entity"),
-        F.lit("record").alias("kind"), F.lit(len(blocks)).alias("pos"), F.lit("replicate").alias("field"),
-                                                                    F.col("replicate").cast("string").alias("value"),
-                                                                        F.lit("assigned").alias("rule"),
-                                                                            F.lit(False).alias("superseded"))
+    write = {"entity": F.col(key).cast("string"), "kind": F.lit("record"), "pos": F.lit(len(blocks)), "field": F.lit("replicate")}
+    write |= {"value": F.col("replicate").cast("string"), "rule": F.lit("assigned"), "superseded": F.lit(False)}
+    number = replicates.where("replicate_basis = 'assigned'").select(*(c.alias(n) for n, c in write.items()))
     return out.unionByName(number, allowMissingColumns=True)
 
 
