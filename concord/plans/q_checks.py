@@ -314,13 +314,12 @@ def _(spark, d):
     WHERE n > 2 AND isfinite(r) AND (g.id = 'all' OR ba > 5000) AND (h.id = 'all' OR bb > 5000))
  SELECT group_a, group_b, round(avg(r), 4) AS mean_r, CAST(count(*) AS BIGINT) AS n_pairs FROM p GROUP BY ALL""")
 def _(spark, d):
-    """Suppliers over part names, the rich ones being a group beside all; small tiles, so that several meet."""
+    """Suppliers over part names, the rich ones being a group beside all."""
     m = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey")
         .alias("supp"), "p_name").agg(F.avg("l_extendedprice").alias("v"))
     s = t(spark, d, "supplier").select(F.col("s_suppkey").alias("supp"),
         F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("s_acctbal") > 5000, "rich")))).alias("group"))
-    pairs = P.sample_correlation(m, "supp", "p_name", "v", 1000.0, tile=30, block=20).where("n_features > 2")
-    return P.correlation_of_groups(pairs, s, "supp").withColumn("mean_r", r4("mean_r"))
+    return P.group_correlation(m, s, "supp", "p_name", "v", 1000.0, least=3).withColumn("mean_r", r4("mean_r"))
 
 
 @query("G05_label_crosscheck", "SELECT lang, quality, toxic, CAST(count(*) AS BIGINT) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL")

@@ -380,6 +380,24 @@ def test_correlation_in_tiles_equals_numpy(spark):
     assert mean == {("p", "p"): 1, ("p", "q"): 3, ("q", "q"): 1}
 
 
+def test_correlation_of_groups_without_pairs_equals_that_of_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x, has = rng.normal(size=(40, 6)) + 5, rng.random((40, 6)) < 0.9
+    x[7], has[7], x[8, :4], has[8] = 3.1, True, 0.1 + 3, [True] * 4 + [False] * 2  # without spread, whole and in part
+    df = spark.createDataFrame([("g" if i < 30 else None, f"s{i}", j, float(x[i, j])) for i in range(40) for j in range(6) if has[i, j]],
+        "k string, s string, f int, v double")
+    groups = spark.createDataFrame([(g, f"s{i}") for i in range(38) for g in ("p", "q", "all") if g == "all" or (i % 3 == 0) == (g == "p") or i == 4],
+        "group string, s string")
+    for tile in (2, 7, 1000):  # many tiles, some, one
+        pairs = profile.sample_correlation(df, "s", "f", "v", 0.0, ["k"], tile=tile, block=6)
+        want = {r[:3]: (round(r.mean_r, 9), r.n_pairs) for r in profile.correlation_of_groups(pairs.where("n_features > 2"), groups, "s", ["k"]).collect()}
+        made = profile.group_correlation(df, groups, "s", "f", "v", 0.0, ["k"], 3, tile, 6)
+        assert {r[:3]: (round(r.mean_r, 9), r.n_pairs) for r in made.collect()} == want and len(want) == 12
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # tiles are sent, pairs aren't
+
+
 def test_headers_of_several_lines_and_bodies_like_them(spark, tmp_path):
     (tmp_path / "a.csv").write_text('x,,"l\n1",l2\nid,name,S1,S2\nid,name,S1,S2\nr1,"a,b",1,\n\nx,,l2,3\nr2,c,4\n')
     (tmp_path / "b.csv").write_text("x,,m1\nid,name,S1\nr9,z,8,9\n")
