@@ -81,6 +81,19 @@ def test_fields_that_do_not_vary_are_not_compared(spark):
     assert got == {("s", 1): (3, "label"), ("u", 6): (2, None)}
 
 
+def test_partitions_of_the_fact_grow_with_it(spark, monkeypatch):
+    from concord import shared
+    from concord.plans import base, q_cohort
+
+    d, names = "/root/testdata/sf0.001", ("H02b_compared_sets", "C08_choose_representative", "E09_target_check")
+    few = base.fx_values(spark, d).rdd.getNumPartitions()
+    want = {n: {tuple(r) for r in QUERIES[n](spark, d).collect()} for n in names}
+    monkeypatch.setattr(shared, "TASK_ROWS", 150)  # of 6,000 rows
+    monkeypatch.setattr(q_cohort, "BROADCAST_ROWS", 1)
+    assert few <= 4 and {f(spark, d).rdd.getNumPartitions() for f in (base.fx_values, base.fx_treatment, q_cohort.fx_entity)} == {40}
+    assert {n: {tuple(r) for r in QUERIES[n](spark, d).collect()} for n in names} == want
+
+
 def test_every_quantity_above_the_limit(spark):
     df = spark.createDataFrame([("f",
         "1 M tamoxifen, then 2 mM tamoxifen or 1 M of tamoxifen; 5 M sodium chloride is something else altogether, as are 3 nM tamoxifen")],
