@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from concord.functions.patterns import MOLAR
 from concord.operators.cohort import same
 from concord.operators.identity import bounded
+from concord.shared import kept
 
 REACH = 40  # characters behind a quantity in which a name makes it a dose
 
@@ -74,21 +75,32 @@ def fields_contradict(views: DataFrame, study: str, record: str, field: str, val
     views: study, record, field, value (a row for each value that a field names; null for none) and optionally the view
     that a field belongs to (fields of one view are taken together). Only fields that vary between the records of a study
     are compared, a field that a record lacks names nothing, and a study with fewer than two such fields is left out.
-    Returns n_views, n_sets and odd_ones: where there are more than two views, those whose set no other view has.
+    Returns n_views, n_sets and odd_ones: where there are more than two views, those whose set no other view has. The
+    views are read once: what each record says is one row, written, of which the rest is made without dealing it again.
     """
-    sets = views.groupBy(study, record, field).agg(F.array_sort(F.collect_set(value)).alias("set"))
-    size = views.groupBy(study).agg(F.count_distinct(record).alias("_records"))
+    told = views.groupBy(study, record).agg(F.collect_set(F.struct(F.col(field).alias("f"), F.col(value).alias("v"))).alias("_told"))
+
+    def named(f: Column) -> Column:
+        return F.array_sort(F.transform(F.filter("_told", lambda x: x["f"].eqNullSafe(f) & x["v"].isNotNull()), lambda x: x["v"]))
+
+    each = F.transform(F.array_distinct(F.transform("_told", lambda x: x["f"])), lambda f: F.struct(f.alias("f"), named(f).alias("s")))
+    told = kept(told.select(study, record, each.alias("_told")), "told")  # compared by study, then by record
+    sets = told.select(study, F.explode("_told").alias("x")).select(study, F.col("x.f").alias(field), F.col("x.s").alias("set"))
+    size = told.groupBy(study).agg(F.count(record).alias("_records"))
     spread = sets.groupBy(study, field).agg(F.count_distinct("set").alias("_sets"), F.count(F.lit(1)).alias("_n"),
         F.max(F.size("set")).alias("_most"))
     varies = (F.col("_sets") > 1) | (F.col("_n") < F.col("_records")) & (F.col("_most") > 0)
     used = spread.join(size, study).where(varies).select(study, field)
     used = used.withColumn("_used", F.count(F.lit(1)).over(Window.partitionBy(study))).where("_used > 1").drop("_used")
     view_of = views.select(field, F.col(view).alias("_view")).distinct() if view else used.select(field, F.col(field).alias("_view")).distinct()
-    grid = views.select(study, record).distinct().join(bounded(used.join(view_of, field)), study)
-    none = F.array().cast("array<string>")
-    told = grid.join(sets, [study, record, field], "left").groupBy(study, record, "_view")
-    told = told.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(F.col("set").cast("array<string>"), none))))).alias("set"))
-    g = told.groupBy(study, record).agg(F.array_sort(F.collect_list(F.struct(F.col("_view").alias("view"), "set"))).alias("views"))
+    asked = used.join(view_of, field).groupBy(study, F.col("_view").alias("view")).agg(F.collect_list(field).alias("fields"))
+    asked = asked.groupBy(study).agg(F.array_sort(F.collect_list(F.struct("view", "fields"))).alias("_asked"))
+
+    def seen(v: Column) -> Column:
+        of = F.transform(F.filter("_told", lambda x: F.array_contains(v["fields"], x["f"])), lambda x: x["s"].cast("array<string>"))
+        return F.struct(v["view"].alias("view"), F.array_sort(F.array_distinct(F.flatten(of))).alias("set"))
+
+    g = told.where(F.col(record).isNotNull()).join(bounded(asked), study).select(study, record, F.transform("_asked", seen).alias("views"))
     g = g.withColumn("n_views", F.size("views")).withColumn("n_sets",
         F.size(F.array_distinct(F.transform("views", lambda x: x["set"])))).where("n_sets > 1")
     alone = F.filter("views", lambda x: F.size(F.filter("views", lambda y: y["set"] == x["set"])) == 1)

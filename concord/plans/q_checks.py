@@ -13,6 +13,7 @@ from concord.plans.base import FX_FEATURE_MAP, FX_MEASUREMENT, FX_SAMPLE, FX_TRE
 from concord.plans.q_cohort import REGIONS
 from concord.plans.q_rules_constraints import PROGRAM
 from concord.plans.q_values_identity import rows
+from concord.shared import dealt, partitions
 
 NAMES = "bolt|ring|anvil|widget|gear|nut"
 
@@ -54,10 +55,11 @@ FROM (SELECT study_id, k, a, c AS b, b AS c FROM v) WHERE NOT (a = b AND b = c)"
 def _(spark, d):
     study = fx_sample(spark, d).select(F.col("sample_id").alias("k"), "study_id")
     flag = F.when(F.col("l_returnflag") == "N", "O").otherwise("F")
-    parts = {"order": ("orders", "o_orderkey", F.col("o_orderstatus")), "shop": ("orders", "o_orderkey", F.lit("same")),
-        "lines": ("lineitem", "l_orderkey", F.col("l_linestatus")), "flags": ("lineitem", "l_orderkey", flag)}
-    each = [t(spark, d, table).select(F.col(k).alias("k"), F.lit(name).alias("field"), v.alias("value")) for name, (table, k, v) in parts.items()]
-    views = reduce(DataFrame.unionByName, each)
+    parts = {"orders": ("o_orderkey", {"order": F.col("o_orderstatus"), "shop": F.lit("same")}),
+        "lineitem": ("l_orderkey", {"lines": F.col("l_linestatus"), "flags": flag})}
+    each = [t(spark, d, table).select(F.col(k).alias("k"), F.explode(F.array(*(F.struct(F.lit(name).alias("field"), v.alias("value"))
+        for name, v in fields.items()))).alias("x")).select("k", "x.*") for table, (k, fields) in parts.items()]
+    views = dealt(reduce(DataFrame.unionByName, each), partitions(t(spark, d, "lineitem")), "k")
     return C.fields_contradict(views.join(study, "k"), "study_id", "k", "field", "value")
 
 

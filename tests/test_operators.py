@@ -94,6 +94,15 @@ def test_partitions_of_the_fact_grow_with_it(spark, monkeypatch):
     assert {n: {tuple(r) for r in QUERIES[n](spark, d).collect()} for n in names} == want
 
 
+def test_contradicting_fields_are_read_once(spark, tmp_path):
+    rows = [("s", 1, "a", "x"), ("s", 1, "b", "y"), ("s", 1, "b", "y"), ("s", 2, "a", "y"), ("s", 2, "b", "y"), ("s", 3, "a", None),
+        ("s", 3, "b", "x"), ("s", None, "a", "z"), (None, 4, "a", "z"), ("one", 5, "a", "x"), ("one", 6, "a", "y")]
+    spark.createDataFrame(rows, "study string, record int, field string, value string").write.parquet(f"{tmp_path}/views")
+    got = checks.fields_contradict(spark.read.parquet(f"{tmp_path}/views"), "study", "record", "field", "value")
+    assert {tuple(r) for r in got.collect()} == {("s", 1, 2, 2, None), ("s", 3, 2, 2, None)}
+    assert not any(str(tmp_path) in f for f in got.inputFiles())
+
+
 def test_every_quantity_above_the_limit(spark):
     df = spark.createDataFrame([("f",
         "1 M tamoxifen, then 2 mM tamoxifen or 1 M of tamoxifen; 5 M sodium chloride is something else altogether, as are 3 nM tamoxifen")],
