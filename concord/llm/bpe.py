@@ -93,9 +93,9 @@ class Encoder:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         outer = self
 
-        class Pieces(dict):
+        class Pieces(dict):  # by what follows a lone space
             def __missing__(self, piece: str) -> bytes:
-                out = outer.run(piece)
+                out = outer.run(" " + piece)
                 if len(self) < MEMO_PIECES:
                     self[piece] = out
                 return out
@@ -120,7 +120,7 @@ class Encoder:
             return self.run(text)
         first, *rest = text.split(" ")
         get = self.pieces.__getitem__
-        return self.run(first) + b"".join([get(" " + x) for x in rest])
+        return self.run(first) + b"".join(map(get, rest))
 
     def encode(self, text: str | None) -> bytes:
         if not text:
