@@ -1,13 +1,13 @@
 """BPE encoding and decoding (operator 10).
 
 Byte-level BPE over the vocabulary file of a public tokenizer. A word's symbols form a doubly linked list;
-candidate merges wait in a priority queue ordered by (rank, position), and entries whose symbols have changed
-since they were queued are skipped. Decoding concatenates the vocabulary's byte strings.
+candidate merges wait in a priority queue ordered by (rank, position), packed in one integer, and entries whose
+symbols have changed since they were queued are skipped. Decoding concatenates the vocabulary's byte strings.
 
 Defined results: a null or empty text has no ids and decodes to ''. Special-token strings in a text become the
 special id, as in the tokenizers library's default. Every row is encoded whole; other columns are left alone.
-Spark partitions the rows; a task keeps a bounded memo of pieces of text it has already encoded, which changes
-speed only.
+Spark partitions the rows; a Python process keeps a bounded memo of words it has already encoded, from task to task,
+which changes speed only.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import struct
 from array import array
 from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
+from string import punctuation
 
 import pyarrow as pa
 import regex
@@ -28,7 +29,7 @@ from concord.llm.common import table
 
 #: Fixed value: the byte-level pre-tokenizer's split pattern, with white space as Unicode's White_Space property.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-MEMO_WORDS, MEMO_PIECES = 120_000, 60_000  # what a task remembers; frequent ones come first and stay
+MEMO_WORDS, MEMO_PIECES = 200_000, 100_000  # what a process remembers; frequent ones come first and stay
 
 
 def byte_letters() -> dict[str, int]:
@@ -49,38 +50,48 @@ def load_model(path: str) -> dict:
         strings[i] = bytes(letters[c] for c in text)
     for text, i in special.items():
         strings[i] = text.encode()
-    merges = {}
+    ranks, made = {}, []
     for rank, pair in enumerate(spec["model"]["merges"]):
         left, right = pair if isinstance(pair, list) else pair.split(" ")
-        merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
-    return {"strings": strings, "merges": merges, "bytes": [vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])], "special": special}
+        ranks[vocab[left], vocab[right]] = rank
+        made.append(vocab[left + right])
+    return {"strings": strings, "ranks": ranks, "made": made, "bytes": [vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])], "special": special}
 
 
-def merge_word(data: bytes, byte_ids: list[int], merges: dict) -> list[int]:
-    """Ids of one pre-token: lowest rank first, ties leftmost."""
+def merge_word(data: bytes, byte_ids: list[int], ranks: dict, made: list[int]) -> list[int]:
+    """Ids of one pre-token: lowest rank first, ties leftmost. ``at`` is the rank of the pair that begins at a symbol."""
     ids = [byte_ids[b] for b in data]
-    n = len(ids)
-    if n < 2:
+    n, get = len(ids), ranks.get
+    at, queue, left = [], [], ids[0]
+    for i, right in enumerate(ids[1:]):
+        rank = get((left, right))
+        at.append(rank)
+        if rank is not None:
+            queue.append(rank * n + i)
+        left = right
+    if not queue:
         return ids
-    before, after, queue, get = list(range(-1, n - 1)), [*range(1, n), -1], [], merges.get
-    for i in range(n - 1):
-        if found := get((ids[i], ids[i + 1])):
-            queue.append((found[0], i, ids[i], ids[i + 1], found[1]))
     queue.sort()
+    at.append(None)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
     while queue:
-        _, i, left, right, new = heappop(queue)
-        j = after[i]
-        if ids[i] != left or j < 0 or ids[j] != right:
+        entry = heappop(queue)
+        i, rank = entry % n, entry // n
+        if at[i] != rank:
             continue  # stale: a symbol of this pair has been merged since
-        ids[i], ids[j] = new, -1
-        k = after[i] = after[j]
-        if k >= 0:
+        j, p = after[i], before[i]
+        after[i] = k = after[j]
+        ids[i] = new = made[rank]
+        ids[j], at[j], at[i] = -1, None, None
+        if k < n:
             before[k] = i
-            if found := get((new, ids[k])):
-                heappush(queue, (found[0], i, new, ids[k], found[1]))
-        p = before[i]
-        if p >= 0 and (found := get((ids[p], new))):
-            heappush(queue, (found[0], p, ids[p], new, found[1]))
+            at[i] = rank = get((new, ids[k]))
+            if rank is not None:
+                heappush(queue, rank * n + i)
+        if p >= 0:
+            at[p] = rank = get((ids[p], new))
+            if rank is not None:
+                heappush(queue, rank * n + p)
     return [x for x in ids if x >= 0]
 
 
@@ -88,31 +99,44 @@ class Encoder:
     """Encodes whole texts to packed little-endian unsigned 32-bit ids."""
 
     def __init__(self, model: dict):
-        self.byte_ids, self.merges, self.special = model["bytes"], model["merges"], model["special"]
+        self.byte_ids, self.ranks, self.made, self.special = model["bytes"], model["ranks"], model["made"], model["special"]
         self.words, self.split = {}, regex.compile(SPLIT).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         outer = self
 
         class Pieces(dict):  # by what follows a lone space
             def __missing__(self, piece: str) -> bytes:
-                out = outer.run(" " + piece)
+                out = outer.piece(piece)
                 if len(self) < MEMO_PIECES:
                     self[piece] = out
                 return out
 
         self.pieces = Pieces()
 
+    def word(self, word: str) -> bytes:
+        """One pre-token."""
+        ids = self.words.get(word)
+        if ids is None:
+            got = merge_word(word.encode(), self.byte_ids, self.ranks, self.made)
+            ids = struct.pack(f"<{len(got)}I", *got)
+            if len(self.words) < MEMO_WORDS:
+                self.words[word] = ids
+        return ids
+
+    def piece(self, text: str, space: str = " ") -> bytes:
+        """``space`` and a text without one. Letters are one pre-token with their space, ASCII marks that end the text behind
+        them another; a line end between such parts is one too. The pattern decides all else."""
+        letters = text.rstrip(punctuation)
+        if letters.isalpha():
+            first = self.word(space + letters)
+            return first if len(letters) == len(text) else first + self.word(text[len(letters) :])
+        line, end, rest = text.partition("\n")
+        if end and line.rstrip(punctuation).isalpha() and rest.rstrip(punctuation).isalpha():
+            return self.piece(line, space) + self.word(end) + self.piece(rest, "")
+        return self.run(space + text)
+
     def run(self, text: str) -> bytes:
-        words, out = self.words, []
-        for word in self.split(text):
-            ids = words.get(word)
-            if ids is None:
-                got = merge_word(word.encode(), self.byte_ids, self.merges)
-                ids = struct.pack(f"<{len(got)}I", *got)
-                if len(words) < MEMO_WORDS:
-                    words[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.word, self.split(text)))
 
     def plain(self, text: str) -> bytes:
         # At a lone space the pattern always begins a new pre-token, so the parts can be encoded one by one.
@@ -131,6 +155,16 @@ class Encoder:
         return b"".join(struct.pack("<I", self.special[x]) if k % 2 else self.plain(x) for k, x in enumerate(parts) if x)
 
 
+_LAST: list = []  # a Python process's last model and encoder
+
+
+def encoder(model: dict) -> Encoder:
+    """The process's encoder of ``model``: tasks that follow each other in a process share its memo."""
+    if not _LAST or _LAST[0] is not model:
+        _LAST[:] = [model, Encoder(model)]
+    return _LAST[1]
+
+
 KINDS = {"binary": (pa.binary(), T.BinaryType()), "string": (pa.string(), T.StringType())}
 
 
@@ -160,7 +194,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
     model = df.sparkSession.sparkContext.broadcast(load_model(vocabulary))
 
     def make():
-        run = Encoder(model.value).encode
+        run = encoder(model.value).encode
         return lambda x: (run(x),)
 
     return _map_column(df, text, {ids: "binary"}, make)
@@ -182,7 +216,7 @@ def coded(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
     model = df.sparkSession.sparkContext.broadcast(load_model(vocabulary))
 
     def make():
-        there, back = Encoder(model.value).encode, _decoder(model.value["strings"])
+        there, back = encoder(model.value).encode, _decoder(model.value["strings"])
 
         def both(x: str | None) -> tuple[bytes, str]:
             packed = there(x)

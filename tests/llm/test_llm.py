@@ -31,6 +31,24 @@ def test_bpe_equals_the_library_and_round_trips(spark):
         assert i in again and list(array("I", got[i].ids)) == lib.encode(t or "", add_special_tokens=False).ids and got[i].decoded == (t or "") and got[i].n_tokens == len(got[i].ids) // 4
 
 
+def test_bpe_pieces_need_no_pattern_and_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = bpe.default_vocabulary()
+    lib, rnd, model = Tokenizer.from_file(path), random.Random(7), bpe.load_model(path)
+    alpha = "".join(c for c in map(chr, range(0x110000)) if c.isalpha())
+    assert bpe.regex.fullmatch(r"\p{L}+", alpha)  # what the short cut takes for letters are the pattern's
+    parts = ["haus", "Été", "漢", "ſtreet", "'s", "'", "_", "...", ".\n", "\n", "\n\n", "\r\n", "9", "²", "\xa0", "\u0301", " ", "***", "'ll"]
+    run = bpe.encoder(model)
+    for _ in range(3000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12)))
+        assert list(array("I", run.encode(text))) == lib.encode(text, add_special_tokens=False).ids, text
+    calls, split = [], run.split
+    run.split = lambda x: calls.append(x) or split(x)
+    run.encode("one haus, Haus.\nUnd zwei*** drei.\nvier!")
+    assert calls == ["one"] and bpe.encoder(model) is run  # the memo stays for the process's next task
+
+
 def test_bag_minhash_is_unbiased():
     rng, errors = np.random.default_rng(0), []
     for _ in range(40):
