@@ -7,11 +7,13 @@ bodies, and decoding streams a member in batches of rows.
 from __future__ import annotations
 
 import csv
+import ctypes
+import functools
 import gzip
 import hashlib
 import io
 import tarfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import zip_longest
 
 import pyarrow as pa
@@ -144,3 +146,81 @@ def ranges_hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             digests.append(digest.hexdigest())
         kept = [batch.column(c) for c in ("path", "chunk", "size_bytes")]
         yield pa.RecordBatch.from_arrays([*kept, pa.array(digests, pa.string())], ["path", "chunk", "size_bytes", "sha256"])
+
+
+class _Context(ctypes.Structure):
+    """OpenSSL's SHA256_CTX (openssl/sha.h): all that a digest knows of the bytes it has seen."""
+
+    _fields_ = [("h", ctypes.c_uint32 * 8), ("low", ctypes.c_uint32), ("high", ctypes.c_uint32), ("data", ctypes.c_uint32 * 16),
+        ("num", ctypes.c_uint), ("length", ctypes.c_uint)]
+
+
+class Sha256:
+    """SHA-256 whose ``state`` can be put away and taken up by another process."""
+
+    def __init__(self, openssl: ctypes.CDLL, state: bytes | None = None):
+        self.openssl, self.context = openssl, _Context.from_buffer_copy(state) if state else _Context()
+        if not state:
+            openssl.SHA256_Init(ctypes.byref(self.context))
+
+    def update(self, block: bytes) -> None:
+        self.openssl.SHA256_Update(ctypes.byref(self.context), ctypes.c_char_p(block), ctypes.c_size_t(len(block)))
+
+    @property
+    def state(self) -> bytes:
+        return bytes(self.context)
+
+    def hexdigest(self) -> str:
+        out = ctypes.create_string_buffer(32)
+        self.openssl.SHA256_Final(out, ctypes.byref(self.context))
+        return out.raw.hex()
+
+
+@functools.cache
+def openssl() -> ctypes.CDLL | None:
+    """The OpenSSL that Python's own hashlib is linked to, or None where a digest can't be taken up again through it."""
+    try:
+        import _hashlib
+
+        found = ctypes.CDLL(_hashlib.__file__)
+        begun = Sha256(found)
+        begun.update(b"a" * 100)
+        ended = Sha256(found, begun.state)
+        ended.update(b"b" * 100)
+        return found if ended.hexdigest() == hashlib.sha256(b"a" * 100 + b"b" * 100).hexdigest() else None
+    except (ImportError, OSError, AttributeError):
+        return None
+
+
+def _fed(digest, path: str, offset: int, size: int):
+    """``digest`` with ``size`` bytes of a file from ``offset``; a file that has become shorter is an error."""
+    with opened(path) as data:
+        data.seek(offset)
+        while size:
+            if not (block := data.read(min(BLOCK, size))):
+                raise EOFError(path)
+            digest.update(block)
+            size -= len(block)
+    return digest
+
+
+HASHED = pa.schema([("path", pa.string()), ("size_bytes", pa.int64()), ("state", pa.binary()), ("sha256", pa.string())])
+
+
+def range_taken_up(number: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Takes the digests of files (HASHED) through their range ``number`` of ``size`` bytes; a file's last range gives its
+    sha256. Without such an OpenSSL nothing is put away, and the last range's task reads the file from its beginning."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = batch.to_pylist()
+            for f in (f for f in files if f["sha256"] is None):
+                at, last = number * size, (number + 1) * size >= f["size_bytes"]
+                if openssl():
+                    digest = _fed(Sha256(openssl(), f["state"]), f["path"], at, min(size, f["size_bytes"] - at))
+                    f["state"], f["sha256"] = (None, digest.hexdigest()) if last else (digest.state, None)
+                elif last:
+                    f["sha256"] = _fed(hashlib.sha256(), f["path"], 0, f["size_bytes"]).hexdigest()
+            yield pa.RecordBatch.from_pylist(files, schema=HASHED)
+
+    return run

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from concord.operators.identity import bounded
 from concord.shared import kept
-from concord.sources.bundles import BundleMembers, decoded, ranges_hashed
+from concord.sources.bundles import BundleMembers, decoded, range_taken_up, ranges_hashed
 
 MAX_FILE = 1 << 30
 BEGIN, END = "_table_begin", "_table_end"
@@ -222,16 +222,29 @@ def tree_digests(chunks: DataFrame) -> DataFrame:
     return g.select("path", "size_bytes", "n_chunks", F.sha2("_all", 256).alias("tree_sha256"))
 
 
-def source_manifest(spark: SparkSession, glob: str, limit: int = MAX_FILE) -> DataFrame:
-    """path, kind, sha256, size_bytes of each file. Files up to ``limit`` bytes are hashed as cells by Spark's reader; a
-    larger one is streamed by a task of its own, since SHA-256 goes through a file in order (see chunk_digests for a digest
-    that many tasks share). The driver reads nothing."""
+RANGE, ROUNDS = 256 << 20, 16  # bytes of a file that one task hashes; ranges between two tables of digests
+
+
+def file_digests(files: DataFrame, size: int = RANGE) -> DataFrame:
+    """path, size_bytes, sha256 of files (path, length). SHA-256 goes through a file in order, so a task hashes ``size``
+    bytes of a file and hands the digest's state (112 bytes) to the task of its next range, one stage a range."""
+    most = files.agg(F.max("length").alias("length"), F.count(F.lit(1)).alias("n")).first()
+    got = files.select("path", F.col("length").alias("size_bytes"), F.lit(None).cast("binary").alias("state"), F.lit(None).cast("string").alias("sha256"))
+    for k in range(max(1, -(-(most["length"] or 0) // size))):
+        if k and k % ROUNDS == 0:
+            got = kept(got, "digests")
+        got = got.repartition(max(1, 2 * most["n"]), "path").mapInArrow(range_taken_up(k, size), got.schema)
+    return got.drop("state")
+
+
+def source_manifest(spark: SparkSession, glob: str, limit: int = RANGE, size: int = RANGE) -> DataFrame:
+    """path, kind, sha256, size_bytes of each file. Files up to ``limit`` bytes are hashed as cells by Spark's reader, larger
+    ones in ranges of ``size`` bytes, each by a task of its own, that follow each other (see chunk_digests for a digest whose
+    parts are hashed at once). The driver reads nothing."""
     files = spark.read.format("binaryFile").load(glob)
     small = files.where(F.col("length") <= limit).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
-    large = listed(spark, glob).where((F.col("length") > limit) | (F.col("length") == 0)).select("path",
-        F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("offset"), F.col("length").alias("size_bytes"))
-    large = large.repartition("path").mapInArrow(ranges_hashed, "path string, chunk long, size_bytes long, sha256 string")
-    return small.unionByName(large.drop("chunk")).withColumn("kind", F.regexp_extract("path", r"\.([^./]+)$", 1))
+    large = file_digests(listed(spark, glob).where((F.col("length") > limit) | (F.col("length") == 0)), size)
+    return small.unionByName(large).withColumn("kind", F.regexp_extract("path", r"\.([^./]+)$", 1))
 
 
 def chunk_diff(before: DataFrame, after: DataFrame) -> DataFrame:

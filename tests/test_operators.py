@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from concord.functions.patterns import java_pattern, parse_quantity
 from concord.operators import checks, cohort, constraints, grading, identity, profile, rules, scaling
 from concord.plans.catalog import QUERIES
-from concord.sources import files
+from concord.sources import bundles, files
 
 
 def test_last_writer_wins_and_default_stays(spark):
@@ -561,6 +561,26 @@ def test_manifest_of_large_files(spark, tmp_path):
     assert files.contents(spark, f"{tmp_path}/*.bin", 50).count() == 3
 
 
+def test_large_files_are_hashed_range_by_range(spark, tmp_path, monkeypatch):
+    sizes = (0, 1, 63, 64, 65, 130, 1000)
+    for n in sizes:
+        (tmp_path / f"{n}.bin").write_bytes(bytes(k % 251 for k in range(n)))
+    want = {(f"{n}.bin", n, hashlib.sha256(bytes(k % 251 for k in range(n))).hexdigest()) for n in sizes}
+    for size in (50, 64, 2000):  # 20 ranges: some digests are kept between
+        got = files.source_manifest(spark, f"{tmp_path}/*.bin", 0, size).collect()
+        assert {(r.path.rsplit("/", 1)[1], r.size_bytes, r.sha256) for r in got} == want and len(got) == len(want)
+
+    fed, feed = [], bundles._fed
+    monkeypatch.setattr(bundles, "_fed", lambda digest, path, at, size: fed.append((at, size)) or feed(digest, path, at, size))
+    for found, reads in ((bundles.openssl(), [(0, 64), (64, 64), (128, 2)]), (None, [(0, 130)])):
+        monkeypatch.setattr(bundles, "openssl", lambda found=found: found)
+        batch = bundles.pa.RecordBatch.from_pylist([{"path": str(tmp_path / "130.bin"), "size_bytes": 130}], schema=bundles.HASHED)
+        for k in range(3):
+            (batch,) = bundles.range_taken_up(k, 64)([batch])
+        assert {("130.bin", 130, batch["sha256"][0].as_py())} <= want and fed == reads
+        fed.clear()
+
+
 def test_manifest_has_every_table(spark):
     got = {r.path for r in QUERIES["A06_source_manifest"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {f"{t}.parquet" for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()}
